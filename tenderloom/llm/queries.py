@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, language_id
 from .token_output import token_index
 from .token_text import default_tokenizer
 
@@ -14,12 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.label(docs, model).withColumn("held_out", language_id.held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_output,)}
+    return {f.__name__: f for f in (op7_bpe_transducer, op9_token_output, op10_language_bitmask)}
 
 
 def oracle_sql() -> dict[str, str]:
