@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import slices
-from .token_text import chunks
+from .token_text import Memo, chunks
 
 _END = "</w>"
 #: Below this code point (Latin to Armenian) letters are told by Python's own tables; beyond, by the library's.
@@ -280,8 +280,8 @@ class Encoder:
 
     _by_name: dict[str, Encoder] = {}
 
-    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 300_000):
-        self.merges, self.lexicon, self.memo_size, self.memo = merges, lexicon, memo, {}
+    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 200_000):
+        self.merges, self.lexicon, self.memo = merges, lexicon, Memo(memo)
 
     @classmethod
     def of(cls, tokenizer: str, name: str) -> Encoder:
@@ -291,14 +291,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(x) for x in texts]
-        if len(self.memo) > self.memo_size:
-            self.memo = {}
-        memo = self.memo
-        new = {c: self.merges.words(c) for c in {c for x in split for c in x if c not in memo}}
-        words = list({w for ws in new.values() for w in ws if isinstance(w, bytes)})
-        ids = {w: x if x is not None else np.array(self.merges.merge(w), "<u4").tobytes() for w, x in zip(words, self.lexicon.find(words), strict=True)}
-        for c, ws in new.items():
-            memo[c] = b"".join([ids[w] if isinstance(w, bytes) else struct.pack("<I", w) for w in ws])
+        memo = self.memo.current()
+        for part in self.memo.missing(split):
+            new = [self.merges.words(c) for c in part]
+            words = list({w for ws in new for w in ws if isinstance(w, bytes)})
+            ids = {w: x if x is not None else np.array(self.merges.merge(w), "<u4").tobytes() for w, x in zip(words, self.lexicon.find(words), strict=True)}
+            for c, ws in zip(part, new, strict=True):
+                memo[c] = b"".join([ids[w] if isinstance(w, bytes) else struct.pack("<I", w) for w in ws])
         return [b"".join([memo[c] for c in x]) for x in split]
 
 

@@ -16,6 +16,8 @@ import numpy as np
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+_MARK = "\x01"  # one byte, one token
+
 
 def chunks(text: str) -> list[str]:
     """Maximal runs without white space (Unicode White_Space)."""
@@ -30,22 +32,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class LibraryEncoder:
-    """Ids of texts by the library, each distinct chunk encoded once while the memo holds it.
+class Memo:
+    """Ids of chunks in two generations of ``size`` each: what the last generation saw again moves to the next.
 
-    The memo starts afresh at ``memo`` chunks, so memory is bounded and results never depend on it.
+    Memory is bounded, and results never depend on what is held.
     """
 
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def current(self) -> dict[str, bytes]:
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        return self.now
+
+    def missing(self, split: list[list[str]], most: int = 4096) -> list[list[str]]:
+        """Distinct chunks that neither generation holds, in parts."""
+        now, before, new = self.now, self.before, []
+        for c in set().union(*split):
+            if c not in now:
+                if c in before:
+                    now[c] = before[c]
+                else:
+                    new.append(c)
+        return [new[k : k + most] for k in range(0, len(new), most)]
+
+
+class LibraryEncoder:
+    """Ids of texts by the library, each distinct chunk encoded once while the memo holds it."""
+
     _by_path: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo_size, self.memo = memo, {}
+        self.memo = Memo(memo)
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> LibraryEncoder:
@@ -57,12 +83,18 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [chunks(x) for x in texts]
-        if len(self.memo) > self.memo_size:
-            self.memo = {}
-        memo = self.memo
-        new = list({c for x in split for c in x if c not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
+        memo = self.memo.current()
+        for part in self.memo.missing(split):
+            # one call for many chunks: a mark stands between them, and no chunk of the call holds it
+            odd = [c for c in part if _MARK in c]
+            plain = [c for c in part if _MARK not in c] if odd else part
+            if not plain:
+                plain = [""]
+            ids = np.array(self.tokenizer.encode_batch_fast([f"\n{_MARK}\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            data = ids.tobytes()
+            for c, at, to in zip(plain, [0, *(4 * k + 4 for k in cuts)], [*(4 * k for k in cuts), len(data)], strict=True):
+                memo[c] = data[at:to]
+            for c in odd:
+                memo[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
         return [b"".join([memo[c] for c in x]) for x in split]
