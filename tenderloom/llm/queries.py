@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id
+from . import bpe, decontaminate, language_id, minhash_dedup
 from .token_output import token_index
 from .token_text import default_tokenizer
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -30,7 +38,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe_transducer, op9_token_output, op10_language_bitmask)}
+    return {f.__name__: f for f in (op5_fm_index_decontamination, op6_tensored_minhash, op7_bpe_transducer, op9_token_output, op10_language_bitmask)}
 
 
 def oracle_sql() -> dict[str, str]:
