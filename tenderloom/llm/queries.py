@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, minhash_dedup
+from . import bpe, decontaminate, language_id, line_dedup, minhash_dedup, secret_scan
 from .token_output import token_index
 from .token_text import default_tokenizer
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,10 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op8_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -38,7 +46,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_fm_index_decontamination, op6_tensored_minhash, op7_bpe_transducer, op9_token_output, op10_language_bitmask)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_fm_index_decontamination, op6_tensored_minhash, op7_bpe_transducer, op8_secret_cnn, op9_token_output, op10_language_bitmask)}
 
 
 def oracle_sql() -> dict[str, str]:

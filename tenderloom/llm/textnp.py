@@ -35,7 +35,7 @@ def _byte_values() -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of P and of its inverse, 0 to n."""
     if not _powers or len(_powers["p"]) <= n:
         inv = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -80,7 +80,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     base = int(starts[0])
     part = data[base : int(ends[-1])]
-    p, inv = _power(len(part))
+    p, inv = powers(len(part))
     total = np.empty(len(part) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_byte_values()[part] * p[: len(part)], out=total[1:])
@@ -90,7 +90,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run h[start:end] of word hashes (ends >= starts; empty runs are 0)."""
-    p, inv = _power(len(h))
+    p, inv = powers(len(h))
     total = np.empty(len(h) + 1, np.uint64)
     total[0] = 0
     np.cumsum(h * p[: len(h)], out=total[1:])
