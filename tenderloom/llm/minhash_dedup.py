@@ -138,44 +138,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int
 
 def _link(keys: DataFrame, sets: DataFrame, percent: int, centres: int) -> DataFrame:
     """Components (id, component_id) of all classes that the keys bring together and full sets confirm."""
-    links = tested = None
-    components = None
+    tested = None
+    of = stored(sets.select("id", F.col("id").alias("c")), "components")
+    here = keys.withColumn("c", F.col("id"))
     while True:
-        here = keys
-        if components is not None:
-            here = keys.join(components, "id", "left").withColumn("c", F.coalesce("component_id", "id")).select("key", "id", "n", "c")
-        else:
-            here = keys.withColumn("c", F.col("id"))
         # keys that still hold two components, and as their centres one member of each of the smallest components
         parts = here.groupBy("key", "c").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("one"))
-        chosen = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min("c").alias("first"), F.min(F.struct("size", "c", "one")).alias("least"))
-        if components is None:
-            chosen = chosen.where("parts > 1").select("key", F.explode(F.array("least")).alias("m"))
+        if tested is None:
+            chosen = parts.groupBy("key").agg(F.min(F.struct("c", "one")).alias("m"))
+            chosen = chosen.select("key", "m.*")
         else:
-            smallest = parts.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("size", "c"))).where(F.col("r") <= centres)
-            chosen = smallest.join(chosen.where("parts > 1").select("key"), "key", "left_semi").select("key", F.struct("size", "c", "one").alias("m"))
-        chosen = stored(chosen.select("key", F.col("m.one.id").alias("a"), F.col("m.one.n").alias("an"), F.col("m.c").alias("ac")), "centres")
-        if chosen.isEmpty():
-            break
-        met = here.join(chosen, "key").where("c <> ac and 100 * least(n, an) >= %d * greatest(n, an)" % percent)
+            order = Window.partitionBy("key").orderBy("size", "c")
+            chosen = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= centres)
+        chosen = stored(chosen.select("key", F.col("one.id").alias("a"), F.col("one.n").alias("an"), F.col("c").alias("ac")), "centres")
+        met = here.join(chosen, "key").where(f"c <> ac and 100 * least(n, an) >= {percent} * greatest(n, an)")
         pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(_confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        components = stored(connected_components(links), "components")
+        links = stored(_confirmed(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            # only components that new links join are merged: their graph shrinks from round to round
+            a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+            joined = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            merged = connected_components(joined).withColumnRenamed("id", "c")
+            of = stored(of.join(merged, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
         # a centre has met all other components of its key; keys of one component are settled
-        left = keys.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        left = left.join(components, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+        left = here.select("key", "id", "n").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").join(of, "id")
         two = left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        rest = stored(left.select("key", "id", "n").join(two, "key", "left_semi"), "keys")
-        drop_stored(keys)
-        keys = rest
-    if components is None:
-        return sets.select("id", F.col("id").alias("component_id")).limit(0)
-    return components
+        rest = stored(left.join(two, "key", "left_semi"), "keys")
+        drop_stored(here)
+        here = rest
+        if here.isEmpty():
+            return of.withColumnRenamed("c", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
