@@ -47,7 +47,7 @@ def clean(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Block tags as line ends, no other tags, entities decoded, two line ends at most in a row, trimmed."""
-    lines = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</?(?:{BLOCKS})(?:[\s>/][^>]*)?>", "\n")
+    lines = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>", "\n")
     out = F.regexp_replace(lines, "<[^>]+>", "")
     for name, shown in PAGE_ENTITIES:
         out = F.regexp_replace(out, f"(?i){name}", shown)

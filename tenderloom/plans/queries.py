@@ -457,7 +457,7 @@ def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "pages").select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("h"))
 
 
-@query("""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '</?(?:p|div|tr|li|h[1-6]|br)(?:[\\s>/][^>]*)?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
+@query("""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '</?(?:p|div|tr|li|h[1-6]|br)(?:[\\s/][^>]*)?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
 y AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&ndash;', '–'), '&mdash;', '—') AS x FROM x)
 SELECT page_id, sha256(regexp_replace(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS h FROM y""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
@@ -599,7 +599,7 @@ _DUE_AT = "1998-01-08 07:30:00"
 
 @query("""WITH s AS (SELECT c_custkey AS k, ['daily', 'weekdays', 'every_n_days', 'weekly', 'monthly'][c_custkey % 5 + 1] AS f, c_custkey % 6 + 1 AS n, c_custkey % 12 AS h, c_custkey % 12 + 6 AS e, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 7 END AS dow,
   CASE WHEN c_custkey % 17 <> 0 THEN c_custkey % 31 + 1 END AS dom, (c_custkey // 5) % 5 AS z, CASE WHEN c_custkey % 3 <> 0 THEN TIMESTAMP '1998-01-07 10:00:00' - to_hours(CAST(c_custkey % 900 AS INT)) END AS sent FROM customer WHERE c_custkey % 19 <> 0),
-l AS (SELECT *, TIMESTAMP '1998-01-08 07:30:00' + CASE z WHEN 2 THEN INTERVAL 5 HOUR WHEN 3 THEN INTERVAL -5 HOUR ELSE INTERVAL 0 HOUR END AS loc, sent + CASE z WHEN 2 THEN INTERVAL 5 HOUR WHEN 3 THEN INTERVAL -5 HOUR ELSE INTERVAL 0 HOUR END AS sloc FROM s WHERE z <> 4)
+l AS (SELECT *, TIMESTAMP '1998-01-08 07:30:00' + CASE z WHEN 2 THEN INTERVAL 5 HOUR WHEN 3 THEN -INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS loc, sent + CASE z WHEN 2 THEN INTERVAL 5 HOUR WHEN 3 THEN -INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS sloc FROM s WHERE z <> 4)
 SELECT k AS tenant_id, f AS frequency FROM l WHERE hour(loc) BETWEEN h AND e AND CASE f WHEN 'weekdays' THEN dayofweek(loc) BETWEEN 1 AND 5 WHEN 'weekly' THEN dow = dayofweek(loc) WHEN 'monthly' THEN least(dom, 31) = day(loc) ELSE true END
   AND (sent IS NULL OR (date_diff('second', sent, TIMESTAMP '1998-01-08 07:30:00') >= CASE f WHEN 'daily' THEN 79200 WHEN 'weekdays' THEN 79200 WHEN 'weekly' THEN 518400 WHEN 'monthly' THEN 2332800 ELSE n * 86400 - 1800 END AND (f NOT IN ('daily', 'weekdays') OR CAST(sloc AS DATE) <> CAST(loc AS DATE))))""")
 def due_schedules(spark: SparkSession, d: str) -> DataFrame:
