@@ -6,10 +6,13 @@ A table key is a pair of one small hash of either collection: side * side tables
 side * side * 2 * rows of them. With side 8 and rows 2, two sets of similarity 0.75 share
 at least one table with probability (1 - (1 - 0.75^2)^8)^2 = 0.997, of 0.85 with 0.99997.
 
-Only connectivity is asked for, so no group is expanded into pairs: documents of one shingle set
-are one class, each table key compares its members with a few centres per round, and only
-across components; a centre has then met everyone in its key and leaves it. Rounds end
-when no key holds two components, so what a key brings together is always settled exactly.
+Only connectivity is asked for, so no group is expanded into pairs. Documents of one shingle set are
+one class. First each table key compares its members with one of them; keys whose members are then one
+component are settled, however large. Of the others, keys of up to ``SMALL`` members compare those across
+components (so a row meets a bounded number of others). Larger ones, as a passage that many documents share makes them, are
+refined: each member goes to one longer key for every further small hash, and keys are looked at again. Before sets
+are read, a sketch of 256 one-bit bins rules out pairs whose similarity is far (over five standard deviations) below
+the bound; what is left is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, drop_stored, stored
+from .shared import connected_components, stored
 from .textnp import NOT_SPACE, mix, raw, run_hashes, slices, word_hashes, words
 
 SHINGLE = 5
+SMALL = 256
+BINS = 256
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +65,45 @@ def small_hashes(sets: np.ndarray, bounds: np.ndarray, side: int, rows: int) ->
     return out
 
 
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """[texts, 8]: which of 256 bins (top bits) hold a shingle, and the last bit of the least one in each."""
+    texts = len(bounds) - 1
+    owner = np.repeat(np.arange(texts), np.diff(bounds))
+    place = owner * BINS + (sets >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, int)
+    bits = np.zeros((2, texts * BINS), np.uint8)
+    bits[0, place[first]] = 1
+    bits[1, place[first]] = (sets[first] & np.uint64(1)).astype(np.uint8)
+    packed = np.packbits(bits.reshape(2, texts, BINS), axis=2, bitorder="little").view("<u8")
+    return np.concatenate([packed[0], packed[1]], axis=1)
+
+
+def far_apart(a: str, b: str, percent: int):
+    """Whether the sketches of two rows (columns ``a`` and ``b``) rule out the similarity. In shared bins that are not
+    decided by a common shingle the last bits agree by chance, half of the time: their surplus estimates the similarity."""
+    x, y = (lambda k: F.get(a, F.lit(k))), (lambda k: F.get(b, F.lit(k)))
+    total = lambda f: sum((F.bit_count(f(k)) for k in range(1, 4)), F.bit_count(f(0)))
+    both = total(lambda k: x(k).bitwiseAND(y(k)))
+    either = total(lambda k: x(k).bitwiseOR(y(k)))
+    differ = total(lambda k: x(k + 4).bitwiseXOR(y(k + 4)).bitwiseAND(x(k)).bitwiseAND(y(k)))
+    return both - 2 * differ < F.lit(percent / 100) * either - F.lit(3.2) * F.sqrt(either)
+
+
 def signatures(docs: DataFrame, side: int = 8, rows: int = 2) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit hash of the whole set), small (array of 2 * side) per row."""
+    """doc_id, n_shingles, set_a, set_b (a 128-bit hash of the whole set), small (2 * side hashes), sketch per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1, 4 << 20):
                 sets, bounds = shingle_sets(piece.column(1))
                 total = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mix(sets), mix(sets ^ np.uint64(0x5851F42D4C957F2D)))]
-                small = small_hashes(sets, bounds, side, rows)
                 columns = [piece.column(0), pa.array(np.diff(bounds)), *[pa.array((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64)) for t in total]]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(small) + 1, dtype=np.int32) * (2 * side)), pa.array(small.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*columns, flat], ["doc_id", "n_shingles", "set_a", "set_b", "small"])
+                for x in (small_hashes(sets, bounds, side, rows), sketches(sets, bounds)):
+                    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x).ravel().view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "small", "sketch"])
 
-    kind = "doc_id long, n_shingles long, set_a long, set_b long, small array<long>"
+    kind = "doc_id long, n_shingles long, set_a long, set_b long, small array<long>, sketch array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
 
@@ -89,12 +119,35 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def _part(k):
+    """What the small hash at place k adds to a key: keys are sums, so their order of hashes does not matter."""
+    return F.xxhash64(k, F.get("small", k))
+
+
+def _bit(k):
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of the keys that a second class has."""
+    two = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    return keys.join(two, "key", "left_semi")
+
+
 def _keys(classes: DataFrame, side: int) -> DataFrame:
-    """(key, id, n): the side * side table keys of each class that a second class shares."""
-    pairs = F.flatten(F.transform(F.slice("small", 1, side), lambda a: F.transform(F.slice("small", side + 1, side), lambda b: F.xxhash64(a, b))))
-    keys = classes.select("id", "n", F.explode(pairs).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    return keys.join(shared, "key", "left_semi")
+    """(key, used, id): the side * side table keys of each class that a second class shares; used: bits of their hashes."""
+    a, b = F.sequence(F.lit(0), F.lit(side - 1)), F.sequence(F.lit(side), F.lit(2 * side - 1))
+    pair = lambda i, j: F.struct((_part(i).bitwiseXOR(_part(j))).alias("key"), _bit(i).bitwiseOR(_bit(j)).alias("used"))
+    pairs = F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: pair(i, j))))
+    return _shared(classes.select("id", F.explode(pairs).alias("p")).select("p.key", "p.used", "id"))
+
+
+def _refined(keys: DataFrame, classes: DataFrame, side: int) -> DataFrame:
+    """Each row once for every small hash that its key does not yet use, with the key that is longer by it."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(2 * side - 1)), lambda k: _bit(k).bitwiseAND(F.col("used")) == 0)
+    longer = F.transform(free, lambda k: F.struct(F.col("key").bitwiseXOR(_part(k)).alias("key"), F.col("used").bitwiseOR(_bit(k)).alias("used")))
+    rows = keys.join(classes.select("id", "small"), "id").select("id", F.explode(longer).alias("p")).select("p.key", "p.used", "id").distinct()
+    return _shared(rows)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -105,7 +158,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return at.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int = 2, centres: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     A document's set is its distinct 5-word shingles (white-space words, A-Z lower-cased); of fewer
@@ -117,14 +170,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int
     signed = stored(signatures(docs.where("doc_id is not null"), side, rows), "signatures")
     group = ["set_a", "set_b", "n_shingles"]
     full = signed.where("n_shingles > 0")
-    classes = stored(full.groupBy(*group).agg(F.min("doc_id").alias("id"), F.first("small").alias("small")).withColumnRenamed("n_shingles", "n"), "classes")
+    classes = stored(full.groupBy(*group).agg(F.min("doc_id").alias("id"), F.first("small").alias("small"), F.first("sketch").alias("sketch")).withColumnRenamed("n_shingles", "n"), "classes")
     open_keys = stored(_keys(classes, side), "keys")
     links = None
     if not open_keys.isEmpty():
         wanted = open_keys.select("id").distinct()
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
         sets = stored(full_sets(texts).withColumnRenamed("doc_id", "id"), "sets")
-        links = _link(open_keys, sets, percent, centres)
+        links = _link(open_keys, classes, sets, percent, side)
     of_class = classes.select(*[F.col({"n_shingles": "n"}.get(c, c)).alias(c) for c in group], "id")
     if links is not None:
         of_class = of_class.join(links, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -136,42 +189,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _link(keys: DataFrame, sets: DataFrame, percent: int, centres: int) -> DataFrame:
+def _link(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, side: int) -> DataFrame:
     """Components (id, component_id) of all classes that the keys bring together and full sets confirm."""
-    tested = None
+    close = f"100 * least(n, an) >= {percent} * greatest(n, an)"
+    about = classes.select("id", "n", "sketch")
     of = stored(sets.select("id", F.col("id").alias("c")), "components")
-    here = keys.withColumn("c", F.col("id"))
-    while True:
-        # keys that still hold two components, and as their centres one member of each of the smallest components
-        parts = here.groupBy("key", "c").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("one"))
-        if tested is None:
-            chosen = parts.groupBy("key").agg(F.min(F.struct("c", "one")).alias("m"))
-            chosen = chosen.select("key", "m.*")
-        else:
-            order = Window.partitionBy("key").orderBy("size", "c")
-            chosen = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= centres)
-        chosen = stored(chosen.select("key", F.col("one.id").alias("a"), F.col("one.n").alias("an"), F.col("c").alias("ac")), "centres")
-        met = here.join(chosen, "key").where(f"c <> ac and 100 * least(n, an) >= {percent} * greatest(n, an)")
-        pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+
+    def merged(of: DataFrame, met: DataFrame) -> DataFrame:
+        """Components after confirming the pairs of rows in ``met``."""
+        near = met.where(~far_apart("sketch", "asketch", percent))
+        pairs = near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         links = stored(_confirmed(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            # only components that new links join are merged: their graph shrinks from round to round
-            a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-            joined = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = connected_components(joined).withColumnRenamed("id", "c")
-            of = stored(of.join(merged, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
-        # a centre has met all other components of its key; keys of one component are settled
-        left = here.select("key", "id", "n").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").join(of, "id")
-        two = left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        rest = stored(left.join(two, "key", "left_semi"), "keys")
-        drop_stored(here)
-        here = rest
-        if here.isEmpty():
-            return of.withColumnRenamed("c", "component_id")
+        if links.isEmpty():
+            return of
+        # only components that new links join are merged: their graph shrinks from step to step
+        a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+        joined = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        roots = connected_components(joined).withColumnRenamed("id", "c")
+        return stored(of.join(roots, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
+
+    def unsettled(keys: DataFrame, of: DataFrame) -> DataFrame:
+        """Rows of keys that hold two components, with component, size, sketch and the number of members."""
+        here = keys.join(of, "id")
+        held = here.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "m")
+        return stored(here.join(held, "key").join(about, "id"), "open")
+
+    def pick(rows: DataFrame) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"a{c}" if c != "id" else "a") for c in ("id", "n", "c", "sketch")])
+
+    # every key's least member meets the others
+    here = keys.join(about, "id").withColumn("c", F.col("id"))
+    least = here.groupBy("key").agg(F.min_by(F.struct("id", "n", "c", "sketch"), "id").alias("m")).select("key", "m.*")
+    of = merged(of, here.join(pick(least), "key").where("id <> a").where(close))
+    here = unsettled(keys, of)
+    while not here.isEmpty():
+        full = F.col("used") == (1 << (2 * side)) - 1
+        few, many = here.where((F.col("m") <= SMALL) | full), here.where((F.col("m") > SMALL) & ~full)
+        of = merged(of, few.join(pick(few), "key").where("id < a and c <> ac").where(close))
+        if many.isEmpty():
+            break
+        here = unsettled(stored(_refined(many.select("key", "used", "id"), classes, side), "keys"), of)
+    return of.withColumnRenamed("c", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
