@@ -6,13 +6,13 @@ A table key is a pair of one small hash of either collection: side * side tables
 side * side * 2 * rows of them. With side 8 and rows 2, two sets of similarity 0.75 share
 at least one table with probability (1 - (1 - 0.75^2)^8)^2 = 0.997, of 0.85 with 0.99997.
 
-Only connectivity is asked for, so no group is expanded into pairs. Documents of one shingle set are
-one class. First each table key compares its members with one of them; keys whose members are then one
-component are settled, however large. Of the others, keys of up to ``SMALL`` members compare those across
-components (so a row meets a bounded number of others). Larger ones, as a passage that many documents share makes them, are
-refined: each member goes to one longer key for every further small hash, and keys are looked at again. Before sets
-are read, a sketch of 256 one-bit bins rules out pairs whose similarity is far (over five standard deviations) below
-the bound; what is left is confirmed on the full sets.
+Only connectivity is asked for. Documents of one shingle set are one class. First each table key compares its
+members with one of them; keys whose members are then one component are settled, however large (a group of near copies
+never becomes pairs). In the other keys, members of different components and of like size (a band join: sets whose
+sizes differ by more than the bound cannot be similar) are held against each other by a sketch of 256 one-bit bins,
+inside the join; it rules out pairs whose similarity is far (over five standard deviations) below the bound. What
+is left is confirmed on the full sets. A passage in very many documents makes such keys long: that comparing
+is the one step whose work grows faster than the input.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from .shared import connected_components, stored
 from .textnp import NOT_SPACE, mix, raw, run_hashes, slices, word_hashes, words
 
 SHINGLE = 5
-SMALL = 256
 BINS = 256
 
 
@@ -119,37 +118,14 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _part(k):
-    """What the small hash at place k adds to a key: keys are sums, so their order of hashes does not matter."""
-    return F.xxhash64(k, F.get("small", k))
-
-
-def _bit(k):
-    return F.call_function("shiftleft", F.lit(1), k)
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """Rows of the keys that a second class has."""
+def _keys(classes: DataFrame, side: int) -> DataFrame:
+    """(key, id): the side * side table keys of each class that a second class shares."""
+    pairs = F.flatten(F.transform(F.slice("small", 1, side), lambda a: F.transform(F.slice("small", side + 1, side), lambda b: F.xxhash64(a, b))))
+    keys = classes.select("id", F.explode(pairs).alias("key"))
     two = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
     return keys.join(two, "key", "left_semi")
 
 
-def _keys(classes: DataFrame, side: int) -> DataFrame:
-    """(key, used, id): the side * side table keys of each class that a second class shares; used: bits of their hashes."""
-    a, b = F.sequence(F.lit(0), F.lit(side - 1)), F.sequence(F.lit(side), F.lit(2 * side - 1))
-    pair = lambda i, j: F.struct((_part(i).bitwiseXOR(_part(j))).alias("key"), _bit(i).bitwiseOR(_bit(j)).alias("used"))
-    pairs = F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: pair(i, j))))
-    return _shared(classes.select("id", F.explode(pairs).alias("p")).select("p.key", "p.used", "id"))
-
-
-def _refined(keys: DataFrame, classes: DataFrame, side: int) -> DataFrame:
-    """Each row once for every small hash that its key does not yet use, with the key that is longer by it."""
-    free = F.filter(F.sequence(F.lit(0), F.lit(2 * side - 1)), lambda k: _bit(k).bitwiseAND(F.col("used")) == 0)
-    longer = F.transform(free, lambda k: F.struct(F.col("key").bitwiseXOR(_part(k)).alias("key"), F.col("used").bitwiseOR(_bit(k)).alias("used")))
-    rows = keys.join(classes.select("id", "small"), "id").select("id", F.explode(longer).alias("p")).select("p.key", "p.used", "id").distinct()
-    return _shared(rows)
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those with 100 * intersection >= percent * union on full sets."""
     at = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -177,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int
         wanted = open_keys.select("id").distinct()
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
         sets = stored(full_sets(texts).withColumnRenamed("doc_id", "id"), "sets")
-        links = _link(open_keys, classes, sets, percent, side)
+        links = _link(open_keys, classes, sets, percent)
     of_class = classes.select(*[F.col({"n_shingles": "n"}.get(c, c)).alias(c) for c in group], "id")
     if links is not None:
         of_class = of_class.join(links, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -189,9 +165,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _link(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, side: int) -> DataFrame:
+def _link(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components (id, component_id) of all classes that the keys bring together and full sets confirm."""
-    close = f"100 * least(n, an) >= {percent} * greatest(n, an)"
+    like = f"100 * least(n, an) >= {percent} * greatest(n, an)"
     about = classes.select("id", "n", "sketch")
     of = stored(sets.select("id", F.col("id").alias("c")), "components")
 
@@ -208,28 +184,17 @@ def _link(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, si
         roots = connected_components(joined).withColumnRenamed("id", "c")
         return stored(of.join(roots, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
 
-    def unsettled(keys: DataFrame, of: DataFrame) -> DataFrame:
-        """Rows of keys that hold two components, with component, size, sketch and the number of members."""
-        here = keys.join(of, "id")
-        held = here.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "m")
-        return stored(here.join(held, "key").join(about, "id"), "open")
-
-    def pick(rows: DataFrame) -> DataFrame:
-        return rows.select("key", *[F.col(c).alias(f"a{c}" if c != "id" else "a") for c in ("id", "n", "c", "sketch")])
-
     # every key's least member meets the others
-    here = keys.join(about, "id").withColumn("c", F.col("id"))
-    least = here.groupBy("key").agg(F.min_by(F.struct("id", "n", "c", "sketch"), "id").alias("m")).select("key", "m.*")
-    of = merged(of, here.join(pick(least), "key").where("id <> a").where(close))
-    here = unsettled(keys, of)
-    while not here.isEmpty():
-        full = F.col("used") == (1 << (2 * side)) - 1
-        few, many = here.where((F.col("m") <= SMALL) | full), here.where((F.col("m") > SMALL) & ~full)
-        of = merged(of, few.join(pick(few), "key").where("id < a and c <> ac").where(close))
-        if many.isEmpty():
-            break
-        here = unsettled(stored(_refined(many.select("key", "used", "id"), classes, side), "keys"), of)
-    return of.withColumnRenamed("c", "component_id")
+    least = keys.join(about, "id").groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("m"))
+    least = least.select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"), F.col("m.sketch").alias("asketch"))
+    of = merged(of, keys.join(about, "id").join(least, "key").where("id <> a").where(like))
+    # keys that still hold two components: each row meets those of its own and of the next band of sizes
+    here = keys.join(of, "id")
+    held = here.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    width = F.lit(100 / percent)
+    rows = stored(here.join(held, "key").join(about, "id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(width) + 1e-9)), "open")
+    ahead = rows.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("sketch").alias("asketch"), F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("p")).select("*", "p.*").drop("p")
+    return merged(of, rows.join(ahead, ["key", "band"]).where("c <> ac and (not own or a < id)").where(like)).withColumnRenamed("c", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
