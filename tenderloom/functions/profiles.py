@@ -63,3 +63,28 @@ def content_hash(stamp: str, *parts: Column) -> Column:
 
 def rerank_doc(title: Column, buyer: Column, sector: Column, country: Column, description: Column, most: int = 1500) -> Column:
     return F.concat_ws("\n", title, F.concat(F.lit("Buyer: "), buyer), F.concat(F.lit("Sector: "), sector), F.concat(F.lit("Country: "), country), F.substring(description, 1, most))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The text, cut with a mark where it is longer."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("… [truncated]")))
+
+
+def render_tender(t: Column, ignore_location: Column, most: int = 6000) -> Column:
+    """A tender struct as the scorer's text; its country is left out where location is to be ignored."""
+    said = lambda label, value, none="(unspecified)": F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit(none)))
+    amount = lambda c: F.coalesce(t[c].cast("string"), F.lit("?"))
+    budget = F.when(t["budget_min_usd"].isNotNull() | t["budget_max_usd"].isNotNull(), F.concat(amount("budget_min_usd"), F.lit(" - "), amount("budget_max_usd"), F.lit(" USD")))
+    moment = lambda c: F.date_format(t[c], "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    lines = [
+        F.lit("# Tender"), said("Title", t["title"]), said("Source", t["source"]), said("Buyer", t["buyer"]), F.when(~ignore_location, said("Country", t["country"])), said("Sector", t["sector"]), _list("CPV codes", t["cpv_codes"]),
+        said("Budget", budget), said("Currency", t["currency"]), said("Language", t["language"]), said("Published", moment("published_at")), said("Deadline", moment("deadline_at"), "(none)"), said("URL", t["url"]), F.lit(""), F.lit("Description:"), truncated(t["description"], most),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def pair_prompt(profile_text: Column, tender_text: Column, similarity: Column, level: Column, reason: Column) -> Column:
+    """The scorer's text for a pair: both sides, the similarity to four places, and the rule-based estimate as a hint."""
+    hints = F.concat(F.lit("# Hints\nCosine similarity: "), F.format_number(similarity, "0.0000"), F.lit("\nRule-based chance: "), F.upper(level), F.lit(" - "), reason)
+    return F.concat_ws("\n\n", profile_text, tender_text, hints)

@@ -130,3 +130,31 @@ def enabled_sources(catalog: DataFrame) -> DataFrame:
 def tenants_with_profile(tenants: DataFrame, profiles: DataFrame) -> DataFrame:
     known = profiles.select("tenant_id", F.lit(True).alias("has_profile")).distinct()
     return tenants.join(known, "tenant_id", "left").withColumn("has_profile", F.coalesce("has_profile", F.lit(False)))
+
+
+def owned_tenants(users: DataFrame, tenants: DataFrame, profiles: DataFrame, email: str) -> DataFrame:
+    """The tenants of a user's address with whether they have a profile, oldest first."""
+    mine = users.where(F.lower("email") == email.lower()).select("tenant_id").distinct()
+    return tenants_with_profile(tenants.join(mine, "tenant_id"), profiles).orderBy("created_at", "tenant_id")
+
+
+def embedding_summary(table: DataFrame) -> DataFrame:
+    """Rows by embedding status and model."""
+    return table.groupBy("embedding_status", "embedding_model").agg(F.count("*").alias("n"))
+
+
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest row of a key: feedback by match, profile by tenant. Reduced before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("_r")).select(key, "_r.*")
+
+
+def save_profile(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Profiles with a tenant's new version in place of the old; a change asks for a new embedding."""
+    changed = new.withColumn("embedding_status", F.lit("pending"))
+    return current.join(new.select("tenant_id"), "tenant_id", "left_anti").unionByName(changed, allowMissingColumns=True)
+
+
+def write_results(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Results as Parquet, partitioned; the partitions that come again are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -670,3 +670,40 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     upsert_stream(stream, read, write, _EVENT_KEY, ["value", "ts", "event_id"], ["ts", "event_id"], B.now(), f"{folder}/state").awaitTermination()
     return read().select(*_EVENT_KEY, "value")
+
+
+# ---- listings, prompts, latest rows
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as notices of a portal's listing."""
+    k = F.col("c_custkey")
+    return B.table(spark, d, "customer").select(F.concat(F.lit(" Works &amp; "), F.col("c_name")).alias("title"), F.concat(F.lit("/atm/show/"), k.cast("string")).alias("url"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("agency"), F.when(k % 2 == 0, F.lit("roads")).alias("category"), F.when(k % 5 != 0, F.lit("5-Jan-2026 2:00 pm")).alias("published"), F.lit("6-Feb-2026").alias("deadline"))
+
+
+@query(f"""SELECT left(sha256('austender:Works & ' || c_name || ':https://x.gov.au/atm/show/' || c_custkey), 24) AS external_id, 'Works & ' || c_name AS title, 'https://x.gov.au/atm/show/' || c_custkey AS url,
+  coalesce(nullif(concat_ws(chr(10) || chr(10), CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'roads' END), ''), 'Works & ' || c_name) AS description, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'Australian Government' END AS buyer,
+  CASE WHEN c_custkey % 2 = 0 THEN 'roads' END AS sector, CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '2026-01-05 04:00:00' ELSE {_AT} END AS published_at, TIMESTAMP '2026-02-05 14:00:00' AS deadline_at FROM customer""")
+def normalize_listing(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.portals import normalize_listing as run
+
+    return run(_listing(spark, d), "austender", "https://x.gov.au/", B.now(), F.lit("2026-01-01").cast("timestamp")).select("external_id", "title", "url", "description", "buyer", "sector", "published_at", "deadline_at")
+
+
+@query(f"""WITH {B.TENDERS_SQL} SELECT tender_id, sha256('# Tender' || chr(10) || 'Title: T' || tender_id || chr(10) || 'Source: ' || source || chr(10) || 'Buyer: ' || buyer || chr(10) || CASE WHEN tender_id % 2 = 0 THEN '' ELSE 'Country: ' || country || chr(10) END || 'Sector: ' || sector || chr(10) || 'CPV codes: (none)' || chr(10)
+  || 'Budget: ' || budget_min || ' - ' || budget_max || ' USD' || chr(10) || 'Currency: (unspecified)' || chr(10) || 'Language: en' || chr(10) || 'Published: ' || strftime(published_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' || chr(10) || 'Deadline: ' || coalesce(strftime(deadline_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '(none)') || chr(10) || 'URL: u' || chr(10) || chr(10) || 'Description:' || chr(10) || repeat('ab', 20)[1:30] || '… [truncated]') AS h FROM t""")
+def render_tender(spark: SparkSession, d: str) -> DataFrame:
+    t = B.tenders(spark, d)
+    s = F.struct(F.concat(F.lit("T"), F.col("tender_id").cast("string")).alias("title"), "source", "buyer", "country", "sector", F.array().cast("array<string>").alias("cpv_codes"), F.col("budget_min").alias("budget_min_usd"), F.col("budget_max").alias("budget_max_usd"), F.lit(None).cast("string").alias("currency"), F.lit("en").alias("language"), "published_at", "deadline_at", F.lit("u").alias("url"), F.lit("ab" * 20).alias("description"))
+    return t.withColumn("t", s).select("tender_id", F.sha2(P.render_tender(F.col("t"), F.col("tender_id") % 2 == 0, 30), 256).alias("h"))
+
+
+@query("SELECT user_id, max({'ts': ts, 'event_id': event_id}).event_id AS event_id FROM events GROUP BY 1")
+def latest_feedback(spark: SparkSession, d: str) -> DataFrame:
+    e = B.table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id")
+    return K.latest(e, "user_id", "at").select("user_id", "event_id")
+
+
+@query("SELECT CASE WHEN vec_id % 5 = 0 THEN 'failed' ELSE 'ready' END AS embedding_status, 'm' || label AS embedding_model, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def embedding_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = B.table(spark, d, "embeddings")
+    return K.embedding_summary(e.select(F.when(F.col("vec_id") % 5 == 0, "failed").otherwise("ready").alias("embedding_status"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("embedding_model")))
