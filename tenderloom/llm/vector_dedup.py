@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, stored
 
+#: Neighbours of a vector that the greedy walk looks at; the expansion looks at all.
+GREEDY = 32
+#: How far below the range the expansion goes on.
+SLACK = 0.04
+
 
 def _matrix(column) -> np.ndarray:
     """Unit rows of an array<float> column, in double precision."""
@@ -58,8 +63,9 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: flo
     """Pairs (query, hit) of places with cosine >= low; graph: [n, width] neighbours, -1 for none."""
     n, found_q, found_h = len(x), [], []
     medoid = int((x @ x.mean(axis=0)).argmax())
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
+    step = max(1, 200_000 // graph.shape[1])
+    for at in range(0, len(queries), 128):
+        q = queries[at : at + 128]
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, n] = True  # the place of "none"
@@ -73,7 +79,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: flo
         while len(live):
             best = np.where(opened[live], -4, score[live]).argmax(axis=1)
             opened[live, best] = True
-            new = np.where(graph[ids[live, best]] < 0, n, graph[ids[live, best]])
+            new = graph[ids[live, best], :GREEDY]
+            new = np.where(new < 0, n, new)
             fresh = ~seen[live[:, None], new]
             seen[live[:, None], new] = True
             s = np.where(fresh, np.einsum("qkd,qd->qk", x[np.minimum(new, n - 1)], x[q[live]]), -3)
@@ -83,19 +90,24 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: flo
             top = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
             ids[live], score[live], opened[live] = (np.take_along_axis(a, top, axis=1) for a in (all_ids, all_s, all_open))
             live = live[~opened[live].all(axis=1)]
-        # expansion: from the query itself and every hit, through all neighbours within range
+        # expansion: from the query itself and every hit, through all neighbours down to somewhat below the range,
+        # some pairs at a time; what is within range need not be connected by itself
         inside[rows, q] = True
-        front_q, front = np.nonzero(inside[:, :n])
+        tried = inside[:, :n].copy()
+        front = np.flatnonzero(tried)
         while len(front):
-            pair = np.stack([np.repeat(front_q, graph.shape[1]), graph[front].ravel()])
-            pair = pair[:, pair[1] >= 0]
-            pair = pair[:, ~inside[pair[0], pair[1]]]
-            if not pair.shape[1]:
-                break
-            pair = np.unique(pair, axis=1)
-            s = np.einsum("kd,kd->k", x[q[pair[0]]], x[pair[1]])
-            front_q, front = pair[0][s >= low], pair[1][s >= low]
-            inside[front_q, front] = True
+            reached = []
+            for k in range(0, len(front), step):
+                part = front[k : k + step]
+                to = graph[part % n]
+                key = ((part // n)[:, None] * n + to)[to >= 0]
+                key = np.unique(key[~tried.ravel()[key]])
+                tried.ravel()[key] = True
+                s = np.einsum("kd,kd->k", x[q[key // n]], x[key % n])
+                hit = key[s >= low]
+                inside[hit // n, hit % n] = True
+                reached.append(key[s >= low - SLACK])
+            front = np.concatenate(reached)
         inside[rows, q] = False
         a, b = np.nonzero(inside[:, :n])
         found_q.append(q[a])
