@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -55,6 +56,18 @@ def byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=2)
+def token_list(path: str) -> list[str]:
+    """Token texts by id, the added ones included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    out = [""] * (1 + max(ids.values()))
+    for token, i in ids.items():
+        out[i] = token
+    return out
+
+
 class Merges:
     """Vocabulary, merge ranks and splitting rules of a word-level BPE file."""
 
@@ -64,12 +77,7 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.tokens = [""] * (1 + max(chain(vocab.values(), (x["id"] for x in spec["added_tokens"]))))
-        for token, i in vocab.items():
-            self.tokens[i] = token
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        for token, i in self.special.items():
-            self.tokens[i] = token
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
@@ -246,7 +254,7 @@ def frequent_chunks(docs: DataFrame, most: int, held: int = 200_000) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
 
         for batch in batches:
-            for piece in slices(batch, 0, 4 << 20):
+            for piece in slices(batch, 0):
                 for text in piece.column(0).to_pylist():
                     if text:
                         seen.update(chunks(text.lower()))
@@ -280,7 +288,7 @@ class Encoder:
 
     _by_name: dict[str, Encoder] = {}
 
-    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 200_000):
+    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 120_000):
         self.merges, self.lexicon, self.memo = merges, lexicon, Memo(memo)
 
     @classmethod
@@ -322,7 +330,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids, text: the tokens of the ids, joined by blanks (the vocabulary has no decoder of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Merges.of(tokenizer).tokens
+        tokens = token_list(tokenizer)
         for batch in batches:
             for piece in slices(batch, 1, 2 << 20):
                 texts = [" ".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in piece.column(1).to_pylist()]

@@ -63,7 +63,7 @@ class LibraryEncoder:
 
     _by_path: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
