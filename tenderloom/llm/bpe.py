@@ -244,7 +244,7 @@ class Lexicon:
         return [self.ids[self.starts[r] : self.starts[r + 1]].tobytes() if h else None for h, r in zip(hit.tolist(), rank.tolist(), strict=True)]
 
 
-def frequent_chunks(docs: DataFrame, most: int, held: int = 200_000) -> DataFrame:
+def frequent_chunks(docs: DataFrame, most: int, held: int = 100_000) -> DataFrame:
     """The ``most`` most frequent white-space chunks of all texts, lower-cased: (chunk, n). Counts are exact."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,28 +319,45 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.of(tokenizer, lexicon)
         for batch in batches:
-            for piece in slices(batch, 1, 2 << 20):
+            for piece in slices(batch, 1):
                 ids = coder.encode([x or "" for x in piece.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _texts(ids: list[bytes], tokens: list[str]) -> list[str]:
+    """The tokens of ids, joined by blanks (the vocabulary has no decoder of its own)."""
+    return [" ".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids]
+
+
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids, text: the tokens of the ids, joined by blanks (the vocabulary has no decoder of its own)."""
+    """doc_id, ids, text for every row of (doc_id, ids); null ids are an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_list(tokenizer)
         for batch in batches:
-            for piece in slices(batch, 1, 2 << 20):
-                texts = [" ".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for piece in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_texts(piece.column(1).to_pylist(), tokens), pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
+    """decode(encode(docs)) in one Python worker per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, tokens = Encoder.of(tokenizer, lexicon), token_list(tokenizer)
+        for batch in batches:
+            for piece in slices(batch, 1):
+                ids = coder.encode([x or "" for x in piece.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array(_texts(ids, tokens), pa.string())], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, tokenizer, build_lexicon(docs, tokenizer)), tokenizer)
+    both = round_trip(docs, tokenizer, build_lexicon(docs, tokenizer))
     n = (F.length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

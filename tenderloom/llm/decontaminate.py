@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     def search(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in slices(batch, text):
+                for piece in slices(batch, text, 2 << 20):
                     n_words, *new = block.value.find(piece.column(text))
                     old = [piece.column(width + 1 + k).to_pylist() for k in range(3)]
                     merged = ([], [], [])

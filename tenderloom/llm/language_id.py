@@ -138,7 +138,7 @@ def label(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1, 2 << 20):
+            for piece in slices(batch, 1):
                 lang, score = shared.value.predict(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -151,7 +151,7 @@ def known(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, at, 2 << 20):
+            for piece in slices(batch, at):
                 lang, _ = shared.value.predict(piece.column(at))
                 yield piece.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 

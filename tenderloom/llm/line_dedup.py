@@ -94,7 +94,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 2, 1 << 20):
+            for piece in slices(batch, 2):
                 data, offsets = raw(piece.column(2))
                 begin, end, bounds = words(data, offsets, NOT_SPACE)
                 h = word_hashes(data, begin, end)

@@ -97,7 +97,7 @@ def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 19):
     """Cut a batch by rows so that each piece has about ``most_bytes`` of text (one row at least)."""
     col = batch.column(column)
     if not batch.num_rows:

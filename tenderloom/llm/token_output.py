@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [size]}, schema)
 
         for batch in batches:
-            for piece in slices(batch, 1, 2 << 20):
+            for piece in slices(batch, 1, 1 << 20):
                 for key, ids in zip(piece.column(0).to_pylist(), coder.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
                     keys.append(key)
                     held.append(ids + end)
