@@ -26,6 +26,21 @@ def test_encoders_agree_with_the_library():
     assert [x is not None for x in lexicon.find([b"the", b"math", b"mat", b"", b"q"])] == [True, True, False, False, False]
 
 
+def test_encode_then_decode(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    rows = [(i, x) for i, x in enumerate(ODD)] + [(90, None), (None, "a b"), (0, ODD[0])]
+    docs = spark.createDataFrame(rows, DOCS)
+    name = bpe.build_lexicon(docs, PATH, most=5)
+    apart = bpe.decode(bpe.encode(docs, PATH, name), PATH).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert sorted(map(tuple, apart), key=str) == sorted(map(tuple, bpe.round_trip(docs, PATH, name).collect()), key=str)
+    want = {i: library.decode(library.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, x in rows}
+    assert all(r.text == want[r.doc_id] for r in sorted(apart, key=key)) and len(apart) == len(rows)
+    assert bpe.encode_digests(docs.limit(0), PATH).count() == 0
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, most in ((1, 0), (5, 0), (300, 10), (1000, 10**9), (200, 255)):
