@@ -188,3 +188,22 @@ def test_upsert_is_idempotent(spark):
     once = K.upsert(empty, batch, ["k"], ["v", "n"], ["n"], now).drop("change")
     again = K.upsert(once, batch, ["k"], ["v", "n"], ["n"], now)
     assert {(r.k, r.v, r.embedding_status, r.change) for r in again.collect()} == {(1, 11, "pending", "updated"), (2, 20, "pending", "updated")}
+
+
+def test_latest_and_profiles(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, None)], "k int, at int, note string")
+    assert {(r.k, r.at, r.note) for r in K.latest(rows, "k", "at").collect()} == {(1, 7, "b"), (2, 1, None)}
+    current = spark.createDataFrame([(1, "x", "ready"), (2, "y", "ready")], "tenant_id int, one_liner string, embedding_status string")
+    new = spark.createDataFrame([(1, "z")], "tenant_id int, one_liner string")
+    assert {tuple(r) for r in K.save_profile(current, new).collect()} == {(1, "z", "pending"), (2, "y", "ready")}
+
+
+def test_rows_of_a_listing(spark):
+    rows = spark.createDataFrame([("Supply of pipes", "Open"), ("Tender title", None), ("Home", "open"), ("Old road works", "closed"), ("Bridge repair", None)], "title string, status string")
+    assert {r.title for r in H.listing_rows(rows).collect()} == {"Supply of pipes", "Bridge repair"}
+
+
+def test_sources(spark):
+    catalog = spark.createDataFrame([("a", "available", None), ("b", "available", "no key"), ("c", "planned", None)], "source string, availability string, unavailable_reason string")
+    assert {r.source for r in K.select_sources(catalog, " b, x,b ").collect()} == {"b"} and K.select_sources(catalog, "").count() == 3
+    assert {r.source for r in K.enabled_sources(catalog).collect()} == {"a"}
