@@ -24,8 +24,8 @@ def dense_topk(profiles: DataFrame, tenders: DataFrame, k: int = 60, block: int
     """(tenant_id, tender_id, distance, pos): the k nearest tenders of each profile by cosine distance, exactly.
 
     profiles: (tenant_id, embedding), tenders: (tender_id, embedding); null vectors take no part, a zero vector has
-    cosine 0. Profiles are broadcast in blocks of fixed size; each Arrow batch of tenders is one matrix product
-    and yields at most k rows per profile, so that only those are shuffled.
+    cosine 0; cosines count to 12 places. Profiles are broadcast in blocks of fixed size; each Arrow batch of tenders is
+    one matrix product, and a task yields at most k rows per profile, so that only those are shuffled.
     """
     queries = profiles.where("embedding is not null").select("tenant_id", "embedding")
     found, sc = None, tenders.sparkSession.sparkContext
@@ -33,19 +33,21 @@ def dense_topk(profiles: DataFrame, tenders: DataFrame, k: int = 60, block: int
     def scored(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tenants, unit = shared.value
+            at, ids, cosine = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = _matrix(batch.column(1))
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.clip(unit @ x.T, -1, 1)
+                s = np.round(np.clip(unit @ x.T, -1, 1), 12)
                 n = min(k, s.shape[1])
-                ids = batch.column(0).to_numpy()
-                # of equal distances the lesser id: order by id first, then stably by distance
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :n]]
-                rows = np.repeat(np.arange(len(tenants)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(tenants[rows]), pa.array(ids[best.ravel()]), pa.array(1 - s[rows, best.ravel()])], ["tenant_id", "tender_id", "distance"])
+                i, j = np.nonzero(s >= np.partition(s, s.shape[1] - n, axis=1)[:, -n, None])
+                at, ids, cosine = np.concatenate([at, i]), np.concatenate([ids, batch.column(0).to_numpy()[j]]), np.concatenate([cosine, s[i, j]])
+                # the best so far of each profile; of equal distances the lesser id
+                order = np.lexsort((ids, -cosine, at))
+                order = order[np.arange(len(at)) - np.searchsorted(at[order], at[order]) < k]
+                at, ids, cosine = at[order], ids[order], cosine[order]
+            yield pa.RecordBatch.from_arrays([pa.array(tenants[at]), pa.array(ids), pa.array(1 - cosine)], ["tenant_id", "tender_id", "distance"])
 
         return run
 

@@ -183,6 +183,51 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tenant_id", "tender_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"), F.round("dense_similarity", 6).alias("dense_similarity"), F.round("text_rank", 6).alias("text_rank"), F.array_join("sources", "+").alias("sources"))
 
 
+# The same searches with a query side that grows with the tables: every row whose id is divisible by 20, all words, against
+# all rows (a vector meets itself too). DuckDB would need hours on the larger tables, so there is no SQL.
+
+def _all_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = B.table(spark, d, "embeddings")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tenant_id"), "embedding"), e.select(F.col("vec_id").alias("tender_id"), "embedding")
+
+
+def _all_words(spark: SparkSession, d: str) -> DataFrame:
+    b = B.table(spark, d, "benchmark").where("item_id % 20 = 0")
+    return b.select(F.col("item_id").alias("tenant_id"), T.word_splits(F.col("text")).alias("words"))
+
+
+def _all_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _all_words(spark, d).select("tenant_id", F.explode("words").alias("term"))
+
+
+def _ranked_texts(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
+    return Q.text_topk(terms, _tender_texts(spark, d), {"title": "A", "description": "D"})
+
+
+@query()
+def dense_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return Q.dense_topk(*_all_vectors(spark, d)).withColumn("distance", F.round("distance", 6)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def text_topk_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_texts(spark, d, _all_terms(spark, d)).withColumn("rank", F.round("rank", 6)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def text_topk_phrase_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of three words of an item is a phrase; an item of fewer words is one."""
+    at = F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1)))
+    phrases = _all_words(spark, d).select("tenant_id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("words", i, 3), " "))).alias("term"))
+    return _ranked_texts(spark, d, phrases).withColumn("rank", F.round("rank", 6)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def rrf_fuse_all(spark: SparkSession, d: str) -> DataFrame:
+    out = Q.rrf_fuse(Q.dense_topk(*_all_vectors(spark, d)), _ranked_texts(spark, d, _all_terms(spark, d)))
+    return out.select("tenant_id", "tender_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"), F.round("dense_similarity", 6).alias("dense_similarity"), F.round("text_rank", 6).alias("text_rank"), F.array_join("sources", "+").alias("sources"))
+
+
 @query("""WITH w AS (SELECT label, vec_id % 7 AS w, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT label, w, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS i FROM w),
 s AS (SELECT label, i, sum(v * w) / sum(w) AS v FROM x GROUP BY 1, 2) SELECT label, CAST(i AS INT) AS i, round(v, 6) + 0.0 AS v FROM s""")
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
