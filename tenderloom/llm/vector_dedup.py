@@ -2,7 +2,8 @@
 
 Vectors of one label (and length) are dealt into overlapping shards around pivots: each goes to its nearest pivot
 (its home) and to every pivot whose bisecting plane it is near. Each shard builds a pruned neighbour graph; the
-adjacency lists of a vector from all its shards are united. Each home shard then searches all its own vectors at once:
+adjacency lists of a vector from all its shards are united. A shard that cannot be dealt smaller (many near copies)
+is compared by brute force instead, block by block across tasks. Each home shard then searches all its own vectors at once:
 greedily from the medoid, then expanding through everything within range. Hits are exact cosines in double precision.
 A brute-force audit of a bounded query sample measures recall; below the target the overlap is doubled and the search repeated.
 """
@@ -129,14 +130,17 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, levels: int = 6) -> DataFrame:
-    """(shard, id, v, copies, home): overlapping shards of about ``shard_rows`` vectors.
+def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, levels: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Two tables of (shard, id, v, copies, home): overlapping shards of at most ``shard_rows`` vectors, and those of
+    more that dealing does not make smaller.
 
-    A shard that is too large is dealt again around pivots of its own (its lowest hashes, ``pivots`` at most), as long
-    as that makes it smaller, ``levels`` times at most; pivots are joined by shard, and the largest collected figure
-    is one boolean per level.
+    A shard that is too large is dealt again around pivots of its own (its lowest hashes, ``pivots`` at most), ``levels``
+    times at most. A deal counts only where it halves the pairs (the sum of the squared sizes); else the shard stays whole, as a
+    group of near copies does, which lie within the margin of every pivot. Pivots are joined by shard, and the largest
+    collected figure is one boolean per level.
     """
     dealt = classes.select(F.xxhash64("label", F.size("v")).alias("shard"), "id", "v", "copies", F.lit(True).alias("home"))
+    whole = dealt.limit(0)
     for level in range(levels):
         sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
         large = stored(sizes.where(F.col("n") > shard_rows), "large")
@@ -163,12 +167,53 @@ def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, l
                     i, k = np.nonzero(gap <= margin)
                     key = np.array([hash((int(shard[at]), level, int(j))) for j in range(len(p))], np.int64)[k]
                     home = part.column(5).to_numpy(zero_copy_only=False)[i] & (best[i] == k)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(pa.array(i)), part.column(2).take(pa.array(i)), part.column(3).take(pa.array(i)), pa.array(home)], ["shard", "id", "v", "copies", "home"])
-
-        small = dealt.join(large, "shard", "left_anti")
-        again = dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home").mapInArrow(split, "shard long, id long, v array<float>, copies long, home boolean")
-        dealt = stored(small.unionByName(again), "shards")
-    return dealt
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), shard[at])), pa.array(key), part.column(1).take(pa.array(i)), part.column(2).take(pa.array(i)), part.column(3).take(pa.array(i)), pa.array(home)], ["parent", "shard", "id", "v", "copies", "home"])
+
+        again = dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home").mapInArrow(split, "parent long, shard long, id long, v array<float>, copies long, home boolean")
+        again = stored(again, "split")
+        pairs = again.groupBy("parent", "shard").agg(F.count("*").alias("m")).groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+        less = large.join(pairs, F.col("shard") == F.col("parent")).where(2 * F.col("pairs") <= F.col("n").cast("double") * F.col("n")).select("parent")
+        less = stored(less, "less")
+        as_before = large.join(less, F.col("shard") == F.col("parent"), "left_anti").select("shard")
+        whole = whole.unionByName(dealt.join(as_before, "shard", "left_semi"))
+        dealt = dealt.join(large, "shard", "left_anti").unionByName(again.join(less, "parent", "left_semi").drop("parent"))
+        dealt = stored(dealt, "shards")
+    else:
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+        large = stored(sizes.where(F.col("n") > shard_rows).select("shard"), "large")
+        whole = whole.unionByName(dealt.join(large, "shard", "left_semi"))
+        dealt = dealt.join(large, "shard", "left_anti")
+    return dealt, stored(whole, "whole")
+
+
+def _in_blocks(whole: DataFrame, low: float, block: int) -> DataFrame:
+    """Rows as of ``_search`` for shards of any size, by brute force: salted blocks of the vectors at home there against blocks
+    of all vectors. A vector's links come in one row for each block that it meets."""
+    n = whole.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    salted = whole.join(n, "shard").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    queries = salted.where("home").select("shard", F.col("own").alias("q"), every.alias("h"), "id", "v", "copies")
+    others = salted.select("shard", every.alias("q"), F.col("own").alias("h"), "id", "v", "copies")
+    others = others.toDF(*others.columns)  # columns of their own for the cogroup
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({k: pa.array([], pa.int64()) for k in ("id", "root", "links")})
+        ids, places = np.unique(np.concatenate([a.column("id").to_numpy(), b.column("id").to_numpy()]), return_inverse=True)
+        at, to, x, y, copies = places[: len(a)], places[len(a) :], _matrix(a.column("v")), _matrix(b.column("v")), b.column("copies").to_numpy()
+        links, root = np.zeros(len(a), np.int64), np.arange(len(ids))
+        for k in range(0, len(a), 256):
+            i, j = np.nonzero(x[k : k + 256] @ y.T >= low)
+            apart = at[k + i] != to[j]
+            i, j = k + i[apart], j[apart]
+            links += np.bincount(i, weights=copies[j], minlength=len(a)).astype(np.int64)
+            root = _roots(len(ids), np.concatenate([at[i], np.arange(len(ids))]), np.concatenate([to[j], root]))
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        tied = tied[~np.isin(tied, at)]
+        none = pa.nulls(len(tied), pa.int64())
+        return pa.table({"id": np.concatenate([ids[at], ids[tied]]), "root": np.concatenate([ids[root[at]], ids[root[tied]]]), "links": pa.concat_arrays([pa.array(links), none])})
+
+    return queries.groupBy("shard", "q", "h").cogroup(others.groupBy("shard", "q", "h")).applyInArrow(compare, "id long, root long, links long")
 
 
 def _search(shards: DataFrame, low: float) -> DataFrame:
@@ -251,8 +296,9 @@ def near_duplicates(vectors: DataFrame, low: float = 0.98, margin: float = 0.1,
     v = v.withColumn("good", F.coalesce(good, F.lit(False)))
     classes = stored(v.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")), "classes")
     while True:
-        found = stored(_search(deal(classes, margin, shard_rows), low), "found")
-        homes = found.where("links is not null")
+        shards, whole = deal(classes, margin, shard_rows)
+        found = stored(_search(shards, low).unionByName(_in_blocks(whole, low, shard_rows)), "found")
+        homes = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
         if margin >= 1.5 or audit(classes, homes, low) >= target:
             break
         margin *= 2
