@@ -5,7 +5,8 @@ Vectors of one label (and length) are dealt into overlapping shards around pivot
 adjacency lists of a vector from all its shards are united. A shard that cannot be dealt smaller (many near copies)
 is compared by brute force instead, block by block across tasks. Each home shard then searches all its own vectors at once:
 greedily from the medoid, then expanding through everything within range. Hits are exact cosines in double precision.
-A brute-force audit of a bounded query sample measures recall; below the target the overlap is doubled and the search repeated.
+The overlap is the distance of two vectors at the threshold, so dealing loses no pair. In each shard a sixteenth of the home vectors
+(all of them in small shards) is audited by brute force; a shard that has lost a link of theirs is compared by brute force as a whole.
 """
 
 from __future__ import annotations
@@ -130,6 +131,26 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def all_pairs(x: np.ndarray, queries: np.ndarray, low: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs as of ``range_search`` by brute force, some queries at a time."""
+    for k in range(0, len(queries), block):
+        q = queries[k : k + block]
+        i, h = np.nonzero(x[q] @ x.T >= low)
+        apart = q[i] != h
+        yield q[i[apart]], h[apart]
+
+
+def lost(x: np.ndarray, homes: np.ndarray, ids: np.ndarray, n: np.ndarray, low: float) -> bool:
+    """Whether an audited home vector has more true links than the ``n`` found: those of a sixteenth of the ids by hash,
+    or all in shards of up to 512 vectors."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+    audited = homes[(mixed[homes] == 0) | (len(ids) <= 512)]
+    true = np.zeros(len(ids), np.int64)
+    for q, _ in all_pairs(x, audited, low):
+        true += np.bincount(q, minlength=len(ids))
+    return bool((true > n)[audited].any())
+
+
 def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, levels: int = 6) -> tuple[DataFrame, DataFrame]:
     """Two tables of (shard, id, v, copies, home): overlapping shards of at most ``shard_rows`` vectors, and those of
     more that dealing does not make smaller.
@@ -241,12 +262,23 @@ def _search(shards: DataFrame, low: float) -> DataFrame:
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         graph = np.full((len(ids), int(place.max()) + 1 if len(place) else 1), -1)
         graph[owner, place] = to
-        q, h = range_search(_matrix(t.column("v")), graph, np.flatnonzero(home), low)
-        links = np.bincount(q, weights=copies[h], minlength=len(ids)).astype(np.int64)
+        x, homes = _matrix(t.column("v")), np.flatnonzero(home)
         # places in order of ids, so that the least place is the least id
         rank = np.empty(len(ids), int)
         rank[order] = np.arange(len(ids))
-        root = ids[order][_roots(len(ids), rank[q], rank[h])][rank]
+
+        def gather(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            links, n, root = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for q, h in pairs:
+                links += np.bincount(q, weights=copies[h], minlength=len(ids)).astype(np.int64)
+                n += np.bincount(q, minlength=len(ids))
+                root = _roots(len(ids), np.concatenate([rank[q], np.arange(len(ids))]), np.concatenate([rank[h], root]))
+            return links, n, root
+
+        links, n, root = gather(range_search(x, graph, homes[k : k + 512], low) for k in range(0, len(homes), 512))
+        if lost(x, homes, ids, n, low):
+            links, _, root = gather(all_pairs(x, homes, low))
+        root = ids[order][root][rank]
         out = home | (root != ids)
         return pa.table({"id": ids[out], "root": root[out], "links": pa.array(links[out], mask=~home[out])})
 
@@ -254,54 +286,25 @@ def _search(shards: DataFrame, low: float) -> DataFrame:
     return both.groupBy("shard").applyInArrow(search, "id long, root long, links long")
 
 
-def audit(classes: DataFrame, found: DataFrame, low: float, queries: int = 256) -> float:
-    """Share of the true links of ``queries`` vectors (lowest hashes) that ``found`` (id, links) counts, by brute force:
-    the bounded query set is broadcast, and every vector is compared with it in blocks."""
-    chosen = classes.select("id", "label", "v").orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(queries).collect()
-    groups: dict[tuple, tuple[list, list]] = {}
-    for r in chosen:
-        ids, vectors = groups.setdefault((r["label"], len(r["v"])), ([], []))
-        ids.append(r["id"])
-        vectors.append(r["v"])
-    units = {k: (np.array(i), np.array(v, float) / np.linalg.norm(np.array(v, float), axis=1, keepdims=True)) for k, (i, v) in groups.items()}
-    shared = classes.sparkSession.sparkContext.broadcast(units)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, size = batch.column(1).to_numpy(), batch.column(2).value_lengths().to_numpy()
-            for (name, length), (ids, q) in shared.value.items():
-                rows = np.flatnonzero((label == name) & (size == length))
-                if len(rows):
-                    part = batch.take(pa.array(rows))
-                    hit = (_matrix(part.column(2)) @ q.T >= low) & (part.column(0).to_numpy()[:, None] != ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part.column(3).to_numpy() @ hit)], ["id", "n"])
-
-    true = classes.select("id", "label", "v", "copies").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    r = true.join(found.select("id", "links"), "id").agg(F.sum("n").alias("n"), F.sum(F.least("n", "links")).alias("hit")).first()
-    return 1.0 if not r["n"] else r["hit"] / r["n"]
-
-
-def near_duplicates(vectors: DataFrame, low: float = 0.98, margin: float = 0.1, shard_rows: int = 4096, target: float = 0.98) -> DataFrame:
+def near_duplicates(vectors: DataFrame, low: float = 0.98, margin: float | None = None, shard_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
     Vectors of one label are linked when their cosine is at least ``low``. A null label, a null, empty or zero vector
     and one with null or non-finite components is linked with nothing. Equal vectors of a label are one class in the search, and count as
     linked with each other. Rows that repeat a vec_id repeat its answer; a null vec_id is dropped; vectors of different
-    lengths are never linked; other columns are not read; an empty table gives an empty result.
+    lengths are never linked; other columns are not read; an empty table gives an empty result. ``margin``, the overlap of
+    shards, is by default the distance of unit vectors at cosine ``low``: with less, links across borders are lost.
     """
+    margin = (2 - 2 * low) ** 0.5 + 1e-6 if margin is None else margin
     v = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("long"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("v", lambda x: x != 0)
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True))
     v = v.withColumn("good", F.coalesce(good, F.lit(False)))
     classes = stored(v.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")), "classes")
-    while True:
-        shards, whole = deal(classes, margin, shard_rows)
-        found = stored(_search(shards, low).unionByName(_in_blocks(whole, low, shard_rows)), "found")
-        homes = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-        if margin >= 1.5 or audit(classes, homes, low) >= target:
-            break
-        margin *= 2
+    shards, whole = deal(classes, margin, shard_rows)
+    found = stored(_search(shards, low).unionByName(_in_blocks(whole, low, shard_rows)), "found")
+    homes = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_class = classes.select("label", "v", "id", "copies").join(homes.select("id", "links"), "id").join(components.withColumnRenamed("component_id", "c"), "id", "left")
     by_class = by_class.select("label", "v", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "id").alias("component_id"))

@@ -36,3 +36,22 @@ def test_more_near_copies_than_a_shard_holds(spark):
     x = np.ones((4300, 16)) + r.normal(scale=0.01, size=(4300, 16))
     got = vector_dedup.near_duplicates(_table(spark, x)).groupBy("n_links", "component_id").count().collect()
     assert [tuple(r) for r in got] == [(4299, 0, 4300)]
+
+
+def test_links_across_borders(spark):
+    r = np.random.default_rng(10)
+    base = r.normal(size=(300, 4))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    x = np.concatenate([base, base + 0.19 * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(_table(spark, x), shard_rows=150).collect()}
+    assert got == _truth(x)
+
+
+def test_a_lost_link_is_seen():
+    x = np.ones((6, 4)) + np.eye(6, 4) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    full = np.full(6, 5)
+    assert not vector_dedup.lost(x, np.arange(6), np.arange(6), full, 0.98)
+    assert vector_dedup.lost(x, np.arange(6), np.arange(6), full - np.eye(6, dtype=int)[2], 0.98)
