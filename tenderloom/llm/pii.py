@@ -53,6 +53,15 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def mod97(code: Column) -> Column:
+    """Whether an account code passes its check: the first four characters last, letters as 10 to 35, remainder 1 by 97."""
+    x = F.regexp_replace(code, " ", "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda r, c: ((r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int")
+    rest = F.aggregate(F.split(F.concat(F.substring(x, 5, 40), F.substring(x, 1, 4)), ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c)))
+    return F.when(x.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}$"), rest == 1).otherwise(False)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -67,7 +76,7 @@ def _rule(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-FEATURES = ("chars", "digits", "letters", "separators", "groups", "plus", "at", "dots", "capitals", "luhn", "octets", "cue", "edge", "generator")
+FEATURES = ("chars", "digits", "letters", "separators", "groups", "plus", "at", "dots", "capitals", "luhn", "octets", "cue", "edge", "generator", "mod97")
 
 
 def _features(m: Column, before: Column, after: Column, generator: int) -> list[Column]:
@@ -77,7 +86,7 @@ def _features(m: Column, before: Column, after: Column, generator: int) -> list[
     passes = F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)
     return [x.cast("double") for x in (
         F.length(m), F.length(d), count("[A-Za-z]"), count("[ ()/-]"), F.size(F.split(m, "[^0-9A-Za-z]+")), m.startswith("+"), count("@"), count(r"\."), count("[A-Z]"),
-        passes, m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), before.rlike(_CUE), after.rlike("^[^0-9A-Za-z]?$") & ~before.rlike("[0-9]$"), F.lit(generator),
+        passes, m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), before.rlike(_CUE), after.rlike("^[^0-9A-Za-z]?$") & ~before.rlike("[0-9]$"), F.lit(generator), mod97(m),
     )]
 
 
@@ -131,8 +140,38 @@ class SpanModel:
         return cls([(float(w), read(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)], threshold)
 
 
+def _rewritten(kind: Column, m: Column) -> Column:
+    """Array of (v, label): a rule's finding in forms outside the rules, and clean spans made of its characters."""
+    d = F.rpad(_digits(F.concat(m, F.abs(F.xxhash64(m)).cast("string"))), 18, "7")
+    part = lambda a, n: F.substring(d, a, n)
+    account = lambda check: F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), *[x for i in (1, 5, 9, 13) for x in (F.lit(" "), part(i, 4))], F.lit(" "), part(17, 2))
+    check = F.lit(98) - (F.concat(d, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int")
+    two = lambda a, most: F.lpad((part(a, 2).cast("int") % most + 1).cast("string"), 2, "0")
+    spell = lambda at, dot: F.replace(F.replace(m, F.lit("@"), F.lit(at)), F.lit("."), F.lit(dot))
+    last = F.substring(F.lpad(_digits(m), 10, "5"), -10, 10)
+    yes, no = (lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("label"))), (lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("label")))
+    local = [F.concat(F.lit("("), F.substring(last, 1, 3), F.lit(") "), F.substring(last, 4, 3), F.lit("-"), F.substring(last, 7, 4)), F.concat(F.lit("0"), F.substring(last, 1, 3), F.lit(" "), F.substring(last, 4, 7)), F.concat(F.substring(last, 1, 3), F.lit("-"), F.substring(last, 4, 3), F.lit("-"), F.substring(last, 7, 4))]
+    date = F.concat(F.lit("20"), part(1, 2), F.lit("-"), two(3, 12), F.lit("-"), two(5, 28))
+    plain = [date, F.concat(part(1, 2), F.lit(" "), part(3, 3), F.lit("."), part(6, 2)), F.concat(part(1, 4), F.lit("/"), part(5, 5)), F.concat(two(5, 28), F.lit("."), two(3, 12), F.lit(".20"), part(1, 2)), part(1, 8), account(check % 97 + 1)]
+    mail = F.array(yes(spell(" (at) ", " (dot) ")), yes(spell(" [at] ", " [dot] ")), yes(spell(" @ ", " . ")))
+    forms = F.when(kind == KINDS.index("email"), mail).when(kind == KINDS.index("phone"), F.array(*map(yes, local))).otherwise(F.array().cast("array<struct<v:string,label:double>>"))
+    return F.concat(forms, F.array(yes(account(check)), *map(no, plain)))
+
+
+def training_spans(docs: DataFrame, max_spans: int) -> DataFrame:
+    """(f, label, h): candidates of rule findings rewritten into other formats (1) and of clean spans (0), in the findings'
+    own context; h is the finding's hash. What no rule covers in the documents is not labelled."""
+    found = candidates(docs).select("doc_id", "text", F.explode("base").alias("b")).withColumn("h", F.xxhash64("doc_id", "b.s", "b.e"))
+    text, s = F.col("text"), F.col("b.s")
+    found = found.select("doc_id", "h", F.col("b.kind").alias("kind"), F.substring(text, s + 1, F.col("b.e") - s).alias("m"), F.substring(text, F.greatest(s - _BEFORE + 1, F.lit(1)), F.least(s, F.lit(_BEFORE))).alias("before"), F.substring(text, F.col("b.e") + 1, F.lit(1)).alias("after"))
+    found = stored(found.orderBy("h", "m").limit(max_spans), "pii-findings").repartition(4)
+    made = found.select("doc_id", "h", "before", "after", F.explode(_rewritten(F.col("kind"), F.col("m"))).alias("x"))
+    made = made.select("doc_id", "h", F.length("before").alias("a"), (F.length("before") + F.length("x.v")).alias("z"), F.col("x.label").alias("label"), F.concat("before", "x.v", "after").alias("text"))
+    return candidates(made).select("h", "a", "z", "label", F.explode("open").alias("o")).where("not o.labelled and o.s < z and a < o.e").select("o.f", "label", "h")
+
+
 def fit(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 2000, least: int = 20, precision: float = 0.95) -> SpanModel | None:
-    """Train on candidates of the ``max_docs`` documents whose doc_id hashes lowest, ``max_spans`` of either label at most.
+    """Train on rewritten findings of the ``max_docs`` documents whose doc_id hashes lowest, ``max_spans`` of either label at most.
 
     A third of them, by hash, calibrates: the threshold is the lowest margin above which the share of labelled held-out
     candidates is ``precision``, and 0 (even odds) at least. With fewer than ``least`` candidates of a label there is no
@@ -140,9 +179,7 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 2000, least: i
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = candidates(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).select("doc_id", F.explode("open").alias("x"))
-    rows = rows.select("x.f", F.col("x.labelled").cast("double").alias("label"), F.xxhash64("doc_id", "x.s", "x.e").alias("h"))
-    rows = stored(rows, "pii-candidates")
+    rows = stored(training_spans(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), max_spans), "pii-candidates")
     rows = rows.where("label = 1").orderBy("h").limit(max_spans).unionByName(rows.where("label = 0").orderBy("h").limit(max_spans))
     rows = stored(rows.coalesce(2), "pii-sample")
     sizes = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", (F.pmod("h", F.lit(3)) == 0).alias("held")).count().collect()}
