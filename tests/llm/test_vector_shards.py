@@ -44,8 +44,9 @@ def test_links_across_borders(spark):
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     side = r.normal(size=base.shape)
     side -= (side * base).sum(axis=1, keepdims=True) * base
-    x = np.concatenate([base, base + 0.19 * side / np.linalg.norm(side, axis=1, keepdims=True)])
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(_table(spark, x), shard_rows=150).collect()}
+    near = base[:1] + r.normal(scale=0.005, size=(150, 4))  # many links, among which lost ones are few
+    x = np.concatenate([base, base + 0.19 * side / np.linalg.norm(side, axis=1, keepdims=True), near])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(_table(spark, x), shard_rows=250).collect()}
     assert got == _truth(x)
 
 
