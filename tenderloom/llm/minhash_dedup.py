@@ -3,16 +3,19 @@
 Two collections of ``side`` small hashes each are made, every small hash from ``rows`` minhashes.
 A table key is a pair of one small hash of either collection: side * side tables from
 2 * side * rows minhashes, where plain banding with keys of the same length would take
-side * side * 2 * rows of them. With side 8 and rows 2, two sets of similarity 0.75 share
-at least one table with probability (1 - (1 - 0.75^2)^8)^2 = 0.997, of 0.85 with 0.99997.
-
-Only connectivity is asked for. Documents of one shingle set are one class. First each table key compares its
-members with one of them; keys whose members are then one component are settled, however large (a group of near copies
-never becomes pairs). In the other keys, members of different components and of like size (a band join: sets whose
-sizes differ by more than the bound cannot be similar) are held against each other by a sketch of 256 one-bit bins,
-inside the join; it rules out pairs whose similarity is far (over five standard deviations) below the bound. What
-is left is confirmed on the full sets. A passage in very many documents makes such keys long: that comparing
-is the one step whose work grows faster than the input.
+side * side * 2 * rows of them. With side 10 and rows 2, two sets of similarity 0.75 share
+at least one table with probability (1 - (1 - 0.75^2)^10)^2 = 0.9995.
+
+Only connectivity is asked for, so no group becomes pairs. Documents of one shingle set are one class.
+
+1. Every table key compares its members with one of them, picked by hash of key and class, so that a class meets other
+   centres in each of its keys. A sketch of 256 one-bit bins leaves out pairs that are probably far apart: it only
+   saves work here. Keys whose members are then one component are settled.
+2. What is in other keys is told apart by rare shingles. Shingles are ordered by their count over those classes, rarest
+   first. Two sets of the similarity share one of their first n - ceil(0.75 n) + 1, and at the first one that they
+   share, what is left in both must still be enough: exact for every pair, and a passage in very many documents comes
+   last in the order. Again each shingle first compares its members with one of them; where components are left apart,
+   all members of different components that pass the bounds are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -88,34 +91,47 @@ def far_apart(a: str, b: str, percent: int):
     return both - 2 * differ < F.lit(percent / 100) * either - F.lit(3.2) * F.sqrt(either)
 
 
-def signatures(docs: DataFrame, side: int = 8, rows: int = 2) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit hash of the whole set), small (2 * side hashes), sketch per row."""
+def signatures(docs: DataFrame, side: int, rows: int) -> DataFrame:
+    """doc_id, fp (hash of the text), n_shingles, set_a, set_b (a 128-bit hash of the whole set), small (2 * side hashes),
+    sketch per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1):
-                sets, bounds = shingle_sets(piece.column(1))
-                total = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mix(sets), mix(sets ^ np.uint64(0x5851F42D4C957F2D)))]
-                columns = [piece.column(0), pa.array(np.diff(bounds)), *[pa.array((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64)) for t in total]]
+            for piece in slices(batch, 2):
+                sets, bounds = shingle_sets(piece.column(2))
+                columns = [*piece.columns[:2], pa.array(np.diff(bounds)), *map(pa.array, set_hashes(sets, bounds))]
                 for x in (small_hashes(sets, bounds, side, rows), sketches(sets, bounds)):
                     ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x).ravel().view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "small", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_shingles", "set_a", "set_b", "small", "sketch"])
 
-    kind = "doc_id long, n_shingles long, set_a long, set_b long, small array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
+    kind = "doc_id long, fp long, n_shingles long, set_a long, set_b long, small array<long>, sketch array<long>"
+    return _with_fp(docs).mapInArrow(run, kind)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (all distinct shingle hashes)."""
+def _with_fp(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("fp"), text.alias("text"))
+
+
+def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Both halves of a 128-bit hash of each whole set."""
+    total = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mix(sets), mix(sets ^ np.uint64(0x5851F42D4C957F2D)))]
+    return [(t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total]
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """id, n, shingles (all distinct shingle hashes) of rows of (id, set_a, set_b, text); one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1):
-                sets, bounds = shingle_sets(piece.column(1))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "shingles"])
+            for piece in slices(batch, 3):
+                sets, bounds = shingle_sets(piece.column(3))
+                found = pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "n", "shingles"])
+                same = [x == piece.column(1 + k).to_numpy() for k, x in enumerate(set_hashes(sets, bounds))]
+                yield found.filter(pa.array(same[0] & same[1]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.select("id", "set_a", "set_b", "text").mapInArrow(run, "id long, n long, shingles array<long>").dropDuplicates(["id"])
 
 
 def _keys(classes: DataFrame, side: int) -> DataFrame:
@@ -134,70 +150,102 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return at.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 8, rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 10, rows: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     A document's set is its distinct 5-word shingles (white-space words, A-Z lower-cased); of fewer
     words, the whole sequence. Null, empty and blank texts have an empty set and are linked with nothing: each is
     its own component and kept. Documents of equal sets are one component (ties: the least doc_id
-    stays); rows that repeat a doc_id are reported as often as they come. A null doc_id is dropped, as it
-    names no document. An empty table gives an empty result; further columns are not read.
+    stays). Rows that repeat a doc_id are reported as often as they come, each by its own text. A row with a null
+    doc_id is linked with nothing; its component is null, and it is kept. An empty table gives an empty result; further
+    columns are not read.
     """
-    signed = stored(signatures(docs.where("doc_id is not null"), side, rows), "signatures")
+    return _by_row(docs, percent, side, rows).drop("fp")
+
+
+def _by_row(docs: DataFrame, percent: int, side: int, rows: int) -> DataFrame:
+    """The rows of near_duplicates() with fp, the hash of their text."""
+    signed = stored(signatures(docs, side, rows), "signatures")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     group = ["set_a", "set_b", "n_shingles"]
-    full = signed.where("n_shingles > 0")
-    classes = stored(full.groupBy(*group).agg(F.min("doc_id").alias("id"), F.first("small").alias("small"), F.first("sketch").alias("sketch")).withColumnRenamed("n_shingles", "n"), "classes")
+    classes = full.groupBy(*group).agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.first("small").alias("small"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select(*group, "first.*", "small", "sketch", F.col("n_shingles").alias("n"), F.monotonically_increasing_id().alias("id")), "classes")
     open_keys = stored(_keys(classes, side), "keys")
-    links = None
+    named = classes.select(*group, "id", F.col("doc_id").alias("component_id"))
     if not open_keys.isEmpty():
-        wanted = open_keys.select("id").distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-        sets = stored(full_sets(texts).withColumnRenamed("doc_id", "id"), "sets")
-        links = _link(open_keys, classes, sets, percent)
-    of_class = classes.select(*[F.col({"n_shingles": "n"}.get(c, c)).alias(c) for c in group], "id")
-    if links is not None:
-        of_class = of_class.join(links, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    else:
-        of_class = of_class.withColumn("component_id", F.col("id"))
-    found = full.select("doc_id", *group).join(of_class.select(*group, "component_id"), group)
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _link(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (id, component_id) of all classes that the keys bring together and full sets confirm."""
+        components = _link(open_keys, classes, docs, percent)
+        least = components.join(classes.select("id", "doc_id"), "id").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        linked = components.join(least, "c").select("id", F.col("component_id").alias("least"))
+        named = named.join(linked, "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    found = full.select("doc_id", "fp", *group).join(named.select(*group, "component_id"), group).select("doc_id", "fp", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "fp", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components (id, c) after confirming pairs (a, b); only components that new links join are merged."""
+    links = stored(_confirmed(pairs, sets, percent), "links")
+    if links.isEmpty():
+        return of
+    a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    joined = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = connected_components(joined).withColumnRenamed("id", "c")
+    return stored(of.join(roots, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
+
+
+def _apart(rows: DataFrame, by: str, of: DataFrame) -> DataFrame:
+    """The rows, with their components, of values of ``by`` that still hold two components."""
+    here = rows.join(of, "id")
+    held = here.groupBy(by).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select(by)
+    return here.join(held, by, "left_semi")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, n, rest): each set's shingles, rarest first, that a second set holds and by which a similar
+    set must be met; rest: how many the set has from there on."""
+    every = sets.select("id", "n", F.explode("shingles").alias("shingle"))
+    often = every.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = every.join(often, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("x"))
+    # shingles of one set alone come first in the order: they take places, but meet nothing
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("x"))
+    head = shared.where(room > 0).select("id", "n", F.size("x").alias("size"), F.posexplode(F.slice("x", F.lit(1), room.cast("int"))).alias("at", "s"))
+    return head.select(F.col("s.shingle").alias("shingle"), "id", "n", (F.col("size") - F.col("at")).alias("rest"))
+
+
+def _link(keys: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Components (id, c) of all classes that the keys bring together and full sets confirm."""
     like = f"100 * least(n, an) >= {percent} * greatest(n, an)"
-    about = classes.select("id", "n", "sketch")
+    wanted = keys.select("id").distinct().join(classes.select("id", "set_a", "set_b", "doc_id", "fp"), "id")
+    texts = _with_fp(docs).join(wanted, ["doc_id", "fp"])
+    sets = stored(full_sets(texts), "sets")
     of = stored(sets.select("id", F.col("id").alias("c")), "components")
 
-    def merged(of: DataFrame, met: DataFrame) -> DataFrame:
-        """Components after confirming the pairs of rows in ``met``."""
-        near = met.where(~far_apart("sketch", "asketch", percent))
-        pairs = near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = stored(_confirmed(pairs, sets, percent), "links")
-        if links.isEmpty():
-            return of
-        # only components that new links join are merged: their graph shrinks from step to step
-        a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-        joined = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = connected_components(joined).withColumnRenamed("id", "c")
-        return stored(of.join(roots, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
-
-    # every key's least member meets the others
-    least = keys.join(about, "id").groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("m"))
-    least = least.select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"), F.col("m.sketch").alias("asketch"))
-    of = merged(of, keys.join(about, "id").join(least, "key").where("id <> a").where(like))
-    # keys that still hold two components: each row meets those of its own and of the next band of sizes
-    here = keys.join(of, "id")
-    held = here.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    width = F.lit(100 / percent)
-    rows = stored(here.join(held, "key").join(about, "id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(width) + 1e-9)), "open")
-    ahead = rows.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("sketch").alias("asketch"), F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("p")).select("*", "p.*").drop("p")
-    return merged(of, rows.join(ahead, ["key", "band"]).where("c <> ac and (not own or a < id)").where(like)).withColumnRenamed("c", "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their columns; of rows that repeat a doc_id, all."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    about = classes.select("id", "n", "sketch")
+    centre = keys.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"))
+    met = keys.join(centre, "key").where("id <> a").select("a", "id")
+    met = _ordered(met).select("a", F.col("b").alias("id")).join(about, "id").join(about.toDF("a", "an", "asketch"), "a")
+    of = _merged(of, met.where(like).where(~far_apart("sketch", "asketch", percent)).select("a", F.col("id").alias("b")), sets, percent)
+
+    left = stored(_apart(keys, "key", of).select("id").distinct(), "open")
+    if left.isEmpty():
+        return of
+    rare = stored(rare_shingles(sets.join(left, "id", "left_semi"), percent), "rare")
+    # of both sets together, what is left at the first common shingle is enough for the similarity
+    enough = f"least(rest, arest) * {100 + percent} >= {percent} * (n + an)"
+    pick = F.struct(F.col("id").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("c").alias("ac"))
+    here = _apart(rare, "shingle", of)
+    centre = here.groupBy("shingle").agg(F.min_by(pick, F.xxhash64("id", "shingle")).alias("m")).select("shingle", "m.*")
+    of = _merged(of, _ordered(here.join(centre, "shingle").where("c <> ac").where(like).where(enough)), sets, percent)
+    here = stored(_apart(rare, "shingle", of), "apart")
+    return _merged(of, _ordered(here.join(here.select("shingle", pick.alias("m")).select("shingle", "m.*"), "shingle").where("c < ac").where(like).where(enough)), sets, percent)
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, side: int = 10, rows: int = 2) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates() keeps, with their columns; of rows that repeat a doc_id and text, all."""
+    gone = _by_row(docs, percent, side, rows).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_fp"])
+    return docs.join(gone, same, "left_anti")
