@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, stored
+from .shared import connected_components, contracted, stored
 from .textnp import NOT_SPACE, mix, raw, run_hashes, slices, word_hashes, words
 
 SHINGLE = 5
@@ -182,20 +182,15 @@ def _by_row(docs: DataFrame, percent: int, side: int, rows: int) -> DataFrame:
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (id, c) after confirming pairs (a, b); only components that new links join are merged."""
-    links = stored(_confirmed(pairs, sets, percent), "links")
-    if links.isEmpty():
-        return of
-    a, b = (of.select(F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-    joined = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = connected_components(joined).withColumnRenamed("id", "c")
-    return stored(of.join(roots, "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), "components")
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (id, ...) with c: the least id that the known edges (a, b) lead to directly, else the id itself."""
+    of = known.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
+    return rows.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
-def _apart(rows: DataFrame, by: str, of: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, by: str, known: DataFrame) -> DataFrame:
     """The rows, with their components, of values of ``by`` that still hold two components."""
-    here = rows.join(of, "id")
+    here = _labelled(rows, known)
     held = here.groupBy(by).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select(by)
     return here.join(held, by, "left_semi")
 
@@ -217,31 +212,36 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _link(keys: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Components (id, c) of all classes that the keys bring together and full sets confirm."""
+    """Components (id, c) of all classes that the keys bring together and full sets confirm.
+
+    Between the steps, components need not be final: two rows of one component that is not known as one are only compared
+    once more.
+    """
     like = f"100 * least(n, an) >= {percent} * greatest(n, an)"
     wanted = keys.select("id").distinct().join(classes.select("id", "set_a", "set_b", "doc_id", "fp"), "id")
     texts = _with_fp(docs).join(wanted, ["doc_id", "fp"])
     sets = stored(full_sets(texts), "sets")
-    of = stored(sets.select("id", F.col("id").alias("c")), "components")
 
     about = classes.select("id", "n", "sketch")
     centre = keys.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"))
     met = keys.join(centre, "key").where("id <> a").select("a", "id")
     met = _ordered(met).select("a", F.col("b").alias("id")).join(about, "id").join(about.toDF("a", "an", "asketch"), "a")
-    of = _merged(of, met.where(like).where(~far_apart("sketch", "asketch", percent)).select("a", F.col("id").alias("b")), sets, percent)
+    met = met.where(like).where(~far_apart("sketch", "asketch", percent)).select("a", F.col("id").alias("b"))
+    known, _ = contracted(_confirmed(met, sets, percent), 1)
 
-    left = stored(_apart(keys, "key", of).select("id").distinct(), "open")
-    if left.isEmpty():
-        return of
+    left = stored(_apart(keys, "key", known).select("id").distinct(), "open")
     rare = stored(rare_shingles(sets.join(left, "id", "left_semi"), percent), "rare")
     # of both sets together, what is left at the first common shingle is enough for the similarity
     enough = f"least(rest, arest) * {100 + percent} >= {percent} * (n + an)"
     pick = F.struct(F.col("id").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("c").alias("ac"))
-    here = _apart(rare, "shingle", of)
+    here = _apart(rare, "shingle", known)
     centre = here.groupBy("shingle").agg(F.min_by(pick, F.xxhash64("id", "shingle")).alias("m")).select("shingle", "m.*")
-    of = _merged(of, _ordered(here.join(centre, "shingle").where("c <> ac").where(like).where(enough)), sets, percent)
-    here = stored(_apart(rare, "shingle", of), "apart")
-    return _merged(of, _ordered(here.join(here.select("shingle", pick.alias("m")).select("shingle", "m.*"), "shingle").where("c < ac").where(like).where(enough)), sets, percent)
+    met = _ordered(here.join(centre, "shingle").where("c <> ac").where(like).where(enough))
+    known, _ = contracted(known.unionByName(_confirmed(met, sets, percent)), 1)
+
+    here = stored(_apart(rare, "shingle", known), "apart")
+    met = _ordered(here.join(here.select("shingle", pick.alias("m")).select("shingle", "m.*"), "shingle").where("c < ac").where(like).where(enough))
+    return connected_components(known.unionByName(_confirmed(met, sets, percent))).withColumnRenamed("component_id", "c")
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, side: int = 10, rows: int = 2) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +41,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """Write one file through Arrow's file systems, by its final name only when it is whole."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/.{name}.part") as f:
+        f.write(data)
+    system.move(f"{path}/.{name}.part", f"{path}/{name}")
+
+
+def map_file(folder: str) -> np.ndarray:
+    """The bytes of the one file in a shared folder: mapped into memory where the folder is mounted, else read."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    (found,) = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.is_file and not x.base_name.startswith(".")]
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(found, np.uint8, "r")
+    with system.open_input_stream(found) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a table of ``stored()`` that no later step reads."""
     path = getattr(df, "_stored_at", None)
@@ -50,35 +74,52 @@ def drop_stored(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an edge table (a, b) as (id, component_id), component_id the least id.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from every column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
+def _summed(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """stored(), and the table's row count and checksum, observed while it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
 
-    Alternates large-star and small-star steps. Each step is a partial aggregate and an
-    equi-join, so a hub that holds a third of the edges is pre-aggregated on the map side
-    and, in the join, split by adaptive execution. Nodes without edges are not returned.
-    Only two numbers per round (row count, checksum) come to the driver.
+
+def contracted(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """An edge table (a, b), a > b, of the same components as ``edges`` after so many rounds, and whether it is all stars.
+
+    A round is a large-star and a small-star step. Each step is a partial aggregate and an equi-join, so a hub that
+    holds a third of the edges is pre-aggregated on the map side and, in the join, split by adaptive execution. Only two numbers
+    per step (row count, checksum) come to the driver.
     """
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id")).limit(0)
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
+    e, now = _summed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    settled = not now[0]
+    for k in range(0 if settled else rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large = stored(large, "large")
+        large, met = _summed(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")
+        drop_stored(e)
+        if met == now and k:  # stars stay as they are
+            e, settled = large, True
+            break
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        drop_stored(e)
+        e, now = _summed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         drop_stored(large)
-        e = small
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
+    return e.toDF("a", "b"), settled
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Components of an edge table (a, b) as (id, component_id), component_id the least id. Nodes without edges are not returned."""
+    e, settled = contracted(edges, max_rounds)
+    if not settled:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)
+    roots = e.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
+    return e.toDF("id", "component_id").unionByName(roots)
