@@ -3,153 +3,57 @@
 The corpus's most frequent words are compiled into an automaton that shares prefixes and
 suffixes. Its arcs carry numbers whose sum along a word is the word's rank in sorted
 order, which leads to the word's ids. The automaton is one file that every Python worker
-maps into memory. Words that it does not hold are merged exactly, lowest rank first.
+maps into memory. A column of texts is split in numpy; all its distinct words walk through the automaton
+together, letter by letter. Words that it does not hold are merged exactly, lowest rank first.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import struct
-import tempfile
-import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import slices
-from .token_text import Memo, chunks
+from .bpe_words import Merges
+from .shared import map_file, new_path, write_file
+from .textnp import gather, slices
+from .token_text import Memo
 
-_END = "</w>"
-#: Below this code point (Latin to Armenian) letters are told by Python's own tables; beyond, by the library's.
-_PLAIN = 0x590
-
-
-def _class(start: str) -> str:
-    """Code points below _PLAIN of a Unicode category, as regular-expression ranges."""
-    points = [c for c in range(_PLAIN) if unicodedata.category(chr(c)).startswith(start)]
-    return "".join(re.escape(chr(c)) for c in points)
-
-
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_class('L')}{_class('N')}]+")
-_BEYOND = re.compile(f"[^\x00-{chr(_PLAIN - 1)}]")
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, extra = [""] * 256, 256
-    for b in range(256):
-        if b in shown:
-            out[b] = chr(b)
-        else:
-            out[b], extra = chr(extra), extra + 1
-    return out
+#: Bytes of text that are encoded at once.
+_PIECE = 1 << 21
 
 
 @lru_cache(maxsize=2)
-def token_list(path: str) -> list[str]:
-    """Token texts by id, the added ones included."""
+def token_texts(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 of all token texts by id, the added ones included, each with a blank behind; their starts and sizes."""
+    import json
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
-    out = [""] * (1 + max(ids.values()))
+    out = [b" "] * (1 + max(ids.values()))
     for token, i in ids.items():
-        out[i] = token
-    return out
-
-
-class Merges:
-    """Vocabulary, merge ranks and splitting rules of a word-level BPE file."""
-
-    _by_path: dict[str, Merges] = {}
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + _END] for s in symbols]
-        self.back = {ord(s): b for b, s in enumerate(symbols)}
-        self.ranks = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.path, self._library = path, None
-
-    @classmethod
-    def of(cls, path: str) -> Merges:
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
-
-    def words(self, chunk: str) -> list[bytes | int]:
-        """Words of a chunk without white space as UTF-8, special strings as their id."""
-        if self.cut is not None and self.cut.search(chunk):
-            out: list[bytes | int] = []
-            for part in self.cut.split(chunk):
-                if part in self.special:
-                    out.append(self.special[part])
-                elif part:
-                    out += self._plain(part)
-            return out
-        return self._plain(chunk)
-
-    def _plain(self, chunk: str) -> list[bytes]:
-        if chunk.isascii():
-            return [w.encode() for w in _WORD.findall(chunk.lower())]
-        if not _BEYOND.search(chunk):
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            if not _BEYOND.search(low):
-                return [w.encode() for w in _WORD.findall(low)]
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-        t = self._library
-        split = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))
-        return [bytes(self.back[ord(c)] for c in w) for w, _ in split]
-
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word: of all neighbours that merge, the lowest rank first, leftmost first."""
-        ids = [self.inner[b] for b in word]
-        ids[-1] = self.last[word[-1]]
-        ranks = self.ranks
-        while len(ids) > 1:
-            best = None
-            for i, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
-                r = ranks.get(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
+        out[i] = f"{token} ".encode()
+    sizes = np.fromiter(map(len, out), np.int64, len(out))
+    return np.frombuffer(b"".join(out), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 class Lexicon:
     """The automaton: arcs sorted by (state, byte), their targets and rank parts; ids by rank."""
 
-    _open: dict[str, Lexicon] = {}
-
     def __init__(self, arcs: np.ndarray, to: np.ndarray, add: np.ndarray, final: np.ndarray, starts: np.ndarray, ids: np.ndarray):
         self.arcs, self.to, self.add, self.final, self.starts, self.ids = arcs, to, add, final, starts, ids
 
     @classmethod
-    def compile(cls, entries: dict[bytes, list[int]]) -> Lexicon:
-        """Minimal automaton of sorted words, built in one pass: a state is frozen once no later word can
+    def compile(cls, entries: dict[bytes, bytes]) -> Lexicon:
+        """Minimal automaton of words with their ids (unsigned 32-bit integers), built in one pass over the sorted words: a state is frozen once no later word can
         pass through it, and equal frozen states are one."""
         words = sorted(entries)
         frozen: dict[tuple, int] = {}
@@ -194,151 +98,178 @@ class Lexicon:
         final = np.zeros(len(shape), np.uint8)
         final[[name[s] for s, k in enumerate(shape) if k[0]]] = 1
         lists = [entries[w] for w in words]
-        starts = np.cumsum([0, *map(len, lists)]).astype(np.int64)
-        return cls(np.array(arcs, np.int64)[order], np.array(to, np.int64)[order], np.array(add, np.int64)[order], final, starts, np.array(list(chain.from_iterable(lists)), "<u4"))
+        starts = np.cumsum([0, *(len(x) // 4 for x in lists)]).astype(np.int64)
+        return cls(np.array(arcs, np.int64)[order], np.array(to, np.int64)[order], np.array(add, np.int64)[order], final, starts, np.frombuffer(b"".join(lists), "<u4"))
 
-    def save(self, path: str) -> None:
+    def to_bytes(self) -> bytes:
         parts = [self.arcs.astype("<i8"), self.to.astype("<i8"), self.add.astype("<i8"), self.starts.astype("<i8"), self.ids.astype("<u4"), self.final]
-        with open(path, "wb") as f:
-            f.write(struct.pack("<6Q", *map(len, parts)))
-            for p in parts:
-                f.write(p.tobytes())
+        return struct.pack("<6Q", *map(len, parts)) + b"".join([p.tobytes() for p in parts])
 
     @classmethod
-    def map(cls, path: str) -> Lexicon:
-        """The file at ``path``, mapped once per Python worker."""
-        if path not in cls._open:
-            data = np.memmap(path, np.uint8, "r")
-            at, parts = 48, []
-            for n, kind in zip(struct.unpack("<6Q", data[:48].tobytes()), ("<i8", "<i8", "<i8", "<i8", "<u4", "u1"), strict=True):
-                size = n * np.dtype(kind).itemsize
-                parts.append(data[at : at + size].view(kind))
-                at += size
-            arcs, to, add, starts, ids, final = parts
-            cls._open[path] = cls(arcs, to, add, final, starts, ids)
-        return cls._open[path]
-
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids of each word as little-endian unsigned 32-bit integers, or None; all words step by step together."""
+    def read(cls, data: np.ndarray) -> Lexicon:
+        """The automaton over the bytes of a file, which are not copied."""
+        at, parts = 48, []
+        for n, kind in zip(struct.unpack("<6Q", data[:48].tobytes()), ("<i8", "<i8", "<i8", "<i8", "<u4", "u1"), strict=True):
+            size = n * np.dtype(kind).itemsize
+            parts.append(data[at : at + size].view(kind))
+            at += size
+        arcs, to, add, starts, ids, final = parts
+        return cls(arcs, to, add, final, starts, ids)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The rank of each word of a binary column, -1 for those it does not hold; all walk step by step together."""
         n = len(words)
         if not n or not len(self.arcs):
-            return [None] * n
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        state, rank = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            return np.full(n, -1)
+        offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1 + words.offset)[words.offset :].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        begin, sizes = offsets[:-1], np.diff(offsets)
+        rank, final = np.zeros(n, np.int64), np.full(n, -1)
         live = np.flatnonzero(sizes)
-        dead = sizes == 0
+        state = np.zeros(len(live), np.int64)
         step = 0
         while len(live):
-            key = state[live] << 8 | data[begin[live] + step]
+            key = state << 8 | data[begin[live] + step]
             arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
             ok = self.arcs[arc] == key
-            dead[live[~ok]] = True
             live, arc = live[ok], arc[ok]
-            state[live] = self.to[arc]
+            state = self.to[arc]
             rank[live] += self.add[arc]
             step += 1
-            live = live[sizes[live] > step]
-        hit = ~dead & (self.final[state] == 1)
-        return [self.ids[self.starts[r] : self.starts[r + 1]].tobytes() if h else None for h, r in zip(hit.tolist(), rank.tolist(), strict=True)]
+            ended = sizes[live] == step
+            final[live[ended]] = state[ended]
+            live, state = live[~ended], state[~ended]
+        hit = (final >= 0) & (self.final[final] == 1)
+        return np.where(hit, rank, -1)
 
 
-def frequent_chunks(docs: DataFrame, most: int, held: int = 100_000) -> DataFrame:
-    """The ``most`` most frequent white-space chunks of all texts, lower-cased: (chunk, n). Counts are exact."""
+def frequent_words(docs: DataFrame, tokenizer: str, most: int, held: int = 400_000) -> DataFrame:
+    """The ``most`` most frequent words of all texts: (word, n). Counts are exact, but for chunks beyond the tables."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        merges, parts, rows = Merges.of(tokenizer), [], 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for piece in slices(batch, 0):
-                for text in piece.column(0).to_pylist():
-                    if text:
-                        seen.update(chunks(text.lower()))
-                if len(seen) > held:
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "chunk string, n long")
-    return counts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(most)
-
-
-def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 40_000) -> str:
-    """Compile the words of the ``most`` most frequent chunks of ``docs`` and ship the file to all executors.
-
-    At most ``most`` rows reach the driver. Returns the file's name for ``encode``. The lexicon only saves work:
-    ids never depend on it.
+            for piece in slices(batch, 0, _PIECE):
+                units = merges.split(piece.column(0))
+                n = np.bincount(units.index, minlength=len(units.words) + len(units.odd))[: len(units.words)]
+                parts.append(pa.table({"word": units.words, "n": n}))
+                rows += len(n)
+                if rows > held:
+                    parts = [summed()]
+                    rows = len(parts[0])
+                    if rows > held // 2:
+                        yield from parts[0].to_batches()
+                        parts, rows = [], 0
+        if parts:
+            yield from summed().to_batches()
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+
+
+def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 60_000) -> str:
+    """Compile the ``most`` most frequent words of ``docs`` into a file in the shared folder and return its path.
+
+    At most ``most`` words reach the driver. The lexicon only saves work: ids never depend on it.
     """
     merges = Merges.of(tokenizer)
-    words = {w for r in frequent_chunks(docs, most).toLocalIterator() for w in merges.words(r["chunk"]) if isinstance(w, bytes)}
-    name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    Lexicon.compile({w: merges.merge(w) for w in words}).save(path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    words = [bytes(r["word"]) for r in frequent_words(docs, tokenizer, most).toLocalIterator()]
+    path = new_path(docs.sparkSession, "lexicon")
+    write_file(path, f"{uuid.uuid4().hex[:12]}.bin", Lexicon.compile(dict(zip(words, merges.merge(words), strict=True))).to_bytes())
+    return path
 
 
 class Encoder:
-    """Ids of texts: chunks from a bounded memo, else words from the lexicon, else merged."""
+    """Ids of texts: words by the automaton, others from a bounded memo or merged."""
 
-    _by_name: dict[str, Encoder] = {}
+    _by_path: dict[str, Encoder] = {}
 
     def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 120_000):
         self.merges, self.lexicon, self.memo = merges, lexicon, Memo(memo)
 
     @classmethod
-    def of(cls, tokenizer: str, name: str) -> Encoder:
-        if name not in cls._by_name:
-            cls._by_name = {name: cls(Merges.of(tokenizer), Lexicon.map(SparkFiles.get(name)))}
-        return cls._by_name[name]
+    def of(cls, tokenizer: str, path: str) -> Encoder:
+        """One per Python worker: workers live on from task to task."""
+        if path not in cls._by_path:
+            cls._by_path = {path: cls(Merges.of(tokenizer), Lexicon.read(map_file(path)))}
+        return cls._by_path[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(x) for x in texts]
+    def _unseen(self, words: list[bytes]) -> list[bytes]:
         memo = self.memo.current()
-        for part in self.memo.missing(split):
-            new = [self.merges.words(c) for c in part]
-            words = list({w for ws in new for w in ws if isinstance(w, bytes)})
-            ids = {w: x if x is not None else np.array(self.merges.merge(w), "<u4").tobytes() for w, x in zip(words, self.lexicon.find(words), strict=True)}
-            for c, ws in zip(part, new, strict=True):
-                memo[c] = b"".join([ids[w] if isinstance(w, bytes) else struct.pack("<I", w) for w in ws])
-        return [b"".join([memo[c] for c in x]) for x in split]
+        for part in self.memo.missing(list(dict.fromkeys(words)), 1 << 16):
+            memo.update(zip(part, self.merges.merge(part), strict=True))
+        return [memo[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole column, one text after the other, and the bounds of each text."""
+        units, lexicon = self.merges.split(texts), self.lexicon
+        rank = lexicon.find(units.words)
+        new = np.flatnonzero(rank < 0)
+        merged = self._unseen(units.words.take(pa.array(new)).to_pylist())
+        for chunk in units.odd:
+            words = self.merges.words(chunk)
+            ids = iter(self._unseen([w for w in words if isinstance(w, bytes)]))
+            merged.append(b"".join([next(ids) if isinstance(w, bytes) else struct.pack("<I", w) for w in words]))
+        # the ids of words in the automaton, then those of the others
+        sizes = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        starts = len(lexicon.ids) + np.cumsum(sizes) - sizes
+        held = rank >= 0
+        start, size = np.empty(len(rank) + len(units.odd), np.int64), np.empty(len(rank) + len(units.odd), np.int64)
+        start[:-len(units.odd) or None][held] = lexicon.starts[rank[held]]
+        size[:-len(units.odd) or None][held] = np.diff(lexicon.starts)[rank[held]]
+        others = np.concatenate([new, np.arange(len(rank), len(size))])
+        start[others], size[others] = starts, sizes
+        values = np.concatenate([lexicon.ids, np.frombuffer(b"".join(merged), "<u4")])
+        n = size[units.index]
+        return gather(values, start[units.index], n), np.concatenate([[0], np.cumsum(n)])[units.bounds]
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A binary or string column of the bytes of values[bounds[i]:bounds[i + 1]]."""
+    offsets = (bounds * values.itemsize).astype(np.int64)
+    large = pa.Array.from_buffers(pa.large_binary() if pa.types.is_binary(kind) else pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return large.cast(kind)
+
+
+def _texts(ids: np.ndarray, bounds: np.ndarray, tokenizer: str) -> pa.Array:
+    """The tokens of each text's ids, joined by blanks (the vocabulary has no decoder of its own)."""
+    data, starts, sizes = token_texts(tokenizer)
+    size = sizes[ids]
+    out = gather(data, starts[ids], size)
+    ends = np.concatenate([[0], np.cumsum(size)])[bounds]
+    last = ends[1:][ends[1:] > ends[:-1]] - 1  # the blank behind each text's last token
+    return _lists(np.delete(out, last), ends - np.searchsorted(last, ends), pa.string())
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) for every row of (doc_id, text).
 
     A null or empty text has no ids. Rows keep their number and are independent of each other, so repeats
-    and ties need no rule; texts of any length are encoded whole; other columns are not read.
+    and ties need no rule; texts of any length are encoded whole; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.of(tokenizer, lexicon)
         for batch in batches:
-            for piece in slices(batch, 1):
-                ids = coder.encode([x or "" for x in piece.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for piece in slices(batch, 1, _PIECE):
+                yield pa.RecordBatch.from_arrays([piece.column(0), _lists(*coder.encode(piece.column(1)), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _texts(ids: list[bytes], tokens: list[str]) -> list[str]:
-    """The tokens of ids, joined by blanks (the vocabulary has no decoder of its own)."""
-    return [" ".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids]
-
-
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids, text for every row of (doc_id, ids); null ids are an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_list(tokenizer)
         for batch in batches:
-            for piece in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_texts(piece.column(1).to_pylist(), tokens), pa.string())], ["doc_id", "ids", "text"])
+            for piece in slices(batch, 1, _PIECE):
+                sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                ids = np.frombuffer(b"".join(x or b"" for x in piece.column(1).to_pylist()), "<u4")
+                yield pa.RecordBatch.from_arrays([*piece.columns, _texts(ids, np.concatenate([[0], np.cumsum(sizes)]), tokenizer)], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
@@ -347,11 +278,11 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
     """decode(encode(docs)) in one Python worker per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tokens = Encoder.of(tokenizer, lexicon), token_list(tokenizer)
+        coder = Encoder.of(tokenizer, lexicon)
         for batch in batches:
-            for piece in slices(batch, 1):
-                ids = coder.encode([x or "" for x in piece.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array(_texts(ids, tokens), pa.string())], ["doc_id", "ids", "text"])
+            for piece in slices(batch, 1, _PIECE):
+                ids, bounds = coder.encode(piece.column(1))
+                yield pa.RecordBatch.from_arrays([piece.column(0), _lists(ids, bounds, pa.binary()), _texts(ids, bounds, tokenizer)], ["doc_id", "ids", "text"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, text string")
 

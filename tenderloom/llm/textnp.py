@@ -97,6 +97,11 @@ def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of all places, one after the other."""
+    return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 19):
     """Cut a batch by rows so that each piece has about ``most_bytes`` of text (one row at least)."""
     col = batch.column(column)

@@ -8,8 +8,8 @@ File format (one file per shard, little endian):
     select samples (u32 each), ids.
 
 Boundaries b_0 = 0 <= b_1 <= ... <= b_n are kept as Elias-Fano: the low l bits of each packed
-side by side, the rest in unary. ``select`` reads a boundary from a sampled position (every
-64th one) and a byte-wise popcount, without a table of 64-bit offsets: about l + 2 bits and
+side by side, the rest in unary. ``select`` starts at a sampled position (every 64th one) and counts
+the ones word by word from there, without a table of 64-bit offsets: about l + 2 bits and
 half a bit of samples per document.
 """
 
@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, write_file
 from .textnp import slices
 from .token_text import LibraryEncoder
 
 MAGIC = b"TLEF1\0\0\0"
 SAMPLE = 64
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -50,20 +49,28 @@ class EliasFano:
         else:
             low = np.zeros(0, np.uint8)
         at = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
+        unary = np.zeros((int(at[-1]) // 64 + 1) * 64 if n else 0, np.uint8)
         unary[at] = 1
         return cls(low, np.packbits(unary, bitorder="little"), at[::SAMPLE].astype("<u4"), l, n)
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Values at the given places."""
         i = np.asarray(i, np.int64)
-        rank = np.zeros(len(self.high) + 1, np.int64)  # ones before each byte: made on reading, never stored
-        np.cumsum(_COUNT[self.high], out=rank[1:])
-        near = self.samples[i // SAMPLE].astype(np.int64) // 8
-        byte = np.maximum(np.searchsorted(rank, i, side="right") - 1, near)
-        rest = i - rank[byte]
-        ones = np.cumsum(np.unpackbits(self.high[byte][:, None], axis=1, bitorder="little"), axis=1)
-        at = byte * 8 + np.argmax(ones > rest[:, None], axis=1)
+        words = self.high.view("<u8")
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        rest, word = i % SAMPLE, at >> 6
+        bits = words[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(np.uint64))
+        live = np.arange(len(i))
+        while True:  # on to the word that holds the one in question
+            ones = np.bitwise_count(bits[live]).astype(np.int64)
+            live, ones = live[rest[live] >= ones], ones[rest[live] >= ones]
+            if not len(live):
+                break
+            rest[live] -= ones
+            word[live] += 1
+            bits[live] = words[word[live]]
+        ones = np.cumsum(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=1)
+        at = word * 64 + np.argmax(ones > rest[:, None], axis=1)
         low = np.zeros(len(i), np.int64)
         if self.l:
             where = i[:, None] * self.l + np.arange(self.l)
@@ -80,14 +87,13 @@ class EliasFano:
         return ((at - np.arange(self.n)) << self.l) | low
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """The bytes of one file. ids: little-endian unsigned 32-bit integers of each document."""
-    whole = np.frombuffer(b"".join(ids), "<u4")
-    ef = EliasFano.of(np.cumsum([0, *(len(x) // 4 for x in ids)]))
+def pack(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, width: int) -> bytes:
+    """The bytes of one file: ids of all documents, one after the other, and how many each has."""
+    ef = EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]))
     nulls = np.packbits(np.array([d is None for d in doc_ids], np.uint8), bitorder="little")
-    head = struct.pack("<10Q", len(doc_ids), len(whole), width, ef.l, len(ef.low), len(ef.high), len(ef.samples), len(nulls), 0, 0)
+    head = struct.pack("<10Q", len(doc_ids), len(ids), width, ef.l, len(ef.low), len(ef.high), len(ef.samples), len(nulls), 0, 0)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head, keys.tobytes(), nulls.tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), whole.astype(f"<u{width}").tobytes()])
+    return b"".join([MAGIC, head, keys.tobytes(), nulls.tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), ids.astype(f"<u{width}").tobytes()])
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano, np.ndarray]:
@@ -100,22 +106,11 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano, np.ndarray]:
     at += 8 * n
     null = np.unpackbits(np.frombuffer(data, np.uint8, nulls, at), bitorder="little")[:n].astype(bool)
     at += nulls
-    ef = EliasFano(np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low), np.frombuffer(data, "<u4", samples, at + low + high), l, n + 1)
+    ef = EliasFano(np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low).copy(), np.frombuffer(data, "<u4", samples, at + low + high), l, n + 1)
     at += low + high + 4 * samples
     return keys, null, ef, np.frombuffer(data, f"<u{width}", total, at)
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write one file by its final name only when it is whole."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/.{name}.part") as f:
-        f.write(data)
-    system.move(f"{path}/.{name}.part", f"{path}/{name}")
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20) -> DataFrame:
     """Write ``docs`` (doc_id, text) as token files under ``folder``/ids, in ascending doc_id order.
 
@@ -123,37 +118,39 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     A null text is empty, so its document holds the end id alone; a null doc_id sorts first; rows of
     one doc_id are kept, in text order. An empty table gives an empty manifest and no files. Other
     columns of ``docs`` are not read. Documents are range-partitioned by doc_id (only the
-    documents move, once); each task streams its sorted range into files of about ``shard_ids`` ids,
-    one document at least. File names carry the task attempt: files of lost or repeated
+    documents move, once); each task streams its sorted range, about a megabyte of text at a time, into files of
+    ``shard_ids`` ids and more. File names carry the task attempt: files of lost or repeated
     attempts are not in the manifest, and the manifest alone says which files count.
     """
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder, part, attempt, seq = LibraryEncoder.of(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex[:8], 0
         keys: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:05d}-{attempt}.ids"
-            _put(f"{folder}/ids", name, pack(keys, held, width))
+            write_file(f"{folder}/ids", name, pack(keys, np.concatenate(held), np.concatenate(sizes), width))
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [size]}, schema)
 
         for batch in batches:
             for piece in slices(batch, 1, 1 << 20):
-                for key, ids in zip(piece.column(0).to_pylist(), coder.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                    keys.append(key)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        yield flush()
-                        keys, held, size, seq = [], [], 0, seq + 1
+                ids, bounds = coder.encode(piece.column(1))
+                n = np.diff(bounds)
+                keys += piece.column(0).to_pylist()
+                held.append(np.insert(ids, bounds[1:], end_id))  # each document ends with the end id
+                sizes.append(n + 1)
+                size += len(held[-1])
+                if size >= shard_ids:
+                    yield flush()
+                    keys, held, sizes, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield flush()
 

@@ -11,12 +11,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from .textnp import NOT_SPACE, gather, raw, words
 
 #: Python's str.split() also cuts at these four; the vocabulary's pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-_MARK = "\x01"  # one byte, one token
+_MARK = b"\x01"  # one byte, one token
 
 
 def chunks(text: str) -> list[str]:
@@ -41,15 +44,15 @@ class Memo:
     def __init__(self, size: int):
         self.size, self.now, self.before = size, {}, {}
 
-    def current(self) -> dict[str, bytes]:
+    def current(self) -> dict[bytes, bytes]:
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
         return self.now
 
-    def missing(self, split: list[list[str]], most: int = 4096) -> list[list[str]]:
-        """Distinct chunks that neither generation holds, in parts."""
+    def missing(self, chunks: list[bytes], most: int = 4096) -> list[list[bytes]]:
+        """Of distinct chunks, those that neither generation holds, in parts."""
         now, before, new = self.now, self.before, []
-        for c in set().union(*split):
+        for c in chunks:
             if c not in now:
                 if c in before:
                     now[c] = before[c]
@@ -71,7 +74,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo = Memo(memo)
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        (self.mark,) = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> LibraryEncoder:
@@ -80,21 +83,34 @@ class LibraryEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [chunks(x) for x in texts]
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk as little-endian unsigned 32-bit integers."""
         memo = self.memo.current()
-        for part in self.memo.missing(split):
+        for part in self.memo.missing(chunks):
             # one call for many chunks: a mark stands between them, and no chunk of the call holds it
             odd = [c for c in part if _MARK in c]
             plain = [c for c in part if _MARK not in c] if odd else part
             if not plain:
-                plain = [""]
-            ids = np.array(self.tokenizer.encode_batch_fast([f"\n{_MARK}\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+                plain = [b""]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b"\n" + _MARK + b"\n").join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark).tolist()
             data = ids.tobytes()
             for c, at, to in zip(plain, [0, *(4 * k + 4 for k in cuts)], [*(4 * k for k in cuts), len(data)], strict=True):
                 memo[c] = data[at:to]
             for c in odd:
-                memo[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join([memo[c] for c in x]) for x in split]
+                memo[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return [memo[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole column, one text after the other, and the bounds of each text. Texts are cut at ASCII white
+        space; each distinct chunk is looked up or encoded once."""
+        data, offsets = raw(texts)
+        starts, ends, bounds = words(data, offsets, NOT_SPACE)
+        sizes = ends - starts
+        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        chunk = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(data[NOT_SPACE[data]])]).dictionary_encode()
+        ids = self._ids(chunk.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index = chunk.indices.to_numpy()
+        n = size[index]
+        return gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(size) - size)[index], n), np.concatenate([[0], np.cumsum(n)])[bounds]
