@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
 from .textnp import ALNUM, raw, slices, word_hashes, words
 
 
@@ -217,17 +218,22 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Win
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 400_000) -> DataFrame:
     """``docs`` with n_words, hit_from and hit_to (merged word spans) and hit_items added.
 
-    Every row of ``docs`` stays, with all its columns; a null text has no words. An item of fewer than
+    Every row of ``docs`` stays, with all its columns (of these four names, the old ones go); a null text has no words. An item of fewer than
     ``window`` words is one window; one without words, or with a null id or text, has none. Items
     of equal text are all reported. An empty benchmark hits nothing. The benchmark is searched
     in blocks of bounded size, each broadcast by itself; documents are not shuffled.
     """
-    names = ("n_words", "hit_from", "hit_to", "hit_items")
-    clash = [c for c in docs.columns if c.lower() in names]
-    docs = docs.drop(*clash)
+    return _searched(docs.drop(*[c for c in docs.columns if c.lower() in _ADDED]), benchmark, _ADDED, window, block_words)
+
+
+_ADDED = ("n_words", "hit_from", "hit_to", "hit_items")
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, names: tuple[str, ...], window: int = 10, block_words: int = 400_000) -> DataFrame:
+    """contamination() with its columns under these names, which ``docs`` must not have."""
     text, width = docs.columns.index("text"), len(docs.columns)
     spans = "array<long>"
-    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), *[F.array().cast(spans).alias(c) for c in names[1:]])
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), *[F.array().cast(spans).alias(c) for c in names[1:]])
 
     def search(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         out, found = out.mapInArrow(search(sc.broadcast(block)), out.schema), True
     if not found:
         n = F.coalesce(F.size(F.filter(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != "")), F.lit(0))
-        out = out.withColumn("n_words", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"))
+        out = out.withColumn(names[0], F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"))
     return out
 
 
@@ -276,5 +282,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with their columns."""
-    return contamination(docs, benchmark).where(F.size("hit_items") == 0).select(*docs.columns)
+    """The rows of ``docs`` without any benchmark window, with their columns, none of them changed."""
+    names = free_names(docs, *_ADDED)
+    return _searched(docs, benchmark, tuple(names)).where(F.size(names[3]) == 0).drop(*names)

@@ -3,7 +3,10 @@
 Words are the symbols: a line's variants are the line itself and the line without one word, as
 64-bit keys. Two lines are within one edit if they share a variant by deleting the word at the same
 place (substitution), or if one line is a variant of the other (insertion). Lines of fewer than
-``MIN_NEAR`` words have an edit bound of 0: one word of so few is another line.
+``min_near`` words, a parameter, have an edit bound of 0: one word of so few is another line.
+
+A line's place is the document, the hash of its text, and its number: rows that share a doc_id but not a text are
+documents of their own.
 
 One edit leaves the first or the last half of a line as it is. So before any variant is made, a
 join on hashes of both ends finds the lines that can have a neighbour at all; the others
@@ -20,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_stored, stored
+from .shared import drop_stored, free_names, stored
 from .textnp import NOT_SPACE, mix, powers, raw, run_hashes, slices, word_hashes, words
 
+#: Words from which on a line has an edit bound of 1.
 MIN_NEAR = 8
+#: What places a line, in the order in which the earliest stays.
+_AT = ("doc_id", "fp", "line_no")
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -52,50 +58,55 @@ def _end_keys(h: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tup
     return run_hashes(h, a, a + p) ^ size, mix(run_hashes(h, b - p, b) ^ size)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, h, h2 (128-bit hash of the words), n (words), ends (hashes of both ends, of near-able lines)."""
+def _placed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text")).where("doc_id is not null")
+
+
+def line_table(docs: DataFrame, min_near: int) -> DataFrame:
+    """doc_id, fp, line_no, h, h2 (128-bit hash of the words), n (words), ends (hashes of both ends, of near-able lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1):
-                h, bounds, text, number = _lines(piece.column(1))
+            for piece in slices(batch, 2):
+                h, bounds, text, number = _lines(piece.column(2))
                 a, b = bounds[:-1], bounds[1:]
                 n = b - a
                 p, q = _ends(n), _ends(np.maximum(n - 1, 1))
                 keys = np.stack([*_end_keys(h, a, b, np.minimum(p, n)), *_end_keys(h, a, b, np.minimum(q, n))], axis=1)
-                many = np.where(n < MIN_NEAR, 0, np.where((p != q) & (n > MIN_NEAR), 4, 2))
+                many = np.where(n < min_near, 0, np.where((p != q) & (n > min_near), 4, 2))
                 flat = keys[np.arange(4)[None, :] < many[:, None]].view(np.int64)
                 ends = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat))
-                rows = pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], ["doc_id", "line_no", "h", "h2", "n", "ends"])
+                rows = pa.RecordBatch.from_arrays([*[c.take(pa.array(text)) for c in piece.columns[:2]], pa.array(number.astype(np.int32)), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], [*_AT, "h", "h2", "n", "ends"])
                 yield rows.filter(pa.array(n > 0))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, h long, h2 long, n int, ends array<long>")
+    return _placed(docs).mapInArrow(run, "doc_id long, fp long, line_no int, h long, h2 long, n int, ends array<long>")
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of wanted lines: doc_id, line_no, h, line. wanted: doc_id, at (array of line_no, h)."""
+    """The text of wanted lines: doc_id, fp, line_no, line. wanted: doc_id, fp, at (array of line_no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for doc_id, text, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc_id, fp, text, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 lines = text.split("\n")
                 for x in at:
-                    for column, value in zip(out, (doc_id, x["line_no"], x["h"], lines[x["line_no"]]), strict=True):
+                    for column, value in zip(out, (doc_id, fp, x, lines[x]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc_id", "line_no", "h", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], [*_AT, "line"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, line_no int, h long, line string").dropDuplicates(["doc_id", "line_no", "h"])
+    texts = _placed(docs).where("text is not null").join(wanted, ["doc_id", "fp"])
+    return texts.select("doc_id", "fp", "text", "at").mapInArrow(run, "doc_id long, fp long, line_no int, line string").dropDuplicates([*_AT])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, place (-1: the whole line, else the word left out), doc_id, line_no of every variant."""
+    """key, place (-1: the whole line, else the word left out), doc_id, fp, line_no of every variant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 2):
-                data, offsets = raw(piece.column(2))
+            for piece in slices(batch, 3):
+                data, offsets = raw(piece.column(3))
                 begin, end, bounds = words(data, offsets, NOT_SPACE)
                 h = word_hashes(data, begin, end)
                 n = np.diff(bounds)
@@ -104,9 +115,9 @@ def _variants(lines: DataFrame) -> DataFrame:
                 # a run without one word: both sides, joined as one run of n - 1 words
                 key = np.concatenate([run_hashes(h, bounds[:-1], bounds[1:]), _without(h, bounds, line)])
                 line, place = np.concatenate([np.arange(len(n)), line]), np.concatenate([np.full(len(n), -1), place])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), piece.column(0).take(pa.array(line)), piece.column(1).take(pa.array(line))], ["key", "place", "doc_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), *[c.take(pa.array(line)) for c in piece.columns[:3]]], ["key", "place", *_AT])
 
-    return lines.select("doc_id", "line_no", "line").mapInArrow(run, "key long, place int, doc_id long, line_no int")
+    return lines.select(*_AT, "line").mapInArrow(run, "key long, place int, doc_id long, fp long, line_no int")
 
 
 def _without(h: np.ndarray, bounds: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -134,33 +145,34 @@ def within_one_edit(x: list[str], y: list[str]) -> bool:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (doc_id, line_no, by) those whose lines are within one edit."""
+    """Of pairs (doc_id, fp, line_no, by) those whose lines are within one edit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = lambda s: [w for w in s.translate(_FOLD).split(" ") if w]
-            ok = [within_one_edit(split(a), split(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["doc_id", "line_no"]).filter(pa.array(ok, pa.bool_()))
+            ok = [within_one_edit(split(a), split(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.select([*_AT]).filter(pa.array(ok, pa.bool_()))
 
-    near = pairs.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"])
-    other = lines.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("line").alias("other"))
-    near = near.join(other, (F.col("by.doc_id") == F.col("d")) & (F.col("by.line_no") == F.col("l")))
-    return near.select("doc_id", "line_no", "line", "other").mapInArrow(run, "doc_id long, line_no int")
+    near = pairs.join(lines.select(*_AT, "line"), [*_AT]).select(*_AT, "line", "by.*")
+    near = near.toDF(*_AT, "line", *[f"by_{k}" for k in _AT])
+    other = lines.select(*[F.col(k).alias(f"by_{k}") for k in _AT], F.col("line").alias("other"))
+    near = near.join(other, [f"by_{k}" for k in _AT])
+    return near.select(*_AT, "line", "other").mapInArrow(run, "doc_id long, fp long, line_no int")
 
 
 _FOLD = {k: k + 32 for k in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, h, near: the lines that an earlier line (by doc_id, then place) copies exactly or within the bound."""
-    table = stored(line_table(docs), "lines")
-    at = F.struct("doc_id", "line_no")
+def dropped_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
+    """doc_id, fp, line_no, near: the lines that an earlier line (by doc_id, then place) copies exactly or within the bound."""
+    table = stored(line_table(docs, min_near), "lines")
+    at = F.struct(*_AT)
     distinct = table.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("ends").alias("ends"))
     distinct = stored(distinct, "distinct")
     ends = distinct.select(F.explode("ends").alias("end"), "first", "h")
     shared = ends.groupBy("end").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("end")
-    able = ends.join(shared, "end", "left_semi").select("first.doc_id", F.struct("first.line_no", "h").alias("x"))
-    wanted = able.groupBy("doc_id").agg(F.collect_set("x").alias("at"))
+    able = ends.join(shared, "end", "left_semi").select("first.*")
+    wanted = able.groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("at"))
     lines = stored(_wanted_lines(docs, wanted), "near-lines")
     variants = stored(_variants(lines), "variants").withColumn("at", at)
     # replaced word: all of one key and place are within one edit of each other, the earliest stays
@@ -169,52 +181,55 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # left-out word: a whole line meets the variants of longer ones; of both, the later goes
     whole = variants.where("place < 0").select("key", F.col("at").alias("other"))
     longer = variants.where("place >= 0").join(whole, "key").select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("by"))
-    pairs = swapped.unionByName(longer).where("at <> by").groupBy("at").agg(F.min("by").alias("by")).select("at.doc_id", "at.line_no", "by")
+    pairs = swapped.unionByName(longer).where("at <> by").groupBy("at").agg(F.min("by").alias("by")).select("at.*", "by")
     near = stored(_verified(pairs, lines), "near")
     drop_stored(variants)
     # a near line goes with all its copies; of an exactly repeated line the first stays
-    firsts = distinct.select("h", "h2", "first", "copies")
-    gone = firsts.join(near, (F.col("first.doc_id") == near["doc_id"]) & (F.col("first.line_no") == near["line_no"]), "left").select("h", "h2", "first", "copies", near["doc_id"].isNotNull().alias("near"))
+    firsts = distinct.select("h", "h2", "first.*", "first", "copies")
+    gone = firsts.join(near.withColumn("near", F.lit(True)), [*_AT], "left").select("h", "h2", "first", "copies", F.coalesce("near", F.lit(False)).alias("near"))
     gone = gone.where("near or copies > 1")
-    return table.join(gone, ["h", "h2"]).where(F.col("near") | (at != F.col("first"))).select("doc_id", "line_no", "h", "near")
+    return table.join(gone, ["h", "h2"]).where(F.col("near") | (at != F.col("first"))).select(*_AT, "near")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+_COUNTS = ("n_lines", "n_exact", "n_near")
+
+
+def deduplicated(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """``docs`` with n_lines, n_exact, n_near added and the dropped lines cut out of ``text``.
 
     Lines end at ``\\n``; case of A-Z and amounts of white space do not tell lines apart. A line without words is never
     dropped. Every row stays with all its columns (of these three names, the old ones go); a null text stays null with no
     lines. A null doc_id has no place in the order: such rows stay as they are. Rows that repeat a doc_id with the same text are one
-    document and lose the same lines.
+    document and lose the same lines; with other texts they are documents of their own, in the order of their texts' hashes.
+    An empty table gives an empty result.
     """
-    new = ("n_lines", "n_exact", "n_near")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    gone = dropped_lines(docs).distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line_no", "h", "near")).alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    return _cut(docs.drop(*[c for c in docs.columns if c.lower() in _COUNTS]), _COUNTS, min_near)
+
+
+def _cut(docs: DataFrame, counts: tuple[str, ...], min_near: int) -> DataFrame:
+    """deduplicated() with the counts under these names, which ``docs`` must not have."""
+    doc, fp, gone = free_names(docs, "doc", "fp", "gone")
+    found = dropped_lines(docs, min_near).distinct().groupBy(F.col("doc_id").alias(doc), F.col("fp").alias(fp)).agg(F.collect_list(F.struct("line_no", "near")).alias(gone))
+    both = docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(fp)), "left")
     names = docs.columns
     at = names.index("text")
-    out_schema = docs.select("*", *[F.lit(0).cast("long").alias(c) for c in new]).schema
+    out_schema = docs.select("*", *[F.lit(0).cast("long").alias(c) for c in counts]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], ([], [], [])
+            texts, numbers = [], ([], [], [])
             for text, out in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
-                counts[0].append(len(lines))
-                if not out or text is None:
-                    texts.append(text)
-                    counts[1].append(0)
-                    counts[2].append(0)
-                    continue
-                near = {x["line_no"]: x["near"] for x in out}
-                counts[2].append(sum(near.values()))
-                counts[1].append(len(near) - counts[2][-1])
-                texts.append("\n".join([x for k, x in enumerate(lines) if k not in near]))
-            columns = [*batch.columns[: len(names)], *[pa.array(c, pa.int64()) for c in counts]]
+                near = {x["line_no"]: x["near"] for x in out or ()}
+                numbers[0].append(len(lines))
+                numbers[2].append(sum(near.values()))
+                numbers[1].append(len(near) - numbers[2][-1])
+                texts.append("\n".join([x for k, x in enumerate(lines) if k not in near]) if near else text)
+            columns = [*batch.columns[: len(names)], *[pa.array(c, pa.int64()) for c in numbers]]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
-    return both.select(*names, "_gone").mapInArrow(run, out_schema)
+    return both.select(*names, gone).mapInArrow(run, out_schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -224,8 +239,9 @@ def report(docs: DataFrame) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_exact", "n_near", kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines cut out, without documents that lost every line with words."""
-    left = deduplicated(docs)
+def without_copies(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
+    """``docs`` with the dropped lines cut out, without documents that lost every line with words; no other column changes."""
+    n_lines, n_exact, n_near = free_names(docs, *_COUNTS)
+    left = _cut(docs, (n_lines, n_exact, n_near), min_near)
     empty = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
-    return left.where(~empty | (F.col("n_exact") + F.col("n_near") == 0)).select(*docs.columns)
+    return left.where(~empty | (F.col(n_exact) + F.col(n_near) == 0)).drop(n_lines, n_exact, n_near)
