@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import LOWER, mix, raw, slices
@@ -72,10 +72,14 @@ class LanguageFilter:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score (the winner's share of all corrected counts) of each text."""
+        return self.shares(texts)[:2]
+
+    def shares(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and the share of the text's n-grams that are the language's (1 for a text without any)."""
         data, offsets = raw(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        _, held = self.counts(data, offsets)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        total, held = self.counts(data, offsets)
         best = held.argmax(axis=1)
         score = held[np.arange(len(best)), best] / np.maximum(held.sum(axis=1), 1e-9)
         ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
@@ -86,21 +90,29 @@ class LanguageFilter:
             out.append(self.languages[k] if known else UNKNOWN)
             if not known:
                 score[i] = 0
-        return out, score
+        return out, score, np.where(total > 0, held[np.arange(len(best)), best] / np.maximum(total, 1), 1.0)
 
 
 def fit(docs: DataFrame, max_docs: int = 2000, min_share: float = 0.002, slots: int = 1 << 20) -> LanguageFilter:
     """Learn from (doc_id, text, lang), rows with both text and lang.
 
-    Bounded sample, as documented: of each language the ``max_docs`` documents whose doc_id hashes
-    lowest. An n-gram belongs to a language if a share ``min_share`` of its sampled documents
-    (two at least, or one where fewer than three documents are at hand) hold it. The counts of a bounded sample
-    are all that reaches the driver. An empty table gives a filter without languages.
+    Bounded sample, as documented: of each language the documents whose doc_id hashes below the share that makes
+    ``max_docs`` expected; no rows are ranked, so no language is gathered in one task. An n-gram belongs to a language if a share
+    ``min_share`` of its sampled documents (two at least, or one where fewer than three documents are at hand) hold it.
+    To the driver come one count for each language and the filter itself, ``slots`` rows for each 64 languages at
+    most. Every language has bits of its own in all slots, so their number does not fill the filter. Rows with a null doc_id are
+    not learned from, repeated rows count as often as they come, and an empty table gives a filter without languages.
     """
-    rows = docs.where("text is not null and lang is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs).select("doc_id").distinct()
-    sample = rows.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
+    counted = docs.where("text is not null and lang is not null and doc_id is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
+    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    words = max(1, -(-len(languages) // 64))
+    found = LanguageFilter(languages, np.zeros((slots, words), np.uint8 if len(languages) <= 8 else np.uint64), np.zeros(len(languages)))
+    if not languages:
+        return found
+    per_language = lambda f: F.create_map(*[F.lit(x) for k in languages for x in (k, float(f(sizes[k])))])[F.col("lang")]
+    sample = rows.where(F.pmod("h", F.lit(1 << 32)) < per_language(lambda n: min(1, max_docs / n) * 2**32)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,19 +124,26 @@ def fit(docs: DataFrame, max_docs: int = 2000, min_share: float = 0.002, slots:
                 keys, n = np.unique((code << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64))), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    sizes = {r["lang"]: min(r["n"], max_docs) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if not languages:
-        return LanguageFilter([], np.zeros((slots, 1), np.uint8), np.zeros(0))
-    least = F.create_map(*[F.lit(x) for k in languages for x in (k, float(max(min(2, (sizes[k] + 1) // 2), min_share * sizes[k])))])
-    kept = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = kept.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
-    table = np.zeros((slots, -(-len(languages) // 64)), np.uint8 if len(languages) <= 8 else np.uint64)
-    found = LanguageFilter(languages, table, np.zeros(len(languages)))
-    for k, name in enumerate(languages):
-        for at in found.slots(kept.gram[kept.lang == name].to_numpy(np.uint64)):
-            np.bitwise_or.at(table[:, k // 64], at, table.dtype.type(1 << (k % 64)))
-        found.false[k] = float(((table[:, k // 64] >> table.dtype.type(k % 64)) & table.dtype.type(1)).mean() ** 2)
+    kept = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def enough(n: int) -> float:
+        n = min(n, max_docs)
+        return max(min(2, (n + 1) // 2), min_share * n)
+
+    number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])[F.col("lang")]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate(found.slots(batch.column(1).to_numpy().astype(np.uint64)))
+            number = np.tile(batch.column(0).to_numpy(), 2)
+            bits = (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(number // 64), pa.array(bits)], ["slot", "word", "bits"])
+
+    bits = kept.where(F.col("n") >= per_language(enough)).select(number.alias("k"), "gram").mapInArrow(place, "slot long, word int, bits long")
+    bits = bits.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found.table[bits.slot, bits.word] = bits.bits.to_numpy(np.int64).view(np.uint64).astype(found.table.dtype)
+    for k in range(len(languages)):
+        found.false[k] = float(((found.table[:, k // 64] >> found.table.dtype.type(k % 64)) & found.table.dtype.type(1)).mean() ** 2)
     return found
 
 
@@ -145,15 +164,24 @@ def label(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tag, "doc_id long, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """The rows of ``docs`` whose text has a language (not ``und``), with all their columns."""
+def known(docs: DataFrame, model: LanguageFilter, languages: list[str] | None = None, least: float = 0.02) -> DataFrame:
+    """The rows of ``docs`` in one of the languages asked for (None: any that was learned), with all their columns.
+
+    A text is rejected if it has no letter (or is null), if its predicted language is not asked for, or if of its n-grams less
+    than the share ``least`` are that language's, corrected for false positives: then it is in none of the learned ones.
+    A text too short for an n-gram has no such share and is held to its prediction. A model without languages knows nothing to reject by,
+    and every row stays.
+    """
+    if not model.languages:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    asked = None if languages is None else set(languages)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, at):
-                lang, _ = shared.value.predict(piece.column(at))
-                yield piece.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+                lang, _, share = shared.value.shares(piece.column(at))
+                yield piece.filter(pa.array([x != UNKNOWN and s >= least and (asked is None or x in asked) for x, s in zip(lang, share.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
