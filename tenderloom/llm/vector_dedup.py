@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .shared import connected_components, stored
 
@@ -27,7 +28,7 @@ SLACK = 0.04
 
 
 def _matrix(column) -> np.ndarray:
-    """Unit rows of an array<float> column, in double precision."""
+    """Unit rows of a column of floats or doubles, in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -151,7 +152,7 @@ def lost(x: np.ndarray, homes: np.ndarray, ids: np.ndarray, n: np.ndarray, low:
     return bool((true > n)[audited].any())
 
 
-def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, levels: int = 6) -> tuple[DataFrame, DataFrame]:
+def deal(classes: DataFrame, margin: float, shard_rows: int, kind: str = "float", pivots: int = 48, levels: int = 6) -> tuple[DataFrame, DataFrame]:
     """Two tables of (shard, id, v, copies, home): overlapping shards of at most ``shard_rows`` vectors, and those of
     more that dealing does not make smaller.
 
@@ -190,7 +191,7 @@ def deal(classes: DataFrame, margin: float, shard_rows: int, pivots: int = 48, l
                     home = part.column(5).to_numpy(zero_copy_only=False)[i] & (best[i] == k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), shard[at])), pa.array(key), part.column(1).take(pa.array(i)), part.column(2).take(pa.array(i)), part.column(3).take(pa.array(i)), pa.array(home)], ["parent", "shard", "id", "v", "copies", "home"])
 
-        again = dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home").mapInArrow(split, "parent long, shard long, id long, v array<float>, copies long, home boolean")
+        again = dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home").mapInArrow(split, f"parent long, shard long, id long, v array<{kind}>, copies long, home boolean")
         again = stored(again, "split")
         pairs = again.groupBy("parent", "shard").agg(F.count("*").alias("m")).groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
         less = large.join(pairs, F.col("shard") == F.col("parent")).where(2 * F.col("pairs") <= F.col("n").cast("double") * F.col("n")).select("parent")
@@ -289,25 +290,31 @@ def _search(shards: DataFrame, low: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, low: float = 0.98, margin: float | None = None, shard_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
-    Vectors of one label are linked when their cosine is at least ``low``. A null label, a null, empty or zero vector
-    and one with null or non-finite components is linked with nothing. Equal vectors of a label are one class in the search, and count as
-    linked with each other. Rows that repeat a vec_id repeat its answer; a null vec_id is dropped; vectors of different
-    lengths are never linked; other columns are not read; an empty table gives an empty result. ``margin``, the overlap of
-    shards, is by default the distance of unit vectors at cosine ``low``: with less, links across borders are lost.
+    Vectors of one label are linked when their cosine is at least ``low``, computed in double precision of floats or doubles as they
+    are given. A null label, a null, empty or zero vector and one with null or non-finite components is linked with nothing.
+    Equal vectors of a label are one class in the search, and count as linked with each other. Rows that repeat a vec_id are
+    reported as often as they come, each by its own vector. A row with a null vec_id is linked with nothing; its component is
+    null, and it is kept. Vectors of different lengths are never linked; other columns are not read; an empty table gives an empty
+    result. ``margin``, the overlap of shards, is by default the distance of unit vectors at cosine ``low``: with less, links across
+    borders are lost.
     """
     margin = (2 - 2 * low) ** 0.5 + 1e-6 if margin is None else margin
-    v = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("long"))
+    given = vectors.schema["embedding"].dataType
+    kind = "double" if isinstance(getattr(given, "elementType", None), DoubleType) else "float"
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.col("label").cast("long"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("v", lambda x: x != 0)
-    good = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True))
     v = v.withColumn("good", F.coalesce(good, F.lit(False)))
-    classes = stored(v.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")), "classes")
-    shards, whole = deal(classes, margin, shard_rows)
+    classes = v.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("copies"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    shards, whole = deal(classes, margin, shard_rows, kind)
     found = stored(_search(shards, low).unionByName(_in_blocks(whole, low, shard_rows)), "found")
     homes = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    by_class = classes.select("label", "v", "id", "copies").join(homes.select("id", "links"), "id").join(components.withColumnRenamed("component_id", "c"), "id", "left")
-    by_class = by_class.select("label", "v", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component_id", "c")
+    least = components.join(classes.select("id", "first"), "id").groupBy("c").agg(F.min("first").alias("least"))
+    by_class = classes.join(homes, "id").join(components, "id", "left").join(least, "c", "left")
+    by_class = by_class.select("label", "v", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     linked = v.where("good").join(by_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = v.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
