@@ -152,28 +152,120 @@ def test_line_dedup(spark, docs):
     assert line_dedup.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_pipeline_stages(spark, docs):
-    """Each stage holds to its own input; the last row count is that of the documents that are left."""
+_BLANK = [" " if c < 128 and not chr(c).isalpha() else chr(c).lower() if c < 128 else c for c in range(256)]
+
+
+def grams(text):
+    """N-grams of four bytes: A-Z as a-z, what is no ASCII letter a blank, none over two blanks in a row."""
+    folded = bytes(ord(x) if isinstance(x, str) else x for x in (_BLANK[b] for b in text.encode()))
+    return [g for g in (folded[k : k + 4] for k in range(len(folded) - 3)) if b"  " not in g]
+
+
+def language_rule(docs):
+    """{doc_id: (language, share)} by plain sets: what at least two (or the share) of a language's documents hold is its own."""
+    held, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            held[r.lang].update(set(grams(r.text)))
+            sizes[r.lang] += 1
+    own = {k: {g for g, n in c.items() if n >= max(min(2, (sizes[k] + 1) // 2), 0.002 * sizes[k])} for k, c in held.items()}
+    out = {}
+    for r in docs:
+        found = grams(r.text or "")
+        count = {k: sum(g in own[k] for g in found) for k in sorted(own, key=lambda k: (-sizes[k], k))}
+        best = max(count, key=count.get)
+        out[r.doc_id] = (best if any(map(str.isalpha, r.text or "")) else "und", count[best] / len(found) if found else 1)
+    return out
+
+
+def test_language_rule(spark, docs):
+    want = language_rule(docs)
+    got = {r.doc_id: r.lang_pred for r in q.op10_language_bitmask(spark, SF).collect()}
+    assert got == {d: x for d, (x, _) in want.items()}
+
+
+def near_groups(docs):
+    """{doc_id: least doc_id of its group} over all pairs of shingle sets."""
+    sets = {}
+    for d, t in docs:
+        w = words(t or "")
+        sets[d] = {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def hit(text, windows):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+
+
+def test_pipeline_stages(spark, docs, library):
+    """Every stage against brute force over the whole of its own input, and run() against the last."""
     import corpus_pipeline as p
 
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
     left = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = left.columns, []
     for name, stage in p.STAGES:
-        before = {r.doc_id: r.text for r in left.collect()}
+        rows = left.collect()
+        before = {r.doc_id: r.text for r in rows}
         left = stage(spark, left, SF)
-        ids = [r.doc_id for r in left.select("doc_id").collect()]
-        assert set(ids) <= set(before) and len(ids) == len(set(ids))
         seen.append(name)
-        if name != "bpe":
-            assert left.columns == columns
-            left = left.cache()
+        if name == "bpe":
+            break
+        assert left.columns == columns
+        left = left.cache()
+        after = {r.doc_id: r.text for r in left.collect()}
+        assert left.count() == len(after)
         if name == "language_id":
-            assert set(ids) == {d for d, t in before.items() if t and any(map(str.isalpha, t))}
+            rule = language_rule(rows)
+            assert after == {d: t for d, t in before.items() if rule[d][0] != "und" and rule[d][1] >= 0.02}
         if name == "line_dedup":
             want = dedup_lines(sorted(before.items()))
-            texts = {r.doc_id: r.text for r in left.collect()}
-            assert all(hashlib.sha256(t.encode()).hexdigest() == want[d][4] for d, t in texts.items())
-        if name == "bpe":
-            assert set(ids) == set(before)
+            assert {d: hashlib.sha256(t.encode()).hexdigest() for d, t in after.items()} == {d: x[4] for d, x in want.items() if d in after}
+            gone = {d for d in before if d not in after}
+            assert all(want[d][1] + want[d][2] > 0 for d in gone) and all(words(t) or not want[d][1] + want[d][2] for d, t in after.items())
+        if name == "minhash_dedup":
+            group = near_groups(before.items())
+            assert after == {d: t for d, t in before.items() if group[d] == d}
+        if name == "decontamination":
+            assert after == {d: t for d, t in before.items() if not hit(t, windows)}
     assert seen == ["language_id", "line_dedup", "minhash_dedup", "decontamination", "bpe"]
-    assert collections.Counter(r.doc_id for r in p.run(spark, SF).select("doc_id").collect()) == collections.Counter(ids)
+    want = []
+    for d, text in before.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, left.collect())) == sorted(want)
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeats, an empty table, clashing columns: nothing crashes, clean rows stay as they are."""
+    import corpus_pipeline as p
+
+    for name in ("benchmark", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(30).write.parquet(f"{tmp_path}/{name}.parquet")
+    own = spark.createDataFrame([(k, f"word{k} number {k} of the text that stands here for row {k}" if k != 3 else None, None, None, None, "mine", 9) for k in (1, 2, 3, None, None, 4)] + [(4, "word4 number 4 of the text that stands here for row 4", "en", "s", 1, "mine", 9)] * 2, "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_words int")
+    for left in (own, own.limit(0)):
+        n = left.count()
+        for name, stage in p.STAGES:
+            left = stage(spark, left, str(tmp_path))
+            if name != "bpe":
+                assert left.columns == own.columns and {(r.n_lines, r.n_words) for r in left.collect()} <= {("mine", 9)}
+        assert left.count() == (n and 7)
