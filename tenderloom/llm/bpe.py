@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -184,12 +184,12 @@ def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 60_000) -> str:
 
 
 class Encoder:
-    """Ids of texts: words by the automaton, others from a bounded memo or merged."""
+    """Ids of texts: words by the automaton, others from a bounded memo or by ``merge`` (words to ids)."""
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 120_000):
-        self.merges, self.lexicon, self.memo = merges, lexicon, Memo(memo)
+    def __init__(self, merges: Merges, lexicon: Lexicon, memo: int = 120_000, merge: Callable[[list[bytes]], list[bytes]] | None = None):
+        self.merges, self.lexicon, self.memo, self.merge = merges, lexicon, Memo(memo), merge or merges.merge
 
     @classmethod
     def of(cls, tokenizer: str, path: str) -> Encoder:
@@ -201,7 +201,7 @@ class Encoder:
     def _unseen(self, words: list[bytes]) -> list[bytes]:
         memo = self.memo.current()
         for part in self.memo.missing(list(dict.fromkeys(words)), 1 << 16):
-            memo.update(zip(part, self.merges.merge(part), strict=True))
+            memo.update(zip(part, self.merge(part), strict=True))
         return [memo[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""Texts as white-space chunks, and token ids of chunks by the tokenizers library with a bounded memo.
+"""Texts as white-space chunks, and a bounded memo.
 
 The splitter of the word-level vocabulary never lets a token span white space, its
 normaliser works character by character (composition never reaches across white space),
@@ -7,21 +7,12 @@ and its special strings hold none. So the ids of a text are the ids of its chunk
 
 from __future__ import annotations
 
-import os
 import re
 
-import numpy as np
-import pyarrow as pa
-
-from .textnp import NOT_SPACE, gather, raw, words
-
 #: Python's str.split() also cuts at these four; the vocabulary's pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-_MARK = b"\x01"  # one byte, one token
-
-
 def chunks(text: str) -> list[str]:
     """Maximal runs without white space (Unicode White_Space)."""
     if _SEPARATORS.search(text):
@@ -59,58 +50,3 @@ class Memo:
                 else:
                     new.append(c)
         return [new[k : k + most] for k in range(0, len(new), most)]
-
-
-class LibraryEncoder:
-    """Ids of texts by the library, each distinct chunk encoded once while the memo holds it."""
-
-    _by_path: dict[str, LibraryEncoder] = {}
-
-    def __init__(self, path: str, memo: int = 120_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo = Memo(memo)
-        (self.mark,) = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
-
-    @classmethod
-    def of(cls, path: str) -> LibraryEncoder:
-        """One per Python worker: workers live on from task to task."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        memo = self.memo.current()
-        for part in self.memo.missing(chunks):
-            # one call for many chunks: a mark stands between them, and no chunk of the call holds it
-            odd = [c for c in part if _MARK in c]
-            plain = [c for c in part if _MARK not in c] if odd else part
-            if not plain:
-                plain = [b""]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b"\n" + _MARK + b"\n").join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            data = ids.tobytes()
-            for c, at, to in zip(plain, [0, *(4 * k + 4 for k in cuts)], [*(4 * k for k in cuts), len(data)], strict=True):
-                memo[c] = data[at:to]
-            for c in odd:
-                memo[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return [memo[c] for c in chunks]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a whole column, one text after the other, and the bounds of each text. Texts are cut at ASCII white
-        space; each distinct chunk is looked up or encoded once."""
-        data, offsets = raw(texts)
-        starts, ends, bounds = words(data, offsets, NOT_SPACE)
-        sizes = ends - starts
-        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        chunk = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(data[NOT_SPACE[data]])]).dictionary_encode()
-        ids = self._ids(chunk.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        index = chunk.indices.to_numpy()
-        n = size[index]
-        return gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(size) - size)[index], n), np.concatenate([[0], np.cumsum(n)])[bounds]

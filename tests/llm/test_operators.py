@@ -18,7 +18,7 @@ def test_encoders_agree_with_the_library():
     library = Tokenizer.from_file(PATH)
     merges = bpe.Merges.of(PATH)
     lexicon = bpe.Lexicon.compile(dict(zip(some := [b"the", b"bath", b"math", b"them", b"x"], merges.merge(some), strict=True)))
-    ours, cached = bpe.Encoder(merges, lexicon, memo=3), token_text.LibraryEncoder(PATH, memo=3)
+    ours, cached = bpe.Encoder(merges, lexicon, memo=3), bpe.Encoder(merges, bpe.Lexicon.compile({}), 3, token_output.LibraryWords(PATH))
     for text in ODD * 2:
         ids = library.encode(text, add_special_tokens=False).ids
         for coder in (ours, cached):
@@ -39,10 +39,11 @@ def test_splitting_as_the_library(seed):
     kinds = [*("'" * 3 + "stmdrevlRE 19.,!\n<|\x85"), *map(chr, range(0xA0, 0x180)), *map(chr, range(0x370, 0x400)), *map(chr, range(0x2FE, 0x302))]
     usual = kinds[:27]
     texts = ["".join(r.choice(usual if k % 2 else kinds, r.integers(0, 40))) for k in range(400)]
-    coder = bpe.Encoder(bpe.Merges.of(PATH), bpe.Lexicon.compile({b"s": bpe.Merges.of(PATH).merge([b"s"])[0]}))
-    ids, bounds = coder.encode(pa.array(texts))
-    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
-        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    merges = bpe.Merges.of(PATH)
+    for coder in (bpe.Encoder(merges, bpe.Lexicon.compile({b"s": merges.merge([b"s"])[0]})), bpe.Encoder(merges, bpe.Lexicon.compile({}), merge=token_output.LibraryWords(PATH))):
+        ids, bounds = coder.encode(pa.array(texts))
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_encode_then_decode(spark):
