@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMBED_CAP = 6000
+#: What the scorer is told where a profile's location does not count, and what surrounds a pair's hints.
+GEOGRAPHY_POLICY = (
+    "  This company has opted in to international collaboration / joint",
+    "  ventures. IGNORE country / geography mismatch when scoring fit,",
+    '  listing gaps, or assessing win probability. Do not flag "company',
+    '  not located in tender country" as a gap.',
+)
+SIMILARITY_HINT = " (range 0..1). The cosine similarity is one input — feel free to override it if the rationale demands a different score."
+CHANCE_HINT = "You may agree, raise, or lower this in your final winProbability. Be explicit in winProbabilityReason."
+REQUEST = "Now submit your honest assessment as a single JSON object matching the schema."
 
 
 def profile_keywords(*lists: Column) -> Column:
@@ -61,8 +71,29 @@ def content_hash(stamp: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(stamp), *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-def rerank_doc(title: Column, buyer: Column, sector: Column, country: Column, description: Column, most: int = 1500) -> Column:
-    return F.concat_ws("\n", title, F.concat(F.lit("Buyer: "), buyer), F.concat(F.lit("Sector: "), sector), F.concat(F.lit("Country: "), country), F.substring(description, 1, most))
+def rerank_doc(title: Column, buyer: Column, sector: Column, country: Column, cpv: Column, description: Column, ignore_location: Column, most: int = 1500) -> Column:
+    """A tender's text for a reranker; what it lacks is left out, its country also where location is to be ignored."""
+    said = lambda label, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{label}: "), x))
+    always = lambda label, x: F.concat(F.lit(f"{label}: "), F.coalesce(x, F.lit("")))
+    codes = F.when(F.size(cpv) > 0, F.concat(F.lit("CPV: "), F.array_join(cpv, ", ")))
+    return F.concat_ws("\n", always("Title", title), always("Buyer", buyer), said("Sector", sector), F.when(~ignore_location, said("Country", country)), codes, F.nullif(F.substring(description, 1, most), F.lit("")))
+
+
+def render_profile(p: Column) -> Column:
+    """A profile struct as the scorer's text; where location is to be ignored, a policy stands for its countries."""
+    none = "  (none)"
+    bullets = lambda x, empty: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda i: F.concat(F.lit("  - "), i)), "\n")).otherwise(empty)
+    about = lambda x: F.concat_ws(", ", F.concat(F.lit("sector="), F.nullif(x["sector"], F.lit(""))), F.concat(F.lit("valueUsd="), x["value_usd"].cast("string")))
+    project = lambda x: F.concat(F.lit("  - "), x["title"], F.coalesce(F.concat(F.lit(" ["), F.nullif(about(x), F.lit("")), F.lit("]")), F.lit("")), F.lit(": "), x["summary"])
+    listed = lambda label, x: [F.lit(""), F.lit(f"{label}:"), bullets(x, "  (none)")]
+    lines = [
+        F.lit("# Company Profile"), F.concat(F.lit("Company: "), p["company_name"]), F.concat(F.lit("One-liner: "), p["one_liner"]), F.concat(F.lit("Team size: "), p["team_size"].cast("string")),
+        F.concat(F.lit("Budget range (USD): "), p["budget_min_usd"].cast("string"), F.lit(" - "), p["budget_max_usd"].cast("string")), F.concat(F.lit("Languages: "), F.coalesce(F.nullif(F.array_join(p["languages"], ", "), F.lit("")), F.lit("(unspecified)"))),
+        *listed("Industries", p["industries"]), *listed("Services", p["services"]), *listed("Tech stack", p["tech_stack"]), *listed("Certifications", p["certifications"]), *listed("Past clients", p["past_clients"]),
+        F.lit(""), F.lit("Past projects:"), F.when(F.size(p["past_projects"]) > 0, F.array_join(F.transform(p["past_projects"], project), "\n")).otherwise(none),
+        F.lit(""), F.when(p["ignore_location"], F.lit("\n".join(("Geography policy:", *GEOGRAPHY_POLICY)))).otherwise(F.concat(F.lit("Geographies:\n"), bullets(p["geographies"], "  (global / unspecified)"))),
+    ]
+    return F.concat_ws("\n", *lines)
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -86,5 +117,6 @@ def render_tender(t: Column, ignore_location: Column, most: int = 6000) -> Colum
 
 def pair_prompt(profile_text: Column, tender_text: Column, similarity: Column, level: Column, reason: Column) -> Column:
     """The scorer's text for a pair: both sides, the similarity to four places, and the rule-based estimate as a hint."""
-    hints = F.concat(F.lit("# Hints\nCosine similarity: "), F.format_number(similarity, "0.0000"), F.lit("\nRule-based chance: "), F.upper(level), F.lit(" - "), reason)
-    return F.concat_ws("\n\n", profile_text, tender_text, hints)
+    near = F.concat(F.lit("# Cosine similarity hint\n"), F.format_number(similarity, 4), F.lit(SIMILARITY_HINT))
+    chance = F.concat(F.lit("# Heuristic win-probability (deterministic, non-LLM)\n"), F.upper(level), F.lit(" — "), reason, F.lit(f"\n{CHANCE_HINT}"))
+    return F.concat_ws("\n\n", profile_text, tender_text, near, chance, F.lit(REQUEST))

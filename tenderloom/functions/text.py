@@ -12,20 +12,21 @@ BLOCKS = "p|div|tr|li|h[1-6]|br"
 PAGE_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"))
 
 
-def _numeric(text: Column, pattern: str, base: int) -> Column:
+def _numeric(text: Column, hexadecimal: bool) -> Column:
     """Numeric entities of one form, decoded: what stands between them and their characters, woven together."""
+    pattern = "&#x([0-9a-fA-F]+);" if hexadecimal else "&#([0-9]+);"
     codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     between = F.split(text, pattern, -1)
-    number = lambda c: F.conv(c, base, 10).cast("long")
     # code units of 16 bits, as in the text's own encoding; pairs of surrogates are left out
-    shown = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.hex(number(c) % 65536), 4, "0")), "UTF-16BE"))
+    unit = (lambda c: F.right(c, F.lit(4))) if hexadecimal else (lambda c: F.hex((c.try_cast("decimal(38,0)") % 65536).cast("long")))
+    shown = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(unit(c), 4, "0")), "UTF-16BE"))
     woven = F.array_join(F.flatten(F.zip_with(between, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return F.when(text.rlike(pattern), woven).otherwise(text)
 
 
 def decode_entities(text: Column) -> Column:
     """Decimal, then hexadecimal, then named entities, one pass each: ``&amp;lt;`` becomes ``<``. Null is empty."""
-    out = _numeric(_numeric(F.coalesce(text, F.lit("")), "&#([0-9]{1,9});", 10), "&#x([0-9a-fA-F]{1,8});", 16)
+    out = _numeric(_numeric(F.coalesce(text, F.lit("")), False), True)
     for name, shown in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(shown))
     return out
@@ -51,19 +52,28 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(lines, "<[^>]+>", "")
     for name, shown in PAGE_ENTITIES:
         out = F.regexp_replace(out, f"(?i){name}", shown)
-    out = _numeric(out, "&#([0-9]{1,9});", 10)
+    out = _numeric(out, False)
     return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def cell_text(html: Column) -> Column:
+    """The text of a table cell."""
+    return clean(strip_tags(html))
+
+
 def first_link(html: Column) -> Column:
     """The first href, or null."""
     return F.nullif(F.regexp_extract(html, r"""(?i)href\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
 
 
 def absolutize(url: Column, base: str) -> Column:
-    """A relative link below the host of ``base``."""
-    host = base.rstrip("/")
-    return F.when(url.rlike("(?i)^https?:"), url).otherwise(F.concat(F.lit(host), F.when(url.startswith("/"), F.lit("")).otherwise(F.lit("/")), url))
+    """A link as seen from ``base``: with a scheme as it is, else below the scheme, the host or the folder of ``base``."""
+    scheme, _, rest = base.partition("://")
+    host = f"{scheme}://{rest.split('/')[0]}"
+    page = base.split("?")[0].split("#")[0]
+    folder = page[: page.rindex("/") + 1] if "/" in rest else f"{host}/"
+    below = F.when(url.startswith("//"), F.concat(F.lit(f"{scheme}:"), url)).when(url.startswith("/"), F.concat(F.lit(host), url)).when(url.startswith("?") | url.startswith("#"), F.concat(F.lit(page), url))
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).otherwise(below.otherwise(F.concat(F.lit(folder), F.regexp_replace(url, r"^(?:\./)+", ""))))
 
 
 def pick_field(text: Column, patterns: list[str]) -> Column:
@@ -97,6 +107,11 @@ def assemble(parts: list[Column], separator: str = "\n") -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), separator)
 
 
+def assemble_list(parts: Column, separator: str) -> Column:
+    """The array's elements that are not empty, joined."""
+    return F.array_join(F.filter(parts, lambda x: x != ""), separator)
+
+
 def word_splits(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")

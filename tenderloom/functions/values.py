@@ -31,6 +31,11 @@ def to_usd(amount: Column, currency: Column, rate: Column | None = None, overrid
     return F.when(finite & (F.length(currency) > 0) & whole.isNotNull(), F.greatest(F.lit(-_INT4), F.least(F.lit(_INT4), whole)).cast("int"))
 
 
+def leading_number(text: Column) -> Column:
+    """The number that a text begins with; null where it begins with none."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1), F.lit("")).try_cast("double")
+
+
 def country_iso2(name: Column, table: dict[str, str] | None = None) -> Column:
     return _lookup(F.lower(F.trim(name)), table or COUNTRY_NAMES)
 

@@ -58,6 +58,7 @@ def win_probability(p: dict[str, Column]) -> tuple[Column, Column, Column]:
     won_country = ~p["ignore_location"] & F.coalesce(F.exists(wins, lambda w: F.upper(F.coalesce(w["country"], F.lit(""))) == country), F.lit(False)) & F.coalesce(country != "", F.lit(False))
     won_sector = (sector != "") & F.exists(wins, lambda w: F.contains(F.lower(F.coalesce(w["sector"], F.lit(""))), sector))
     ordered = F.array_distinct(geos)
+    # fixed values: points and factor texts
     steps = [  # condition chains: the first that holds gives points and a factor
         [(p["ignore_location"], 0, F.lit("location disregarded per profile setting")), (F.size(geos) == 0, 1, F.lit("company operates globally")),
          (at_home & (country != ""), 2, F.concat(F.lit("geography match ("), country, F.lit(")"))), (country.isNotNull() & (country != ""), -2, F.concat(F.lit("geography mismatch (tender "), country, F.lit(" vs "), F.array_join(ordered, "/"), F.lit(")")))],
@@ -139,6 +140,18 @@ def rerank_cap(candidates: DataFrame, relevance: str | None, shown: int = 40, at
     return newest(first, ["tenant_id"], order, attempts)
 
 
+def new_pairs(fused: DataFrame, tenders: DataFrame, matches: DataFrame, now: Column, relevance: str | None = None, shown: int = 40, attempts: int = 20) -> DataFrame:
+    """Incremental matching: of each tenant's fused candidates the open tenders that are not yet matched, reranked, the best
+    ``attempts`` at most."""
+    return rerank_cap(exclude_existing(attach_active(fused, tenders, now), matches), relevance, shown, attempts)
+
+
+def pair_features(pairs: DataFrame, profiles: DataFrame, tenders: DataFrame, wins: DataFrame) -> DataFrame:
+    """Pairs with all that the win probability is reckoned from: profile, tender and the tenant's wins (null: none)."""
+    won = wins.select("tenant_id", F.transform("wins", lambda w: F.struct(w["sector"].alias("sector"), w["country"].alias("country"))).alias("wins"))
+    return pairs.join(profiles, "tenant_id").join(tenders, "tender_id").join(won, "tenant_id", "left")
+
+
 def score_pairs(pairs: DataFrame, score: Callable[[pd.DataFrame], pd.Series], output: str = "score") -> DataFrame:
     """``pairs`` with a user's batch scores and an ``error`` column; an error costs only the pair that causes it."""
     schema = pairs.select("*", F.lit(0.0).alias(output), F.lit("").alias("error")).schema
@@ -147,16 +160,15 @@ def score_pairs(pairs: DataFrame, score: Callable[[pd.DataFrame], pd.Series], ou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield batch.assign(**{output: score(batch).astype(float), "error": None})
-            except Exception:  # noqa: BLE001
-                rows = []
-                for i in range(len(batch)):
-                    one = batch.iloc[i : i + 1]
-                    try:
-                        rows.append(one.assign(**{output: float(score(one).iloc[0]), "error": None}))
-                    except Exception as e:  # noqa: BLE001
-                        rows.append(one.assign(**{output: float("nan"), "error": str(e)}))
-                yield pd.concat(rows)
+            parts = [batch]
+            while parts:  # a part that fails is halved until the pair that fails stands alone
+                part = parts.pop()
+                try:
+                    yield part.assign(**{output: score(part).astype(float), "error": None})
+                except Exception as e:  # noqa: BLE001
+                    if len(part) == 1:
+                        yield part.assign(**{output: float("nan"), "error": str(e)})
+                    else:
+                        parts += [part.iloc[len(part) // 2 :], part.iloc[: len(part) // 2]]
 
     return pairs.dropDuplicates(["tenant_id", "tender_id"]).mapInPandas(run, schema)

@@ -24,7 +24,7 @@ def match_list(matches: DataFrame, tenders: DataFrame, status: str, now: Column,
 def dashboard_stats(matches: DataFrame, tenders: DataFrame, schedules: DataFrame, now: Column, default_min: int = 30) -> DataFrame:
     """Per tenant: matches of today, mean score, high chances, archived ones; scores below the schedule's minimum do not count."""
     least = F.coalesce("min_fit_score", F.lit(default_min))
-    rows = matches.join(F.broadcast(schedules.select("tenant_id", "min_fit_score")), "tenant_id", "left").where(F.col("fit_score") >= least).join(tenders.select("tender_id", "deadline_at"), "tender_id")
+    rows = matches.join(schedules.select("tenant_id", "min_fit_score"), "tenant_id", "left").where(F.col("fit_score") >= least).join(tenders.select("tender_id", "deadline_at"), "tender_id")
     active = status_filter(F.col("deadline_at"), "active", now)
     return rows.groupBy("tenant_id").agg(
         F.count_if(active & (F.to_date("created_at") == F.to_date(now))).alias("today"),
@@ -40,20 +40,45 @@ def score_distribution(matches: DataFrame, by: list[str]) -> DataFrame:
 
 def digest_matches(matches: DataFrame, tenders: DataFrame, schedules: DataFrame, now: Column, default_min: int = 60, top: int = 50) -> DataFrame:
     """(tenant_id, pos, ...): each tenant's best new open matches: since the last sending (else seven days), of its least score."""
-    due = F.broadcast(schedules.select("tenant_id", F.coalesce("min_fit_score", F.lit(default_min)).alias("least"), F.coalesce("last_sent_at", now - F.expr("interval 7 days")).alias("since")))
-    rows = matches.join(due, (matches["tenant_id"] == due["tenant_id"]) & (matches["fit_score"] >= due["least"]) & (matches["created_at"] >= due["since"])).drop(due["tenant_id"])
+    due = schedules.select("tenant_id", F.coalesce("min_fit_score", F.lit(default_min)).alias("least"), F.coalesce("last_sent_at", now - F.expr("interval 7 days")).alias("since"))
+    rows = matches.where(F.col("fit_score").isNotNull()).join(due, "tenant_id").where("fit_score >= least and created_at >= since")
     rows = rows.join(tenders.where(status_filter(F.col("deadline_at"), "active", now)), "tender_id")
     order = Window.partitionBy("tenant_id").orderBy(F.desc("fit_score"), F.desc("created_at"), "tender_id")
     return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= top)
 
 
-def digest_payload(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """(tenant_id, company_name, n, subject, matches) of tenants with matches; matches in order."""
-    item = F.struct("pos", "tender_id", "fit_score", "win_probability")
-    out = rows.groupBy("tenant_id").agg(F.array_sort(F.collect_list(item)).alias("matches")).join(names, "tenant_id")
+#: What a digest says of a match, beside its place, tender, score and chance, where the rows have it.
+_SHOWN = ("match_id", "title", "url", "buyer", "deadline_at", "rationale", "human_resources_estimate", "collaboration_suggestion")
+
+
+def digest_payload(rows: DataFrame, names: DataFrame, now: Column | None = None) -> DataFrame:
+    """(tenant_id, company_name, n, subject, matches, ...) of tenants with matches; matches in order, three reasons each at most.
+
+    ``min_fit_score`` is the least score that counted, ``generated_at`` is ``now``; further columns of ``names``
+    (recipients) stay.
+    """
+    shown = [F.slice(c, 1, 3).alias(c) if c == "rationale" else F.col(c) for c in _SHOWN if c in rows.columns]
+    item = F.struct("pos", "tender_id", "fit_score", "win_probability", *shown)
+    least = F.max("least") if "least" in rows.columns else F.lit(None).cast("int")
+    out = rows.groupBy("tenant_id").agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("matches"), least.alias("min_fit_score")).join(names, "tenant_id")
     n = F.size("matches")
     subject = F.concat(n.cast("string"), F.lit(" new match"), F.when(n == 1, "").otherwise("es"), F.lit(" for "), F.col("company_name"))
-    return out.select("tenant_id", "company_name", n.cast("long").alias("n"), subject.alias("subject"), "matches")
+    rest = [c for c in names.columns if c not in ("tenant_id", "company_name")]
+    return out.select("tenant_id", "company_name", n.cast("long").alias("n"), subject.alias("subject"), "matches", "min_fit_score", (F.lit(None).cast("timestamp") if now is None else now).alias("generated_at"), *rest)
+
+
+def due_digests(matches: DataFrame, tenders: DataFrame, schedules: DataFrame, zones: DataFrame, names: DataFrame, now: Column) -> DataFrame:
+    """The payloads of all schedules that are due at ``now``."""
+    return digest_payload(digest_matches(matches, tenders, is_due(schedules, zones, now), now), names, now)
+
+
+def match_detail(matches: DataFrame, tenders: DataFrame, feedback: DataFrame, tenant_id: int | str, match_id: int | str) -> DataFrame:
+    """One of a tenant's matches with its tender (a struct without vectors and search texts) and its newest feedback, if any."""
+    one = matches.where((F.col("match_id") == match_id) & (F.col("tenant_id") == tenant_id))
+    tender = F.struct(*[c for c in tenders.columns if not c.startswith("embedding") and c != "search"]).alias("tender")
+    said = newest(feedback.where(F.col("match_id") == match_id), ["match_id"], [F.desc("created_at")], 1)
+    said = said.select("match_id", F.struct(*[c for c in said.columns if c != "match_id"]).alias("feedback"))
+    return one.join(tenders.select("tender_id", tender), "tender_id", "left").join(said, "match_id", "left")
 
 
 def digest_deliveries(payloads: DataFrame, default: str | None) -> DataFrame:
@@ -66,7 +91,7 @@ def digest_deliveries(payloads: DataFrame, default: str | None) -> DataFrame:
 def after_sending(schedules: DataFrame, payloads: DataFrame, now: Column) -> DataFrame:
     """Schedules with last_sent_at = now for the tenants that got a payload."""
     sent = payloads.select("tenant_id", F.lit(True).alias("_sent")).distinct()
-    return schedules.join(sent, "tenant_id", "left").withColumn("last_sent_at", F.when("_sent", now).otherwise(F.col("last_sent_at"))).drop("_sent")
+    return schedules.join(sent, "tenant_id", "left").withColumn("last_sent_at", F.when(F.col("_sent"), now).otherwise(F.col("last_sent_at"))).drop("_sent")
 
 
 #: Least time since the last sending, in minutes; every_n_days is reckoned from its days.
@@ -100,6 +125,11 @@ def labeled_matches(matches: DataFrame, feedback: DataFrame, tenders: DataFrame,
     return rows.select(F.col("fit_score").alias("predicted"), F.col("interested").alias("label"), F.coalesce("source", F.lit("(unknown)")).alias("group"), "model_version", "created_at")
 
 
+def run_model(labeled: DataFrame) -> DataFrame:
+    """The model version of an evaluation: that of its earliest labeled match; ``(unknown)`` without any."""
+    return labeled.agg(F.coalesce(F.min_by("model_version", F.struct("created_at", "model_version")), F.lit("(unknown)")).alias("model_version"))
+
+
 def confusion(samples: DataFrame, thresholds: tuple[int, ...] = (40, 60, 75)) -> DataFrame:
     """(threshold, group, tp, fp, fn, tn, total); group null: overall. A null group is ``(ungrouped)``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,11 @@ def validate_profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_by_rules(rows, {"one_liner": ~F.coalesce(F.length("one_liner").between(1, 280), F.lit(False)), "geographies": F.exists("geographies", lambda g: F.length(g) != 2), "numbers": (c("team_size") < 0) | (c("budget_min_usd") < 0) | (c("budget_max_usd") < 0)})
 
 
+def validate_feedback(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feedback says whether a match is of interest; a note is optional."""
+    return split_by_rules(rows, {"match_id": F.col("match_id").isNull(), "interested": F.col("interested").isNull()})
+
+
 def profile_defaults(rows: DataFrame) -> DataFrame:
     """Nulls as the reader of a profile takes them: empty lists, zeros, English, location counts."""
     lists = [n for n, t in rows.dtypes if t == "array<string>"]
@@ -98,10 +104,46 @@ def uncatalogued(rows: DataFrame, catalog: DataFrame, key: str = "source") -> Da
     return rows.select(key).where(F.col(key).isNotNull()).distinct().join(catalog.select(key), key, "left_anti")
 
 
-def unique_slugs(rows: DataFrame, slug: str, order: list[str]) -> DataFrame:
-    """base, base-2, base-3 … in order of creation."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return rows.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
+def unique_slugs(rows: DataFrame, slug: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """base, base-2, base-3 … in order of creation, the first that neither ``taken`` (slug) nor an earlier row has.
+
+    Slugs that differ only by numbers at their end can meet (``a``'s second is ``a-2``): such families are numbered together, one
+    after the other. A slug that has its family to itself is numbered by counts of earlier rows in two levels (blocks of
+    rows, then inside a block), so that a name that all rows share is no task of its own.
+    """
+    family = lambda c: F.regexp_replace(c, "(?:-[0-9]+)+$", "")
+    marked = rows.withColumn("_family", family(F.col(slug)))
+    known = rows.select(F.col(slug).alias("_s")).distinct()
+    if taken is not None:
+        known = known.unionByName(taken.select(F.col("slug").alias("_s")))
+    mixed = known.groupBy(family(F.col("_s")).alias("_family")).agg(F.count("*").alias("_n")).where("_n > 1").select("_family")
+    alone = marked.join(mixed, "_family", "left_anti").drop("_family")
+    block = alone.repartitionByRange(slug, *order).withColumn("_block", F.spark_partition_id())
+    sizes = block.groupBy(slug, "_block").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(slug).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_start", before).drop("_size")
+    n = F.row_number().over(Window.partitionBy(slug, "_block").orderBy(*order)) + F.col("_start")
+    numbered = block.join(starts, [slug, "_block"]).withColumn("_k", n)
+    numbered = numbered.withColumn("unique_slug", F.when(F.col("_k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_k").cast("string")))).select(*rows.columns, "unique_slug")
+    schema = rows.withColumn("unique_slug", F.lit("").cast("string")).schema
+    for f in schema:
+        f.nullable = True
+
+    def assign(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        mine, used, last, out = mine.sort_values(order), set(others["_s"]), {}, []
+        for base in mine[slug]:
+            k = last.get(base, 1)
+            while (name := base if k == 1 else f"{base}-{k}") in used:
+                k += 1
+            used.add(name)
+            last[base] = k
+            out.append(name)
+        return mine.drop(columns="_family").assign(unique_slug=out)
+
+    others = (taken.select(F.col("slug").alias("_s")) if taken is not None else known.limit(0)).withColumn("_family", family(F.col("_s")))
+    together = marked.join(mixed, "_family", "left_semi").select(*rows.columns, "_family")
+    shared = together.groupBy("_family").cogroup(others.groupBy("_family")).applyInPandas(assign, schema)
+    return numbered.unionByName(shared)
 
 
 def since_cutoff(catalog: DataFrame, tenders: DataFrame, now: Column, rewind_days: int = 45, first_days: int = 14) -> DataFrame:
@@ -111,16 +153,21 @@ def since_cutoff(catalog: DataFrame, tenders: DataFrame, now: Column, rewind_day
     return catalog.select("source").join(seen, "source", "left").select("source", (base - F.make_dt_interval(days=F.lit(rewind_days))).alias("since"))
 
 
-def ingest_summary(changes: DataFrame, by: str = "source") -> DataFrame:
-    """fetched, inserted, updated and skipped rows of each source; ``change`` says which."""
+def ingest_summary(changes: DataFrame, by: str = "source", rejects: DataFrame | None = None) -> DataFrame:
+    """fetched, inserted, updated, skipped and errors of each source; ``change`` says which, ``rejects`` (with ``failed``, the rules
+    that each row broke) were skipped, and errors counts those rules."""
     is_ = lambda x: F.count_if(F.col("change") == x)
-    return changes.where("change <> 'kept'").groupBy(by).agg(F.count("*").alias("fetched"), is_("inserted").alias("inserted"), is_("updated").alias("updated"), is_("skipped").alias("skipped"))
+    kept = changes.where("change <> 'kept'").select(by, "change", F.lit(0).alias("errors"))
+    if rejects is not None:
+        kept = kept.unionByName(rejects.select(by, F.lit("skipped").alias("change"), F.size("failed").alias("errors")))
+    return kept.groupBy(by).agg(F.count("*").alias("fetched"), is_("inserted").alias("inserted"), is_("updated").alias("updated"), is_("skipped").alias("skipped"), F.sum("errors").alias("errors"))
 
 
-def select_sources(catalog: DataFrame, csv: str | None) -> DataFrame:
-    """The catalog's sources that a comma-separated list names; an empty list means all."""
+def select_sources(catalog: DataFrame, csv: str | None, filtered: bool = False) -> DataFrame:
+    """The catalog's sources that a comma-separated list names. An empty list means all, or none where the list is a
+    filter that is on."""
     names = list(dict.fromkeys(x.strip() for x in (csv or "").split(",") if x.strip()))
-    return catalog.where(F.col("source").isin(names)) if names else catalog
+    return catalog.where(F.col("source").isin(names)) if names else catalog.where(F.lit(not filtered))
 
 
 def enabled_sources(catalog: DataFrame) -> DataFrame:
@@ -143,6 +190,12 @@ def embedding_summary(table: DataFrame) -> DataFrame:
     return table.groupBy("embedding_status", "embedding_model").agg(F.count("*").alias("n"))
 
 
+def embedding_run(pending: DataFrame, vectors: DataFrame) -> DataFrame:
+    """embedded, failed and skipped rows of a run by model: with a vector, with a null one, and with none at all."""
+    came = pending.join(vectors.select("id", F.lit(True).alias("_came"), F.col("vector").isNotNull().alias("_is")), "id", "left")
+    return came.groupBy("embedding_model").agg(F.count_if("_is").alias("embedded"), F.count_if(~F.col("_is")).alias("failed"), F.count_if(F.col("_came").isNull()).alias("skipped"))
+
+
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of a key: feedback by match, profile by tenant. Reduced before the shuffle."""
     rest = [c for c in rows.columns if c != key]

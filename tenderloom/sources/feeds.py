@@ -18,10 +18,14 @@ _CLASS = "struct<scheme:string,id:string,description:string>"
 _MONEY = "struct<amount:double,currency:string>"
 RELEASE = f"struct<id:string,ocid:string,date:string,language:string,buyer:struct<name:string>,parties:array<struct<name:string,roles:array<string>,address:struct<countryName:string>>>,tender:struct<title:string,description:string,value:{_MONEY},minValue:{_MONEY},classification:{_CLASS},additionalClassifications:array<{_CLASS}>,mainProcurementCategory:string,tenderPeriod:struct<endDate:string>,items:array<struct<classification:{_CLASS}>>>>"
 NOTICE = "struct<noticeId:string,title:string,description:string,fullParentPathName:string,postedDate:string,responseDeadLine:string,uiLink:string,naicsCode:string,classificationCode:string,award:struct<amount:string>>"
-DOC = "struct<id:string,project_name:string,notice_type:string,notice_text:string,bid_description:string,notice_date:string,deadline_date:string,submission_date:string,project_ctry_name:string,project_ctry_code:string,procurement_method:string,total_contract_amount:string,notice_lang_name:string,url:string>"
+DOC = "struct<id:string,project_name:string,notice_type:string,notice_text:string,bid_description:string,notice_date:string,deadline_date:string,project_ctry_name:string,project_ctry_code:string,procurement_method:string,total_contract_amount:string,notice_lang_name:string,url:string>"
 _TEXTS = "array<string>"
 
 
+#: Buyers, links and titles of notices that name none.
+UNDP_FEED = "https://procurement-notices.undp.org/rss_feeds/rss.xml"
+
+
 def rows(df: DataFrame, source: str, columns: dict[str, Column]) -> DataFrame:
     """A projection to the common row; what a feed does not have is null."""
     kinds = {"cpv_codes": _TEXTS, "budget_min_usd": "int", "budget_max_usd": "int", "published_at": "timestamp", "deadline_at": "timestamp"}
@@ -62,10 +66,10 @@ def read_ocds(payloads: DataFrame, source: str, url: str, run_ts: Column) -> Dat
 
 def read_sam(payloads: DataFrame, run_ts: Column) -> DataFrame:
     n = payloads.select(F.explode(F.from_json("payload", f"struct<opportunitiesData:array<{NOTICE}>>")["opportunitiesData"]).alias("n")).select("n.*", F.to_json("n").alias("raw"))
-    amount = V.to_usd(F.regexp_replace("award.amount", "[^0-9.-]", "").try_cast("double"), F.lit("USD"))
+    amount = V.to_usd(V.leading_number(F.col("award.amount")), F.lit("USD"))
     c = F.col
     return rows(n, "sam_gov", {
-        "external_id": c("noticeId"), "title": c("title"), "description": F.coalesce("description", F.lit("")), "url": F.coalesce("uiLink", F.concat(F.lit("https://sam.gov/opp/"), c("noticeId"))),
+        "external_id": c("noticeId"), "title": c("title"), "description": F.coalesce("description", F.lit("")), "url": F.coalesce("uiLink", F.concat(F.lit("https://sam.gov/opp/"), c("noticeId"), F.lit("/view"))),
         "buyer": F.coalesce("fullParentPathName", F.lit("US Federal Government")), "country": F.lit("US"), "sector": F.coalesce("naicsCode", "classificationCode"), "cpv_codes": F.array(),
         "budget_min_usd": amount, "budget_max_usd": amount, "currency": F.lit("USD"), "published_at": F.coalesce(V.parse_date(c("postedDate"), "iso"), run_ts), "deadline_at": F.try_to_timestamp("responseDeadLine"), "raw": c("raw"),
     })
@@ -75,11 +79,12 @@ def read_ted(payloads: DataFrame, run_ts: Column) -> DataFrame:
     """Notices whose fields are strings, lists or maps by language: each is first kept as JSON text, then read as what it is."""
     n = payloads.select(F.explode(F.from_json("payload", "struct<notices:array<map<string,string>>>")["notices"]).alias("n"))
     f = lambda k: F.try_element_at("n", F.lit(k))
-    n = n.withColumn("cpv", V.to_string_array(f("classification-cpv"))).withColumn("value", F.from_json(f("estimated-value-lot"), _MONEY))
+    n = n.withColumn("cpv", V.to_string_array(f("classification-cpv"))).withColumn("value", F.when(f("estimated-value-lot").rlike(r"^\s*\["), F.get(F.from_json(f("estimated-value-lot"), f"array<{_MONEY}>"), F.lit(0))).otherwise(F.from_json(f("estimated-value-lot"), _MONEY)))
+    page = V.pick_localized(F.get_json_object(f("links"), "$.html"))
     usd, number = V.to_usd(F.col("value.amount"), F.col("value.currency")), V.pick_localized(f("publication-number"))
     return rows(n, "ted_eu", {
-        "external_id": number, "title": V.pick_localized(f("title")), "description": F.coalesce(V.pick_localized(f("description")), F.lit("")), "url": F.concat(F.lit("https://ted.europa.eu/en/notice/-/detail/"), number),
-        "buyer": F.coalesce(V.pick_localized(f("buyer-name")), F.lit("EU contracting authority")), "country": V.country_from_code(V.pick_localized(f("buyer-country"))), "sector": F.get("cpv", F.lit(0)), "cpv_codes": F.col("cpv"),
+        "external_id": number, "title": V.pick_localized(f("title")), "description": F.coalesce(V.pick_localized(f("description")), F.lit("")), "url": F.coalesce(page, F.concat(F.lit("https://ted.europa.eu/en/notice/-/detail/"), F.url_encode(number))),
+        "buyer": F.coalesce(V.pick_localized(f("buyer-name")), F.lit("EU Buyer")), "country": V.country_from_code(V.pick_localized(f("buyer-country"))), "sector": F.get("cpv", F.lit(0)), "cpv_codes": F.col("cpv"),
         "budget_min_usd": usd, "budget_max_usd": usd, "currency": F.col("value.currency"), "published_at": F.coalesce(V.parse_date(V.pick_localized(f("publication-date")), "iso"), run_ts),
         "deadline_at": V.parse_date(V.pick_localized(f("deadline-receipt-tender-date-lot")), "iso"), "raw": F.to_json("n"),
     })
@@ -129,15 +134,15 @@ def is_stale(deadline: Column, now: Column, days: int = 14) -> Column:
 def read_world_bank(payloads: DataFrame, run_ts: Column, since: Column | None = None) -> DataFrame:
     d = world_bank_docs(payloads).where(is_open_notice(F.col("notice_type")) & ~looks_awarded(F.col("notice_text"), F.col("bid_description")))
     c = F.col
-    d = d.withColumn("published", F.coalesce(V.parse_date(c("notice_date"), "loose"), run_ts)).withColumn("deadline", V.parse_date(F.coalesce("submission_date", "deadline_date"), "loose"))
+    d = d.withColumn("published", F.coalesce(V.parse_date(c("notice_date"), "loose"), run_ts)).withColumn("deadline", V.parse_date(c("deadline_date"), "loose"))
     d = d.where(~is_stale(c("deadline"), run_ts))
     if since is not None:
         d = d.where(c("published") >= since)
-    usd = V.to_usd(F.regexp_replace("total_contract_amount", "[^0-9.-]", "").try_cast("double"), F.lit("USD"))
+    usd = V.to_usd(V.leading_number(c("total_contract_amount")), F.lit("USD"))
     return rows(d, "world_bank", {
-        "external_id": c("id"), "title": F.coalesce("project_name", "bid_description", F.lit("World Bank procurement notice")), "description": F.coalesce("notice_text", "bid_description", F.lit("")),
-        "url": F.coalesce("url", F.concat(F.lit("https://projects.worldbank.org/en/projects-operations/procurement-detail/"), c("id"))), "buyer": F.coalesce("project_ctry_name", F.lit("World Bank")),
-        "country": V.country_from_code(c("project_ctry_code")), "sector": c("procurement_method"), "cpv_codes": F.array(), "budget_min_usd": usd, "budget_max_usd": usd, "currency": F.lit("USD"),
+        "external_id": c("id"), "title": F.coalesce("project_name", "bid_description", F.lit("World Bank Procurement Notice")), "description": F.coalesce("notice_text", "bid_description", F.lit("")),
+        "url": F.coalesce("url", F.concat(F.lit("https://projects.worldbank.org/en/projects-operations/procurement-detail/"), F.url_encode("id"))), "buyer": F.coalesce("project_name", F.lit("World Bank")),
+        "country": V.country_from_code(c("project_ctry_code")), "sector": F.coalesce("procurement_method", "notice_type"), "cpv_codes": F.array(), "budget_min_usd": usd, "budget_max_usd": usd, "currency": F.lit("USD"),
         "published_at": c("published"), "deadline_at": c("deadline"), "raw": c("raw"),
     })
 
@@ -154,3 +159,16 @@ def read_feed_items(payloads: DataFrame, most: int = 100) -> DataFrame:
     href = F.nullif(F.regexp_extract("x", r"""(?is)<link\b[^>]*href=["']([^"']+)["']""", 1), F.lit(""))
     about = F.nullif(F.regexp_extract("x", r"""(?is)rdf:about=["']([^"']+)["']""", 1), F.lit(""))
     return items.select("page", "pos", tag("title").alias("title"), F.coalesce(tag("link"), href, about).alias("link"), tag("description", "summary", "content").alias("description"), tag("pubDate", "published", "updated", "dc:date").alias("published"), F.coalesce(tag("guid", "id"), about).alias("guid"))
+
+
+def read_undp(payloads: DataFrame, run_ts: Column, since: Column | None = None) -> DataFrame:
+    """Notices of UNDP's feeds: items with a title and a link; an undated one takes ``run_ts``."""
+    items = read_feed_items(payloads).where("title is not null and link is not null")
+    items = items.withColumn("published_at", F.when(F.col("published").isNull(), run_ts).otherwise(F.coalesce(V.parse_date(F.col("published"), "loose"), F.try_to_timestamp("published"))))
+    if since is not None:
+        items = items.where(F.col("published_at") >= since)
+    c = F.col
+    return rows(items, "undp", {
+        "external_id": F.coalesce("guid", "link"), "title": c("title"), "description": F.coalesce(F.nullif(T.strip_tags(c("description")), F.lit("")), c("title")), "url": c("link"), "buyer": F.lit("UNDP"),
+        "sector": F.lit("UNDP Procurement Notice"), "cpv_codes": F.array(), "published_at": c("published_at"), "raw": F.to_json(F.struct(F.lit(UNDP_FEED).alias("sourceFeed"), "title", "link", "description", "published", "guid")),
+    })

@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Characters before and after an anchor that belong to it, by portal.
-WINDOWS = {"austender": (0, 4000), "canada_buys": (0, 2000), "gem": (600, 2000), "gebiz": (500, 1500), "gca": (0, 3000), "afdb": (0, 2000), "ifc": (0, 2000), "jica": (500, 0)}
-
-
-def extract_table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, row, cells): every table row with cells, the cells cleaned of tags."""
+def extract_table_rows(pages: DataFrame, raw: bool = False) -> DataFrame:
+    """(page_id, row, cells): every table row with cells, the cells cleaned of tags unless ``raw``."""
     body = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr")
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: T.strip_tags(c))
+    cells = F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
+    cells = cells if raw else F.transform(cells, lambda c: T.strip_tags(c))
     return pages.select("page_id", body).select("page_id", "row", cells.alias("cells")).where(F.size("cells") > 0)
 
 
@@ -51,14 +48,3 @@ def first_of_page(rows: DataFrame, item: str) -> DataFrame:
     """The first occurrence of an item on its page."""
     order = Window.partitionBy("page_id", item).orderBy("pos")
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-
-
-#: Labels of navigation that are no tenders.
-NAVIGATION = ("home", "next", "previous", "login", "register", "contact us", "about us", "read more", "back", "search")
-
-
-def listing_rows(rows: DataFrame, min_title: int = 8) -> DataFrame:
-    """Rows that can be tenders: status open or active where there is one, no header or navigation labels, no very short titles."""
-    status = F.lower(F.trim("status")) if "status" in rows.columns else F.lit(None)
-    header = F.lower("title").isin("title", "tender title", "subject", "description", *NAVIGATION)
-    return rows.where((status.isNull() | status.rlike("open|active")) & ~header & (F.length(F.trim("title")) >= min_title))

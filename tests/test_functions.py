@@ -15,6 +15,7 @@ from tenderloom.operators import retrieval as Q
 from tenderloom.operators import tables as K
 from tenderloom.sources import feeds as S
 from tenderloom.sources import html as H
+from tenderloom.sources import portals as L
 
 
 def now():
@@ -198,12 +199,76 @@ def test_latest_and_profiles(spark):
     assert {tuple(r) for r in K.save_profile(current, new).collect()} == {(1, "z", "pending"), (2, "y", "ready")}
 
 
-def test_rows_of_a_listing(spark):
-    rows = spark.createDataFrame([("Supply of pipes", "Open"), ("Tender title", None), ("Home", "open"), ("Old road works", "closed"), ("Bridge repair", None)], "title string, status string")
-    assert {r.title for r in H.listing_rows(rows).collect()} == {"Supply of pipes", "Bridge repair"}
+def test_titles_and_places_of_anchors(spark):
+    """Every portal has its own least title and navigation words; a notice is known by its own id, its window has both sides."""
+    page = '<a href="/en/documents/a">Procurement</a><a href="/en/documents/b">Roads</a><a href="/en/documents/c">Road works</a><a href="/agreements/RM1?x=1">Abc</a><a href="/agreements/RM1">Abcd</a><a href="/agreements/RM2">Ab</a>'
+    pages = spark.createDataFrame([(1, page), (2, page), (3, None)], "page_id long, html string")
+    assert sorted((r.page_id, r.title, r.external_id) for r in L.listing_items(pages, "afdb").collect()) == [(i, "Road works", "https://www.afdb.org/en/documents/c") for i in (1, 2)]
+    assert sorted((r.page_id, r.title, r.external_id) for r in L.listing_items(pages, "gca_uk").collect()) == [(i, "Abc", "RM1") for i in (1, 2)]
+    assert all(L.listing_items(pages.where("page_id = 3"), s).count() == 0 for s in ("afdb", "ebrd", "ungm", "sop_pk"))
+
+
+def test_fallbacks_of_listings(spark):
+    row = "<table><tr>" + "".join(f"<td>{x}</td>" for x in ("7", "Supply of water pumps", "none", "n/a", "x")) + "</tr></table>"
+    r = L.read_listing(spark.createDataFrame([(1, row)], "page_id long, html string"), "ppra_punjab", now()).first()
+    assert (r.external_id, r.buyer, r.url, r.deadline_at, r.description) == ("ppra-punjab-Supply-of-water-pumps-nodeadline", "none", "https://eproc.punjab.gov.pk/ActiveTenders.aspx", None, "Supply of water pumps")
+    few = "<tr><td><a href='x'></a><a href=\"/delta/viewNotice.html?displayNoticeId=5\">Road works</a></td><td>Request for Proposals</td><td>N/A</td><td>05/01/2026</td><td>N/A</td><td>OPEN</td></tr>"
+    r = L.read_listing(spark.createDataFrame([(1, few)], "page_id long, html string"), "ebrd", now()).first()
+    assert (r.buyer, r.country, r.description, r.deadline_at, r.url) == ("EBRD", None, "Request for Proposals", None, "https://ecepp.ebrd.com/delta/delta/viewNotice.html?displayNoticeId=5")
+
+
+@pytest.mark.parametrize("url, at", [("a.pdf", "https://h.org/p/a.pdf"), ("./a.pdf", "https://h.org/p/a.pdf"), ("/a", "https://h.org/a"), ("//k.org/a", "https://k.org/a"), ("?q=1", "https://h.org/p/q?q=1"), ("mailto:x@y", "mailto:x@y"), ("HTTP://k.org", "HTTP://k.org")])
+def test_links(spark, url, at):
+    assert one(spark, T.absolutize(F.col("x"), "https://h.org/p/q"), x=url) == at
+
+
+def test_long_entities(spark):
+    assert one(spark, T.decode_entities(F.col("x")), x="&#0000000000065;&#x00000000000042;&#4294967361;") == "ABA"
+
+
+def test_slugs_are_unique(spark):
+    """The rule row by row: the first of base, base-2, base-3 ... that nobody has."""
+    bases = ["a", "a", "a-2", "b", "a-2", "a", "a-3", "tenant", "tenant", "tenant", "b-7", "c", "a-2-2", "a", "c", "b"] + ["x"] * 30
+    taken = {"b", "b-3", "tenant-2"}
+    used, want = set(taken), []
+    for base in bases:
+        k, name = 1, base
+        while name in used:
+            k += 1
+            name = f"{base}-{k}"
+        used.add(name)
+        want.append(name)
+    rows = spark.createDataFrame(list(enumerate(bases)), "id int, slug string").repartition(3)
+    got = K.unique_slugs(rows, "slug", ["id"], spark.createDataFrame([(x,) for x in taken], "slug string")).collect()
+    assert [r.unique_slug for r in sorted(got, key=lambda r: r.id)] == want
+    assert {r.unique_slug for r in K.unique_slugs(rows.where("id < 2"), "slug", ["id"]).collect()} == {"a", "a-2"}
+
+
+def test_tenants_of_an_address(spark):
+    users = spark.createDataFrame([("A@x.org", 2), ("a@x.org", 1), ("b@x.org", 3)], "email string, tenant_id int")
+    tenants = spark.createDataFrame([(1, 5), (2, 4), (3, 3)], "tenant_id int, created_at int")
+    profiles = spark.createDataFrame([(1,), (1,)], "tenant_id int")
+    assert [(r.tenant_id, r.has_profile) for r in K.owned_tenants(users, tenants, profiles, "a@X.org").collect()] == [(2, False), (1, True)]
+
+
+def test_failing_pairs_cost_only_themselves(spark):
+    def score(pairs):
+        if (pairs.tender_id % 7 == 0).any():
+            raise ValueError("no")
+        return pairs.tender_id * 2.0
+
+    rows = M.score_pairs(spark.range(50).selectExpr("1L tenant_id", "id tender_id").coalesce(1), score).collect()
+    assert {r.tender_id for r in rows if r.error} == set(range(0, 50, 7)) and all(r.score == 2 * r.tender_id for r in rows if not r.error)
+
+
+def test_results_by_partition(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    K.write_results(spark.createDataFrame([(1, "a"), (2, "b")], "x int, k string"), path, ["k"])
+    K.write_results(spark.createDataFrame([(3, "b")], "x int, k string"), path, ["k"])
+    assert {(r.x, r.k) for r in spark.read.parquet(path).collect()} == {(1, "a"), (3, "b")}
 
 
 def test_sources(spark):
     catalog = spark.createDataFrame([("a", "available", None), ("b", "available", "no key"), ("c", "planned", None)], "source string, availability string, unavailable_reason string")
-    assert {r.source for r in K.select_sources(catalog, " b, x,b ").collect()} == {"b"} and K.select_sources(catalog, "").count() == 3
+    assert {r.source for r in K.select_sources(catalog, " b, x,b ").collect()} == {"b"} and K.select_sources(catalog, "").count() == 3 and K.select_sources(catalog, "", filtered=True).count() == 0
     assert {r.source for r in K.enabled_sources(catalog).collect()} == {"a"}

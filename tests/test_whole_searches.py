@@ -62,25 +62,25 @@ def _same(got, want):
 def test_dense_of_all(spark):
     want = _vectors(spark)
     assert len(want) == 25
-    _same(_got(plan.queries()["dense_topk_all"](spark, SF).collect(), "distance"), want)
+    _same(_got(plan.queries()["dense_topk"](spark, SF).collect(), "distance"), want)
 
 
 def test_terms_of_all(spark, texts):
     docs, items = texts
     assert max(map(len, map(_words, items.values()))) > 6
-    _same(_got(plan.queries()["text_topk_terms_all"](spark, SF).collect(), "rank"), _ranked(docs, {i: set(_words(t)) for i, t in items.items()}, 1))
+    _same(_got(plan.queries()["text_topk_terms"](spark, SF).collect(), "rank"), _ranked(docs, {i: set(_words(t)) for i, t in items.items()}, 1))
 
 
 def test_phrases_of_all(spark, texts):
     docs, items = texts
     asked = {i: {" ".join(_words(t)[k : k + 3]) for k in range(len(_words(t)) - 2)} for i, t in items.items()}
-    _same(_got(plan.queries()["text_topk_phrase_all"](spark, SF).collect(), "rank"), _ranked(docs, asked, 3))
+    _same(_got(plan.queries()["text_topk_phrase"](spark, SF).collect(), "rank"), _ranked(docs, asked, 3))
 
 
 def test_fused_of_all(spark, texts):
     docs, items = texts
     dense, text = _vectors(spark), _ranked(docs, {i: set(_words(t)) for i, t in items.items()}, 1)
-    got = _got(plan.queries()["rrf_fuse_all"](spark, SF).collect(), "score")
+    got = _got(plan.queries()["rrf_fuse"](spark, SF).collect(), "score")
     assert set(got) == set(dense) | set(text)
     for k, rows in got.items():
         score = defaultdict(float)
