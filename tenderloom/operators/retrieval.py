@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,18 +89,27 @@ def text_topk(queries: DataFrame, tenders: DataFrame, zones: dict[str, str], k:
 
     queries: (tenant_id, term); a term of several words is a phrase: its words at consecutive positions of a zone.
     rank = s / (s + 1), s the zone weights over all occurrences. Ties: later published_at, then id. Postings are
-    cut to the queries' vocabulary before anything is shuffled, and summed per tender before the ranking.
+    cut to the queries' vocabulary before anything is shuffled; single words are summed per tender on the map side, and only
+    phrases of several words need positions.
     """
     asked = queries.select("tenant_id", word_splits(F.col("term")).alias("words")).where("size(words) > 0").distinct()
     asked = asked.withColumn("phrase", F.array_join("words", " "))
-    vocabulary = asked.select(F.explode("words").alias("term")).distinct()
-    found = postings(tenders, zones).join(vocabulary, "term", "left_semi")
-    need = asked.select("phrase", "words").distinct().select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    # an occurrence of a phrase is a start position at which every word of it stands at its offset
-    starts = found.join(need, "term").select("phrase", "n", "tender_id", "zone", (F.col("pos") - F.col("offset")).alias("at"), "offset")
-    hits = starts.groupBy("phrase", "n", "tender_id", "zone", "at").agg(F.count_distinct("offset").alias("m")).where("m = n")
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.col("zone"))
-    by_phrase = hits.groupBy("phrase", "tender_id").agg(F.sum(weight).alias("s"))
+    parts = []
+    words = asked.where("size(words) = 1").select("phrase").distinct()
+    if not words.isEmpty():
+        found = postings(tenders, zones).withColumnRenamed("term", "phrase").join(words, "phrase", "left_semi")
+        parts.append(found.groupBy("phrase", "tender_id").agg(F.sum(weight).alias("s")))
+    phrases = asked.where("size(words) > 1").select("phrase", "words").distinct()
+    if not phrases.isEmpty():
+        need = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+        # an occurrence of a phrase is a start position at which every word of it stands at its offset, each at one place alone
+        starts = postings(tenders, zones).join(need, "term").select("phrase", "n", "tender_id", "zone", (F.col("pos") - F.col("offset")).alias("at"))
+        hits = starts.groupBy("phrase", "n", "tender_id", "zone", "at").agg(F.count("*").alias("m")).where("m = n")
+        parts.append(hits.groupBy("phrase", "tender_id").agg(F.sum(weight).alias("s")))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "tenant_id long, tender_id long, rank double, pos int")
+    by_phrase = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     scores = by_phrase.join(asked.select("tenant_id", "phrase"), "phrase").groupBy("tenant_id", "tender_id").agg(F.sum("s").alias("s"))
     ranked = scores.join(tenders.select("tender_id", "published_at"), "tender_id").select("tenant_id", "tender_id", F.round(F.col("s") / (F.col("s") + 1), 9).alias("rank"), "published_at")
     order = Window.partitionBy("tenant_id").orderBy(F.desc("rank"), F.desc("published_at"), "tender_id")
@@ -133,12 +143,34 @@ def clamp_similarity(distance):
 def mean_pool(chunks: DataFrame, by: str, vector: str, weight: str) -> DataFrame:
     """(by, vector): weighted mean of each group's vectors, without bringing a group together.
 
-    All-zero weights count as equal. A negative weight or vectors of different lengths are errors.
+    Vectors are summed by group inside each Arrow batch; only those sums are taken apart and added up. All-zero weights
+    count as equal. A negative weight or vectors of different lengths are errors; null vectors take no part.
     """
-    checked = F.when(F.col(weight) < 0, F.raise_error(F.lit("negative weight"))).otherwise(F.col(weight).cast("double"))
-    each = chunks.select(by, checked.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
-    sums = each.groupBy(by, "_i").agg(F.sum(F.col("_x") * F.col("_w")).alias("wx"), F.sum("_w").alias("w"), F.sum("_x").alias("x"), F.count("*").alias("n"))
+    rows = chunks.where(F.col(vector).isNotNull()).select(by, F.col(weight).cast("double").alias("w"), F.col(vector).cast("array<double>").alias("v"))
+    key = rows.schema[by].dataType.simpleString()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column(1).to_numpy(zero_copy_only=False)
+            if (w < 0).any():
+                raise ValueError("negative weight")
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for n in np.unique(size):
+                part = batch.filter(pa.array(size == n))
+                x, w = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, int(n)), part.column(1).to_numpy(zero_copy_only=False)
+                group = part.column(0).dictionary_encode(null_encoding="encode")
+                at, groups = group.indices.to_numpy(), len(group.dictionary)
+                sums = np.zeros((2, groups, int(n)))
+                np.add.at(sums[0], at, x * w[:, None])
+                np.add.at(sums[1], at, x)
+                ends = pa.array(np.arange(groups + 1, dtype=np.int32) * int(n))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(y.ravel())) for y in sums]
+                yield pa.RecordBatch.from_arrays([group.dictionary, *lists, pa.array(np.bincount(at, w, groups)), pa.array(np.bincount(at, minlength=groups))], [by, "wx", "x", "w", "n"])
+
+    sums = rows.mapInArrow(summed, f"`{by}` {key}, wx array<double>, x array<double>, w double, n long")
+    each = sums.select(by, "w", "n", F.posexplode(F.arrays_zip("wx", "x")).alias("_i", "_x"))
+    each = each.groupBy(by, "_i").agg(F.sum("_x.wx").alias("wx"), F.sum("w").alias("w"), F.sum("_x.x").alias("x"), F.sum("n").alias("n"))
     value = F.when(F.col("w") == 0, F.col("x") / F.col("n")).otherwise(F.try_divide("wx", "w"))
-    rows = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"), F.min("n").alias("_a"), F.max("n").alias("_b"))
+    rows = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"), F.min("n").alias("_a"), F.max("n").alias("_b"))
     same = F.when(F.col("_a") != F.col("_b"), F.raise_error(F.lit("vectors of different lengths"))).otherwise(F.transform("_v", lambda x: x["v"]))
     return rows.select(by, same.cast("array<double>").alias(vector))

@@ -717,22 +717,13 @@ def _landed(stream: DataFrame, name: str) -> DataFrame:
 
 @query("SELECT event_type, user_id, arg_max(value, {'ts': ts, 'event_id': event_id}) AS value FROM events GROUP BY 1, 2")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming.ingest import upsert_stream
+    from ..streaming.ingest import merge_stream
 
     folder, schema = _shared(spark), B.table(spark, d, "events").schema
     state = f"{', '.join(f'{n} {t}' for n, t in B.table(spark, d, 'events').select(*_EVENT_KEY, 'value', 'ts', 'event_id').dtypes)}, embedding_status string, ingested_at timestamp"
-    last = {"path": None}
-
-    def read() -> DataFrame:
-        return spark.read.schema(state).parquet(last["path"]) if last["path"] else spark.createDataFrame([], state)
-
-    def write(table: DataFrame, batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(f"{folder}/table-{batch_id}")
-        last["path"] = f"{folder}/table-{batch_id}"
-
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    upsert_stream(stream, read, write, _EVENT_KEY, ["value", "ts", "event_id"], ["ts", "event_id"], B.now(), f"{folder}/state").awaitTermination()
-    return read().select(*_EVENT_KEY, "value")
+    merge_stream(stream, f"{folder}/table", _EVENT_KEY, ["value", "ts", "event_id"], ["ts", "event_id"], B.now(), ["event_type"], state, f"{folder}/state").awaitTermination()
+    return spark.read.schema(state).parquet(f"{folder}/table").select(*_EVENT_KEY, "value")
 
 
 # ---- listings, prompts, latest rows
