@@ -92,11 +92,30 @@ def formatted(turns: DataFrame) -> DataFrame:
     return convs.select("conv_id", F.array_join(F.transform("_p", lambda p: p["whole"]), "").alias("text"), F.size("turns").cast("long").alias("n_turns"), loss.alias("loss"), "attachments")
 
 
+def _halves(text: str) -> Column:
+    """Escaped role and content of each turn of a formatted text."""
+    marked = F.filter(F.split(text, r"<\|turn\|>", -1), lambda x: x != "")
+    return F.transform(marked, lambda x: F.split(F.substring_index(x, END, 1), r"<\|content\|>", -1))
+
+
+def read_parts(convs: DataFrame) -> DataFrame:
+    """conv_id, turns (array of role, parts) of formatted texts: neighbouring texts are one part, and attachments have their type and
+    place. A text that says what a placeholder says is escaped, so it stays a text."""
+    mark = rf"<\|(?:{'|'.join(TOKENS)}):[0-9]+\|>"
+
+    def parts(content: Column) -> Column:
+        texts = F.transform(F.split(content, mark, -1), lambda x: F.struct(F.lit("text").alias("type"), restored(x).alias("text"), F.lit(None).cast("int").alias("place")))
+        part = lambda m: F.struct(F.regexp_extract(m, "[a-z]+", 0).alias("type"), F.lit(None).cast("string").alias("text"), F.regexp_extract(m, "[0-9]+", 0).cast("int").alias("place"))
+        marks = F.transform(F.regexp_extract_all(content, F.lit(mark), F.lit(0)), part)
+        return F.filter(F.flatten(F.zip_with(texts, marks, lambda t, m: F.array_compact(F.array(t, m)))), lambda p: (p["type"] != "text") | (p["text"] != ""))
+
+    turns = F.transform(_halves("text"), lambda h: F.struct(restored(F.get(h, F.lit(0))).alias("role"), parts(F.get(h, F.lit(1))).alias("parts")))
+    return convs.select("conv_id", turns.alias("turns"))
+
+
 def read_back(convs: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text) and loss_text, from the formatted text and its loss places alone."""
-    marked = F.filter(F.split("text", r"<\|turn\|>", -1), lambda x: x != "")
-    halves = F.transform(marked, lambda x: F.split(F.substring_index(x, END, 1), r"<\|content\|>", -1))
-    turns = F.transform(halves, lambda h: F.struct(restored(F.get(h, F.lit(0))).alias("role"), restored(F.get(h, F.lit(1))).alias("text")))
+    turns = F.transform(_halves("text"), lambda h: F.struct(restored(F.get(h, F.lit(0))).alias("role"), restored(F.get(h, F.lit(1))).alias("text")))
     under = F.transform("loss", lambda x: restored(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"])))
     return convs.select("conv_id", turns.alias("turns"), F.array_join(under, "").alias("loss_text"), F.length("text").cast("long").alias("formatted_chars"))
 

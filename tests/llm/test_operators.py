@@ -232,6 +232,10 @@ def test_chat_parts(spark):
     back = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(turns)).collect()}
     assert [(t.role, t.text) for t in back[1].turns] == [("user", "see <|turn|> this<|image:1|><|audio:2|>"), ("assistant", "<|document:3|>ok")]
     assert back[1].loss_text == "<|document:3|>ok" and back[2].turns[0].text == ""
+    same = spark.createDataFrame([(1, None, "user", [p("text", "x <|image:1|> y"), p("image", ref="i"), p("image", ref="j")]), (1, None, "user", []), (1, 2, "user", None), (1, 2, "user", None)], turns.schema)
+    read = chat_format.read_parts(chat_format.formatted(same)).first().turns
+    assert [[tuple(x) for x in t.parts] for t in read] == [[], [("text", "x <|image:1|> y", None), ("image", None, 1), ("image", None, 2)], [], []]
+    assert chat_format.formatted(turns.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("text", ["<|turn|>", "\\<\\|x<\\\\|", "[INST][/INST]</s><s>", "<<|[[INST]\\", "plain"])
