@@ -485,10 +485,16 @@ def split_blocks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", F.col("block").cast("long").alias("block"), F.length("body").cast("long").alias("size"))
 
 
-@query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href="([^"]*)"[^>]*>(?:(?s:.)*?)</a>', 1) AS h FROM pages) SELECT page_id, count(DISTINCT u) AS n FROM (SELECT page_id, unnest(h) AS u FROM a) GROUP BY 1""")
+_ANCHOR = """'<a\\b[^>]*href="([^"]*)"[^>]*>((?s:.)*?)</a>'"""
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_extract_all(html, {_ANCHOR}, 1) AS h, regexp_extract_all(html, {_ANCHOR}, 2) AS t FROM pages), u AS (SELECT page_id, unnest(h) AS href, unnest(t) AS t, unnest(range(len(h))) AS pos FROM a),
+x AS (SELECT page_id, href, pos, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM u),
+y AS (SELECT page_id, href, pos, replace(replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' ') AS title FROM x)
+SELECT page_id, href, arg_min(title, pos) AS title FROM y WHERE title <> '' GROUP BY 1, 2""")
 def anchor_blocks(spark: SparkSession, d: str) -> DataFrame:
     found = H.first_of_page(H.extract_anchor_blocks(B.table(spark, d, "pages"), before=600, after=2000), "href")
-    return found.groupBy("page_id").agg(F.count("*").alias("n"))
+    return found.select("page_id", "href", "title")
 
 
 @query("""SELECT c_custkey AS page_id, 0 AS "row", c_name || '|' || c_mktsegment || '|R & D' AS cells FROM customer UNION ALL SELECT c_custkey, 2, CAST(c_nationkey AS VARCHAR) FROM customer""")
