@@ -993,3 +993,31 @@ def match_detail(spark: SparkSession, d: str) -> DataFrame:
     last = m.agg(F.max(F.struct("tenant_id", "tender_id", "match_id")).alias("x")).select("x.*").first()
     found = R.match_detail(m.drop("interested"), B.tenders(spark, d), feedback, last["tenant_id"], last["match_id"])
     return found.select("tenant_id", "tender_id", "fit_score", F.col("tender.buyer").alias("buyer"), F.col("feedback.interested").alias("interested"))
+
+
+@query("""WITH c AS (SELECT 'src' || n_nationkey AS source, CASE WHEN n_nationkey % 3 = 0 THEN 'planned' ELSE 'available' END AS availability, CASE WHEN n_nationkey % 5 = 0 THEN 'no key' END AS reason FROM nation)
+SELECT source, availability = 'available' AND reason IS NULL AS enabled, source IN ('src1', 'src5', 'src7') AS selected FROM c""")
+def enabled_sources(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    catalog = B.table(spark, d, "nation").select(F.concat(F.lit("src"), k.cast("string")).alias("source"), F.when(k % 3 == 0, "planned").otherwise("available").alias("availability"), F.when(k % 5 == 0, "no key").alias("unavailable_reason"))
+    on = K.enabled_sources(catalog).select("source", F.lit(True).alias("enabled"))
+    some = K.select_sources(catalog, " src7, nobody,src1,src5,src1").select("source", F.lit(True).alias("selected"))
+    both = catalog.select("source").join(on, "source", "left").join(some, "source", "left")
+    return both.select("source", F.coalesce("enabled", F.lit(False)).alias("enabled"), F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
+@query("SELECT s_suppkey AS tenant_id, CASE WHEN s_suppkey % 4 = 0 THEN 'new ' || s_name ELSE s_name END AS one_liner, CASE WHEN s_suppkey % 4 = 0 THEN 'pending' ELSE 'ready' END AS embedding_status FROM supplier")
+def save_profile(spark: SparkSession, d: str) -> DataFrame:
+    s = B.table(spark, d, "supplier")
+    current = s.select(F.col("s_suppkey").alias("tenant_id"), F.col("s_name").alias("one_liner"), F.lit("ready").alias("embedding_status"))
+    return K.save_profile(current, s.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("tenant_id"), F.concat(F.lit("new "), "s_name").alias("one_liner")))
+
+
+@query("SELECT s_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45) AS has_profile FROM supplier WHERE s_nationkey % 2 = 0")
+def owned_tenants(spark: SparkSession, d: str) -> DataFrame:
+    """One user owns the suppliers of even nations."""
+    s = B.table(spark, d, "supplier")
+    users = s.select(F.when(F.col("s_nationkey") % 2 == 0, "Me@x.org").otherwise("b@x.org").alias("email"), F.col("s_suppkey").alias("tenant_id"))
+    known = B.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("tenant_id"))
+    tenants = s.select(F.col("s_suppkey").alias("tenant_id"), F.col("s_acctbal").alias("created_at"))
+    return K.owned_tenants(users, tenants, known, "me@x.org").select(F.col("tenant_id").alias("s_suppkey"), "has_profile")

@@ -85,6 +85,43 @@ def test_chunks():
     assert len(long) >= 5 and all(len(t) <= 500 for t, _, _ in long)
 
 
+def restated(text, target, overlap):
+    """Chunks by recursion: cut at the first separator that the piece has, pack, then reach back into the chunk before."""
+
+    def cut(a, b):
+        if b - a <= target:
+            return [(a, b)] if b > a else []
+        for sep in ("\n\n", "\n", ". ", " "):
+            if sep in text[a:b]:
+                out, at = [], a
+                while (k := text.find(sep, at, b)) >= 0:
+                    out += cut(at, k)
+                    at = k + len(sep)
+                return out + cut(at, b)
+        return [(k, min(k + target, b)) for k in range(a, b, target)]
+
+    if not text.strip():
+        return []
+    if len(text) <= target:
+        return [(text, 0, len(text))]
+    chunks = []
+    for a, b in cut(0, len(text)):
+        if chunks and (chunks[-1][1] - chunks[-1][0]) + (b - a) <= target:
+            chunks[-1] = (chunks[-1][0], b)
+        else:
+            chunks.append((a, b))
+    starts = [chunks[0][0], *(max(p[0], p[1] - overlap) if overlap else c[0] for p, c in zip(chunks, chunks[1:], strict=False))]
+    return [(text[s:b], s, b) for s, (_, b) in zip(starts, chunks, strict=True)]
+
+
+@pytest.mark.parametrize("target, overlap", [(1500, 200), (250, 40), (60, 0)])
+def test_chunks_as_restated(target, overlap):
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        assert split_text(text, target, overlap) == restated(text or "", target, overlap)
+
+
 def test_pooling(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 3.0), (1, [0.0, 1.0, 0.0], 1.0), (2, [2.0, 4.0, 6.0], 0.0), (2, [4.0, 6.0, 8.0], 0.0)], "id int, v array<double>, w double")
     assert {r.id: r.v for r in Q.mean_pool(rows, "id", "v", "w").collect()} == {1: [0.75, 0.25, 0.0], 2: [3.0, 5.0, 7.0]}
