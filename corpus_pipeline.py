@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-Language ID drops documents without a language, line dedup cuts repeated lines (and documents that lose all of
-them), MinHash keeps one document of each near-duplicate group, decontamination drops documents with benchmark windows,
-and BPE encodes and decodes what is left.
+Language ID drops documents without a letter or in none of the learned languages, line dedup cuts repeated lines (and documents that
+lose all of them), MinHash keeps one document of each near-duplicate group, decontamination drops documents with benchmark
+windows, and BPE encodes and decodes what is left. No stage but the last changes another column or drops rows for a null id.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ STAGES = [
     ("bpe", encode_documents),
 ]
 
-#: SQL expresses neither the learned language filter nor BPE merges; tests hold run() against brute force.
+#: SQL expresses neither the learned language filter nor BPE merges; tests hold every stage, and run(), against brute force.
 ORACLE_SQL = None
 
 
