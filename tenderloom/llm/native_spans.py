@@ -25,10 +25,12 @@ def running(values: Column) -> Column:
     return F.flatten(F.zip_with(blocks, _running_block(totals, F.lit(0)), _running_block))
 
 
-def with_spans(df: DataFrame, text: str, found: dict[str, str]) -> DataFrame:
+def with_spans(df: DataFrame, text: str, found: dict[str, str], needs: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with one column per pattern: array of (s, e, m): start, end (code points, end exclusive) and text of each
-    leftmost, non-overlapping match. The gaps between matches come from split(), their lengths give the places."""
-    steps = {f"_m_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in found.items()}
+    leftmost, non-overlapping match. The gaps between matches come from split(), their lengths give the places. needs: by
+    pattern, what holds for every text with a match; other texts are not searched."""
+    none = F.array().cast("array<string>")
+    steps = {f"_m_{k}": F.when((needs or {}).get(k, F.lit(True)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in found.items()}
     df = df.withColumns(steps)
     gaps = {f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.transform(F.split(text, p, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")) for k, p in found.items()}
     df = df.withColumns(gaps)
