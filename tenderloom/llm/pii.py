@@ -181,7 +181,9 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 2000, least: i
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = stored(training_spans(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), max_spans), "pii-candidates")
+    # written first: else the filters of the candidates are evaluated before the join, on all documents
+    sample = stored(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), "pii-documents")
+    rows = stored(training_spans(sample, max_spans), "pii-candidates")
     rows = rows.where("label = 1").orderBy("h").limit(max_spans).unionByName(rows.where("label = 0").orderBy("h").limit(max_spans))
     rows = stored(rows.coalesce(2), "pii-sample")
     sizes = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", (F.pmod("h", F.lit(3)) == 0).alias("held")).count().collect()}
