@@ -27,7 +27,7 @@ from .textnp import gather, slices
 from .token_text import Memo
 
 #: Bytes of text that are encoded at once.
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 
 
 @lru_cache(maxsize=2)

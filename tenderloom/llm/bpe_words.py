@@ -128,7 +128,7 @@ class Merges:
             strange |= hit
         odd: list[str] = []
         if strange.any():
-            number = np.cumsum(chunk) - 1
+            number = np.cumsum(chunk, dtype=np.int32) - 1
             bad = np.zeros(int(number[-1]) + 1, bool)
             bad[number[strange]] = True
             bad = bad[number] & inside

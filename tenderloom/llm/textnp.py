@@ -99,7 +99,11 @@ def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start:start + size] of all places, one after the other."""
-    return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 19):
