@@ -5,8 +5,8 @@ Words are the symbols: a line's variants are the line itself and the line withou
 place (substitution), or if one line is a variant of the other (insertion). Lines of fewer than
 ``min_near`` words, a parameter, have an edit bound of 0: one word of so few is another line.
 
-A line's place is the document, the hash of its text, and its number: rows that share a doc_id but not a text are
-documents of their own.
+A line's place is the document, the hash of its text, and its number, both in one integer (``sub``): rows that share a doc_id but
+not a text are documents of their own.
 
 One edit leaves the first or the last half of a line as it is. So before any variant is made, a
 join on hashes of both ends finds the lines that can have a neighbour at all; the others
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_stored, free_names, stored
@@ -29,7 +29,7 @@ from .textnp import NOT_SPACE, mix, powers, raw, run_hashes, slices, word_hashes
 #: Words from which on a line has an edit bound of 1.
 MIN_NEAR = 8
 #: What places a line, in the order in which the earliest stays.
-_AT = ("doc_id", "fp", "line_no")
+_AT = ("doc_id", "sub")
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -58,13 +58,18 @@ def _end_keys(h: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tup
     return run_hashes(h, a, a + p) ^ size, mix(run_hashes(h, b - p, b) ^ size)
 
 
+def _fp(text: Column) -> Column:
+    """31 bits of the hash of a text."""
+    return F.xxhash64(text).bitwiseAND((1 << 31) - 1)
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text")).where("doc_id is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fp(text).alias("fp"), text.alias("text")).where("doc_id is not null")
 
 
 def line_table(docs: DataFrame, min_near: int) -> DataFrame:
-    """doc_id, fp, line_no, h, h2 (128-bit hash of the words), n (words), ends (hashes of both ends, of near-able lines)."""
+    """doc_id, sub, h, h2 (128-bit hash of the words), n (words), ends (hashes of both ends, of near-able lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,36 +82,36 @@ def line_table(docs: DataFrame, min_near: int) -> DataFrame:
                 many = np.where(n < min_near, 0, np.where((p != q) & (n > min_near), 4, 2))
                 flat = keys[np.arange(4)[None, :] < many[:, None]].view(np.int64)
                 ends = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat))
-                rows = pa.RecordBatch.from_arrays([*[c.take(pa.array(text)) for c in piece.columns[:2]], pa.array(number.astype(np.int32)), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], [*_AT, "h", "h2", "n", "ends"])
+                rows = pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(text)), pa.array((piece.column(1).to_numpy()[text] << 32) + number), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], [*_AT, "h", "h2", "n", "ends"])
                 yield rows.filter(pa.array(n > 0))
 
-    return _placed(docs).mapInArrow(run, "doc_id long, fp long, line_no int, h long, h2 long, n int, ends array<long>")
+    return _placed(docs).mapInArrow(run, "doc_id long, sub long, h long, h2 long, n int, ends array<long>")
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of wanted lines: doc_id, fp, line_no, line. wanted: doc_id, fp, at (array of line_no)."""
+    """The text of wanted lines: doc_id, sub, line. wanted: doc_id, fp, at (array of sub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for doc_id, fp, text, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out = [[], [], []]
+            for doc_id, text, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 lines = text.split("\n")
                 for x in at:
-                    for column, value in zip(out, (doc_id, fp, x, lines[x]), strict=True):
+                    for column, value in zip(out, (doc_id, x, lines[x & 0xFFFFFFFF]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], [*_AT, "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], [*_AT, "line"])
 
     texts = _placed(docs).where("text is not null").join(wanted, ["doc_id", "fp"])
-    return texts.select("doc_id", "fp", "text", "at").mapInArrow(run, "doc_id long, fp long, line_no int, line string").dropDuplicates([*_AT])
+    return texts.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, sub long, line string").dropDuplicates([*_AT])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, place (-1: the whole line, else the word left out), doc_id, fp, line_no of every variant."""
+    """key, place (-1: the whole line, else the word left out), doc_id, sub of every variant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 3):
-                data, offsets = raw(piece.column(3))
+            for piece in slices(batch, 2):
+                data, offsets = raw(piece.column(2))
                 begin, end, bounds = words(data, offsets, NOT_SPACE)
                 h = word_hashes(data, begin, end)
                 n = np.diff(bounds)
@@ -115,9 +120,9 @@ def _variants(lines: DataFrame) -> DataFrame:
                 # a run without one word: both sides, joined as one run of n - 1 words
                 key = np.concatenate([run_hashes(h, bounds[:-1], bounds[1:]), _without(h, bounds, line)])
                 line, place = np.concatenate([np.arange(len(n)), line]), np.concatenate([np.full(len(n), -1), place])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), *[c.take(pa.array(line)) for c in piece.columns[:3]]], ["key", "place", *_AT])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), *[c.take(pa.array(line)) for c in piece.columns[:2]]], ["key", "place", *_AT])
 
-    return lines.select(*_AT, "line").mapInArrow(run, "key long, place int, doc_id long, fp long, line_no int")
+    return lines.select(*_AT, "line").mapInArrow(run, "key long, place int, doc_id long, sub long")
 
 
 def _without(h: np.ndarray, bounds: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -145,26 +150,26 @@ def within_one_edit(x: list[str], y: list[str]) -> bool:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (doc_id, fp, line_no, by) those whose lines are within one edit."""
+    """Of pairs (doc_id, sub, by) those whose lines are within one edit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = lambda s: [w for w in s.translate(_FOLD).split(" ") if w]
-            ok = [within_one_edit(split(a), split(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            ok = [within_one_edit(split(a), split(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([*_AT]).filter(pa.array(ok, pa.bool_()))
 
     near = pairs.join(lines.select(*_AT, "line"), [*_AT]).select(*_AT, "line", "by.*")
     near = near.toDF(*_AT, "line", *[f"by_{k}" for k in _AT])
     other = lines.select(*[F.col(k).alias(f"by_{k}") for k in _AT], F.col("line").alias("other"))
     near = near.join(other, [f"by_{k}" for k in _AT])
-    return near.select(*_AT, "line", "other").mapInArrow(run, "doc_id long, fp long, line_no int")
+    return near.select(*_AT, "line", "other").mapInArrow(run, "doc_id long, sub long")
 
 
 _FOLD = {k: k + 32 for k in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
 
 
 def dropped_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
-    """doc_id, fp, line_no, near: the lines that an earlier line (by doc_id, then place) copies exactly or within the bound."""
+    """doc_id, sub, near: the lines that an earlier line (by doc_id, then place) copies exactly or within the bound."""
     table = stored(line_table(docs, min_near), "lines")
     at = F.struct(*_AT)
     distinct = table.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("ends").alias("ends"))
@@ -172,7 +177,7 @@ def dropped_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     ends = distinct.select(F.explode("ends").alias("end"), "first", "h")
     shared = ends.groupBy("end").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("end")
     able = ends.join(shared, "end", "left_semi").select("first.*")
-    wanted = able.groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("at"))
+    wanted = able.groupBy("doc_id", F.shiftright("sub", 32).alias("fp")).agg(F.collect_set("sub").alias("at"))
     lines = stored(_wanted_lines(docs, wanted), "near-lines")
     variants = stored(_variants(lines), "variants").withColumn("at", at)
     # replaced word: all of one key and place are within one edit of each other, the earliest stays
@@ -209,8 +214,8 @@ def deduplicated(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
 def _cut(docs: DataFrame, counts: tuple[str, ...], min_near: int) -> DataFrame:
     """deduplicated() with the counts under these names, which ``docs`` must not have."""
     doc, fp, gone = free_names(docs, "doc", "fp", "gone")
-    found = dropped_lines(docs, min_near).distinct().groupBy(F.col("doc_id").alias(doc), F.col("fp").alias(fp)).agg(F.collect_list(F.struct("line_no", "near")).alias(gone))
-    both = docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(fp)), "left")
+    found = dropped_lines(docs, min_near).distinct().groupBy(F.col("doc_id").alias(doc), F.shiftright("sub", 32).alias(fp)).agg(F.collect_list(F.struct(F.col("sub").bitwiseAND(0xFFFFFFFF).alias("line_no"), "near")).alias(gone))
+    both = docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (_fp(F.col("text").cast("string")) == F.col(fp)), "left")
     names = docs.columns
     at = names.index("text")
     out_schema = docs.select("*", *[F.lit(0).cast("long").alias(c) for c in counts]).schema
