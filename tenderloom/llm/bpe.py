@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_words import Merges
-from .shared import map_file, new_path, write_file
+from .shared import in_arrow, map_file, new_path, write_file
 from .textnp import gather, slices
 from .token_text import Memo
 
 #: Bytes of text that are encoded at once.
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +167,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, held: int = 400_0
         if parts:
             yield from summed().to_batches()
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
+    counts = in_arrow(docs.select(F.col("text").cast("string")), count, "word binary, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -257,8 +257,9 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, 1, _PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column(0), _lists(*coder.encode(piece.column(1)), pa.binary())], ["doc_id", "ids"])
+        coder.memo.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -271,7 +272,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 ids = np.frombuffer(b"".join(x or b"" for x in piece.column(1).to_pylist()), "<u4")
                 yield pa.RecordBatch.from_arrays([*piece.columns, _texts(ids, np.concatenate([[0], np.cumsum(sizes)]), tokenizer)], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
@@ -283,8 +284,9 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
             for piece in slices(batch, 1, _PIECE):
                 ids, bounds = coder.encode(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), _lists(ids, bounds, pa.binary()), _texts(ids, bounds, tokenizer)], ["doc_id", "ids", "text"])
+        coder.memo.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, text string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, text string")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:

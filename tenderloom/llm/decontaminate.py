@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_names
+from .shared import free_names, in_arrow
 from .textnp import ALNUM, raw, slices, word_hashes, words
 
 
@@ -254,7 +254,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, names: tuple[str, ...], win
 
     sc, found = docs.sparkSession.sparkContext, False
     for block in _blocks(benchmark, window, block_words):
-        out, found = out.mapInArrow(search(sc.broadcast(block)), out.schema), True
+        out, found = in_arrow(out, search(sc.broadcast(block)), out.schema), True
     if not found:
         n = F.coalesce(F.size(F.filter(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != "")), F.lit(0))
         out = out.withColumn(names[0], F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .textnp import LOWER, mix, raw, slices
 
 UNKNOWN = "und"
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, max_docs: int = 2000, min_share: float = 0.002, slots:
                 keys, n = np.unique((code << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64))), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    kept = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    kept = in_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def enough(n: int) -> float:
         n = min(n, max_docs)
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, max_docs: int = 2000, min_share: float = 0.002, slots:
             bits = (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(number // 64), pa.array(bits)], ["slot", "word", "bits"])
 
-    bits = kept.where(F.col("n") >= per_language(enough)).select(number.alias("k"), "gram").mapInArrow(place, "slot long, word int, bits long")
+    bits = in_arrow(kept.where(F.col("n") >= per_language(enough)).select(number.alias("k"), "gram"), place, "slot long, word int, bits long")
     bits = bits.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
     found.table[bits.slot, bits.word] = bits.bits.to_numpy(np.int64).view(np.uint64).astype(found.table.dtype)
     for k in range(len(languages)):
@@ -161,7 +162,7 @@ def label(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 lang, score = shared.value.predict(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tag, "doc_id long, lang_pred string, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), tag, "doc_id long, lang_pred string, score double")
 
 
 def known(docs: DataFrame, model: LanguageFilter, languages: list[str] | None = None, least: float = 0.02) -> DataFrame:
@@ -183,7 +184,7 @@ def known(docs: DataFrame, model: LanguageFilter, languages: list[str] | None =
                 lang, _, share = shared.value.shares(piece.column(at))
                 yield piece.filter(pa.array([x != UNKNOWN and s >= least and (asked is None or x in asked) for x, s in zip(lang, share.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_arrow(docs, keep, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

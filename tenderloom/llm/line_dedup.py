@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_stored, free_names, stored
+from .shared import drop_stored, free_names, in_arrow, stored
 from .textnp import NOT_SPACE, mix, powers, raw, run_hashes, slices, word_hashes, words
 
 #: Words from which on a line has an edit bound of 1.
@@ -85,7 +85,7 @@ def line_table(docs: DataFrame, min_near: int) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(text)), pa.array((piece.column(1).to_numpy()[text] << 32) + number), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], [*_AT, "h", "h2", "n", "ends"])
                 yield rows.filter(pa.array(n > 0))
 
-    return _placed(docs).mapInArrow(run, "doc_id long, sub long, h long, h2 long, n int, ends array<long>")
+    return in_arrow(_placed(docs), run, "doc_id long, sub long, h long, h2 long, n int, ends array<long>")
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], [*_AT, "line"])
 
     texts = _placed(docs).where("text is not null").join(wanted, ["doc_id", "fp"])
-    return texts.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, sub long, line string").dropDuplicates([*_AT])
+    return in_arrow(texts.select("doc_id", "text", "at"), run, "doc_id long, sub long, line string").dropDuplicates([*_AT])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 line, place = np.concatenate([np.arange(len(n)), line]), np.concatenate([np.full(len(n), -1), place])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), *[c.take(pa.array(line)) for c in piece.columns[:2]]], ["key", "place", *_AT])
 
-    return lines.select(*_AT, "line").mapInArrow(run, "key long, place int, doc_id long, sub long")
+    return in_arrow(lines.select(*_AT, "line"), run, "key long, place int, doc_id long, sub long")
 
 
 def _without(h: np.ndarray, bounds: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     near = near.toDF(*_AT, "line", *[f"by_{k}" for k in _AT])
     other = lines.select(*[F.col(k).alias(f"by_{k}") for k in _AT], F.col("line").alias("other"))
     near = near.join(other, [f"by_{k}" for k in _AT])
-    return near.select(*_AT, "line", "other").mapInArrow(run, "doc_id long, sub long")
+    return in_arrow(near.select(*_AT, "line", "other"), run, "doc_id long, sub long")
 
 
 _FOLD = {k: k + 32 for k in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
@@ -234,7 +234,7 @@ def _cut(docs: DataFrame, counts: tuple[str, ...], min_near: int) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
-    return both.select(*names, gone).mapInArrow(run, out_schema)
+    return in_arrow(both.select(*names, gone), run, out_schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, contracted, stored
+from .shared import connected_components, contracted, in_arrow, stored
 from .textnp import NOT_SPACE, mix, raw, run_hashes, slices, word_hashes, words
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, side: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_shingles", "set_a", "set_b", "small", "sketch"])
 
     kind = "doc_id long, fp long, n_shingles long, set_a long, set_b long, small array<long>, sketch array<long>"
-    return _with_fp(docs).mapInArrow(run, kind)
+    return in_arrow(_with_fp(docs), run, kind)
 
 
 def _with_fp(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
                 same = [x == piece.column(1 + k).to_numpy() for k, x in enumerate(set_hashes(sets, bounds))]
                 yield found.filter(pa.array(same[0] & same[1]))
 
-    return texts.select("id", "set_a", "set_b", "text").mapInArrow(run, "id long, n long, shingles array<long>").dropDuplicates(["id"])
+    return in_arrow(texts.select("id", "set_a", "set_b", "text"), run, "id long, n long, shingles array<long>").dropDuplicates(["id"])
 
 
 def _keys(classes: DataFrame, side: int) -> DataFrame:

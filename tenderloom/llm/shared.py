@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +78,37 @@ def drop_stored(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch on its way to Python. Spark's own bound is 10,000, whatever their size: long texts then fill a task's memory.
+BATCH = 1000
+
+
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[Any]], Iterator[Any]], schema: str | StructType) -> DataFrame:
+    """mapInArrow() for whole texts. The session's rows of a batch are lowered to BATCH where they are more (or unbounded), and
+    as Python workers live on from task to task, each gives its free memory back at a task's end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0")) <= BATCH:
+        conf.set(name, str(BATCH))
+
+    def tidy(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from every column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

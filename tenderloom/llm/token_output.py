@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, Lexicon
 from .bpe_words import Merges
-from .shared import new_path, write_file
+from .shared import in_arrow, new_path, write_file
 from .textnp import slices
 
 MAGIC = b"TLEF1\0\0\0"
@@ -190,10 +190,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                     keys, held, sizes, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield flush()
+        coder.memo.clear()
 
     schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(encode, "file string, part int, seq int, n_docs long, n_ids long")
+    manifest = in_arrow(ordered, encode, "file string, part int, seq int, n_docs long, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema("file string, part int, seq int, n_docs long, n_ids long").parquet(f"{folder}/manifest")
 
@@ -228,7 +229,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary()),
                     ], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.join(bases, "file").select("content", "base").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
+    return in_arrow(files.join(bases, "file").select("content", "base"), docs, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_index(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

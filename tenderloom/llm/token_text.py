@@ -40,6 +40,9 @@ class Memo:
             self.now, self.before = {}, self.now
         return self.now
 
+    def clear(self) -> None:
+        self.now, self.before = {}, {}
+
     def missing(self, chunks: list[bytes], most: int = 4096) -> list[list[bytes]]:
         """Of distinct chunks, those that neither generation holds, in parts."""
         now, before, new = self.now, self.before, []

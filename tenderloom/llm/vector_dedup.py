@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .shared import connected_components, stored
+from .shared import connected_components, in_arrow, stored
 
 #: Neighbours of a vector that the greedy walk looks at; the expansion looks at all.
 GREEDY = 32
@@ -191,7 +191,7 @@ def deal(classes: DataFrame, margin: float, shard_rows: int, kind: str = "float"
                     home = part.column(5).to_numpy(zero_copy_only=False)[i] & (best[i] == k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), shard[at])), pa.array(key), part.column(1).take(pa.array(i)), part.column(2).take(pa.array(i)), part.column(3).take(pa.array(i)), pa.array(home)], ["parent", "shard", "id", "v", "copies", "home"])
 
-        again = dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home").mapInArrow(split, f"parent long, shard long, id long, v array<{kind}>, copies long, home boolean")
+        again = in_arrow(dealt.join(chosen, "shard").select("shard", "id", "v", "copies", "p", "home"), split, f"parent long, shard long, id long, v array<{kind}>, copies long, home boolean")
         again = stored(again, "split")
         pairs = again.groupBy("parent", "shard").agg(F.count("*").alias("m")).groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
         less = large.join(pairs, F.col("shard") == F.col("parent")).where(2 * F.col("pairs") <= F.col("n").cast("double") * F.col("n")).select("parent")
