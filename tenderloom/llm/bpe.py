@@ -200,7 +200,7 @@ class Encoder:
 
     def _unseen(self, words: list[bytes]) -> list[bytes]:
         memo = self.memo.current()
-        for part in self.memo.missing(list(dict.fromkeys(words)), 1 << 16):
+        for part in self.memo.missing(list(dict.fromkeys(words)), 1 << 14):
             memo.update(zip(part, self.merge(part), strict=True))
         return [memo[w] for w in words]
 

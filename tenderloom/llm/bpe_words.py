@@ -192,9 +192,10 @@ class Merges:
         if self._library is None:
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
-        t = self._library
-        split = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))
+            t = Tokenizer.from_file(self.path)
+            self._library = t.normalizer, t.pre_tokenizer  # without the model, which takes most of the memory
+        normalizer, splitter = self._library
+        split = splitter.pre_tokenize_str(normalizer.normalize_str(chunk))
         return [bytes(self.back[ord(c)] for c in w) for w, _ in split]
 
     def merge(self, words: list[bytes]) -> list[bytes]:
