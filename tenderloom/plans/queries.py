@@ -127,7 +127,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tenant_id"), "embedding"), e.select(F.col("vec_id").alias("tender_id"), "embedding")
 
 
-_DENSE = """d AS (SELECT p.vec_id AS tenant_id, t.vec_id AS tender_id, round(1 - list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[]), 9) AS distance,
+_DENSE = """d AS (SELECT p.vec_id AS tenant_id, t.vec_id AS tender_id, round(1 - list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[]), 12) AS distance,
   row_number() OVER (PARTITION BY p.vec_id ORDER BY round(1 - list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[]), 12), t.vec_id) AS pos
   FROM embeddings p, embeddings t WHERE p.vec_id % 20 = 0 QUALIFY pos <= 60)"""
 
