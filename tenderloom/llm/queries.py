@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, minhash_dedup, pii, secret_scan, vector_dedup
+from . import bpe, chat_format, collocations, decontaminate, language_id, line_dedup, minhash_dedup, pii, secret_scan, vector_dedup
 from .token_output import token_index
 from .token_text import default_tokenizer
 
@@ -62,9 +62,14 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(docs, model).withColumn("held_out", language_id.held_out())
 
 
+def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_line_dedup, op2_pruned_graph_dedup, op3_pii_boosting, op4_chat_parts, op5_fm_index_decontamination,
     op6_tensored_minhash, op7_bpe_transducer, op8_secret_cnn, op9_token_output, op10_language_bitmask,
+    op13_setm_collocations,
 )
 
 
@@ -145,6 +150,28 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least ON d.doc_id = least.id
 """
 
+#: Every phrase of 1 to 5 words as a list, counted; products as 128-bit integers.
+_OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest([w[i : i + k - 1] for i in range(1, len(w) - k + 2)]) AS phrase FROM p, range(1, 6) t(k) WHERE len(w) >= k) GROUP BY ALL
+), c AS (SELECT * FROM g WHERE k > 1 AND f >= 100),
+part AS (SELECT lang, f, phrase[i : i + m - 1] AS inner_phrase FROM c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < k AND i + m - 1 <= k),
+dropped AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN part ON c.lang = part.lang AND c.phrase = inner_phrase WHERE 100 * part.f >= 100 * c.f),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n, (1000 * c.f::HUGEINT * n) // (l.f::HUGEINT * r.f) AS score
+  FROM c ANTI JOIN dropped d ON c.lang = d.lang AND c.phrase = d.phrase
+  JOIN range(1, 5) t(j) ON j < c.k JOIN g l ON l.lang = c.lang AND l.phrase = c.phrase[1 : j] JOIN g r ON r.lang = c.lang AND r.phrase = c.phrase[j + 1 : c.k] JOIN total ON total.lang = c.lang
+), worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase,
+       a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM worst QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pruned_graph_dedup": _OP2_SQL, "op4_chat_parts": _OP4_SQL, "op5_fm_index_decontamination": _OP5_SQL, "op6_tensored_minhash": _OP6_SQL}
+    return {"op2_pruned_graph_dedup": _OP2_SQL, "op4_chat_parts": _OP4_SQL, "op5_fm_index_decontamination": _OP5_SQL, "op6_tensored_minhash": _OP6_SQL, "op13_setm_collocations": _OP13_SQL}

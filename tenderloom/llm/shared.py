@@ -82,6 +82,18 @@ def drop_stored(df: DataFrame) -> None:
 BATCH = 1000
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """What runs inside sends so few rows at a time to Python: for tables whose rows are packs of some megabytes."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def _give_back() -> None:
     """Memory that is free in this process goes back to the system."""
     import ctypes
