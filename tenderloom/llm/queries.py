@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, collocations, decontaminate, language_id, line_dedup, minhash_dedup, pii, secret_scan, vector_dedup
+from . import bpe, chat_format, collocations, decontaminate, hard_negatives, language_id, line_dedup, minhash_dedup, pii, secret_scan, vector_dedup, warc
+from .shared import new_path
 from .token_output import token_index
 from .token_text import default_tokenizer
 
@@ -62,6 +63,15 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(docs, model).withColumn("held_out", language_id.held_out())
 
 
+def op11_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +79,7 @@ def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_line_dedup, op2_pruned_graph_dedup, op3_pii_boosting, op4_chat_parts, op5_fm_index_decontamination,
     op6_tensored_minhash, op7_bpe_transducer, op8_secret_cnn, op9_token_output, op10_language_bitmask,
-    op13_setm_collocations,
+    op11_hilbert_negatives, op12_zstd_warc, op13_setm_collocations,
 )
 
 
@@ -150,6 +160,32 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least ON d.doc_id = least.id
 """
 
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CASE WHEN len(a.q) = 0 THEN 0 ELSE list_inner_product(a.q, b.q)::BIGINT END AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+#: 40 hex digits of the SHA-1 as eight groups of 20 bits, each four base32 letters.
+_OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS origin FROM p GROUP BY html),
+h AS (SELECT page_id, origin, octet_length(encode(p.html)) AS size, [('0x' || substr(sha1(p.html), 5 * i + 1, 5))::INT for i in range(0, 8)] AS part FROM p JOIN g ON p.html = g.html)
+SELECT page_id, size::BIGINT AS payload_bytes,
+       array_to_string(list_transform(flatten([[x >> 15, (x >> 10) & 31, (x >> 5) & 31, x & 31] for x in part]), lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> origin THEN origin END AS refers_to
+FROM h
+"""
+
 #: Every phrase of 1 to 5 words as a list, counted; products as 128-bit integers.
 _OP13_SQL = r"""
 WITH p AS (
@@ -174,4 +210,4 @@ FROM worst QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pruned_graph_dedup": _OP2_SQL, "op4_chat_parts": _OP4_SQL, "op5_fm_index_decontamination": _OP5_SQL, "op6_tensored_minhash": _OP6_SQL, "op13_setm_collocations": _OP13_SQL}
+    return {"op2_pruned_graph_dedup": _OP2_SQL, "op4_chat_parts": _OP4_SQL, "op5_fm_index_decontamination": _OP5_SQL, "op6_tensored_minhash": _OP6_SQL, "op11_hilbert_negatives": _OP11_SQL, "op12_zstd_warc": _OP12_SQL, "op13_setm_collocations": _OP13_SQL}

@@ -45,6 +45,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows (of some tens of bytes) that a join may broadcast; with more of them it shuffles.
+BROADCAST_ROWS = 1 << 20
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(), and the count of rows, observed while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count("*").alias("n")), name)
+    return out, seen.get["n"]
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a join's side, for broadcast if its ``rows`` are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def write_file(folder: str, name: str, data: bytes) -> None:
     """Write one file through Arrow's file systems, by its final name only when it is whole."""
     from pyarrow import fs
