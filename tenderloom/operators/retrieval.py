@@ -7,74 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_splits
 
 ZONES = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Profile vectors of one broadcast block (1,024 doubles each: 16 MB).
-BLOCK = 2048
-
-
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def dense_topk(profiles: DataFrame, tenders: DataFrame, k: int = 60, block: int = BLOCK) -> DataFrame:
-    """(tenant_id, tender_id, distance, pos): the k nearest tenders of each profile by cosine distance, exactly.
-
-    profiles: (tenant_id, embedding), tenders: (tender_id, embedding); null vectors take no part, a zero vector has
-    cosine 0; cosines count to 12 places. Profiles are broadcast in blocks of fixed size; each Arrow batch of tenders is
-    one matrix product, and a task yields at most k rows per profile, so that only those are shuffled.
-    """
-    queries = profiles.where("embedding is not null").select("tenant_id", "embedding")
-    found, sc = None, tenders.sparkSession.sparkContext
-
-    def scored(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tenants, unit = shared.value
-            at, ids, cosine = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(1))
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.round(np.clip(unit @ x.T, -1, 1), 12)
-                n = min(k, s.shape[1])
-                i, j = np.nonzero(s >= np.partition(s, s.shape[1] - n, axis=1)[:, -n, None])
-                at, ids, cosine = np.concatenate([at, i]), np.concatenate([ids, batch.column(0).to_numpy()[j]]), np.concatenate([cosine, s[i, j]])
-                # the best so far of each profile; of equal distances the lesser id
-                order = np.lexsort((ids, -cosine, at))
-                order = order[np.arange(len(at)) - np.searchsorted(at[order], at[order]) < k]
-                at, ids, cosine = at[order], ids[order], cosine[order]
-            yield pa.RecordBatch.from_arrays([pa.array(tenants[at]), pa.array(ids), pa.array(1 - cosine)], ["tenant_id", "tender_id", "distance"])
-
-        return run
-
-    def blocks():
-        ids, vectors = [], []
-        for r in queries.toLocalIterator():  # one block at a time in the driver
-            ids.append(r[0])
-            vectors.append(r[1])
-            if len(ids) == block:
-                yield ids, vectors
-                ids, vectors = [], []
-        if ids:
-            yield ids, vectors
-
-    some = tenders.where("embedding is not null").select("tender_id", "embedding")
-    for ids, vectors in blocks():
-        v = np.array(vectors, float)
-        shared = sc.broadcast((np.array(ids, np.int64), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)))
-        part = some.mapInArrow(scored(shared), "tenant_id long, tender_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = tenders.sparkSession.createDataFrame([], "tenant_id long, tender_id long, distance double")
-    order = Window.partitionBy("tenant_id").orderBy("distance", "tender_id")
-    return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
-
-
 def postings(tenders: DataFrame, zones: dict[str, str]) -> DataFrame:
     """(tender_id, zone, pos, term) of the columns in ``zones`` (column -> zone)."""
     each = [tenders.select("tender_id", F.lit(z).alias("zone"), F.posexplode(word_splits(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for c, z in zones.items()]
@@ -84,13 +22,39 @@ def postings(tenders: DataFrame, zones: dict[str, str]) -> DataFrame:
     return out
 
 
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words, joined by blanks."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def phrase_hits(tenders: DataFrame, zones: dict[str, str], phrases: DataFrame) -> DataFrame:
+    """(phrase, tender_id, zone): a row for each place where a phrase stands. phrases: (phrase, words).
+
+    For each length that a phrase has, every run of so many words of a zone is known by two 64-bit fingerprints; these meet the
+    phrases' fingerprints in one equi-join, and what meets is compared by its words. So nothing is joined that is not an
+    occurrence (up to hashes of 128 bits), however frequent the words in it are. The lengths of phrases, not phrases, come to the driver.
+    """
+    lengths = sorted(r[0] for r in phrases.select(F.size("words")).distinct().collect())
+    prints = lambda c: (F.xxhash64(c).alias("_k1"), F.xxhash64(F.lit(1), c).alias("_k2"))
+    wanted = phrases.select("phrase", *prints(F.col("phrase")))
+    each = []
+    for c, z in zones.items():
+        words = tenders.select("tender_id", word_splits(F.coalesce(F.col(c), F.lit(""))).alias("ws"))
+        each.append(words.select("tender_id", F.lit(z).alias("zone"), F.explode(F.concat(*[_runs(F.col("ws"), n) for n in lengths])).alias("run")))
+    runs = each[0]
+    for e in each[1:]:
+        runs = runs.unionByName(e)
+    return runs.select("*", *prints(F.col("run"))).join(wanted, ["_k1", "_k2"]).where("run = phrase").select("phrase", "tender_id", "zone")
+
+
 def text_topk(queries: DataFrame, tenders: DataFrame, zones: dict[str, str], k: int = 60) -> DataFrame:
     """(tenant_id, tender_id, rank, pos): tenders by weighted occurrences of any of a tenant's terms.
 
     queries: (tenant_id, term); a term of several words is a phrase: its words at consecutive positions of a zone.
-    rank = s / (s + 1), s the zone weights over all occurrences. Ties: later published_at, then id. Postings are
-    cut to the queries' vocabulary before anything is shuffled; single words are summed per tender on the map side, and only
-    phrases of several words need positions.
+    rank = s / (s + 1), s the zone weights over all occurrences. Ties: later published_at, then id. Postings of single words are
+    cut to the queries' vocabulary before anything is shuffled, and summed per tender on the map side; phrases of several
+    words are found by fingerprints of runs.
     """
     asked = queries.select("tenant_id", word_splits(F.col("term")).alias("words")).where("size(words) > 0").distinct()
     asked = asked.withColumn("phrase", F.array_join("words", " "))
@@ -102,10 +66,7 @@ def text_topk(queries: DataFrame, tenders: DataFrame, zones: dict[str, str], k:
         parts.append(found.groupBy("phrase", "tender_id").agg(F.sum(weight).alias("s")))
     phrases = asked.where("size(words) > 1").select("phrase", "words").distinct()
     if not phrases.isEmpty():
-        need = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-        # an occurrence of a phrase is a start position at which every word of it stands at its offset, each at one place alone
-        starts = postings(tenders, zones).join(need, "term").select("phrase", "n", "tender_id", "zone", (F.col("pos") - F.col("offset")).alias("at"))
-        hits = starts.groupBy("phrase", "n", "tender_id", "zone", "at").agg(F.count("*").alias("m")).where("m = n")
+        hits = phrase_hits(tenders, zones, phrases)
         parts.append(hits.groupBy("phrase", "tender_id").agg(F.sum(weight).alias("s")))
     if not parts:
         return queries.sparkSession.createDataFrame([], "tenant_id long, tender_id long, rank double, pos int")

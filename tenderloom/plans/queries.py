@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..functions.chunks import chunk_text as chunks_of
 from ..operators import matching as M
+from ..operators import neighbours as N
 from ..operators import results as R
 from ..operators import retrieval as Q
 from ..operators import tables as K
@@ -134,7 +135,7 @@ _DENSE = """d AS (SELECT p.vec_id AS tenant_id, t.vec_id AS tender_id, round(1 -
 
 @query(f"WITH {_DENSE} SELECT tenant_id, tender_id, round(distance, 6) AS distance, pos FROM d")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return Q.dense_topk(*_vectors(spark, d)).withColumn("distance", F.round("distance", 6)).withColumn("pos", F.col("pos").cast("long"))
+    return N.dense_topk(*_vectors(spark, d)).withColumn("distance", F.round("distance", 6)).withColumn("pos", F.col("pos").cast("long"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -185,7 +186,7 @@ def text_topk_phrase(spark: SparkSession, d: str) -> DataFrame:
 SELECT tenant_id, tender_id, round(score, 9) AS score, row_number() OVER (PARTITION BY tenant_id ORDER BY round(score, 12) DESC, coalesce(dp, tp), dp IS NULL, tender_id) AS pos,
   CASE WHEN distance IS NOT NULL THEN round(greatest(0, least(1, 1 - distance)), 6) END AS dense_similarity, round(rank, 6) AS text_rank, concat_ws('+', CASE WHEN dp IS NOT NULL THEN 'dense' END, CASE WHEN tp IS NOT NULL THEN 'text' END) AS sources FROM f QUALIFY pos <= 40""")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    out = Q.rrf_fuse(Q.dense_topk(*_vectors(spark, d)), _ranked(spark, d, _terms(spark, d)))
+    out = Q.rrf_fuse(N.dense_topk(*_vectors(spark, d)), _ranked(spark, d, _terms(spark, d)))
     return out.select("tenant_id", "tender_id", F.round("score", 9).alias("score"), F.col("pos").cast("long").alias("pos"), F.round("dense_similarity", 6).alias("dense_similarity"), F.round("text_rank", 6).alias("text_rank"), F.array_join("sources", "+").alias("sources"))
 
 

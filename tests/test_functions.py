@@ -149,13 +149,6 @@ def test_fusion(spark):
         Q.rrf_fuse(dense, text, k=0)
 
 
-def test_dense_blocks_agree(spark):
-    p = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(9, None)], "tenant_id long, embedding array<float>")
-    t = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)] + [(70, [0.0, 0.0]), (71, None)], "tender_id long, embedding array<float>")
-    key = lambda df: sorted((r.tenant_id, r.tender_id, r.pos) for r in df.collect())
-    assert key(Q.dense_topk(p, t, 3)) == key(Q.dense_topk(p, t, 3, block=2)) and len(key(Q.dense_topk(p, t, 3))) == 15
-
-
 def test_confusion(spark):
     rows = spark.createDataFrame([(85, True, "sam_gov"), (72, True, "sam_gov"), (80, False, "ted_eu"), (30, True, "ppra_pk"), (20, False, "ppra_pk"), (10, False, None)], "predicted int, label boolean, `group` string")
     got = {(r.threshold, r.group): r for r in R.eval_metrics(R.confusion(rows, (0, 60, 101))).collect()}
