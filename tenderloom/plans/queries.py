@@ -19,6 +19,7 @@ from ..operators import retrieval as Q
 from ..operators import tables as K
 from ..sources import feeds as S
 from ..sources import html as H
+from ..storage import new_path
 from . import tables as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,31 +707,45 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _landed(dedup_notices(stream, "ts", _EVENT_KEY), "dedup").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{own.rstrip('/') if own else 'file://' + tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex[:12]}"
-
-
 def _landed(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that has landed, and read its table."""
-    spark, folder = stream.sparkSession, _shared(stream.sparkSession)
+    spark, folder = stream.sparkSession, new_path(stream.sparkSession, "stream")
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
-@query("SELECT event_type, user_id, arg_max(value, {'ts': ts, 'event_id': event_id}) AS value FROM events GROUP BY 1, 2")
+def _arriving(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """All events as files that arrive one after the other, a micro-batch each, in no order of time."""
+    events = B.table(spark, d, "events").select(*_EVENT_KEY, "value", "ts", "event_id")
+    events.repartition(4, "event_id").write.parquet(f"{folder}/landed")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+
+
+_LAST = "SELECT event_type, user_id, arg_max(value, {'ts': ts, 'event_id': event_id}) AS value FROM events GROUP BY 1, 2"
+
+
+@query(_LAST)
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming.ingest import merge_stream
+    from ..streaming.snapshots import SnapshotTable, upsert_stream
+
+    folder = new_path(spark, "upsert")
+    stream = _arriving(spark, d, folder)
+    state = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, embedding_status string, ingested_at timestamp"
+    table = SnapshotTable(spark, f"{folder}/table", state, _EVENT_KEY, 8)
+    upsert_stream(stream, table, ["value", "ts", "event_id"], ["ts", "event_id"], B.now(), f"{folder}/state").awaitTermination()
+    return table.read().select(*_EVENT_KEY, "value")
+
+
+@query(_LAST)
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The last content that the keyed state lets through is each key's latest one, in whatever order files arrive."""
+    from ..streaming.changes import changed_notices, keyed_state
 
-    folder, schema = _shared(spark), B.table(spark, d, "events").schema
-    state = f"{', '.join(f'{n} {t}' for n, t in B.table(spark, d, 'events').select(*_EVENT_KEY, 'value', 'ts', 'event_id').dtypes)}, embedding_status string, ingested_at timestamp"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    merge_stream(stream, f"{folder}/table", _EVENT_KEY, ["value", "ts", "event_id"], ["ts", "event_id"], B.now(), ["event_type"], state, f"{folder}/state").awaitTermination()
-    return spark.read.schema(state).parquet(f"{folder}/table").select(*_EVENT_KEY, "value")
+    folder = new_path(spark, "changes")
+    with keyed_state(spark):
+        rows = _landed(changed_notices(_arriving(spark, d, folder), _EVENT_KEY, ["value"], "ts", "event_id"), "changes")
+    return K.last_write_wins(rows, _EVENT_KEY, ["ts", "event_id"]).select(*_EVENT_KEY, "value")
 
 
 # ---- listings, prompts, latest rows

@@ -1,55 +1,10 @@
-"""Incremental ingest with Structured Streaming: late rows, dedup, upsert."""
+"""Incremental ingest with Structured Streaming: late rows and dedup."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.tables import upsert
+from pyspark.sql import DataFrame
 
 
 def dedup_notices(stream: DataFrame, time: str, key: list[str], lateness: str = "45 days") -> DataFrame:
     """The first sight of each key; state is kept for as long as portals back-date notices."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(key)
-
-
-def upsert_stream(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: list[str], content: list[str], order: list[str], run_ts: Column, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into the table that ``read`` gives and stored by ``write(table, batch_id)``.
-
-    ``write`` must be idempotent by batch_id: a replayed batch then leaves the table as it was.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        write(upsert(read(), batch, key, content, order, run_ts).drop("change"), batch_id)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def merge_partitions(path: str, batch: DataFrame, key: list[str], content: list[str], order: list[str], run_ts: Column, by: list[str], state: str) -> None:
-    """Merge a batch into the Parquet table at ``path`` (schema ``state``), partitioned by ``by``, columns of the key: only the
-    partitions that the batch touches are read and replaced. A batch that comes again leaves the same content."""
-    spark = batch.sparkSession
-    touched = batch.select(*by).distinct()
-    current = spark.read.schema(state).parquet(path).join(touched, by, "left_semi") if exists(spark, path) else spark.createDataFrame([], state)
-    merged = upsert(current, batch, key, content, order, run_ts).drop("change")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def merge_stream(stream: DataFrame, path: str, key: list[str], content: list[str], order: list[str], run_ts: Column, by: list[str], state: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of the stream merged into a partitioned table."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            merge_partitions(path, batch, key, content, order, run_ts, by, state)
-        finally:
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -229,18 +229,6 @@ def test_upsert_is_idempotent(spark):
     assert {(r.k, r.v, r.embedding_status, r.change) for r in again.collect()} == {(1, 11, "pending", "updated"), (2, 20, "pending", "updated")}
 
 
-def test_partitions_that_a_batch_touches(spark, tmp_path):
-    from tenderloom.streaming.ingest import merge_partitions
-
-    path, stamp, state = f"file://{tmp_path}/t", F.lit("2026-01-01").cast("timestamp"), "p string, k int, v int, embedding_status string, ingested_at timestamp"
-    batch = lambda *rows: spark.createDataFrame(rows, "p string, k int, v int")
-    for rows in ([("a", 1, 1), ("b", 1, 1)], [("a", 1, 2), ("a", 2, 1)], [("a", 1, 2), ("a", 2, 1)]):
-        before = {f.name for f in (tmp_path / "t" / "p=b").glob("*.parquet")}
-        merge_partitions(path, batch(*rows), ["p", "k"], ["v"], ["v"], stamp, ["p"], state)
-    assert {f.name for f in (tmp_path / "t" / "p=b").glob("*.parquet")} == before
-    assert {(r.p, r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 1, 2), ("a", 2, 1), ("b", 1, 1)}
-
-
 def test_latest_and_profiles(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, None)], "k int, at int, note string")
     assert {(r.k, r.at, r.note) for r in K.latest(rows, "k", "at").collect()} == {(1, 7, "b"), (2, 1, None)}
