@@ -12,14 +12,16 @@ Phrases of k + 1 words are known by the two phrases of k words that overlap in t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_stored, few_rows, in_arrow, stored
+from . import shared
+from .shared import drop_stored, few_rows, in_arrow, small, stored
 from .textnp import LOWER, raw, slices, words
 
 #: Bytes that end a piece, and bytes of words.
@@ -29,8 +31,6 @@ _WORD = ~_CUT
 _WORD[[0x20, 0x09]] = False
 #: Text of a chunk, in bytes (a longer document is one chunk).
 CHUNK = 8 << 20
-#: Frequent phrases (some 24 bytes each) that a join may broadcast; with more it shuffles.
-BROADCAST_ROWS = 1 << 20
 
 _RELATION = "chunk long, lang string, {} n array<long>, steps binary, codes binary"
 
@@ -59,7 +59,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.ones(len(begin), np.int32)
         steps[1:] += cuts[begin[1:]] != cuts[end[:-1]]
         steps[bounds[:-1][np.diff(bounds) > 0]] = 2
-        runs = lang.run_end_encode() if hasattr(lang, "run_end_encode") else pa.compute.run_end_encode(lang)
+        runs = pc.run_end_encode(lang)
         row = 0
         for name, to in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
             a, b = int(bounds[row]), int(bounds[to])
@@ -88,18 +88,20 @@ def _row(chunk: int, lang: str, phrase: dict[str, object], n: np.ndarray, steps:
     return pa.RecordBatch.from_pydict(fixed | lists | {"steps": pa.array([steps.astype("<i4").tobytes()], pa.binary()), "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary())})
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (chunk, lang, steps, codes, kept) to (chunk, lang, a[], b[], n[], steps, codes): phrases one word longer.
+def _extended(batches: Iterator[pa.RecordBatch], kept: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of (chunk, lang, steps, codes, ...) to (chunk, lang, a[], b[], n[], steps, codes): phrases one word longer.
 
-    Occurrences of phrases that are not frequent go first (the semi-join); those at adjacent positions then merge.
+    ``kept`` tells of a row the codes of its frequent phrases and these phrases' numbers. Occurrences of others go first (the
+    semi-join); those at adjacent positions then merge.
     """
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
             steps, codes = (np.frombuffer(row.column(c)[0].as_buffer(), "<i4") for c in (2, 3))
-            kept = row.column(4).flatten()
-            at, ids = kept.field("code").to_numpy(), kept.field("id").to_numpy()
-            new = np.full(int(codes.max()) + 1, -1, np.int32)
+            at, ids = kept(row)
+            order = np.argsort(ids)  # in the order of numbers: rows of the counts' shuffle then share most bytes with the row before
+            at, ids = at[order], ids[order]
+            new = np.full(int(codes.max(initial=0)) + 1, -1, np.int32)
             new[at] = np.arange(len(at), dtype=np.int32)
             code, place = new[codes], np.cumsum(steps, dtype=np.int64)
             here = code >= 0
@@ -111,6 +113,71 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _row(row.column(0)[0].as_py(), row.column(1)[0].as_py(), {"a": ids[pair // len(at)], "b": ids[pair % len(at)]}, n, np.diff(place[meets], prepend=-1), where)
 
 
+class Words:
+    """Numbers of frequent words, by language."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("lang").combine_chunks()
+        runs = pc.run_end_encode(table["lang"].combine_chunks()) if table.num_rows else None
+        ends = [0, *runs.run_ends.to_pylist()] if runs else []
+        self.of = {name: table.slice(a, b - a) for name, a, b in zip(runs.values.to_pylist() if runs else [], ends[:-1], ends[1:], strict=True)}
+
+    def kept(self, row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        mine = self.of.get(row.column(1)[0].as_py())
+        if mine is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = pc.index_in(row.column(4).flatten(), value_set=mine["phrase"].combine_chunks())
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        return at, mine["id"].to_numpy()[found.drop_null().to_numpy()]
+
+
+class Pairs:
+    """Numbers of frequent phrases, by the numbers of their two parts."""
+
+    def __init__(self, table: pa.Table):
+        a, b, ids = (table[c].to_numpy() for c in ("a", "b", "id"))
+        self.a, self.b = np.unique(a), np.unique(b)
+        key = np.searchsorted(self.a, a) * len(self.b) + np.searchsorted(self.b, b)
+        order = np.argsort(key)
+        self.keys, self.ids = key[order], ids[order]
+
+    def kept(self, row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (row.column(c).flatten().to_numpy() for c in (4, 5))
+        if not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j = (np.minimum(np.searchsorted(known, x), len(known) - 1) for known, x in ((self.a, a), (self.b, b)))
+        key = i * len(self.b) + j
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = np.flatnonzero((self.a[i] == a) & (self.b[j] == b) & (self.keys[k] == key))
+        return at, self.ids[k[at]]
+
+
+def _joined(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    kept = row.column(4).flatten()
+    return kept.field("code").to_numpy(), kept.field("id").to_numpy()
+
+
+def _longer(relation: DataFrame, frequent: DataFrame, rows: int, k: int) -> DataFrame:
+    """The relation of phrases of k words, from the one of k - 1 and its frequent groups.
+
+    Groups of up to shared.BROADCAST_ROWS (a number and two parts, or a word, each) go to all tasks; more of them meet the
+    relation's dictionaries in a join, of which each chunk gets its own part.
+    """
+    spark, parts = relation.sparkSession, ["word"] if k == 2 else ["a", "b"]
+    shape = _RELATION.format("a array<long>, b array<long>,")
+    if rows <= shared.BROADCAST_ROWS:
+        known = spark.sparkContext.broadcast(Words(frequent.select("lang", "phrase", "id").toArrow()) if k == 2 else Pairs(frequent.select("a", "b", "id").toArrow()))
+        plan = in_arrow(relation.select("chunk", "lang", "steps", "codes", *parts), lambda batches: _extended(batches, known.value.kept), shape)
+    else:
+        zipped = F.posexplode(F.arrays_zip(*parts)).alias("code", "g")
+        each = relation.select("chunk", "lang", zipped).select("chunk", "lang", "code", "g.*")
+        found = each.join(frequent.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]) if k == 2 else each.drop("lang").join(frequent.select("a", "b", "id"), ["a", "b"])
+        kept = found.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("kept"))  # at most the chunk's own dictionary
+        plan = in_arrow(relation.join(kept, "chunk").select("chunk", "lang", "steps", "codes", "kept"), lambda batches: _extended(batches, _joined), shape)
+    with few_rows(spark):
+        return stored(plan, f"setm-{k}")
+
+
 def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """stored() with a number for each row, unique because it is written, and the count of rows."""
     seen = Observation()
@@ -118,10 +185,6 @@ def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
-def _hinted(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) -> tuple[list[DataFrame], DataFrame]:
     """Frequent phrases by length, and the words of each language.
 
@@ -141,21 +204,13 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) -> tuple[li
     for k in range(2, longest + 1):
         if not rows:
             break
-        if k == 2:
-            each = relation.select("chunk", "lang", F.posexplode("word").alias("code", "phrase"))
-            found = each.join(_hinted(frequent.select("lang", "phrase", "id"), rows), ["lang", "phrase"])
-        else:
-            each = relation.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("code", "g")).select("chunk", "code", "g.a", "g.b")
-            found = each.join(_hinted(frequent.select("a", "b", "id"), rows), ["a", "b"])
-        kept = found.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("kept"))  # at most the chunk's own dictionary
-        with few_rows(spark):
-            longer = stored(in_arrow(relation.join(kept, "chunk").select("chunk", "lang", "steps", "codes", "kept"), _extended, _RELATION.format("a array<long>, b array<long>,")), f"setm-{k}")
+        longer = _longer(relation, frequent, rows, k)
         drop_stored(relation)
         relation = longer
         groups = relation.select(F.explode(F.arrays_zip("a", "b", "n")).alias("g")).groupBy("g.a", "g.b").agg(F.sum("g.n").alias("f")).where(F.col("f") >= min_count)
         head = frequent.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("_p"), F.col("f").alias("_fa"), "pf")
         tail = frequent.select(F.col("id").alias("b"), "last", F.col("f").alias("_fb"), "sf")
-        joined = groups.join(_hinted(head, rows), "a").join(_hinted(tail, rows), "b")
+        joined = groups.join(small(head, rows), "a").join(small(tail, rows), "b")
         longer_beginnings, longer_ends = F.concat("pf", F.array("_fa")), F.concat("sf", F.array("_fb"))
         frequent, rows = _numbered(joined.select("lang", F.concat_ws(" ", "_p", "last").alias("phrase"), "last", "f", "a", "b", longer_beginnings.alias("pf"), longer_ends.alias("sf")), f"phrases-{k}")
         out.append(frequent)
@@ -186,7 +241,16 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, top: i
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     cut = "struct((1000BD * CAST(a AS DECIMAL(38,0)) * CAST(n AS DECIMAL(38,0))) DIV (CAST(pf[k - 1] AS DECIMAL(19,0)) * CAST(sf[size(sf) - k] AS DECIMAL(19,0))) AS score, k AS k, pf[k - 1] AS l, sf[size(sf) - k] AS r)"
     worst = found.join(total, "lang").withColumn("_cut", F.expr(f"array_min(transform(sequence(1, size(pf)), k -> {cut}))"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     scored = worst.select("lang", "phrase", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), "n", F.col("_cut.score").alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
+    return _ranked(scored, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _ranked(rows: DataFrame, by: list[str], order: list[Column], top: int) -> DataFrame:
+    """``rank`` (long) of each row of its group, up to ``top``: ranges of the whole order are numbered apart and their sizes added up,
+    so that a group that holds most rows is no task of its own."""
+    ranged = stored(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_start")).where(F.col("_start") < top)
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) + F.col("_start")
+    return ranged.join(starts, [*by, "_part"]).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tenderloom.llm import collocations as C
+from tenderloom.llm import shared
 
 SCHEMA = "doc_id long, text string, lang string"
 _LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -67,6 +68,13 @@ def test_products_past_64_bits(spark):
     assert row.score == 1000 * (big - 1) * (1 << 45) // (big * big)
 
 
+def test_groups_beyond_a_broadcast_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(C, "CHUNK", 200)
+    rows = [(k, f"a b c a b c {k % 4} a b. C a\tb", ("en", "de")[k % 2]) for k in range(40)]
+    assert mined(spark, rows, 4) == brute(rows, 4, 5, 2000)
+
+
 @pytest.mark.parametrize("chunk", [1, 40, 8 << 20])
 def test_chunks_of_any_size(spark, monkeypatch, chunk):
     monkeypatch.setattr(C, "CHUNK", chunk)
