@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schemas as C
 from ..functions.values import half_up
 
 
@@ -94,7 +95,20 @@ def blend_score(model: Column, cosine: Column, weight: float) -> Column:
 
 ROLE = "struct<role:string,count:int,seniority:string,rationale:string>"
 ESTIMATE = f"struct<minimum_people:int,confidence:string,basis:string,roles:array<{ROLE}>,notes:string>"
-ASSESSMENT = f"struct<fit_score:int,rationale:array<string>,gaps:array<struct<requirement:string,severity:string>>,human_resources_estimate:{ESTIMATE},collaboration_suggestion:struct<summary:string,capabilities:array<string>>>"
+#: What a model's answer must be, by the names of its JSON.
+_LEVEL = C.one_of("low", "medium", "high")
+ANSWER = C.record(
+    rationale=C.list_of(C.text(1), 3, 3), gaps=C.list_of(C.record(requirement=C.text(1), severity=C.one_of("blocker", "major", "minor"))).optional(), winProbability=_LEVEL, winProbabilityReason=C.text(1),
+    humanResourcesEstimate=C.record(
+        minimumPeople=C.whole(0, 10_000), confidence=_LEVEL, basis=C.one_of("explicit", "inferred", "mixed"),
+        roles=C.list_of(C.record(role=C.text(1), count=C.whole(1, 10_000), seniority=C.text(1).or_null(), rationale=C.text(1))).optional(), notes=C.text(1),
+    ),
+    fitScore=C.whole(0, 100),
+    collaborationSuggestion=C.record(partnerProfile=C.text(20, 600), mustHaveCapabilities=C.list_of(C.text(1), 1, 6), geographyHint=C.text().or_null(), newWinProbabilityIfPartnered=_LEVEL).optional(),
+)
+_GAPS = "array<struct<requirement:string,severity:string>>"
+_JSON = f"struct<rationale:array<string>,gaps:{_GAPS},winProbability:string,winProbabilityReason:string,humanResourcesEstimate:struct<minimumPeople:int,confidence:string,basis:string,roles:array<{ROLE}>,notes:string>,fitScore:int,collaborationSuggestion:struct<partnerProfile:string,mustHaveCapabilities:array<string>,geographyHint:string,newWinProbabilityIfPartnered:string>>"
+ASSESSMENT = f"struct<rationale:array<string>,gaps:{_GAPS},win_probability:string,win_probability_reason:string,human_resources_estimate:{ESTIMATE},fit_score:int,collaboration_suggestion:struct<partner_profile:string,must_have_capabilities:array<string>,geography_hint:string,new_win_probability_if_partnered:string>>"
 
 
 def normalize_hr(h: Column) -> Column:
@@ -112,25 +126,18 @@ def gate_collaboration(score: Column, suggestion: Column, below: int = 70) -> Co
 
 
 def parse_assessment(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects): the model's JSON as ``assessment``; rejects name the rules that failed in ``failed``."""
-    parsed = rows.withColumn("assessment", F.from_json(column, ASSESSMENT))
-    a, h = F.col("assessment"), F.col("assessment.human_resources_estimate")
-    s = a["collaboration_suggestion"]
-    rules = {
-        "json": a.isNull() | a["fit_score"].isNull(),
-        "fit_score": ~a["fit_score"].between(0, 100),
-        "rationale": (F.size(a["rationale"]) != 3) | F.exists(a["rationale"], lambda x: x.isNull() | (F.trim(x) == "")),
-        "gaps": F.exists(a["gaps"], lambda g: ~F.coalesce(g["severity"].isin("blocker", "major", "minor"), F.lit(False)) | F.coalesce(g["requirement"] == "", F.lit(True))),
-        "people": h.isNotNull() & ((h["minimum_people"] < 0) | ~h["confidence"].isin("low", "medium", "high")),
-        "collaboration": s.isNotNull() & (~F.length(s["summary"]).between(20, 600) | ~F.size(s["capabilities"]).between(1, 6)),
-    }
-    return split_by_rules(parsed, rules)
-
-
-def split_by_rules(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects): a rule fails where its condition holds."""
-    marked = rows.withColumn("failed", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])))
-    return marked.where(F.size("failed") == 0).drop("failed"), marked.where(F.size("failed") > 0)
+    """(valid, rejects): the model's JSON as ``assessment``; rejects name the paths of what is wrong in ``failed``, ``json`` where the
+    text is no JSON object. Lists that may be left out are then empty; other fields are ignored."""
+    v = F.col("_answer")
+    parsed = rows.select("*", C.once(F.try_parse_json(F.col(column))).alias("_answer"))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    failed = F.when(~is_object, F.array(F.lit("json"))).otherwise(C.problems(lambda n: C.Parsed(F.try_variant_get(v, f"$.{n}", "variant")), ANSWER))
+    valid, rejects = C.split(parsed, failed)
+    a = F.try_variant_get(v, "$", _JSON).cast(ASSESSMENT)
+    valid = valid.withColumn("assessment", a).drop("_answer")
+    for path, kind in (("gaps", _GAPS), ("human_resources_estimate.roles", f"array<{ROLE}>")):
+        valid = valid.withColumn("assessment", F.col("assessment").withField(path, F.coalesce(F.col(f"assessment.{path}"), F.array().cast(kind))))
+    return valid, rejects.drop("_answer")
 
 
 def rerank_cap(candidates: DataFrame, relevance: str | None, shown: int = 40, attempts: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import split_by_rules
+from ..functions import schemas as C
 
 
 def last_write_wins(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -49,35 +49,53 @@ def pending_embeddings(table: DataFrame, new_hash: Column, stamp: str) -> DataFr
     return table.where(~F.coalesce(current, F.lit(False)))
 
 
+#: What a row must be. Nulls of fields with a default count as left out.
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+"
+_MAIL = r"^(?i)[a-z0-9_'+-]+(\.[a-z0-9_'+-]+)*@([a-z0-9][a-z0-9-]*\.)+[a-z]{2,}$"
+_MONEY = C.whole(0)
+TENDER = C.record(
+    external_id=C.text(1), title=C.text(1), description=C.text(), source=C.text(), url=C.text(like=_URL), buyer=C.text(), country=C.text(2, 2).or_null(), sector=C.text().or_null(),
+    cpv_codes=C.list_of(C.text()).optional(), budget_min_usd=_MONEY.or_null(), budget_max_usd=_MONEY.or_null(), currency=C.text().or_null(), published_at=C.time, deadline_at=C.time.or_null(), language=C.text(2, 5),
+)
+_NAMES = C.list_of(C.text()).optional()
+PROFILE = C.record(
+    company_name=C.text(1), one_liner=C.text(1, 280), industries=_NAMES, tech_stack=_NAMES, services=_NAMES, certifications=_NAMES, past_clients=_NAMES,
+    past_projects=C.list_of(C.record(title=C.text(1), summary=C.text(1), sector=C.text().optional(), value_usd=C.number(0).optional())).optional(),
+    geographies=C.list_of(C.text(2, 2)).optional(), team_size=_MONEY, budget_min_usd=_MONEY, budget_max_usd=_MONEY, languages=_NAMES, ignore_location=C.flag.optional(),
+)
+SCHEDULE = C.record(
+    frequency=C.one_of("daily", "weekdays", "every_n_days", "weekly", "monthly"), interval_days=C.whole(1, 60).optional(), hour_local=C.whole(0, 23), hour_local_end=C.whole(0, 23), day_of_week=C.whole(0, 6).or_null(), day_of_month=C.whole(1, 31).or_null(),
+    timezone=C.text().optional(), enabled=C.flag.optional(), min_fit_score=C.whole(0, 100).optional(), recipients=C.list_of(C.text(like=_MAIL), high=20).optional(),
+)
+FEEDBACK = C.record(match_id=C.Field("any"), interested=C.flag, note=C.text().optional())
+
+
+def _checked(rows: DataFrame, schema: C.Field, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of rows by a schema; columns that may be null or left out need not be there."""
+    there = C.record(**{n: f for n, f in schema.fields if n in rows.columns or not (f.null or f.left_out)})
+    return C.split(rows, C.problems(lambda n: C.Typed(F.col(n)), there, more))
+
+
 def validate_tenders(rows: DataFrame, sources: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects); rejects carry the failed rules."""
-    c = F.col
-    blank = lambda x: x.isNull() | (x == "")
-    below = lambda x: x.isNotNull() & (x < 0)
-    return split_by_rules(rows, {
-        "external_id": blank(c("external_id")), "title": blank(c("title")), "source": ~F.coalesce(c("source").isin(sources), F.lit(False)),
-        "url": ~F.coalesce(c("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+"), F.lit(False)), "country": c("country").isNotNull() & (F.length("country") != 2),
-        "budget": below(c("budget_min_usd")) | below(c("budget_max_usd")), "published_at": c("published_at").isNull(), "language": ~F.coalesce(F.length("language").between(2, 5), F.lit(False)),
-    })
+    """(valid, rejects); rejects carry the paths of the fields that are wrong in ``failed``."""
+    known = C.record(**dict(TENDER.fields) | {"source": C.one_of(*sources)})
+    return _checked(rows, known)
 
 
 def validate_schedules(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = F.col
-    mail = lambda x: ~x.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
-    return split_by_rules(rows, {
-        "window": c("hour_local_end") < c("hour_local"), "weekly": (c("frequency") == "weekly") & c("day_of_week").isNull(), "monthly": (c("frequency") == "monthly") & c("day_of_month").isNull(),
-        "interval": ~c("interval_days").between(1, 60), "recipients": (F.size("recipients") > 20) | F.exists("recipients", mail),
+    return _checked(rows, SCHEDULE, {
+        "hour_local_end": c("hour_local_end") >= c("hour_local"), "day_of_week": (c("frequency") != "weekly") | c("day_of_week").isNotNull(), "day_of_month": (c("frequency") != "monthly") | c("day_of_month").isNotNull(),
     })
 
 
 def validate_profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    c = F.col
-    return split_by_rules(rows, {"one_liner": ~F.coalesce(F.length("one_liner").between(1, 280), F.lit(False)), "geographies": F.exists("geographies", lambda g: F.length(g) != 2), "numbers": (c("team_size") < 0) | (c("budget_min_usd") < 0) | (c("budget_max_usd") < 0)})
+    return _checked(rows, PROFILE)
 
 
 def validate_feedback(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feedback says whether a match is of interest; a note is optional."""
-    return split_by_rules(rows, {"match_id": F.col("match_id").isNull(), "interested": F.col("interested").isNull()})
+    return _checked(rows, FEEDBACK)
 
 
 def profile_defaults(rows: DataFrame) -> DataFrame:

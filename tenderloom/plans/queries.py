@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -261,37 +262,68 @@ def blend_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", M.blend_score((F.col("l_quantity") * 2).cast("int"), F.col("l_discount") * 10, 0.3).alias("blended"))
 
 
+def _answers() -> list[tuple[str, str]]:
+    """Answers of a model in JSON, each with what is wrong in it: as they should be, and one for every way to break a rule."""
+    people = {"minimumPeople": "#people", "confidence": "low", "basis": "mixed", "notes": "note."}
+    roles = [{"role": "lead", "count": 1, "seniority": None, "rationale": "r"}, {"role": "engineer", "count": "#count", "seniority": "senior", "rationale": "r"}]
+    help_ = {"partnerProfile": "a partner with local offices", "mustHaveCapabilities": ["local office"], "geographyHint": "DE", "newWinProbabilityIfPartnered": "high"}
+    good = {"rationale": ["a", "b", "c"], "gaps": [{"requirement": "iso", "severity": "minor"}], "winProbability": "medium", "winProbabilityReason": "near", "humanResourcesEstimate": people | {"roles": roles}, "fitScore": "#fit", "collaborationSuggestion": help_}
+    left_out = object()
+
+    def changed(path: str, value: object) -> str:
+        answer = json.loads(json.dumps(good))
+        *way, last = [int(x) if x.isdigit() else x for x in re.findall(r"\w+", path)]
+        at = answer
+        for x in way:
+            at = at[x]
+        if value is left_out:
+            del at[last]
+        else:
+            at[last] = value
+        return json.dumps(answer)
+
+    wrong = {
+        "rationale": [left_out, None, ["a", "b"], ["a", "b", "c", "d"], "a b c"], "rationale[1]": ["", 7, None], "gaps": ["none", None], "gaps[0].requirement": ["", left_out], "gaps[0].severity": ["huge", None, left_out], "winProbability": ["sure", left_out], "winProbabilityReason": ["", left_out, 5],
+        "humanResourcesEstimate": [left_out, None, []], "humanResourcesEstimate.minimumPeople": [-1, 10001, 2.5, "3", left_out], "humanResourcesEstimate.confidence": ["none", left_out], "humanResourcesEstimate.basis": ["guess", left_out], "humanResourcesEstimate.roles": ["none", None], "humanResourcesEstimate.roles[0].role": ["", left_out],
+        "humanResourcesEstimate.roles[1].count": [0, -5, 999999, 1.5, left_out], "humanResourcesEstimate.roles[1].seniority": ["", left_out], "humanResourcesEstimate.roles[0].rationale": ["", left_out], "humanResourcesEstimate.notes": ["", left_out], "fitScore": [101, -1, 50.5, "50", None, left_out],
+        "collaborationSuggestion": [None, "a partner"], "collaborationSuggestion.partnerProfile": ["too short", "x" * 601, left_out], "collaborationSuggestion.mustHaveCapabilities": [[], list("abcdefg"), left_out], "collaborationSuggestion.mustHaveCapabilities[0]": ["", 4], "collaborationSuggestion.geographyHint": [left_out, 9], "collaborationSuggestion.newWinProbabilityIfPartnered": ["maybe", left_out],
+    }
+    fine = [json.dumps(good), changed("gaps", left_out), changed("collaborationSuggestion.geographyHint", None), changed("more", {"x": 1}), changed("humanResourcesEstimate.roles[1].seniority", None), changed("collaborationSuggestion.partnerProfile", "a partner with local offices")]
+    return [(x, "") for x in fine] + [(changed(path, v), path) for path, values in wrong.items() for v in values] + [("not json", "json"), ("[1]", "json"), ("", "json"), (json.dumps({"fitScore": 50}), "rationale,winProbability,winProbabilityReason,humanResourcesEstimate")]
+
+
+_ANSWERS = _answers()
+_N_FINE = sum(not failed for _, failed in _ANSWERS)
+
+
 def _assessments(spark: SparkSession, d: str) -> DataFrame:
-    """One model answer in JSON per order; some break a rule."""
+    """One model answer in JSON per order, in turn as they should be and wrong."""
     k = F.col("o_orderkey")
-    role = lambda n, c: F.struct(F.lit(n).alias("role"), c.cast("int").alias("count"))
-    estimate = F.struct((k % 5).cast("int").alias("minimum_people"), F.lit("low").alias("confidence"), F.lit("basis").alias("basis"), F.array(role("lead", F.lit(1)), role("engineer", k % 4)).alias("roles"), F.lit("note.").alias("notes"))
-    gap = F.struct(F.lit("iso").alias("requirement"), F.when(k % 13 == 0, "huge").otherwise("minor").alias("severity"))
-    help_ = F.struct(F.lit("a partner with local offices").alias("summary"), F.array(F.lit("local office")).alias("capabilities"))
-    body = F.struct((k % 103).cast("int").alias("fit_score"), F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), F.when(k % 17 == 0, 2).otherwise(3)).alias("rationale"), F.array(gap).alias("gaps"), estimate.alias("human_resources_estimate"), help_.alias("collaboration_suggestion"))
-    return B.table(spark, d, "orders").select("o_orderkey", F.when(k % 19 == 0, "not json").otherwise(F.to_json(body)).alias("answer"))
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in _ANSWERS]), (k % len(_ANSWERS) + 1).cast("int"))
+    for mark, value in (("fit", k % 101), ("people", k % 5), ("count", k % 4 + 1)):
+        text = F.replace(text, F.lit(f'"#{mark}"'), value.cast("string"))
+    return B.table(spark, d, "orders").select("o_orderkey", text.alias("answer"))
 
 
-@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 19 = 0 THEN 'json' END, CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 103 > 100 THEN 'fit_score' END,
-  CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 17 = 0 THEN 'rationale' END, CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 13 = 0 THEN 'gaps' END) AS failed FROM orders
-  WHERE o_orderkey % 19 = 0 OR o_orderkey % 103 > 100 OR o_orderkey % 17 = 0 OR o_orderkey % 13 = 0""")
+@query(f"SELECT o_orderkey, {[failed for _, failed in _ANSWERS]}[o_orderkey % {len(_ANSWERS)} + 1] AS failed FROM orders WHERE o_orderkey % {len(_ANSWERS)} >= {_N_FINE}")
 def parse_assessment(spark: SparkSession, d: str) -> DataFrame:
     return M.parse_assessment(_assessments(spark, d), "answer")[1].select("o_orderkey", F.array_join("failed", ",").alias("failed"))
 
 
-_VALID = "o_orderkey % 19 <> 0 AND o_orderkey % 103 <= 100 AND o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0"
+_VALID = f"o_orderkey % {len(_ANSWERS)} < {_N_FINE}"
 
 
-@query(f"SELECT o_orderkey, CAST(1 + o_orderkey % 4 AS INT) AS people, 'note.' || CASE WHEN 1 + o_orderkey % 4 <> o_orderkey % 5 THEN ' Minimum team size normalized to the sum of role counts.' ELSE '' END AS notes FROM orders WHERE {_VALID}")
+@query(f"SELECT o_orderkey, CAST(2 + o_orderkey % 4 AS INT) AS people, 'note.' || CASE WHEN 2 + o_orderkey % 4 <> o_orderkey % 5 THEN ' Minimum team size normalized to the sum of role counts.' ELSE '' END AS notes FROM orders WHERE {_VALID}")
 def normalize_hr(spark: SparkSession, d: str) -> DataFrame:
     rows = M.parse_assessment(_assessments(spark, d), "answer")[0]
     return rows.select("o_orderkey", M.normalize_hr(F.col("assessment.human_resources_estimate")).alias("h")).select("o_orderkey", F.col("h.minimum_people").alias("people"), F.col("h.notes").alias("notes"))
 
 
-@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 103 < 70 THEN 'a partner with local offices' END AS suggestion FROM orders WHERE {_VALID}")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 101 < 70 THEN 'a partner with local offices' END AS suggestion, CASE WHEN o_orderkey % 101 < 70 AND o_orderkey % {len(_ANSWERS)} <> 2 THEN 'DE' END AS geography FROM orders WHERE {_VALID}")
 def gate_collaboration(spark: SparkSession, d: str) -> DataFrame:
     rows = M.parse_assessment(_assessments(spark, d), "answer")[0]
-    return rows.select("o_orderkey", M.gate_collaboration(F.col("assessment.fit_score"), F.col("assessment.collaboration_suggestion.summary")).alias("suggestion"))
+    s = M.gate_collaboration(F.col("assessment.fit_score"), F.col("assessment.collaboration_suggestion"))
+    return rows.select("o_orderkey", s.alias("s")).select("o_orderkey", F.col("s.partner_profile").alias("suggestion"), F.col("s.geography_hint").alias("geography"))
 
 
 @query(f"""WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY tender_id) AS pos FROM c), f AS (SELECT * FROM r WHERE pos <= 40)
@@ -332,26 +364,28 @@ def country_iso2(spark: SparkSession, d: str) -> DataFrame:
 def _raw_tenders(spark: SparkSession, d: str) -> DataFrame:
     """Documents as incoming rows, some of them wrong."""
     k = F.col("doc_id")
+    unless = lambda n, r, bad, good: F.when(k % n == r, bad).otherwise(good)
     return B.table(spark, d, "documents").select(
-        k.cast("string").alias("external_id"), F.when(k % 10 == 3, "").otherwise(F.substring("text", 1, 80)).alias("title"), "source", F.when(k % 15 == 4, F.lit("no url")).otherwise(F.concat(F.lit("https://x.org/"), k.cast("string"))).alias("url"),
-        F.when(k % 12 == 5, "DEU").when(k % 12 == 6, F.lit(None)).otherwise("DE").alias("country"), F.when(k % 14 == 7, -1).otherwise(F.col("n_chars")).cast("int").alias("budget_min_usd"), F.lit(None).cast("int").alias("budget_max_usd"),
-        F.when(k % 20 != 8, B.now()).alias("published_at"), F.when(k % 18 == 9, "x").otherwise(F.col("lang")).alias("language"),
+        k, unless(21, 1, F.lit(""), k.cast("string")).alias("external_id"), unless(10, 3, "", F.col("text")).alias("title"), unless(23, 2, None, F.col("text")).alias("description"), "source", unless(15, 4, "no url", F.concat(F.lit("https://x.org/"), k.cast("string"))).alias("url"), unless(25, 5, None, F.lit("a buyer")).alias("buyer"),
+        F.when(k % 12 == 5, "DEU").when(k % 12 == 6, F.lit(None)).otherwise("DE").alias("country"), F.lit(None).cast("string").alias("sector"), F.when(k % 22 == 6, F.array(F.lit("72000000"), F.lit(None))).when(k % 22 != 7, F.array(F.lit("72000000"))).alias("cpv_codes"),
+        unless(14, 7, -1, F.col("n_chars")).cast("int").alias("budget_min_usd"), unless(16, 8, -5, F.lit(None)).cast("int").alias("budget_max_usd"), unless(20, 8, None, B.now()).alias("published_at"), unless(18, 9, "x", F.col("lang")).alias("language"),
     )
 
 
-_FAILED = """v AS (SELECT CAST(doc_id AS VARCHAR) AS external_id, concat_ws(',', CASE WHEN doc_id % 10 = 3 OR text IS NULL OR text = '' THEN 'title' END, CASE WHEN source IS NULL OR source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'source' END,
-  CASE WHEN doc_id % 15 = 4 THEN 'url' END, CASE WHEN doc_id % 12 = 5 THEN 'country' END, CASE WHEN doc_id % 14 = 7 THEN 'budget' END, CASE WHEN doc_id % 20 = 8 THEN 'published_at' END, CASE WHEN doc_id % 18 = 9 OR lang IS NULL THEN 'language' END) AS failed FROM documents)"""
+_FAILED = """v AS (SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 21 = 1 THEN 'external_id' END, CASE WHEN doc_id % 10 = 3 OR text IS NULL OR text = '' THEN 'title' END, CASE WHEN doc_id % 23 = 2 OR text IS NULL THEN 'description' END,
+  CASE WHEN source IS NULL OR source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'source' END, CASE WHEN doc_id % 15 = 4 THEN 'url' END, CASE WHEN doc_id % 25 = 5 THEN 'buyer' END, CASE WHEN doc_id % 12 = 5 THEN 'country' END, CASE WHEN doc_id % 22 = 6 THEN 'cpv_codes[1]' END,
+  CASE WHEN doc_id % 14 = 7 THEN 'budget_min_usd' END, CASE WHEN doc_id % 16 = 8 THEN 'budget_max_usd' END, CASE WHEN doc_id % 20 = 8 THEN 'published_at' END, CASE WHEN doc_id % 18 = 9 OR lang IS NULL THEN 'language' END) AS failed FROM documents)"""
 _SOURCES = [f"src{i}" for i in range(10)]
 
 
-@query(f"WITH {_FAILED} SELECT external_id FROM v WHERE failed = ''")
+@query(f"WITH {_FAILED} SELECT doc_id FROM v WHERE failed = ''")
 def validate_tenders(spark: SparkSession, d: str) -> DataFrame:
-    return K.validate_tenders(_raw_tenders(spark, d), _SOURCES)[0].select("external_id")
+    return K.validate_tenders(_raw_tenders(spark, d), _SOURCES)[0].select("doc_id")
 
 
-@query(f"WITH {_FAILED} SELECT external_id, failed FROM v WHERE failed <> ''")
+@query(f"WITH {_FAILED} SELECT doc_id, failed FROM v WHERE failed <> ''")
 def validate_rejects(spark: SparkSession, d: str) -> DataFrame:
-    return K.validate_tenders(_raw_tenders(spark, d), _SOURCES)[1].select("external_id", F.array_join("failed", ",").alias("failed"))
+    return K.validate_tenders(_raw_tenders(spark, d), _SOURCES)[1].select("doc_id", F.array_join("failed", ",").alias("failed"))
 
 
 _KINDS = ["Contract Award", "Invitation for Bids", "Specific Procurement Notice", "General Notice", "", "Request for Proposals", "Shortlist", "Invitation for Tenders"]
@@ -953,18 +987,36 @@ def rerank_doc(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- validation and summaries
 
-@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 12 + 6 < c_custkey % 20 THEN 'window' END, CASE WHEN c_custkey % 5 = 3 AND c_custkey % 13 = 0 THEN 'weekly' END, CASE WHEN c_custkey % 5 = 4 AND c_custkey % 17 = 0 THEN 'monthly' END, CASE WHEN c_custkey % 70 NOT BETWEEN 1 AND 60 THEN 'interval' END, CASE WHEN c_custkey % 4 = 0 THEN 'recipients' END) AS failed FROM customer
-  WHERE c_custkey % 12 + 6 < c_custkey % 20 OR (c_custkey % 5 = 3 AND c_custkey % 13 = 0) OR (c_custkey % 5 = 4 AND c_custkey % 17 = 0) OR c_custkey % 70 NOT BETWEEN 1 AND 60 OR c_custkey % 4 = 0""")
+_SCHEDULE_SQL = """SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 23 = 1 THEN 'frequency' END, CASE WHEN c_custkey % 70 NOT BETWEEN 1 AND 60 THEN 'interval_days' END, CASE WHEN c_custkey % 29 > 23 OR c_custkey % 31 = 2 THEN 'hour_local' END, CASE WHEN c_custkey % 12 + 14 > 23 THEN 'hour_local_end' END,
+  CASE WHEN c_custkey % 11 > 6 THEN 'day_of_week' END, CASE WHEN c_custkey % 37 NOT BETWEEN 1 AND 31 THEN 'day_of_month' END, CASE WHEN c_custkey % 19 = 4 THEN 'min_fit_score' END, CASE WHEN c_custkey % 4 = 0 THEN 'recipients[1]' WHEN c_custkey % 4 = 1 THEN 'recipients' END,
+  CASE WHEN c_custkey % 12 + 14 <= 23 AND c_custkey % 12 + 14 < c_custkey % 29 AND c_custkey % 31 <> 2 THEN 'hour_local_end' END, CASE WHEN c_custkey % 11 = 3 AND c_custkey % 5 = 3 AND c_custkey % 23 <> 1 THEN 'day_of_week' END, CASE WHEN c_custkey % 37 = 9 AND c_custkey % 5 = 4 AND c_custkey % 23 <> 1 THEN 'day_of_month' END) AS failed FROM customer"""
+
+
+@query(f"SELECT * FROM ({_SCHEDULE_SQL}) WHERE failed <> ''")
 def schedule_rejects(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("tenant_id")
-    rows = B.schedules(spark, d).withColumns({"hour_local": (k % 20).cast("int"), "interval_days": (k % 70).cast("int"), "recipients": F.when(k % 4 == 0, F.array(F.lit("no mail"))).otherwise(F.array(F.lit("a@b.org")))})
+    mail = F.lit("a@b.org")
+    rows = B.schedules(spark, d).withColumns({
+        "frequency": F.when(k % 23 == 1, F.lit("hourly")).otherwise(F.col("frequency")), "interval_days": (k % 70).cast("int"), "hour_local": F.when(k % 31 != 2, (k % 29).cast("int")), "hour_local_end": (k % 12 + 14).cast("int"),
+        "day_of_week": F.when(k % 11 != 3, (k % 11).cast("int")), "day_of_month": F.when(k % 37 != 9, (k % 37).cast("int")), "min_fit_score": F.when(k % 19 == 4, 101).when(k % 19 != 5, 60),
+        "recipients": F.when(k % 4 == 0, F.array(mail, F.lit("no mail"))).when(k % 4 == 1, F.array_repeat(mail, 21)).when(k % 4 == 2, F.array_repeat(mail, 20)),
+    })
     return K.validate_schedules(rows)[1].select(k.alias("c_custkey"), F.array_join("failed", ",").alias("failed"))
 
 
-@query("""SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'one_liner' END, CASE WHEN s_suppkey % 4 = 0 THEN 'geographies' END, CASE WHEN s_acctbal < 0 THEN 'numbers' END) AS failed FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 4 = 0 OR s_acctbal < 0""")
+_PROFILE_SQL = """SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 7 = 1 THEN 'company_name' END, CASE WHEN s_suppkey % 5 < 2 THEN 'one_liner' END, CASE WHEN s_suppkey % 6 = 2 THEN 'services[1]' END, CASE WHEN s_suppkey % 9 = 3 THEN 'past_projects[0].title' END, CASE WHEN s_suppkey % 10 = 4 THEN 'past_projects[1].summary' END, CASE WHEN s_suppkey % 8 = 5 THEN 'past_projects[1].value_usd' END,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'geographies[0]' END, CASE WHEN s_suppkey % 11 = 6 THEN 'team_size' END, CASE WHEN s_acctbal < 0 THEN 'budget_min_usd' END, CASE WHEN s_suppkey % 13 = 7 THEN 'budget_max_usd' END) AS failed FROM supplier"""
+
+
+@query(f"SELECT * FROM ({_PROFILE_SQL}) WHERE failed <> ''")
 def profile_rejects(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    rows = B.table(spark, d, "supplier").select("s_suppkey", F.when(k % 5 != 0, F.col("s_name")).alias("one_liner"), F.array(F.when(k % 4 == 0, "DEU").otherwise("DE")).alias("geographies"), F.lit(1).alias("team_size"), F.floor("s_acctbal").cast("int").alias("budget_min_usd"), F.lit(5).alias("budget_max_usd"))
+    project = lambda title, summary, value: F.struct(title.alias("title"), summary.alias("summary"), F.lit(None).cast("string").alias("sector"), value.cast("double").alias("value_usd"))
+    projects = F.array(project(F.when(k % 9 == 3, "").otherwise("t"), F.lit("s"), F.lit(None)), project(F.lit("t"), F.when(k % 10 != 4, "s"), F.when(k % 8 == 5, -0.5).otherwise(0)))
+    rows = B.table(spark, d, "supplier").select(
+        "s_suppkey", F.when(k % 7 != 1, F.col("s_name")).alias("company_name"), F.when(k % 5 == 1, F.repeat(F.lit("x"), F.lit(281))).when(k % 5 != 0, F.repeat(F.lit("x"), F.lit(280))).alias("one_liner"), F.when(k % 6 == 2, F.array(F.lit("a"), F.lit(None))).when(k % 6 != 3, F.array(F.lit(""))).alias("services"), projects.alias("past_projects"),
+        F.array(F.when(k % 4 == 0, "DEU").otherwise("DE")).alias("geographies"), F.when(k % 11 == 6, -1).otherwise(0).alias("team_size"), F.floor("s_acctbal").cast("int").alias("budget_min_usd"), F.when(k % 13 != 7, 5).alias("budget_max_usd"),
+    )
     return K.validate_profiles(rows)[1].select("s_suppkey", F.array_join("failed", ",").alias("failed"))
 
 
