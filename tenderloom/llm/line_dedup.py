@@ -5,8 +5,8 @@ Words are the symbols: a line's variants are the line itself and the line withou
 place (substitution), or if one line is a variant of the other (insertion). Lines of fewer than
 ``min_near`` words, a parameter, have an edit bound of 0: one word of so few is another line.
 
-A line's place is the document, the hash of its text, and its number, both in one integer (``sub``): rows that share a doc_id but
-not a text are documents of their own.
+A line's place is the document and, in one integer (``sub``), the number of the text among those of its doc_id and of the line in the text:
+rows that share a doc_id but not a text are documents of their own, numbered by the 64-bit hashes of their texts.
 
 One edit leaves the first or the last half of a line as it is. So before any variant is made, a
 join on hashes of both ends finds the lines that can have a neighbour at all; the others
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_stored, free_names, in_arrow, stored
+from .shared import counted, drop_stored, free_names, in_arrow, small, stored
 from .textnp import NOT_SPACE, mix, powers, raw, run_hashes, slices, word_hashes, words
 
 #: Words from which on a line has an edit bound of 1.
@@ -58,17 +58,41 @@ def _end_keys(h: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tup
     return run_hashes(h, a, a + p) ^ size, mix(run_hashes(h, b - p, b) ^ size)
 
 
-def _fp(text: Column) -> Column:
-    """31 bits of the hash of a text."""
-    return F.xxhash64(text).bitwiseAND((1 << 31) - 1)
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, print, number): of ids with several texts, each text's hash (64 bits) and its number in the order of hashes, from 0.
+
+    Only ids and hashes move. An id that most rows share is numbered by ranges of its hashes, whose sizes are then added up.
+    """
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("print")).where("doc_id is not null")
+    several = prints.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("doc_id")
+    ranged = prints.join(several, "doc_id", "left_semi").distinct().repartitionByRange("doc_id", "print").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "several-texts")
+    before = F.sum("size").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("doc_id", "part").agg(F.count("*").alias("size")).select("doc_id", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("print")) - 1 + F.col("start")
+    return ranged.join(starts, ["doc_id", "part"]).select("doc_id", "print", n.cast("long").alias("number"))
+
+
+class Numbers:
+    """The numbers of texts, joined to rows of documents: by a broadcast as long as few ids have several texts."""
+
+    def __init__(self, docs: DataFrame):
+        self.table, self.rows = counted(numbered_texts(docs), "text-numbers")
+
+    def add(self, docs: DataFrame, name: str) -> DataFrame:
+        """``docs`` with the number of each text (0 for the only one of its id)."""
+        own, print_, n = free_names(docs, "own", "print", "n")
+        right = small(self.table.toDF(own, print_, n), self.rows)
+        met = (docs["doc_id"].cast("long") == right[own]) & (F.xxhash64(docs["text"].cast("string")) == right[print_])
+        return docs.join(right, met, "left").select(*[docs[c] for c in docs.columns], F.coalesce(right[n], F.lit(0)).alias(name))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fp(text).alias("fp"), text.alias("text")).where("doc_id is not null")
+def _placed(docs: DataFrame, numbers: Numbers) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return numbers.add(rows, "number").select("doc_id", "number", "text")
 
 
-def line_table(docs: DataFrame, min_near: int) -> DataFrame:
+def line_table(docs: DataFrame, numbers: Numbers, min_near: int) -> DataFrame:
     """doc_id, sub, h, h2 (128-bit hash of the words), n (words), ends (hashes of both ends, of near-able lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +109,11 @@ def line_table(docs: DataFrame, min_near: int) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(text)), pa.array((piece.column(1).to_numpy()[text] << 32) + number), pa.array(run_hashes(h, a, b).view(np.int64)), pa.array(run_hashes(mix(h ^ _SECOND), a, b).view(np.int64)), pa.array(n.astype(np.int32)), ends], [*_AT, "h", "h2", "n", "ends"])
                 yield rows.filter(pa.array(n > 0))
 
-    return in_arrow(_placed(docs), run, "doc_id long, sub long, h long, h2 long, n int, ends array<long>")
+    return in_arrow(_placed(docs, numbers), run, "doc_id long, sub long, h long, h2 long, n int, ends array<long>")
 
 
-def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of wanted lines: doc_id, sub, line. wanted: doc_id, fp, at (array of sub)."""
+def _wanted_lines(docs: DataFrame, numbers: Numbers, wanted: DataFrame) -> DataFrame:
+    """The text of wanted lines: doc_id, sub, line. wanted: doc_id, number, at (array of sub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +125,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], [*_AT, "line"])
 
-    texts = _placed(docs).where("text is not null").join(wanted, ["doc_id", "fp"])
+    texts = _placed(docs, numbers).where("text is not null").join(wanted, ["doc_id", "number"])
     return in_arrow(texts.select("doc_id", "text", "at"), run, "doc_id long, sub long, line string").dropDuplicates([*_AT])
 
 
@@ -168,17 +192,18 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 _FOLD = {k: k + 32 for k in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
 
 
-def dropped_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_near: int = MIN_NEAR, numbers: Numbers | None = None) -> DataFrame:
     """doc_id, sub, near: the lines that an earlier line (by doc_id, then place) copies exactly or within the bound."""
-    table = stored(line_table(docs, min_near), "lines")
+    numbers = numbers or Numbers(docs)
+    table = stored(line_table(docs, numbers, min_near), "lines")
     at = F.struct(*_AT)
     distinct = table.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("ends").alias("ends"))
     distinct = stored(distinct, "distinct")
     ends = distinct.select(F.explode("ends").alias("end"), "first", "h")
     shared = ends.groupBy("end").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("end")
     able = ends.join(shared, "end", "left_semi").select("first.*")
-    wanted = able.groupBy("doc_id", F.shiftright("sub", 32).alias("fp")).agg(F.collect_set("sub").alias("at"))
-    lines = stored(_wanted_lines(docs, wanted), "near-lines")
+    wanted = able.groupBy("doc_id", F.shiftright("sub", 32).alias("number")).agg(F.collect_set("sub").alias("at"))
+    lines = stored(_wanted_lines(docs, numbers, wanted), "near-lines")
     variants = stored(_variants(lines), "variants").withColumn("at", at)
     # replaced word: all of one key and place are within one edit of each other, the earliest stays
     groups = variants.where("place >= 0").groupBy("key", "place").agg(F.min("at").alias("by"), F.max("at").alias("to")).where("by <> to")
@@ -213,9 +238,11 @@ def deduplicated(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
 
 def _cut(docs: DataFrame, counts: tuple[str, ...], min_near: int) -> DataFrame:
     """deduplicated() with the counts under these names, which ``docs`` must not have."""
-    doc, fp, gone = free_names(docs, "doc", "fp", "gone")
-    found = dropped_lines(docs, min_near).distinct().groupBy(F.col("doc_id").alias(doc), F.shiftright("sub", 32).alias(fp)).agg(F.collect_list(F.struct(F.col("sub").bitwiseAND(0xFFFFFFFF).alias("line_no"), "near")).alias(gone))
-    both = docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (_fp(F.col("text").cast("string")) == F.col(fp)), "left")
+    doc, of, gone, number = free_names(docs, "doc", "of", "gone", "number")
+    numbers = Numbers(docs)
+    found = dropped_lines(docs, min_near, numbers).distinct().groupBy(F.col("doc_id").alias(doc), F.shiftright("sub", 32).alias(of)).agg(F.collect_list(F.struct(F.col("sub").bitwiseAND(0xFFFFFFFF).alias("line_no"), "near")).alias(gone))
+    both = numbers.add(docs, number)
+    both = both.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(number) == F.col(of)), "left")
     names = docs.columns
     at = names.index("text")
     out_schema = docs.select("*", *[F.lit(0).cast("long").alias(c) for c in counts]).schema

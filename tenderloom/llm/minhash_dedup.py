@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, contracted, in_arrow, stored
+from .shared import connected_components, contracted, counted, free_names, in_arrow, small, stored
 from .textnp import NOT_SPACE, mix, raw, run_hashes, slices, word_hashes, words
 
 SHINGLE = 5
@@ -160,25 +160,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = 10, rows: in
     doc_id is linked with nothing; its component is null, and it is kept. An empty table gives an empty result; further
     columns are not read.
     """
-    return _by_row(docs, percent, side, rows).drop("fp")
+    return _by_row(docs, percent, side, rows).drop("fp", "part")
 
 
 def _by_row(docs: DataFrame, percent: int, side: int, rows: int) -> DataFrame:
-    """The rows of near_duplicates() with fp, the hash of their text."""
+    """The rows of near_duplicates() with fp, the hash of their text, and part, a number of their component (null: linked with nothing)."""
     signed = stored(signatures(docs, side, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     group = ["set_a", "set_b", "n_shingles"]
     classes = full.groupBy(*group).agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.first("small").alias("small"), F.first("sketch").alias("sketch"))
     classes = stored(classes.select(*group, "first.*", "small", "sketch", F.col("n_shingles").alias("n"), F.monotonically_increasing_id().alias("id")), "classes")
     open_keys = stored(_keys(classes, side), "keys")
-    named = classes.select(*group, "id", F.col("doc_id").alias("component_id"))
+    named = classes.select(*group, "id", F.col("id").alias("part"), F.col("doc_id").alias("component_id"))
     if not open_keys.isEmpty():
         components = _link(open_keys, classes, docs, percent)
         least = components.join(classes.select("id", "doc_id"), "id").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-        linked = components.join(least, "c").select("id", F.col("component_id").alias("least"))
-        named = named.join(linked, "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
-    found = full.select("doc_id", "fp", *group).join(named.select(*group, "component_id"), group).select("doc_id", "fp", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "fp", "n_shingles", F.col("doc_id").alias("component_id"))
+        linked = components.join(least, "c").select("id", "c", F.col("component_id").alias("least"))
+        named = named.join(linked, "id", "left").withColumns({"component_id": F.coalesce("least", "component_id"), "part": F.coalesce("c", "part")})
+    found = full.select("doc_id", "fp", *group).join(named.select(*group, "component_id", "part"), group).select("doc_id", "fp", "n_shingles", "component_id", "part")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "fp", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("part"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -245,7 +245,20 @@ def _link(keys: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) ->
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, side: int = 10, rows: int = 2) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with their columns; of rows that repeat a doc_id and text, all."""
-    gone = _by_row(docs, percent, side, rows).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).distinct()
-    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_fp"])
-    return docs.join(gone, same, "left_anti")
+    """One row of ``docs`` for each component of near_duplicates(), with its columns: the least doc_id, of its texts the one of the least hash.
+
+    Rows that repeat a doc_id and its text are one row (of the least hash over all columns); texts linked with nothing stay once for each
+    doc_id. Rows without doc_id all stay.
+    """
+    found = stored(_by_row(docs, percent, side, rows).where("doc_id is not null").groupBy("doc_id", "fp", "part").agg(F.count("*").alias("n")), "components")
+    first = found.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    gone = found.join(first, "part").where(F.struct("doc_id", "fp") != F.col("first")).select("doc_id", "fp")
+    of, print_ = free_names(docs, "of", "print")
+    marked = docs.withColumns({of: F.col("doc_id").cast("long"), print_: F.xxhash64(F.col("text").cast("string"))})
+    left = marked.join(gone.toDF(of, print_), [of, print_], "left_anti")
+    repeats, n = counted(found.where("n > 1").select("doc_id", "fp").toDF(of, print_), "repeats")
+    if n:
+        rest = left.join(small(repeats, n), [of, print_], "left_anti")
+        once = left.join(small(repeats, n), [of, print_], "left_semi").groupBy(of, print_).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        left = rest.select(*docs.columns).unionByName(once.select("row.*"))
+    return left.select(*docs.columns)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.llm import bpe, chat_format, decontaminate, language_id, minhash_dedup, shared, token_output, token_text, vector_dedup
+from tenderloom.llm import bpe, chat_format, decontaminate, line_dedup, language_id, minhash_dedup, shared, token_output, token_text, vector_dedup
 
 DOCS = "doc_id long, text string"
 PATH = token_text.default_tokenizer()
@@ -118,6 +118,19 @@ def test_minhash_with_odd_rows(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_minhash_keeps_one_row_of_each_group(spark):
+    """Rows of one doc_id: equal ones are one row, near ones one group, others stay."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, "a"), (1, base, "b"), (1, base + " more", "c"), (1, "something else", "d"), (1, "something else", "d"), (1, "something else", "d"), (2, None, "e"), (2, None, "e"), (2, "", "f"), (3, base, "g"), (None, base, "h"), (None, base, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = minhash_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got in [sorted([(1, x), (1, "something else"), (2, None), (2, ""), (None, base), (None, base)], key=repr) for x in (base, base + " more")]
+    three = spark.createDataFrame(rows[:3], docs.schema)
+    assert minhash_dedup.one_of_each(three).count() == 1 and minhash_dedup.one_of_each(three).collect() == minhash_dedup.one_of_each(three).collect()
+
+
 def test_minhash_as_brute_force(spark):
     """Families of texts around the bound, chained copies, and a passage that all share: components as of all pairs."""
     r = np.random.default_rng(8)
@@ -284,3 +297,32 @@ def test_other_columns_are_not_read(spark):
         rows = [sorted(map(tuple, run(d).collect())) for d in (docs, plain)]
         assert rows[0] == rows[1] and len(rows[0]) == 3
         assert run(docs.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_whose_short_hashes_are_equal(spark):
+    """Two texts of one doc_id with the same last 31 bits of their hashes: no line is lost to the other's, and nothing crashes."""
+    import xxhash
+
+    near = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    seen, pair = {}, None
+    for k in range(400_000):
+        text = f"keep this line {k}\nand this\n{near}\n{near} lambda" if k % 2 else f"short {k}"
+        bits = xxhash.xxh64(text.encode(), seed=42).intdigest() & 0x7FFFFFFF
+        other = seen.setdefault(bits, text)
+        if other is not text and ("short" in other) != ("short" in text):
+            pair = (other, text)
+            break
+    assert pair is not None
+    rows = [(1, f"{near}\nshort of it\n{near}s"), (5, pair[0]), (5, pair[1]), (5, pair[1]), (7, f"{near} lambda")]
+    got = {(r.doc_id, r.text) for r in line_dedup.deduplicated(spark.createDataFrame([(*r,) for r in rows], "doc_id long, text string")).collect()}
+    long, short = sorted(pair, key=len, reverse=True)
+    first = long.split("\n")
+    assert got == {(1, f"{near}\nshort of it"), (5, "\n".join(first[:2])), (5, short), (7, "")}
+
+
+def test_many_texts_of_one_id(spark):
+    """Three hundred texts share an id: each is a document of its own, in the order of its hash."""
+    rows = [(1, f"own line {k}\nshared by all\nown too {k}") for k in range(300)] + [(2, "shared by all"), (0, "before them")]
+    left = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(left) == 302 and sum("shared by all" in r.text for r in left) == 1 and sum(r.n_exact for r in left) == 300
+    assert all(f"own line {k}" in " ".join(r.text for r in left) for k in range(300))
