@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,48 +121,6 @@ def uncatalogued(rows: DataFrame, catalog: DataFrame, key: str = "source") -> Da
     return rows.select(key).where(F.col(key).isNotNull()).distinct().join(catalog.select(key), key, "left_anti")
 
 
-def unique_slugs(rows: DataFrame, slug: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
-    """base, base-2, base-3 … in order of creation, the first that neither ``taken`` (slug) nor an earlier row has.
-
-    Slugs that differ only by numbers at their end can meet (``a``'s second is ``a-2``): such families are numbered together, one
-    after the other. A slug that has its family to itself is numbered by counts of earlier rows in two levels (blocks of
-    rows, then inside a block), so that a name that all rows share is no task of its own.
-    """
-    family = lambda c: F.regexp_replace(c, "(?:-[0-9]+)+$", "")
-    marked = rows.withColumn("_family", family(F.col(slug)))
-    known = rows.select(F.col(slug).alias("_s")).distinct()
-    if taken is not None:
-        known = known.unionByName(taken.select(F.col("slug").alias("_s")))
-    mixed = known.groupBy(family(F.col("_s")).alias("_family")).agg(F.count("*").alias("_n")).where("_n > 1").select("_family")
-    alone = marked.join(mixed, "_family", "left_anti").drop("_family")
-    block = alone.repartitionByRange(slug, *order).withColumn("_block", F.spark_partition_id())
-    sizes = block.groupBy(slug, "_block").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(slug).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).drop("_size")
-    n = F.row_number().over(Window.partitionBy(slug, "_block").orderBy(*order)) + F.col("_start")
-    numbered = block.join(starts, [slug, "_block"]).withColumn("_k", n)
-    numbered = numbered.withColumn("unique_slug", F.when(F.col("_k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_k").cast("string")))).select(*rows.columns, "unique_slug")
-    schema = rows.withColumn("unique_slug", F.lit("").cast("string")).schema
-    for f in schema:
-        f.nullable = True
-
-    def assign(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        mine, used, last, out = mine.sort_values(order), set(others["_s"]), {}, []
-        for base in mine[slug]:
-            k = last.get(base, 1)
-            while (name := base if k == 1 else f"{base}-{k}") in used:
-                k += 1
-            used.add(name)
-            last[base] = k
-            out.append(name)
-        return mine.drop(columns="_family").assign(unique_slug=out)
-
-    others = (taken.select(F.col("slug").alias("_s")) if taken is not None else known.limit(0)).withColumn("_family", family(F.col("_s")))
-    together = marked.join(mixed, "_family", "left_semi").select(*rows.columns, "_family")
-    shared = together.groupBy("_family").cogroup(others.groupBy("_family")).applyInPandas(assign, schema)
-    return numbered.unionByName(shared)
-
-
 def since_cutoff(catalog: DataFrame, tenders: DataFrame, now: Column, rewind_days: int = 45, first_days: int = 14) -> DataFrame:
     """(source, since): the last sight of a source, now at the latest, less the rewind; never seen: two weeks before."""
     seen = tenders.groupBy("source").agg(F.max("ingested_at").alias("last"))

@@ -18,6 +18,7 @@ from ..operators import neighbours as N
 from ..operators import results as R
 from ..operators import retrieval as Q
 from ..operators import tables as K
+from ..operators.slugs import unique_slugs
 from ..sources import feeds as S
 from ..sources import html as H
 from ..storage import new_path
@@ -565,7 +566,7 @@ def unique_slug(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: which slug is free depends on all rows before; tests hold it against the rule, row by row."""
     name = F.concat_ws(" & ", "c_mktsegment", F.when(F.col("c_nationkey") > 1, F.col("c_nationkey").cast("string")))
     taken = B.table(spark, d, "nation").select(F.concat(F.lit("building-"), F.col("n_nationkey").cast("string")).alias("slug")).where("slug like '%2'")
-    return K.unique_slugs(B.table(spark, d, "customer").select("c_custkey", T.slugify(name).alias("slug")), "slug", ["c_custkey"], taken)
+    return unique_slugs(B.table(spark, d, "customer").select("c_custkey", T.slugify(name).alias("slug")), "slug", ["c_custkey"], taken)
 
 
 def _dates(portal: str, shown: str) -> Query:

@@ -13,6 +13,7 @@ from tenderloom.operators import matching as M
 from tenderloom.operators import results as R
 from tenderloom.operators import retrieval as Q
 from tenderloom.operators import tables as K
+from tenderloom.operators.slugs import unique_slugs
 from tenderloom.sources import feeds as S
 from tenderloom.sources import html as H
 from tenderloom.sources import portals as L
@@ -277,9 +278,9 @@ def test_slugs_are_unique(spark):
         used.add(name)
         want.append(name)
     rows = spark.createDataFrame(list(enumerate(bases)), "id int, slug string").repartition(3)
-    got = K.unique_slugs(rows, "slug", ["id"], spark.createDataFrame([(x,) for x in taken], "slug string")).collect()
+    got = unique_slugs(rows, "slug", ["id"], spark.createDataFrame([(x,) for x in taken], "slug string")).collect()
     assert [r.unique_slug for r in sorted(got, key=lambda r: r.id)] == want
-    assert {r.unique_slug for r in K.unique_slugs(rows.where("id < 2"), "slug", ["id"]).collect()} == {"a", "a-2"}
+    assert {r.unique_slug for r in unique_slugs(rows.where("id < 2"), "slug", ["id"]).collect()} == {"a", "a-2"}
 
 
 def test_tenants_of_an_address(spark):
