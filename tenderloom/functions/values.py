@@ -107,6 +107,32 @@ def parse_date(text: Column, portal: str = "loose") -> Column:
     return F.coalesce(*[_parsed(text, d) for d in dialects]) - F.make_dt_interval(mins=F.lit(int(offset * 60)))
 
 
+#: Hours of the zones that feeds name.
+ZONES = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+_MAIL_DATE = r"^\s*(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4}|\d{2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?\s*([A-Za-z]+|[+-]\d{2}:?\d{2})?\s*$"
+_NET_DATE = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[Tt ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([A-Za-z]+|[+-]\d{2}:?\d{2})?)?\s*$"
+
+
+def feed_date(text: Column) -> Column:
+    """The instant of a feed's date: of mail headers (``Tue, 05 Mar 2024 10:00:00 +0300``, ``5 Mar 24 10:00 EST``) or of the net
+    (``2024-03-05T10:00:00-05:00``). No zone is UTC; a zone that is not known, or a day that its month lacks, is null."""
+    found = []
+    for pattern, order in ((_MAIL_DATE, (3, 2, 1)), (_NET_DATE, (1, 2, 3))):
+        part = lambda k, pattern=pattern: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+        year, month, day = (part(k) for k in order)
+        n = year.try_cast("int")
+        year = F.when(F.length(year) == 4, n).when(n < 50, n + 2000).otherwise(n + 1900)
+        month = F.coalesce(_lookup(F.lower(F.substring(month, 1, 3)), MONTHS), month.try_cast("int"))
+        clock = [F.coalesce(part(k).try_cast("int"), F.lit(0)) for k in (4, 5, 6)]
+        at = F.try_make_timestamp(year, month, day.try_cast("int"), clock[0], clock[1], clock[2].cast("decimal(16,6)"))
+        zone = part(7)
+        digits = F.regexp_replace(zone, "[^0-9]", "")
+        signed = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
+        minutes = F.when(zone.isNull(), 0).when(zone.rlike("^[+-]"), signed).otherwise(_lookup(F.lower(zone), ZONES) * 60)
+        found.append(at - F.make_dt_interval(mins=minutes))
+    return F.coalesce(*found)
+
+
 def min_max_dates(dates: Column) -> tuple[Column, Column]:
     """Published and deadline of a row's dates: of two or more the earliest and the latest; one alone is the deadline."""
     known = F.filter(dates, lambda x: x.isNotNull())

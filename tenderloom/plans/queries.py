@@ -658,14 +658,16 @@ def read_ted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'g' || o_orderkey ELSE 'https://u.org/' || o_orderkey END AS external_id, 'undp' AS source, 'Roads & ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'Roads & ' || o_orderkey ELSE 'about ' || o_orderpriority END AS description, 'https://u.org/' || o_orderkey AS url, 'UNDP' AS buyer, NULL::VARCHAR AS country, 'UNDP Procurement Notice' AS sector, '' AS cpv_codes,
-  NULL::INT AS budget_min_usd, NULL::INT AS budget_max_usd, NULL::VARCHAR AS currency, CASE WHEN o_orderkey % 5 = 0 THEN {_AT} ELSE date_trunc('minute', o_orderdate) END AS published_at, NULL::TIMESTAMP AS deadline_at, 'en' AS language
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE o_orderkey % 11 <> 0 AND r <= 100 AND CASE WHEN o_orderkey % 5 = 0 THEN {_AT} ELSE date_trunc('minute', o_orderdate) END >= TIMESTAMP '1996-01-01'""")
+  NULL::INT AS budget_min_usd, NULL::INT AS budget_max_usd, NULL::VARCHAR AS currency, pub AS published_at, NULL::TIMESTAMP AS deadline_at, 'en' AS language
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, CASE WHEN o_orderkey % 5 = 0 THEN {_AT} ELSE date_trunc('second', o_orderdate) - to_minutes(CASE o_orderkey % 7 WHEN 1 THEN 180 WHEN 2 THEN -300 WHEN 3 THEN -330 ELSE 0 END) END AS pub FROM orders) WHERE o_orderkey % 11 <> 0 AND r <= 100 AND pub >= TIMESTAMP '1996-01-01'""")
 def read_undp(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     number = k.cast("string")
     tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+    at = F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss")
+    shown = F.when(k % 7 == 1, F.concat(at, F.lit(" +0300"))).when(k % 7 == 2, F.concat(at, F.lit(" EST"))).when(k % 7 == 3, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:30"))).otherwise(F.concat(at, F.lit(" GMT")))
     item = F.concat(F.lit("<item>"), F.when(k % 11 != 0, tag("title", F.lit("<![CDATA[Roads &amp; "), number, F.lit("]]>"))).otherwise(""), tag("link", F.lit("https://u.org/"), number), F.when(k % 3 != 0, tag("description", F.lit("&lt;b&gt;about&lt;/b&gt; "), F.col("o_orderpriority"))).otherwise(""),
-                    F.when(k % 5 != 0, tag("pubDate", F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))).otherwise(""), F.when(k % 2 == 0, tag("guid", F.lit("g"), number)).otherwise(""), F.lit("</item>"))
+                    F.when(k % 5 != 0, tag("pubDate", shown)).otherwise(""), F.when(k % 2 == 0, tag("guid", F.lit("g"), number)).otherwise(""), F.lit("</item>"))
     items = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("x")))), lambda x: x["x"])
     pages = B.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("payload"))
     return _columns(S.read_undp(pages, B.now(), F.lit("1996-01-01").cast("timestamp")))

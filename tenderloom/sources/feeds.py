@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..functions.schemas import once
 
 TENDER = ("external_id", "source", "title", "description", "url", "buyer", "country", "sector", "cpv_codes", "budget_min_usd", "budget_max_usd", "currency", "published_at", "deadline_at", "language", "raw")
 _CLASS = "struct<scheme:string,id:string,description:string>"
@@ -91,11 +92,18 @@ def read_ted(payloads: DataFrame, run_ts: Column) -> DataFrame:
 
 
 def world_bank_docs(payloads: DataFrame) -> DataFrame:
-    """One row per notice (its fields): ``procnotices`` is a list or a map by id."""
-    body = F.get_json_object("payload", "$.procnotices")
-    listed = F.from_json(body, f"array<{DOC}>")
-    mapped = F.map_values(F.from_json(body, f"map<string,{DOC}>"))
-    return payloads.select(F.explode(F.when(body.rlike(r"^\s*\["), listed).otherwise(mapped)).alias("d")).select("d.*", F.to_json("d").alias("raw"))
+    """One row per notice (its fields): ``procnotices`` is a list or a map by id. Payloads are parsed once; what is no JSON yields no notice
+    (see broken_payloads), nor does an element that is no object."""
+    parsed = payloads.select(once(F.try_parse_json("payload")).alias("v"))
+    body = F.try_variant_get("v", "$.procnotices", "variant")
+    each = F.coalesce(F.try_variant_get(body, "$", "array<variant>"), F.map_values(F.try_variant_get(body, "$", "map<string,variant>")))
+    docs = parsed.select(F.explode(each).alias("d")).where(F.schema_of_variant("d").startswith("OBJECT"))
+    return docs.select(once(F.try_variant_get("d", "$", DOC)).alias("d")).select("d.*", F.to_json("d").alias("raw"))
+
+
+def broken_payloads(payloads: DataFrame) -> DataFrame:
+    """The payloads that are no JSON, with ``failed`` as the rejects of validation have it. A null payload is broken too."""
+    return payloads.where(F.try_parse_json("payload").isNull()).withColumn("failed", F.array(F.lit("json")))
 
 
 #: Words of notice types that are closed and open, and phrases of awarded notices.
@@ -134,7 +142,8 @@ def is_stale(deadline: Column, now: Column, days: int = 14) -> Column:
 def read_world_bank(payloads: DataFrame, run_ts: Column, since: Column | None = None) -> DataFrame:
     d = world_bank_docs(payloads).where(is_open_notice(F.col("notice_type")) & ~looks_awarded(F.col("notice_text"), F.col("bid_description")))
     c = F.col
-    d = d.withColumn("published", F.coalesce(V.parse_date(c("notice_date"), "loose"), run_ts)).withColumn("deadline", V.parse_date(c("deadline_date"), "loose"))
+    dates = F.struct(F.coalesce(V.parse_date(c("notice_date"), "loose"), run_ts).alias("published"), V.parse_date(c("deadline_date"), "loose").alias("deadline"))
+    d = d.select("*", once(dates).alias("_at")).select(*d.columns, "_at.*")
     d = d.where(~is_stale(c("deadline"), run_ts))
     if since is not None:
         d = d.where(c("published") >= since)
@@ -158,13 +167,35 @@ def read_feed_items(payloads: DataFrame, most: int = 100) -> DataFrame:
 
     href = F.nullif(F.regexp_extract("x", r"""(?is)<link\b[^>]*href=["']([^"']+)["']""", 1), F.lit(""))
     about = F.nullif(F.regexp_extract("x", r"""(?is)rdf:about=["']([^"']+)["']""", 1), F.lit(""))
-    return items.select("page", "pos", tag("title").alias("title"), F.coalesce(tag("link"), href, about).alias("link"), tag("description", "summary", "content").alias("description"), tag("pubDate", "published", "updated", "dc:date").alias("published"), F.coalesce(tag("guid", "id"), about).alias("guid"))
+    fields = F.struct(tag("title").alias("title"), F.coalesce(tag("link"), href, about).alias("link"), tag("description", "summary", "content").alias("description"), tag("pubDate", "published", "updated", "dc:date").alias("published"), F.coalesce(tag("guid", "id"), about).alias("guid"))
+    return items.select("page", "pos", once(fields).alias("i")).select("page", "pos", "i.*")
+
+
+_LINK = "array<struct<_VALUE:string,_href:string>>"
+_ITEM = f"title string, link {_LINK}, description string, summary string, content string, pubDate string, published string, updated string, `dc:date` string, guid struct<_VALUE:string>, id string, `_rdf:about` string"
+
+
+def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Items as of read_feed_items() from landed well-formed files, by Spark's XML source: page is the file's path, pos the place in it."""
+    found = None
+    for tag in ("item", "entry"):
+        x = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").schema(_ITEM).load(path)
+        x = x.select("*", F.col("_metadata.file_path").alias("page"), F.monotonically_increasing_id().alias("_n"))
+        found = x if found is None else found.unionByName(x)
+    text = lambda *c: F.coalesce(*[F.nullif(T.squeezed(T.decode_entities(F.col(n))), F.lit("")) for n in c])
+    links = F.transform("link", lambda x: F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), x["_href"]))
+    rows = found.select(
+        "page", (F.row_number().over(Window.partitionBy("page").orderBy("_n")) - 1).alias("pos"), text("title").alias("title"), F.coalesce(F.get(F.filter(links, lambda x: x.isNotNull()), F.lit(0)), F.col("`_rdf:about`")).alias("link"),
+        text("description", "summary", "content").alias("description"), text("pubDate", "published", "updated", "`dc:date`").alias("published"), F.coalesce(text("guid._VALUE", "id"), F.col("`_rdf:about`")).alias("guid"),
+    )
+    return rows
 
 
 def read_undp(payloads: DataFrame, run_ts: Column, since: Column | None = None) -> DataFrame:
     """Notices of UNDP's feeds: items with a title and a link; an undated one takes ``run_ts``."""
     items = read_feed_items(payloads).where("title is not null and link is not null")
-    items = items.withColumn("published_at", F.when(F.col("published").isNull(), run_ts).otherwise(F.coalesce(V.parse_date(F.col("published"), "loose"), F.try_to_timestamp("published"))))
+    at = F.when(F.col("published").isNull(), run_ts).otherwise(F.coalesce(V.feed_date(F.col("published")), V.parse_date(F.col("published"), "loose")))
+    items = items.select("*", once(at).alias("published_at"))
     if since is not None:
         items = items.where(F.col("published_at") >= since)
     c = F.col
