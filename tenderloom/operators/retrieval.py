@@ -101,37 +101,71 @@ def clamp_similarity(distance):
     return F.when(distance.isNull(), F.lit(None)).when(F.isnan(s) | (F.abs(s) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
 
 
+#: Partial sums that one task of a merge adds up for a group, and bytes of sums that a task holds before it hands them on.
+FAN, HELD = 256, 64 << 20
+
+
+def _pooled(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """(part, by, wx, x, w, n) of rows (by, w, v): the sums of each group over all batches of the task, handed on when they grow large."""
+    from pyspark import TaskContext
+
+    part, sums, size = TaskContext.get().partitionId(), {}, 0
+
+    def out() -> pa.RecordBatch:
+        keys, parts = list(sums), list(sums.values())
+        lists = [pa.array([p[k] for p in parts], pa.list_(pa.float64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array([k for k, _ in keys], kind), *lists, pa.array([float(p[2]) for p in parts]), pa.array([int(p[3]) for p in parts], pa.int64())], ["part", by, "wx", "x", "w", "n"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        w = batch.column(1).to_numpy(zero_copy_only=False)
+        if (w < 0).any():
+            raise ValueError("negative weight")
+        length = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for n in np.unique(length):
+            rows = batch.filter(pa.array(length == n))
+            x, w = rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, int(n)), rows.column(1).to_numpy(zero_copy_only=False)
+            group = rows.column(0).dictionary_encode(null_encoding="encode")
+            at = group.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            wx, plain, ws, ns = (np.add.reduceat(v[order], starts, axis=0) for v in (x * w[:, None], x, w, np.ones(len(w), np.int64)))
+            for k, key in enumerate(group.dictionary.take(pa.array(at[order][starts])).to_pylist()):
+                old = sums.get((key, int(n)))
+                if old is None:
+                    sums[key, int(n)] = [wx[k], plain[k], ws[k], ns[k]]
+                    size += 16 * int(n) + 200
+                else:
+                    for i, v in enumerate((wx[k], plain[k], ws[k], ns[k])):
+                        old[i] = old[i] + v
+        if size >= HELD:
+            yield out()
+            sums, size = {}, 0
+    if sums:
+        yield out()
+
+
 def mean_pool(chunks: DataFrame, by: str, vector: str, weight: str) -> DataFrame:
-    """(by, vector): weighted mean of each group's vectors, without bringing a group together.
+    """(by, vector): weighted mean of each group's vectors, by a tree of sums.
 
-    Vectors are summed by group inside each Arrow batch; only those sums are taken apart and added up. All-zero weights
+    Each task sums its rows by group; sums stay whole arrays and are merged by (group, a number of tasks), then by group. So a
+    vector of 1,024 numbers is one row throughout, and no merge holds more than FAN sums of a group per 65,536 tasks. All-zero weights
     count as equal. A negative weight or vectors of different lengths are errors; null vectors take no part.
     """
     rows = chunks.where(F.col(vector).isNotNull()).select(by, F.col(weight).cast("double").alias("w"), F.col(vector).cast("array<double>").alias("v"))
     key = rows.schema[by].dataType.simpleString()
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = batch.column(1).to_numpy(zero_copy_only=False)
-            if (w < 0).any():
-                raise ValueError("negative weight")
-            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            for n in np.unique(size):
-                part = batch.filter(pa.array(size == n))
-                x, w = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, int(n)), part.column(1).to_numpy(zero_copy_only=False)
-                group = part.column(0).dictionary_encode(null_encoding="encode")
-                at, groups = group.indices.to_numpy(), len(group.dictionary)
-                sums = np.zeros((2, groups, int(n)))
-                np.add.at(sums[0], at, x * w[:, None])
-                np.add.at(sums[1], at, x)
-                ends = pa.array(np.arange(groups + 1, dtype=np.int32) * int(n))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(y.ravel())) for y in sums]
-                yield pa.RecordBatch.from_arrays([group.dictionary, *lists, pa.array(np.bincount(at, w, groups)), pa.array(np.bincount(at, minlength=groups))], [by, "wx", "x", "w", "n"])
-
-    sums = rows.mapInArrow(summed, f"`{by}` {key}, wx array<double>, x array<double>, w double, n long")
-    each = sums.select(by, "w", "n", F.posexplode(F.arrays_zip("wx", "x")).alias("_i", "_x"))
-    each = each.groupBy(by, "_i").agg(F.sum("_x.wx").alias("wx"), F.sum("w").alias("w"), F.sum("_x.x").alias("x"), F.sum("n").alias("n"))
-    value = F.when(F.col("w") == 0, F.col("x") / F.col("n")).otherwise(F.try_divide("wx", "w"))
-    rows = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"), F.min("n").alias("_a"), F.max("n").alias("_b"))
-    same = F.when(F.col("_a") != F.col("_b"), F.raise_error(F.lit("vectors of different lengths"))).otherwise(F.transform("_v", lambda x: x["v"]))
-    return rows.select(by, same.cast("array<double>").alias(vector))
+    shape = f"part long, `{by}` {key}, wx array<double>, x array<double>, w double, n long"
+
+    def merged(sums: pa.Table) -> pa.Table:
+        length = pc.unique(pc.list_value_length(sums["x"])).to_pylist()
+        if len(length) > 1:
+            raise ValueError("vectors of different lengths")
+        total = [sums[c].combine_chunks().flatten().to_numpy().reshape(sums.num_rows, length[0]).sum(axis=0) for c in ("wx", "x")]
+        return pa.table({"part": [sums["part"][0].as_py()], by: sums[by].slice(0, 1), "wx": pa.array([total[0]]), "x": pa.array([total[1]]), "w": [pc.sum(sums["w"]).as_py()], "n": [pc.sum(sums["n"]).as_py()]})
+
+    sums = rows.mapInArrow(lambda batches: _pooled(batches, by), shape)
+    sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy(by, "part").applyInArrow(lambda t: merged(t), shape)
+    sums = sums.groupBy(by).applyInArrow(lambda t: merged(t), shape)
+    mean = F.when(F.col("w") == 0, F.transform("x", lambda v: v / F.col("n"))).otherwise(F.transform("wx", lambda v: F.try_divide(v, F.col("w"))))
+    return sums.select(by, mean.alias(vector))
