@@ -111,6 +111,8 @@ def restated(text, target, overlap):
             chunks[-1] = (chunks[-1][0], b)
         else:
             chunks.append((a, b))
+    if not chunks:  # separators alone
+        return []
     starts = [chunks[0][0], *(max(p[0], p[1] - overlap) if overlap else c[0] for p, c in zip(chunks, chunks[1:], strict=False))]
     return [(text[s:b], s, b) for s, (_, b) in zip(starts, chunks, strict=True)]
 
@@ -311,3 +313,26 @@ def test_sources(spark):
     catalog = spark.createDataFrame([("a", "available", None), ("b", "available", "no key"), ("c", "planned", None)], "source string, availability string, unavailable_reason string")
     assert {r.source for r in K.select_sources(catalog, " b, x,b ").collect()} == {"b"} and K.select_sources(catalog, "").count() == 3 and K.select_sources(catalog, "", filtered=True).count() == 0
     assert {r.source for r in K.enabled_sources(catalog).collect()} == {"a"}
+
+
+def test_chunks_of_whole_columns():
+    """Many texts at once, of any separators and scripts, in slices of any size: each as alone, and as restated."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tenderloom.functions import chunks
+
+    r = np.random.default_rng(4)
+    parts = ["word ", "é", "\n", "\n\n", "\n\n\n", ". ", ".", " ", "xxxxxxxxxxxxxxxxxxxx", "日本", "\U0001f600", " ", "\t"]
+    texts = ["".join(r.choice(parts, int(r.integers(0, 400)), p=r.dirichlet(np.full(len(parts), 0.5)))) for _ in range(150)] + [None, "", " \n", "\n" * 700, "." * 300, ". " * 300, "a" * 49 + "\n\n\n" + "b" * 80, " " * 900, "x\n", "\n\nx" * 60]
+    kept = chunks.SLICE
+    try:
+        for size, target, overlap in ((kept, 60, 20), (50, 50, 0), (1, 120, 119), (3000, 75, 74)):
+            chunks.SLICE = size
+            got = [[(x["text"], x["start"], x["end"]) for x in row] for row in chunks.chunk_column(pa.array(texts), target, overlap).to_pylist()]
+            for text, mine in zip(texts, got, strict=True):
+                assert mine == restated(text or "", target, overlap), (target, overlap, text)
+            assert [[(x["text"], x["start"], x["end"]) for x in row] for row in chunks.chunk_column(pa.array(texts).slice(7, 20), target, overlap).to_pylist()] == got[7:27]
+    finally:
+        chunks.SLICE = kept
+    assert chunks.chunk_column(pa.array([], pa.string())).to_pylist() == []
