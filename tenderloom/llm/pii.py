@@ -1,7 +1,7 @@
 """Personal data: candidate spans scored by gradient-boosted trees, with DataFrame functions only.
 
 Generators with high recall propose overlapping spans: the four rule patterns, number-like runs,
-address-like runs (also with "at" and "dot" spelled out) and account-like codes. Boosted trees
+address-like runs (also with "at" and "dot" spelled out) and account-like codes. Of added spans that overlap the best stays. Boosted trees
 (MLlib, trained here on a bounded sample) use format and context features; their scores are calibrated
 on held-out candidates, whose precision sets the threshold. The trees are then unrolled into one column expression, so
 scoring is part of the same scan and nothing is shuffled.
@@ -36,7 +36,7 @@ PATTERNS = {
 #: What may be personal data beyond the rules.
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z+(])[+(]?[0-9][0-9 ()./-]{5,}[0-9](?![0-9A-Za-z])",
-    "address": rf"(?i)(?<!{_LOCAL})[a-z0-9._%+-]{{2,}} ?(?:@|\(at\)|\[at\]) ?[a-z0-9-]{{2,}} ?(?:\.|\(dot\)|\[dot\]) ?[a-z]{{2,}}(?![a-z0-9])",
+    "address": rf"(?i)(?<!{_LOCAL})[a-z0-9._%+-]{{2,}} ?(?:@|\(at\)|\[at\]) ?[a-z0-9-]{{2,}}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[a-z0-9-]{{2,}}){{0,4}} ?(?:\.|\(dot\)|\[dot\]) ?[a-z]{{2,}}(?![a-z0-9])",
     "code": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
 #: What every match of a pattern holds, as far as that is found faster than the match.
@@ -44,6 +44,10 @@ _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CUE = r"(?i)(?:mail|phone|tel|call|mobile|fax|card|account|iban|contact|ssn|passport|address|\bip\b)"
 _BEFORE = 24
+#: A day, or a month with its year, stands in the span.
+_DATE = r"(?<![0-9])(?:0?[1-9]|1[0-2])[-/.](?:19|20)[0-9]{2}(?![0-9])|(?:19|20)[0-9]{2}[-/. ](?:0?[1-9]|1[0-2])(?![0-9])|(?<![0-9])(?:0?[1-9]|[12][0-9]|3[01])[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:19|20)?[0-9]{2}(?![0-9])"
+#: Words of which clean spans are made.
+_PLAIN_WORDS = ("store", "noon", "home", "thanks", "please", "bring", "office", "table", "three", "market", "bahnhof", "danke", "maison", "merci", "casa", "gracias", "work", "lunch", "then", "more")
 
 
 def luhn(digits: Column) -> Column:
@@ -78,7 +82,7 @@ def _rule(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-FEATURES = ("chars", "digits", "letters", "separators", "groups", "plus", "at", "dots", "capitals", "luhn", "octets", "cue", "edge", "generator", "mod97")
+FEATURES = ("chars", "digits", "letters", "separators", "groups", "plus", "at", "dots", "capitals", "luhn", "octets", "cue", "edge", "generator", "mod97", "at_tight", "at_spelled", "dot_tight", "dot_even", "dot_spelled", "last_word", "date", "longest_digits", "parens")
 
 
 def _features(m: Column, before: Column, after: Column, generator: int) -> list[Column]:
@@ -89,6 +93,8 @@ def _features(m: Column, before: Column, after: Column, generator: int) -> list[
     return [x.cast("double") for x in (
         F.length(m), F.length(d), count("[A-Za-z]"), count("[ ()/-]"), F.size(F.split(m, "[^0-9A-Za-z]+")), m.startswith("+"), count("@"), count(r"\."), count("[A-Z]"),
         passes, m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), before.rlike(_CUE), after.rlike("^[^0-9A-Za-z]?$") & ~before.rlike("[0-9]$"), F.lit(generator), mod97(m),
+        m.rlike(r"[^ ](?:@|[(\[](?i:at)[)\]])[^ ]"), m.rlike(r"(?i)[(\[]at[)\]]"), m.rlike(r"[0-9A-Za-z-]\.[0-9A-Za-z]"), m.rlike(r" \. "), m.rlike(r"(?i)[(\[]dot[)\]]"), F.length(F.regexp_extract(m, "[A-Za-z]+$", 0)), m.rlike(_DATE),
+        F.array_max(F.transform(F.split(m, "[^0-9]+"), lambda x: F.length(x))), m.contains("("),
     )]
 
 
@@ -143,21 +149,34 @@ class SpanModel:
 
 
 def _rewritten(kind: Column, m: Column) -> Column:
-    """Array of (v, label): a rule's finding in forms outside the rules, and clean spans made of its characters."""
+    """Array of (v, label): a rule's finding in forms outside the rules, and clean spans of every generator made of its characters:
+    mentions of places and prices with @ and at, dates and times, ranges, amounts, and codes with a wrong check."""
     d = F.rpad(_digits(F.concat(m, F.abs(F.xxhash64(m)).cast("string"))), 18, "7")
     part = lambda a, n: F.substring(d, a, n)
-    account = lambda check: F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), *[x for i in (1, 5, 9, 13) for x in (F.lit(" "), part(i, 4))], F.lit(" "), part(17, 2))
+    t = F.lit
+    cat = lambda *x: F.concat(*[t(y) if isinstance(y, str) else y for y in x])
+    group = lambda check, country: cat(country, F.lpad(check.cast("string"), 2, "0"), *[x for i in (1, 5, 9, 13) for x in (" ", part(i, 4))], " ", part(17, 2))
+    account = lambda check: group(check, "DE")
     check = F.lit(98) - (F.concat(d, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int")
+    french = F.lit(98) - (F.concat(d, F.lit("152700")).cast("decimal(38,0)") % 97).cast("int")
     two = lambda a, most: F.lpad((part(a, 2).cast("int") % most + 1).cast("string"), 2, "0")
-    spell = lambda at, dot: F.replace(F.replace(m, F.lit("@"), F.lit(at)), F.lit("."), F.lit(dot))
+    word = lambda k: F.element_at(F.array(*map(t, _PLAIN_WORDS)), (F.pmod(F.xxhash64(m, t(k)), t(len(_PLAIN_WORDS))) + 1).cast("int"))
+    plain_mail = cat(word(17), ".", word(18), F.regexp_extract(m, "@.*$", 0))  # without the finding's own digits
+    spell = lambda at, dot, of=m: F.replace(F.replace(of, t("@"), t(at)), t("."), t(dot))
     last = F.substring(F.lpad(_digits(m), 10, "5"), -10, 10)
+    piece = lambda a, n: F.substring(last, a, n)
     yes, no = (lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("label"))), (lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("label")))
-    local = [F.concat(F.lit("("), F.substring(last, 1, 3), F.lit(") "), F.substring(last, 4, 3), F.lit("-"), F.substring(last, 7, 4)), F.concat(F.lit("0"), F.substring(last, 1, 3), F.lit(" "), F.substring(last, 4, 7)), F.concat(F.substring(last, 1, 3), F.lit("-"), F.substring(last, 4, 3), F.lit("-"), F.substring(last, 7, 4))]
-    date = F.concat(F.lit("20"), part(1, 2), F.lit("-"), two(3, 12), F.lit("-"), two(5, 28))
-    plain = [date, F.concat(part(1, 2), F.lit(" "), part(3, 3), F.lit("."), part(6, 2)), F.concat(part(1, 4), F.lit("/"), part(5, 5)), F.concat(two(5, 28), F.lit("."), two(3, 12), F.lit(".20"), part(1, 2)), part(1, 8), account(check % 97 + 1)]
-    mail = F.array(yes(spell(" (at) ", " (dot) ")), yes(spell(" [at] ", " [dot] ")), yes(spell(" @ ", " . ")))
+    local = [cat("(", piece(1, 3), ") ", piece(4, 3), "-", piece(7, 4)), cat("0", piece(1, 3), " ", piece(4, 7)), cat(piece(1, 3), "-", piece(4, 3), "-", piece(7, 4)), cat("00", piece(1, 2), " ", piece(3, 3), " ", piece(6, 5)), cat("0", piece(1, 4), "-", piece(5, 6)), cat(piece(1, 3), ".", piece(4, 3), ".", piece(7, 4))]
+    date = cat("20", part(1, 2), "-", two(3, 12), "-", two(5, 28))
+    day = cat(two(5, 28), "/", two(3, 12), "/20", part(1, 2))
+    plain = [
+        date, cat(date, " ", part(7, 2)), cat(day, " - ", part(7, 2)), cat(part(1, 2), " ", part(3, 3), ".", part(6, 2)), cat(part(1, 4), "/", part(5, 5)), cat(two(5, 28), ".", two(3, 12), ".20", part(1, 2)), part(1, 8), cat("19", part(1, 2), "-20", part(3, 2)), cat(part(1, 3), "-", part(4, 3)), cat(part(1, 1), ".", part(2, 9)), cat(part(1, 1), " 000 000"), cat(part(1, 2), ".", part(3, 1), ".", part(4, 2), "-", part(6, 2)),
+        cat(part(1, 2), " @ ", word(1), ". ", word(2)), cat(word(3), " @ ", word(4), ". ", word(5)), cat(word(6), " (at) ", word(7), ". ", word(8)), cat(word(9), " @ ", part(1, 3), ". ", word(10)), cat(word(11), "@", word(12), ". ", word(13)), cat(word(14), " [at] ", word(15), ". ", word(16)), cat(word(19), part(1, 2), " (at) ", word(20), ". ", word(21)), cat(word(22), ".", word(23), " @ ", word(24), part(3, 2), ". ", word(25)),
+        account(check % 97 + 1), cat("AB", part(1, 2), " ", part(3, 4), " ", part(7, 4)), cat("XK", part(1, 2), part(3, 4), "A", part(7, 3)),
+    ]
+    mail = F.array(*[yes(spell(*x)) for x in ((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" @ ", " . "), (" (at) ", "."), ("[at]", "[dot]"), ("@", " (dot) "), (" (at) ", " (dot) ", plain_mail), (" [at] ", ".", plain_mail), (" @ ", " . ", plain_mail))])
     forms = F.when(kind == KINDS.index("email"), mail).when(kind == KINDS.index("phone"), F.array(*map(yes, local))).otherwise(F.array().cast("array<struct<v:string,label:double>>"))
-    return F.concat(forms, F.array(yes(account(check)), *map(no, plain)))
+    return F.concat(forms, F.array(yes(account(check)), yes(group(french, "FR")), *map(no, plain)))
 
 
 def training_spans(docs: DataFrame, max_spans: int) -> DataFrame:
@@ -191,7 +210,7 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 2000, least: i
         return None
     wide = rows.select("h", "label", *[F.element_at("f", i + 1).alias(n) for i, n in enumerate(FEATURES)])
     wide = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide)
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, maxBins=32, stepSize=0.3, seed=11).fit(wide.where("pmod(h, 3) <> 0"))
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=11).fit(wide.where("pmod(h, 3) <> 0"))
     found = SpanModel.of(model, 0.0)
     held = rows.where("pmod(h, 3) = 0").select("label", found.margin(F.col("f")).alias("margin")).groupBy("margin").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).orderBy(F.desc("margin")).collect()
     yes = n = 0
@@ -204,19 +223,28 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 2000, least: i
     return found
 
 
+def _apart(spans: Column) -> Column:
+    """Of sorted spans (s, e, p) those that stay: a span that overlaps the last one replaces it if its score is higher (if equal, if it is longer)."""
+    last = lambda acc: F.element_at(acc, -1)
+    better = lambda acc, x: (x["p"] > last(acc)["p"]) | ((x["p"] == last(acc)["p"]) & (x["e"] - x["s"] > last(acc)["e"] - last(acc)["s"]))
+    step = lambda acc, x: F.when((F.size(acc) == 0), F.array(x)).when(x["s"] >= last(acc)["e"], F.concat(acc, F.array(x))).when(better(acc, x), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).otherwise(acc)
+    return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int,p:double>>"), step)
+
+
 def find(docs: DataFrame, model: SpanModel | None) -> DataFrame:
     """doc_id, text, base and spans (arrays of s, kind, e) for every row of (doc_id, text).
 
-    spans holds base and what the model adds, which never overlaps a rule's finding; of overlapping added spans
-    all are listed (the generators differ in extent), equal ones once; spans of one start are listed by kind, then end. A null text is
+    spans holds base and what the model adds, which never overlaps a rule's finding; of added spans that overlap, one after the other in
+    the text, the one with the highest score stays (of equal scores the longer). A null text is
     empty; rows keep their number, repeated ones too, and do not depend on one another; texts of any length are searched whole; an
     empty table gives an empty result; other columns are not read.
     """
     found = candidates(docs.select(F.col("doc_id").cast("long"), "text"))
     added = F.array().cast("array<struct<s:int,kind:int,e:int>>")
     if model is not None:
-        taken = F.filter("open", lambda x: ~x["labelled"] & (model.margin(x["f"]) >= model.threshold))
-        added = F.array_distinct(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("kind"), x["e"].alias("e"))))
+        scored = F.transform(F.filter("open", lambda x: ~x["labelled"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), model.margin(x["f"]).alias("p")))
+        taken = F.array_sort(F.filter(scored, lambda x: x["p"] >= model.threshold))
+        added = F.transform(_apart(taken), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("kind"), x["e"].alias("e")))
     return found.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", "text", "base", "spans")
 
 
