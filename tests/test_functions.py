@@ -218,7 +218,7 @@ def test_pages(spark):
 
 def test_schedules_and_profiles(spark):
     bad = spark.createDataFrame([("weekly", 1, 9, 8, None, None, ["x@y.org", "no"])], "frequency string, interval_days int, hour_local int, hour_local_end int, day_of_week int, day_of_month int, recipients array<string>")
-    assert K.validate_schedules(bad)[1].first().failed == ["hour_local_end", "day_of_week", "recipients[1]"]
+    assert K.validate_schedules(bad)[1].first().failed == ["recipients[1]", "hour_local_end", "day_of_week"]
     p = spark.createDataFrame([(None, None, None, None)], "languages array<string>, industries array<string>, team_size int, ignore_location boolean")
     assert tuple(K.profile_defaults(p).first()) == (["en"], [], 0, False)
 
