@@ -113,3 +113,43 @@ def test_recall_of_forms_held_out_whole(spark):
     found = {name: share(make, 200) for name, make in _secret_forms(r).items()}
     assert min(found.values()) >= 0.9, found
     assert np.mean([share(make, 100) for make in _clean_forms(r)]) <= 0.02
+
+
+def test_secrets_of_every_document_train(spark):
+    """Findings in 40 of 30,000 documents, those whose doc_id hashes highest: no document is left out of the training, and tables dealt otherwise give the same network."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    ids = [x.id for x in spark.range(30_000).orderBy(F.xxhash64("id").desc()).limit(40).collect()]
+    texts = [f"{_say(r)} password={base64.b64encode(r.bytes(15)).decode()} {_say(r)} {hashlib.md5(r.bytes(4)).hexdigest()} {_say(r)}" for _ in ids]
+    docs = spark.range(30_000).join(F.broadcast(spark.createDataFrame(list(zip(ids, texts, strict=True)), "id long, found string")), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("found", F.lit("ab")).alias("text"))
+    net, again = secret_scan.fit(docs), secret_scan.fit(docs.repartition(7))
+    assert net is not None
+    assert np.abs(net.flat() - again.flat()).max() < 1e-6 and abs(net.threshold - again.threshold) < 1e-6
+
+
+def test_pictures_dealt_over_rounds(spark, monkeypatch):
+    """Many pictures: every one is in the training of one round; few: in that of each."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(secret_scan.CharNet):
+        def train(self, pictures, *args, **kwargs):
+            seen.add(len(pictures))
+
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), F.encode(F.lpad(F.col("id").cast("string"), 40, "x"), "utf-8").alias("picture"), (F.col("id") % 9 == 0).alias("secret"))
+    monkeypatch.setattr(secret_scan, "CharNet", Counting)
+    monkeypatch.setattr(secret_scan, "_GROUP", 500)
+    secret_scan._trained(rows, 5000, (1.0, 1.0))
+    assert seen.value == 20_000
+    monkeypatch.setattr(secret_scan, "_FEW", 1000)
+    secret_scan._trained(rows, 5000, (1.0, 1.0))
+    assert seen.value == 25_000
+
+
+def test_kth_value(spark):
+    x = np.concatenate([np.random.default_rng(4).normal(0, 5, 3000), np.full(50, 1.25), [1e9, -1e9]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for k in (0, 7, 1500, len(x) - 1):
+        assert secret_scan.kth(df, "x", k) == np.sort(x)[k]
