@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Lexicon
 from .bpe_words import Merges
 from .shared import in_arrow, new_path, write_file
-from .textnp import slices
+from .textnp import gather, slices
 
 MAGIC = b"TLEF1\0\0\0"
 SAMPLE = 64
@@ -140,13 +140,77 @@ class LibraryWords:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a binary column's words, one after the other, and how many each has."""
+        starts, data = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1 + words.offset)[words.offset :], np.frombuffer(words.buffers()[2], np.uint8)
+        text = np.insert(data[starts[0] : starts[-1]], starts[1:] - starts[0], 0x20)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, "<u4")
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(sizes) != len(words):
+            raise ValueError("the library's model did not end every word with its mark")
+        return ids, sizes
+
+
+class WordTable:
+    """Ids of texts by way of a table of the words met so far: a piece's distinct words are looked up together, new ones go to the library's
+    model together. Past ``most`` words or ``most_bytes`` of them only those of the piece at hand stay, so memory is bounded; ids never depend on what the table holds."""
+
+    _by_path: dict[str, WordTable] = {}
+
+    def __init__(self, merges: Merges, library: LibraryWords, most: int = 400_000, most_bytes: int = 1 << 25):
+        self.merges, self.library, self.most, self.most_bytes = merges, library, most, most_bytes
+        self.words, self.ids, self.sizes = pa.array([], pa.binary()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
     @classmethod
-    def encoder(cls, path: str) -> Encoder:
-        """One per Python worker: workers live on from task to task."""
+    def of(cls, path: str) -> WordTable:
+        """One per Python worker: workers live on from task to task, and so does the table."""
         if path not in cls._by_path:
-            cls._by_path[path] = Encoder(Merges.of(path), Lexicon.compile({}), merge=cls(path))
+            cls._by_path[path] = cls(Merges.of(path), LibraryWords(path))
         return cls._by_path[path]
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word stands in the table, which takes in the new ones."""
+        found = pc.index_in(words, value_set=self.words)
+        at, missing = found.fill_null(-1).to_numpy().astype(np.int64), found.is_null()
+        new = words.filter(missing).unique()
+        if not len(new):
+            return at
+        if len(self.words) + len(new) > self.most or self.words.nbytes + new.nbytes > self.most_bytes:
+            kept = np.unique(at[at >= 0])
+            starts = np.cumsum(self.sizes) - self.sizes
+            self.words, self.ids, self.sizes = self.words.take(pa.array(kept)), gather(self.ids, starts[kept], self.sizes[kept]), self.sizes[kept]
+            at = np.where(at >= 0, np.searchsorted(kept, at), -1)
+        merged = [self.library.ids(new.slice(k, 1 << 14)) for k in range(0, len(new), 1 << 14)]
+        unseen = np.flatnonzero(at < 0)
+        at[unseen] = len(self.words) + pc.index_in(words.take(pa.array(unseen)), value_set=new).to_numpy()
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids, self.sizes = np.concatenate([self.ids, *(i for i, _ in merged)]), np.concatenate([self.sizes, *(n for _, n in merged)])
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole column, one text after the other, and the bounds of each text."""
+        units = self.merges.split(texts)
+        odd = [self.merges.words(chunk) for chunk in units.odd]
+        own = pa.array([w for words in odd for w in words if isinstance(w, bytes)], pa.binary())
+        at = self.places(pa.concat_arrays([units.words, own]))
+        starts = np.cumsum(self.sizes) - self.sizes
+        # behind the table's ids, those of odd chunks
+        ids, more, place = [], [], len(units.words)
+        for words in odd:
+            parts = []
+            for w in words:
+                if isinstance(w, bytes):
+                    k, place = at[place], place + 1
+                    parts.append(self.ids[starts[k] : starts[k] + self.sizes[k]])
+                else:
+                    parts.append(np.array([w], "<u4"))
+            ids += parts
+            more.append(sum(map(len, parts)))
+        at, more = at[: len(units.words)], np.array(more, np.int64)
+        start, size = np.concatenate([starts[at], len(self.ids) + np.cumsum(more) - more]), np.concatenate([self.sizes[at], more])
+        n = size[units.index]
+        return gather(np.concatenate([self.ids, *ids]), start[units.index], n), np.concatenate([[0], np.cumsum(n)])[units.bounds]
+
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20) -> DataFrame:
     """Write ``docs`` (doc_id, text) as token files under ``folder``/ids, in ascending doc_id order.
@@ -166,7 +230,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, attempt, seq = LibraryWords.encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex[:8], 0
+        coder, part, attempt, seq = WordTable.of(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex[:8], 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -190,7 +254,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                     keys, held, sizes, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield flush()
-        coder.memo.clear()
 
     schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

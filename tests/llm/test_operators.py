@@ -46,6 +46,33 @@ def test_splitting_as_the_library(seed):
             assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+
+def test_word_table_against_the_library():
+    """Ids are the library's however few words the table keeps, odd characters and special strings among them; a word met before is not merged again."""
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(PATH), np.random.default_rng(11)
+    library.no_truncation()
+    letters = list("abcdeé'’ß12 \n.,İ한語e\u0301\u00a0") + ["</s>", "don't", " the ", "🙂"]
+    texts = pa.array([None, "", " ", *["".join(r.choice(letters, int(n))) for n in r.integers(1, 60, 120)], "x" * 5000])
+    want = [library.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+    asked = []
+
+    class Asked(token_output.LibraryWords):
+        def ids(self, words):
+            asked.append(len(words))
+            return super().ids(words)
+
+    for limits in ({}, {"most": 5}, {"most_bytes": 100}):
+        table = token_output.WordTable(bpe.Merges.of(PATH), Asked(PATH), **limits)
+        for part in (texts, texts.slice(60), texts.slice(0, 3), texts):
+            asked.clear()
+            ids, bounds = table.encode(part)
+            at = 0 if len(part) == len(texts) or part[0].as_py() is None else 60
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want[at : at + len(part)]
+        assert limits or not asked
+
+
 def test_encode_then_decode(spark):
     from tokenizers import Tokenizer
 
