@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import drop_stored, few_rows, in_arrow, small, stored
+from .shared import drop_stored, few_read, few_rows, in_arrow, small, stored
 from .textnp import LOWER, raw, slices, words
 
 #: Bytes that end a piece, and bytes of words.
@@ -31,6 +31,10 @@ _WORD = ~_CUT
 _WORD[[0x20, 0x09]] = False
 #: Text of a chunk, in bytes (a longer document is one chunk).
 CHUNK = 8 << 20
+#: Rows of the relation (some MB each) that are decoded at a time, and in a row group of its files. Python gets them one by one.
+_AT_ONCE = 1
+#: A frequent phrase with its text and counts, as a join's side, in rows of shared.BROADCAST_ROWS.
+_TEXTS = 8
 
 _RELATION = "chunk long, lang string, {} n array<long>, steps binary, codes binary"
 
@@ -152,16 +156,23 @@ class Pairs:
         return at, self.ids[k[at]]
 
 
-def _joined(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    kept = row.column(4).flatten()
-    return kept.field("code").to_numpy(), kept.field("id").to_numpy()
+_LONGER = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), *((c, pa.list_(pa.int64())) for c in "abn"), ("steps", pa.binary()), ("codes", pa.binary())])
+
+
+def _joined(row: pa.Table, kept: pa.Table) -> pa.Table:
+    """_extended() of a chunk's row and the (code, id) of its frequent phrases."""
+    at, ids = kept["code"].to_numpy(), kept["id"].to_numpy()
+    try:
+        return pa.Table.from_batches(list(_extended(iter(row.combine_chunks().to_batches()), lambda _: (at, ids))), _LONGER)
+    finally:
+        shared.give_back()
 
 
 def _longer(relation: DataFrame, frequent: DataFrame, rows: int, k: int) -> DataFrame:
     """The relation of phrases of k words, from the one of k - 1 and its frequent groups.
 
     Groups of up to shared.BROADCAST_ROWS (a number and two parts, or a word, each) go to all tasks; more of them meet the
-    relation's dictionaries in a join, of which each chunk gets its own part.
+    relation's dictionaries in a join, of which each chunk gets its own part: sorted by chunk, so that a task holds one at a time.
     """
     spark, parts = relation.sparkSession, ["word"] if k == 2 else ["a", "b"]
     shape = _RELATION.format("a array<long>, b array<long>,")
@@ -172,10 +183,11 @@ def _longer(relation: DataFrame, frequent: DataFrame, rows: int, k: int) -> Data
         zipped = F.posexplode(F.arrays_zip(*parts)).alias("code", "g")
         each = relation.select("chunk", "lang", zipped).select("chunk", "lang", "code", "g.*")
         found = each.join(frequent.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]) if k == 2 else each.drop("lang").join(frequent.select("a", "b", "id"), ["a", "b"])
-        kept = found.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("kept"))  # at most the chunk's own dictionary
-        plan = in_arrow(relation.join(kept, "chunk").select("chunk", "lang", "steps", "codes", "kept"), lambda batches: _extended(batches, _joined), shape)
-    with few_rows(spark):
-        return stored(plan, f"setm-{k}")
+        kept = found.select(F.col("chunk").alias("in_chunk"), "code", "id").groupBy("in_chunk")
+        plan = relation.select("chunk", "lang", "steps", "codes").groupBy("chunk").cogroup(kept).applyInArrow(_joined, shape)
+        return stored(plan, f"setm-{k}", _AT_ONCE)
+    with few_rows(spark, 1):
+        return stored(plan, f"setm-{k}", _AT_ONCE)
 
 
 def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -192,9 +204,13 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) -> tuple[li
     number and those of its two parts one word shorter, counts of its beginnings and of its ends of 1, 2, ... words.
     The second: (lang, n). docs: (text, lang); a null text is empty, a null language ``und``.
     """
-    spark = docs.sparkSession
+    with few_read(docs.sparkSession, _AT_ONCE):
+        return _phrases(docs, min_count, longest)
+
+
+def _phrases(docs: DataFrame, min_count: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    relation = stored(in_arrow(texts, _occurrences, _RELATION.format("word array<string>,")), "setm-1")
+    relation = stored(in_arrow(texts, _occurrences, _RELATION.format("word array<string>,")), "setm-1", _AT_ONCE)
     groups = relation.select("lang", F.explode(F.arrays_zip("word", "n")).alias("g")).groupBy("lang", F.col("g.word").alias("phrase")).agg(F.sum("g.n").alias("f"))
     each = relation.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     total = stored(each.groupBy("lang").agg(F.sum("n").alias("n")), "setm-n")
@@ -210,7 +226,7 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) -> tuple[li
         groups = relation.select(F.explode(F.arrays_zip("a", "b", "n")).alias("g")).groupBy("g.a", "g.b").agg(F.sum("g.n").alias("f")).where(F.col("f") >= min_count)
         head = frequent.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("_p"), F.col("f").alias("_fa"), "pf")
         tail = frequent.select(F.col("id").alias("b"), "last", F.col("f").alias("_fb"), "sf")
-        joined = groups.join(small(head, rows), "a").join(small(tail, rows), "b")
+        joined = groups.join(small(head, _TEXTS * rows), "a").join(small(tail, _TEXTS * rows), "b")
         longer_beginnings, longer_ends = F.concat("pf", F.array("_fa")), F.concat("sf", F.array("_fb"))
         frequent, rows = _numbered(joined.select("lang", F.concat_ws(" ", "_p", "last").alias("phrase"), "last", "f", "a", "b", longer_beginnings.alias("pf"), longer_ends.alias("sf")), f"phrases-{k}")
         out.append(frequent)

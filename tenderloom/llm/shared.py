@@ -14,14 +14,16 @@ from pyspark.sql.types import StructType
 from ..storage import new_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at durable files.
 
-    A lost executor costs only the tasks that were running on it, never the steps before.
+    A lost executor costs only the tasks that were running on it, never the steps before. ``group``: rows of a Parquet row
+    group at most, where a row has megabytes (the writer holds a group, and looks at its size every 100 rows only).
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", str(group)) if group else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -92,7 +94,19 @@ def few_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         conf.set(name, before)
 
 
-def _give_back() -> None:
+@contextlib.contextmanager
+def few_read(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside decodes so few rows of Parquet at a time: for tables whose rows have megabytes."""
+    conf, name = spark.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def give_back() -> None:
     """Memory that is free in this process goes back to the system."""
     import ctypes
 
@@ -114,7 +128,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[Any]], Iterator[Any]], schem
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(tidy, schema)
 

@@ -75,6 +75,38 @@ def test_groups_beyond_a_broadcast_are_joined(spark, monkeypatch):
     assert mined(spark, rows, 4) == brute(rows, 4, 5, 2000)
 
 
+def test_rows_of_megabytes_are_handled_one_by_one(spark, monkeypatch, tmp_path):
+    """The relation's rows of one task (one per language): each is a row group of its own and reaches Python alone, by both ways of the semi-join."""
+    import pyarrow.parquet as pq
+
+    sizes = spark.sparkContext.accumulator(0)
+    extended = C._extended
+
+    def seen(batches, kept):
+        def each():
+            for batch in batches:
+                sizes.add(int(batch.num_rows > 1))
+                yield batch
+
+        return extended(each(), kept)
+
+    monkeypatch.setattr(C, "_extended", seen)
+    monkeypatch.setattr(C, "drop_stored", lambda df: None)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    rows = [(k, f"a b c d e a b c {k % 4} a b. C a b", f"l{k % 8}") for k in range(40)]
+    for most in (shared.BROADCAST_ROWS, 0):
+        folder = f"file://{tmp_path}/{most}"
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(shared, "new_path", lambda spark, name, folder=folder: f"{folder}/{name}")
+        df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        assert sorted(tuple(r) for r in C.collocations(df, 4).collect()) == brute(rows, 4, 5, 2000)
+        for k in range(1, 6):
+            groups = [f.metadata.row_group(g).num_rows for p in (tmp_path / str(most) / f"setm-{k}").glob("*.parquet") for f in [pq.ParquetFile(p)] for g in range(f.metadata.num_row_groups)]
+            assert len(groups) == 8 and max(groups) == 1, (k, groups)
+    assert sizes.value == 0
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+
+
 @pytest.mark.parametrize("chunk", [1, 40, 8 << 20])
 def test_chunks_of_any_size(spark, monkeypatch, chunk):
     monkeypatch.setattr(C, "CHUNK", chunk)
