@@ -12,24 +12,36 @@ BLOCKS = "p|div|tr|li|h[1-6]|br"
 PAGE_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _numeric(text: Column, hexadecimal: bool) -> Column:
     """Numeric entities of one form, decoded: what stands between them and their characters, woven together."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&#")), _woven(t, hexadecimal)).otherwise(t))
+
+
+def _woven(text: Column, hexadecimal: bool) -> Column:
     pattern = "&#x([0-9a-fA-F]+);" if hexadecimal else "&#([0-9]+);"
     codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     between = F.split(text, pattern, -1)
     # code units of 16 bits, as in the text's own encoding; pairs of surrogates are left out
     unit = (lambda c: F.right(c, F.lit(4))) if hexadecimal else (lambda c: F.hex((c.try_cast("decimal(38,0)") % 65536).cast("long")))
     shown = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(unit(c), 4, "0")), "UTF-16BE"))
-    woven = F.array_join(F.flatten(F.zip_with(between, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return F.when(text.rlike(pattern), woven).otherwise(text)
+    return F.array_join(F.flatten(F.zip_with(between, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def decode_entities(text: Column) -> Column:
     """Decimal, then hexadecimal, then named entities, one pass each: ``&amp;lt;`` becomes ``<``. Null is empty."""
-    out = _numeric(_numeric(F.coalesce(text, F.lit("")), False), True)
-    for name, shown in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(shown))
-    return out
+
+    def decoded(out: Column) -> Column:
+        out = _numeric(_numeric(out, False), True)
+        for name, shown in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(shown))
+        return out
+
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def squeezed(text: Column) -> Column:
@@ -72,6 +84,10 @@ def absolutize(url: Column, base: str) -> Column:
     host = f"{scheme}://{rest.split('/')[0]}"
     page = base.split("?")[0].split("#")[0]
     folder = page[: page.rindex("/") + 1] if "/" in rest else f"{host}/"
+    return let(url, lambda u: _below(u, scheme, host, page, folder))
+
+
+def _below(url: Column, scheme: str, host: str, page: str, folder: str) -> Column:
     below = F.when(url.startswith("//"), F.concat(F.lit(f"{scheme}:"), url)).when(url.startswith("/"), F.concat(F.lit(host), url)).when(url.startswith("?") | url.startswith("#"), F.concat(F.lit(page), url))
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).otherwise(below.otherwise(F.concat(F.lit(folder), F.regexp_replace(url, r"^(?:\./)+", ""))))
 

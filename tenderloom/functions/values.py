@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: US dollars per unit.
 USD_RATES = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "CHF": 1.13, "CAD": 0.74, "AUD": 0.66, "NZD": 0.61, "JPY": 0.0067, "CNY": 0.14, "INR": 0.012, "PKR": 0.0036, "AED": 0.272, "SAR": 0.266, "ZAR": 0.054, "BRL": 0.20, "MXN": 0.058, "SEK": 0.094, "NOK": 0.094, "DKK": 0.144}
 #: Country names of UK procurement releases.
@@ -97,14 +99,18 @@ def _parsed(text: Column, dialect: str) -> Column:
     return F.try_make_timestamp(part(0).try_cast("int"), month, part(2).try_cast("int"), hour, F.coalesce(part(4).try_cast("int"), F.lit(0)), F.lit(0).cast("decimal(16,6)"))
 
 
+def _with_offset(text: Column) -> Column:
+    sign = F.when(F.regexp_extract(text, r"GMT\s*([+-])", 1) == "-", -1.0).otherwise(1.0)
+    hours = F.coalesce(F.regexp_extract(text, r"GMT\s*[+-]?\s*(\d{1,2})", 1).try_cast("double"), F.lit(0.0)) + F.coalesce(F.regexp_extract(text, r"GMT\s*[+-]?\s*\d{1,2}[.:](\d{1,2})", 1).try_cast("double"), F.lit(0.0)) / F.when(text.rlike(r"GMT\s*[+-]?\s*\d{1,2}:"), 60.0).otherwise(100.0)
+    return _parsed(text, "day_month_year") - F.make_dt_interval(mins=(sign * hours * 60).cast("int"))
+
+
 def parse_date(text: Column, portal: str = "loose") -> Column:
     """UTC time of a portal's date text, or null; days that a month does not have are null. UNGM names its own offset."""
     if portal == "ungm":
-        sign = F.when(F.regexp_extract(text, r"GMT\s*([+-])", 1) == "-", -1.0).otherwise(1.0)
-        hours = F.coalesce(F.regexp_extract(text, r"GMT\s*[+-]?\s*(\d{1,2})", 1).try_cast("double"), F.lit(0.0)) + F.coalesce(F.regexp_extract(text, r"GMT\s*[+-]?\s*\d{1,2}[.:](\d{1,2})", 1).try_cast("double"), F.lit(0.0)) / F.when(text.rlike(r"GMT\s*[+-]?\s*\d{1,2}:"), 60.0).otherwise(100.0)
-        return _parsed(text, "day_month_year") - F.make_dt_interval(mins=(sign * hours * 60).cast("int"))
+        return let(text, _with_offset)
     dialects, offset = PORTALS[portal]
-    return F.coalesce(*[_parsed(text, d) for d in dialects]) - F.make_dt_interval(mins=F.lit(int(offset * 60)))
+    return let(text, lambda t: F.coalesce(*[_parsed(t, d) for d in dialects])) - F.make_dt_interval(mins=F.lit(int(offset * 60)))
 
 
 #: Hours of the zones that feeds name.

@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.schemas import once
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows with every column computed here, once: filters and columns that name one several times do not compute it again."""
+    return rows.select(once(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+
 
 def extract_table_rows(pages: DataFrame, raw: bool = False) -> DataFrame:
     """(page_id, row, cells): every table row with cells, the cells cleaned of tags unless ``raw``."""
     body = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr")
     cells = F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
     cells = cells if raw else F.transform(cells, lambda c: T.strip_tags(c))
-    return pages.select("page_id", body).select("page_id", "row", cells.alias("cells")).where(F.size("cells") > 0)
+    return settled(pages.select("page_id", body).select("page_id", "row", cells.alias("cells"))).where(F.size("cells") > 0)
 
 
 def split_blocks(pages: DataFrame, marker: str) -> DataFrame:
@@ -41,7 +48,7 @@ def extract_anchor_blocks(pages: DataFrame, href: str = r'[^"]*', before: int =
             yield pd.DataFrame(out, columns=["page_id", "pos", "href", "title", "context"])
 
     found = pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, href string, title string, context string")
-    return found.withColumn("title", T.decode_entities(T.strip_tags(F.col("title")))).where(F.col("title") != "")
+    return settled(found.withColumn("title", T.decode_entities(T.strip_tags(F.col("title"))))).where(F.col("title") != "")
 
 
 def first_of_page(rows: DataFrame, item: str) -> DataFrame:

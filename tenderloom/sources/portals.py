@@ -153,7 +153,7 @@ def cell_rows(pages: DataFrame, source: str) -> DataFrame:
     cell = lambda k: F.get("cells", F.lit(k))
     found = H.extract_table_rows(pages, raw=True).select("page_id", F.col("row").alias("pos"), "cells")
     found = found.select("page_id", "pos", *[_none(T.cell_text(cell(k))).alias(c) for c, k in t.columns.items()], T.decode_entities(F.nullif(T.first_link(cell(t.link)), F.lit(""))).alias("url"))
-    found = found.withColumn("url", _none("url")).dropna(subset=list(t.needs)).where(~F.col("title").rlike(f"(?i){t.head}"))
+    found = H.settled(found.withColumn("url", _none("url"))).dropna(subset=list(t.needs)).where(~F.col("title").rlike(f"(?i){t.head}"))
     if t.status:
         found = found.where(F.col("status").isNull() | F.col("status").rlike(f"(?i){t.status}"))
     return found
@@ -162,14 +162,14 @@ def cell_rows(pages: DataFrame, source: str) -> DataFrame:
 def _table_cells(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tr, cells): table rows with the HTML of their data cells, also of cells that hold tables' head cells."""
     body = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "tr")
-    return pages.select("page_id", body).withColumn("cells", F.regexp_extract_all("tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)))
+    return H.settled(pages.select("page_id", body).withColumn("cells", F.regexp_extract_all("tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))))
 
 
 def iadb_rows(pages: DataFrame) -> DataFrame:
     """Projects by number; their table has the columns number, operation, country, sector, title, cost, status, approval."""
     c = lambda k: _none(T.cell_text(F.get("cells", F.lit(k))))
     found = _table_cells(pages).where("size(cells) >= 5").select("page_id", "pos", c(0).alias("external_id"), c(2).alias("place"), c(3).alias("category"), c(4).alias("title"), c(6).alias("type"), c(7).alias("published"), T.first_link(F.get("cells", F.lit(4))).alias("link"))
-    found = found.where(F.col("external_id").rlike(r"^[A-Z]{2}-[A-Z]\d{3,5}$"))
+    found = H.settled(found).where(F.col("external_id").rlike(r"^[A-Z]{2}-[A-Z]\d{3,5}$"))
     missing = F.concat(F.lit("/en/project-description-title%2C1303.html?id="), F.col("external_id"))
     return H.first_of_page(found, "external_id").where("title is not null").withColumn("url", F.coalesce("link", missing)).drop("link")
 
@@ -186,7 +186,7 @@ def ebrd_rows(pages: DataFrame) -> DataFrame:
     c = lambda k: T.cell_text(F.get("cells", F.lit(k)))
     found = _table_cells(pages).where("size(cells) >= 6").select("page_id", "pos", _none(F.regexp_extract("tr", link, 2)).alias("external_id"), F.regexp_replace(F.regexp_extract("tr", link, 1), "^/+", "").alias("url"), _none(F.trim(T.strip_tags(F.regexp_extract("tr", link, 3)))).alias("title"),
                                                            c(1).alias("type"), c(2).alias("exercise"), c(3).alias("published"), c(4).alias("deadline"), c(5).alias("state"), T.assemble_list(F.transform(F.slice("cells", 7, 1000), T.cell_text), ", ").alias("metadata"))
-    found = found.dropna(subset=["external_id", "title"]).where(V.parse_date(F.col("published"), "ecepp").isNotNull() & is_biddable(F.col("state"), F.col("type")))
+    found = H.settled(found).dropna(subset=["external_id", "title"]).where(V.parse_date(F.col("published"), "ecepp").isNotNull() & is_biddable(F.col("state"), F.col("type")))
     country, _ = T.country_and_subject(F.col("title"))
     details = F.filter(F.transform(F.split("metadata", r",(?![^()]*\))"), lambda x: F.trim(x)), lambda x: x != "")
     fits = lambda x: (F.length(x) > 3) & (F.lower(x) != F.lower(country)) & ~x.rlike("^[A-Z][a-z]*$")
@@ -201,14 +201,14 @@ def ppra_rows(pages: DataFrame) -> DataFrame:
     body = F.coalesce(_none(F.regexp_extract("html", r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)), F.col("html"))
     row = r'(?s)<tr>\s*<td class="text-center align-middle">\s*\d+\s*</td>(.*?)</tr>'
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(row), F.lit(1))).alias("pos", "tr"))
-    found = found.withColumn("cells", F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))).where("size(cells) >= 6")
+    found = H.settled(found.withColumn("cells", F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)))).where("size(cells) >= 6")
     cell = lambda k: F.get("cells", F.lit(k))
     first = lambda k, p: T.decode_entities(F.trim(F.regexp_extract(cell(k), p, 1)))
     texts = F.transform(F.regexp_extract_all(cell(1), F.lit(small), F.lit(1)), lambda x: T.decode_entities(F.trim(x)))
     found = found.select("page_id", "pos", _none(first(0, strong)).alias("external_id"), _none(T.decode_entities(F.regexp_replace(F.trim(F.regexp_extract(cell(1), strong, 1)), "^['\"]", ""))).alias("title"),
                          T.longest(texts, lambda x: F.length(x) > 10).alias("longest"), _none(first(1, r'(?is)<small[^>]*class="[^"]*badge[^"]*"[^>]*>([^<]+)</small>')).alias("category"), _none(T.strip_tags(cell(2))).alias("agency"),
                          T.strip_tags(cell(4)).alias("published"), F.concat_ws(" ", _none(first(5, strong)), _none(first(5, r"(?is)<small[^>]*>([^<]+)</small>"))).alias("deadline"))
-    found = found.dropna(subset=["external_id", "title"]).withColumn("description", F.coalesce("longest", "title")).drop("longest")
+    found = H.settled(found).dropna(subset=["external_id", "title"]).withColumn("description", F.coalesce("longest", "title")).drop("longest")
     return found.withColumn("url", F.concat(F.lit("/public/tenders/tender-details/"), F.url_encode("external_id")))
 
 
@@ -224,11 +224,12 @@ def punjab_rows(pages: DataFrame) -> DataFrame:
     named = F.regexp_extract("html", grid % r'id="[^"]*(?:GridView|dgr|grdTenders|gvTenders|dgTenders)[^"]*"', 1)
     classed = F.regexp_extract("html", grid % r'class="[^"]*(?:tender|gridview|gv|dg)[^"]*"', 1)
     found = _table_cells(pages.select("page_id", F.coalesce(_none(named), _none(classed), F.col("html")).alias("html"))).where("size(cells) >= 5")
-    found = found.withColumn("texts", F.transform("cells", T.strip_tags)).withColumn("title", T.longest(F.col("texts"), lambda x: F.length(x) > 12)).where("title is not null")
+    found = H.settled(found.withColumn("texts", F.transform("cells", T.strip_tags))).withColumn("title", T.longest(F.col("texts"), lambda x: F.length(x) > 12)).where("title is not null")
     others = F.filter("texts", lambda x: x != F.col("title"))
     body = F.get(F.filter(others, lambda x: x.rlike(PUNJAB_BODY)), F.lit(0))
     first, last = V.min_max_dates(F.transform("texts", lambda x: V.parse_date(x, "punjab")))
     found = found.withColumns({"agency": F.coalesce(body, T.longest(others, lambda x: F.lit(True))), "published_at": first, "deadline_at": last})
+    found = H.settled(found)
     ref = F.get(F.filter(F.transform("texts", lambda x: F.regexp_extract(x, PUNJAB_REF, 1)), lambda x: x != ""), F.lit(0))
     made = F.concat(F.lit("ppra-punjab-"), F.regexp_replace(F.substring("title", 1, 60), r"\s+", "-"), F.lit("-"), F.coalesce(F.date_format("deadline_at", "yyyy-MM-dd"), F.lit("nodeadline")))
     link = _none(F.regexp_replace(T.decode_entities(F.regexp_extract("tr", r'(?i)<a[^>]+href="([^"]+)"', 1)), r"^\.?/", ""))
@@ -238,20 +239,21 @@ def punjab_rows(pages: DataFrame) -> DataFrame:
 def ungm_rows(pages: DataFrame) -> DataFrame:
     """Blocks by notice id, their cells between markers: 1 title, 2 deadline, 3 published, 4 agency, 5 type, 6 reference, 7 country."""
     blocks = H.split_blocks(pages, r'<div role="row"[^>]*data-noticeid="(\d+)"[^>]*>').withColumn("cells", F.slice(F.split("body", r'<div role="cell"[^>]*>', -1), 2, 100))
-    blocks = blocks.where("size(cells) >= 8")
+    blocks = H.settled(blocks).where("size(cells) >= 8")
     inner = lambda k, p: _none(F.trim(T.strip_tags(F.regexp_extract(F.get("cells", F.lit(k)), p, 1))))
     span = r"(?is)<span[^>]*>(.*?)</span>"
     found = blocks.select("page_id", F.col("block").alias("pos"), F.col("capture").alias("external_id"), inner(1, r'(?is)<span class="ungm-title[^"]*">(.*?)</span>').alias("title"), inner(2, span).alias("deadline"), inner(3, span).alias("published"), inner(4, span).alias("agency"),
                           F.coalesce(inner(5, r"(?is)<label[^>]*>(.*?)</label>"), inner(5, span)).alias("type"), inner(6, span).alias("reference"), inner(7, span).alias("place"), F.concat(F.lit("/Public/Notice/"), F.col("capture")).alias("url"))
-    return found.where("title is not null")
+    return H.settled(found).where("title is not null")
 
 
 def kuwait_rows(pages: DataFrame) -> DataFrame:
     """Texts between labels, one notice after each mark."""
     blocks = pages.select("page_id", F.posexplode(F.slice(F.split("html", "(?i)TENDER INFO", -1), 2, 100_000)).alias("pos", "block")).withColumn("x", T.clean(T.strip_tags(F.col("block"))))
+    blocks = H.settled(blocks)
     between = lambda a, b: _none(F.trim(F.regexp_extract("x", rf"(?i){a}\s+(.+?)\s+{b}", 1)))
     found = blocks.select("page_id", "pos", between(r"Tender no\.", "Organisation").alias("external_id"), between("Organisation", "Tender Subject").alias("agency"), between("Tender Subject", "Request date").alias("title"), between("Request date", "Last date").alias("published"), between("Last date", "Initial meeting date").alias("deadline"), F.lit(None).cast("string").alias("url"))
-    return found.dropna(subset=["title", "external_id"])
+    return H.settled(found).dropna(subset=["title", "external_id"])
 
 
 def urban_unit_rows(pages: DataFrame) -> DataFrame:
@@ -259,15 +261,16 @@ def urban_unit_rows(pages: DataFrame) -> DataFrame:
     heads = pages.select("page_id", F.posexplode(F.slice(F.split("html", "(?i)<h5[^>]*>|<h4[^>]*>|#####", -1), 2, 100_000)).alias("pos", "x"))
     said = lambda p: _none(T.clean(T.strip_tags(F.regexp_extract("x", p, 1))))
     found = heads.select("page_id", "pos", _none(T.clean(T.strip_tags(F.get(F.split("x", "(?i)</h5>|</h4>|\n"), F.lit(0))))).alias("title"), said(r"(?is)Submission\s+Deadline\s*:?\s*(.*?)(?:Opening\s+Time|View\s+Document|</)").alias("deadline"), said(r"(?is)Opening\s+Time\s*:?\s*(.*?)(?:View\s+Document|</)").alias("opening"), T.first_link(F.col("x")).alias("url"))
-    return found.where(F.col("title").isNotNull() & ~F.col("title").rlike("(?i)annual procurement plan"))
+    return H.settled(found).where(F.col("title").isNotNull() & ~F.col("title").rlike("(?i)annual procurement plan"))
 
 
 def planning_rows(pages: DataFrame) -> DataFrame:
     """Rows with a heading of a known class, the first date in their text, and a status, where there is one."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "tr")).withColumn("x", T.clean(T.strip_tags(F.col("tr"))))
+    found = H.settled(found)
     title = _none(T.clean(T.strip_tags(F.regexp_extract("tr", r"""(?is)<h4[^>]*class=["'][^"']*classic-title1[^"']*["'][^>]*>(.*?)</h4>""", 1))))
     found = found.select("page_id", "pos", title.alias("title"), _none(F.regexp_extract("x", r"(\d{4}-\d{2}-\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{4})", 1)).alias("published"), _none(F.regexp_extract("x", r"(?i)Status:\s*(Open|Closed|Archive)", 1)).alias("status"), T.first_link(F.col("tr")).alias("url"))
-    return found.where(F.col("title").isNotNull() & F.coalesce(F.lower("status") == "open", F.lit(True)))
+    return H.settled(found).where(F.col("title").isNotNull() & F.coalesce(F.lower("status") == "open", F.lit(True)))
 
 
 _ROWS = {"iadb": iadb_rows, "ebrd": ebrd_rows, "ppra_pk": ppra_rows, "ppra_punjab": punjab_rows, "ungm": ungm_rows, "kuwait_capt": kuwait_rows, "urban_unit_pk": urban_unit_rows, "planning_commission_pk": planning_rows}
@@ -293,17 +296,21 @@ def normalize_listing(items: DataFrame, source: str, base_url: str, run_ts: Colu
     passes ``since``; an id that the page lacks is made of source, title and url.
     """
     p, have = PORTALS[source], set(items.columns)
-    text = lambda c: _none(T.clean(F.col(c))) if c in have else F.lit(None).cast("string")
-    when = lambda c: F.col(f"{c}_at") if f"{c}_at" in have else V.parse_date(text(c), p.dates)
-    title, url = T.clean(F.col("title")), T.absolutize(F.coalesce("url", F.lit(base_url)), base_url)
+    cleaned = {c: _none(T.clean(F.col(c))).alias(c) for c in ("external_id", "place", "published", "deadline", *p.details, *p.buyer_from, p.sector_from) if c in have}
+    known = {"title": T.clean(F.col("title")), "url": T.absolutize(F.coalesce("url", F.lit(base_url)), base_url), "raw": F.to_json(F.struct(*[F.col(c) for c in items.columns]))}
+    times = {f"{c}_at": F.col(f"{c}_at") for c in ("published", "deadline") if f"{c}_at" in have}
+    found = H.settled(H.settled(items).select(F.struct(*[x.alias(c) for c, x in (known | times).items()]).alias("known"), F.struct(F.lit(0).alias("_"), *cleaned.values()).alias("text")))
+    text = lambda c: F.col(f"text.{c}") if c in cleaned else F.lit(None).cast("string")
+    when = lambda c: F.col(f"known.{c}_at") if f"{c}_at" in have else V.parse_date(text(c), p.dates)
+    title, url = F.col("known.title"), F.col("known.url")
     published = when("published")
-    found = items if since is None else items.where(published.isNull() | (published >= since))
+    found = found if since is None else found.where(published.isNull() | (published >= since))
     country = V.country_iso2(text("place"), p.countries) if p.countries else F.lit(p.country)
     return rows(found, source, {
         "external_id": F.coalesce(text("external_id"), T.stable_id(F.lit(source), title, url)), "title": title, "url": url,
         "description": F.coalesce(_none(T.assemble([text(c) for c in p.details], p.separator)), title), "buyer": F.coalesce(*[text(c) for c in p.buyer_from], F.lit(p.buyer)), "country": country,
         "sector": text(p.sector_from) if p.sector_from else F.lit(p.sector), "cpv_codes": F.array(), "currency": F.lit(p.currency), "published_at": F.coalesce(published, run_ts),
-        "deadline_at": when("deadline") if p.deadlines else F.lit(None), "raw": F.to_json(F.struct(*[F.col(c) for c in items.columns])),
+        "deadline_at": when("deadline") if p.deadlines else F.lit(None), "raw": F.col("known.raw"),
     })
 
 

@@ -336,3 +336,18 @@ def test_chunks_of_whole_columns():
     finally:
         chunks.SLICE = kept
     assert chunks.chunk_column(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_texts_of_listings_are_computed_once(spark):
+    """The plan names what a text comes from once, however deep the cleaning and however many columns and filters use it."""
+    from tenderloom.plans.queries import _pages
+
+    source = spark.range(1).select(F.md5(F.col("id").cast("string")).alias("h"))
+    for column in (T.clean(T.clean(F.col("h"))), T.cell_text(F.col("h")), T.absolutize(T.clean(F.col("h")), "https://x.org/a/b"), V.parse_date(T.clean(F.col("h")), "loose"), V.parse_date(F.col("h"), "ungm")):
+        plan = source.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1, plan.count("md5(")
+    pages = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
+    sizes = {s: len(L.read_listing(pages, s, F.lit("2026-01-01").cast("timestamp"))._jdf.queryExecution().optimizedPlan().toString()) for s in ("nitb_pk", "kuwait_capt", "ebrd")}
+    assert max(sizes.values()) < 150_000, sizes
+    few = _pages(spark, "/root/testdata/sf0.001", "{c_name}")
+    assert few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
