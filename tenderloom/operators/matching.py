@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,16 +167,35 @@ def score_pairs(pairs: DataFrame, score: Callable[[pd.DataFrame], pd.Series], ou
         f.nullable = True
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 1 << 30  # of the parts to try first: what held about one failing pair in the batch before
         for batch in batches:
-            parts = [batch]
-            while parts:  # a part that fails is halved until the pair that fails stands alone
-                part = parts.pop()
-                try:
-                    yield part.assign(**{output: score(part).astype(float), "error": None})
-                except Exception as e:  # noqa: BLE001
-                    if len(part) == 1:
-                        yield part.assign(**{output: float("nan"), "error": str(e)})
-                    else:
-                        parts += [part.iloc[len(part) // 2 :], part.iloc[: len(part) // 2]]
+            n, columns = len(batch), {output: np.full(len(batch), np.nan), "error": np.full(len(batch), None, object)}
+
+            def fails(a: int, b: int, known: bool = False, batch=batch, columns=columns) -> bool:
+                """Whether a pair from a to b has failed. A part that fails is halved until the pair that fails stands alone; one
+                ``known`` to fail, since its other half did not, is halved untried."""
+                if not known or b - a == 1:
+                    part = batch.iloc[a:b]
+                    try:
+                        got = score(part).astype(float)
+                        if isinstance(got, pd.Series) and not got.index.equals(part.index):
+                            got = got.reindex(part.index)
+                        if len(got) != b - a:
+                            raise ValueError(f"{len(got)} scores for {b - a} pairs")
+                        columns[output][a:b] = got
+                        return False
+                    except Exception as e:  # noqa: BLE001
+                        if b - a == 1:
+                            columns["error"][a] = str(e)
+                            return True
+                half = (a + b) // 2
+                fails(half, b, not fails(a, half))
+                return True
+
+            for a in range(0, n, size):
+                fails(a, min(a + size, n))
+            failed = sum(e is not None for e in columns["error"])
+            size = max(1, n // failed) if failed else 1 << 30
+            yield batch.assign(**columns)
 
     return pairs.dropDuplicates(["tenant_id", "tender_id"]).mapInPandas(run, schema)

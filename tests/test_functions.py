@@ -302,6 +302,24 @@ def test_failing_pairs_cost_only_themselves(spark):
     assert {r.tender_id for r in rows if r.error} == set(range(0, 50, 7)) and all(r.score == 2 * r.tender_id for r in rows if not r.error)
 
 
+def test_failing_pairs_need_few_calls(spark):
+    """One pair in a hundred fails: some eleven calls for each (halving both sides took fifteen), one batch out for one in, scores by their index."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def score(pairs):
+        calls.add(1)
+        if (pairs.tender_id % 101 == 0).any():
+            raise ValueError(f"no {pairs.tender_id.iloc[0]}")
+        return (pairs.tender_id * 2)[::-1]
+
+    scored = M.score_pairs(spark.range(0, 40_000, 1, 1).selectExpr("1L tenant_id", "id tender_id"), score).coalesce(1)
+    rows = scored.collect()
+    bad = set(range(0, 40_000, 101))
+    assert {(r.tender_id, r.error) for r in rows if r.error} == {(i, f"no {i}") for i in bad} and len(rows) == 40_000
+    assert all(r.score == 2 * r.tender_id for r in rows if not r.error)
+    assert calls.value < 12 * len(bad), calls.value
+
+
 def test_results_by_partition(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     K.write_results(spark.createDataFrame([(1, "a"), (2, "b")], "x int, k string"), path, ["k"])
