@@ -125,3 +125,56 @@ def test_three_files_one_after_the_other_in_keyed_state(spark, tmp_path):
     assert got[2] == [("a", 1, "one", 30), ("c", 1, "", 32)]
     assert len(rows(spark.read.parquet(f"file://{tmp_path}/out"))) == 9
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_state_of_many_keys_in_one_bucket_as_the_rule_key_by_key():
+    """Random batches, late and repeated rows and expiry, against a loop over rows; a call reads and writes the state once for all its keys."""
+    import random
+
+    import pandas as pd
+
+    from tenderloom.streaming.changes import LatestContent
+
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Timer:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.at
+
+    rng, ttl, processor, state = random.Random(7), 100, LatestContent(["n"], 100), State()
+    processor.latest = state
+    seen, n, now = {}, 0, 0
+    for _ in range(60):
+        now += rng.randrange(90)
+        rows = []
+        for _ in range(rng.randrange(1, 80)):
+            rows.append((n, f"k{rng.randrange(30)}", rng.choice("ab"), rng.randrange(40), rng.randrange(3)))
+            n += 1
+        want, here = set(), {k: s for k, s in seen.items() if s[3] + ttl > now}
+        for i, k, h, t, u in sorted(rows, key=lambda r: (r[3], r[4])):
+            old = here.get(k)
+            if old is None or (t, u) > (old[1], old[2]):
+                if old is None or h != old[0]:
+                    want.add(i)
+                here[k] = (h, t, u, now)
+            here[k] = (*here[k][:3], now)
+        seen = here
+        frame = pd.DataFrame(rows, columns=["n", "notice_key", "notice_hash", "notice_at", "notice_tie"])
+        out = list(processor.handleInputRows((1,), iter([frame[:9], frame[9:]]), Timer(now)))
+        assert {x for f in out for x in f["n"]} == want
+    assert state.calls <= 2 * 60
